@@ -48,10 +48,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict | None], rows: int = 512) -> DataFrame:
     """mapInArrow with work() on slices of `rows` rows, so that a task holds
     few whole texts as Python objects at once."""
-
-    from pyspark.sql.types import StructType
-
-    target = _arrow(StructType.fromDDL(schema))
+    target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,15 +59,12 @@ def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
-def _arrow(struct) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
-    return pa.schema([pa.field(f.name, kinds[f.dataType.simpleString()]) for f in struct])
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.types import StructType
-
-    return _arrow(StructType.fromDDL(ddl))
+    """The Arrow schema of a flat DDL string; needs no session, as in a task."""
+    return pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in ddl.split(","))])
 
 
 def tokenizer_path(name: str) -> str:

@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, token_counts
+from . import bpe, common, simhash_dedup, substring_dedup, token_counts
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.kept_digests(common.table(spark, sf_dir, "documents"), min_words=13)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), shingle=3)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +24,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op6_bpe": op6_bpe, "op10_token_counts": op10_token_counts}
+    return {"op2_substring_dedup": op2_substring_dedup, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
