@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from . import common
 
 #: A word is joined from the broadcast table if it is this part of all words.
 SHARE = 1e-6
-#: Words in a worker's own table before it starts anew.
-CACHED = 500_000
+#: Words in a worker's own table before it starts anew, and in its counts before it hands them on.
+CACHED, COUNTED = 250_000, 250_000
 
 
 @lru_cache(maxsize=2)
@@ -90,13 +92,18 @@ def distinct_words(docs: DataFrame) -> DataFrame:
     """(word binary, n): every distinct word of all texts, counted in the tasks
     before the shuffle."""
 
-    def work(batch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for t in common.texts_of(batch):
-            counts.update(t.encode().split())
-        return {"word": pa.array(counts.keys(), pa.binary()), "n": list(counts.values())}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for t in common.texts_of(batch.slice(at, 256)):
+                    counts.update(t.encode().split())
+                if len(counts) >= COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+                    counts = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
-    return common.per_batch(common.pick(docs, text="text"), "word binary, n bigint", work, rows=1 << 20).groupBy("word").agg(F.sum("n").alias("n"))
+    return common.pick(docs, text="text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_table(docs: DataFrame, spec: bytes, share: float = SHARE) -> DataFrame:
@@ -123,6 +130,19 @@ def pieces(spec: bytes) -> list[str]:
     return out
 
 
+def _shared(docs: DataFrame, tokenizer_path: str):
+    """Broadcast: the tokenizer's file, the ids of the words in word_table (1 / SHARE rows at most) and the pieces."""
+    spec = common.file_bytes(tokenizer_path)
+    check_splits(spec)
+    known = {bytes(r.word): bytes(r.ids) for r in word_table(docs, spec).toLocalIterator()}
+    return docs.sparkSession.sparkContext.broadcast((spec, known, pieces(spec)))
+
+
+def decode_ids(pieces: list[str], ids: list[bytes]) -> list[str]:
+    """The join of ids with their pieces: a text for each run of ids."""
+    return [" ".join(map(pieces.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
+
+
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids binary): little-endian unsigned 32-bit ids of every text.
 
@@ -130,35 +150,47 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     each get a row, a null doc_id stays null, an empty table gives an
     empty result, other columns are not read.
     """
-    spec = common.file_bytes(tokenizer_path)
-    check_splits(spec)
-    known = {bytes(r.word): bytes(r.ids) for r in word_table(docs, spec).toLocalIterator()}  # 1 / SHARE rows at most
-    shared = docs.sparkSession.sparkContext.broadcast((spec, known))
+    shared = _shared(docs, tokenizer_path)
 
     def work(batch):
-        return {"doc_id": batch.column(0), "ids": encode_texts(word_ids(*shared.value), common.texts_of(batch))}
+        spec, known, _ = shared.value
+        return {"doc_id": batch.column(0), "ids": encode_texts(word_ids(spec, known), common.texts_of(batch))}
 
     return common.per_batch(common.pick(docs, doc_id="doc_id", text="text"), "doc_id bigint, ids binary", work)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """encoded with a column text: the pieces of its ids joined by spaces, as
+    """(doc_id, text) of encoded(doc_id, ids): the pieces of the ids joined by spaces, as
     decode(ids, skip_special_tokens=False) gives for a tokenizer without a
-    decoder. No ids give the empty text."""
+    decoder. Null or no ids give the empty text."""
     spec = common.file_bytes(tokenizer_path)
-    if b'"decoder": null' not in spec and b'"decoder":null' not in spec:
-        raise ValueError("the tokenizer has a decoder of its own")
+    check_decoder(spec)
     shared = encoded.sparkSession.sparkContext.broadcast(pieces(spec))
 
     def work(batch):
-        piece = shared.value.__getitem__
-        ids = batch.column(1).to_pylist()
-        return {"doc_id": batch.column(0), "ids": batch.column(1), "text": [" ".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]}
+        return {"doc_id": batch.column(0), "text": decode_ids(shared.value, batch.column(1).to_pylist())}
+
+    return common.per_batch(common.pick(encoded, doc_id="doc_id", ids="ids"), "doc_id bigint, text string", work)
+
+
+def check_decoder(spec: bytes) -> None:
+    import json
 
-    return common.per_batch(common.pick(encoded, doc_id="doc_id", ids="ids"), "doc_id bigint, ids binary, text string", work)
+    if json.loads(spec).get("decoder"):
+        raise ValueError("the tokenizer has a decoder of its own")
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the round trip."""
-    both = decode(encode(docs, tokenizer_path), tokenizer_path)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() and decode() of
+    every row in one pass, so that ids and texts stay in their task. For
+    the edge cases see there."""
+    check_decoder(common.file_bytes(tokenizer_path))
+    shared = _shared(docs, tokenizer_path)
+
+    def work(batch):
+        spec, known, table = shared.value
+        ids = encode_texts(word_ids(spec, known), common.texts_of(batch))
+        texts = decode_ids(table, ids)
+        return {"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha256(x).hexdigest() for x in ids], "decoded_sha256": [sha256(t.encode()).hexdigest() for t in texts]}
+
+    return common.per_batch(common.pick(docs, doc_id="doc_id", text="text"), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", work, rows=256)
