@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, simhash_dedup, substring_dedup, token_counts
+from . import bpe, common, quality_rules, simhash_dedup, substring_dedup, token_counts
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +19,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), common.tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(common.table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), common.tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict:
-    return {"op2_substring_dedup": op2_substring_dedup, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op10_token_counts": op10_token_counts}
+    return {"op2_substring_dedup": op2_substring_dedup, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": quality_rules.sql()}
