@@ -11,7 +11,9 @@ Decoding joins ids with the id-to-piece table in each task.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,23 +53,60 @@ def check_splits(spec: bytes) -> None:
                 raise ValueError("the tokenizer joins signs across white space")
 
 
+#: Words of Latin-1 letters, digits and ASCII signs but ' and <: for these
+#: the pre-tokenizer's runs are plain to see and NFC changes nothing.
+_PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-;=-~]+").fullmatch
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level BPE has for each byte: itself if it is printable, else the next sign from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def _runs_apply(spec: bytes) -> bool:
+    """Whether the file's normalizer and pre-tokenizer are those that _RUNS stands for."""
+    j = json.loads(spec)
+    kinds = [n.get("type") for n in (j.get("normalizer") or {}).get("normalizers", [])]
+    pattern = [(p.get("pattern") or {}).get("Regex") for p in (j.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return kinds == ["NFC", "Replace", "Lowercase"] and pattern == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", None] and not j["model"].get("dropout") and not any(_PLAIN(t["content"]) for t in j["added_tokens"])
+
+
+class _RunIds(dict):
+    """run of letters or signs -> ids, by the tokenizer's own model."""
+
+    def __init__(self, tokenizer):
+        self.model, self.signs = tokenizer.model, _byte_signs()
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        self[run] = ids = np.array([t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.signs))], "<u4").tobytes()
+        return ids
+
+
 class WordIds(dict):
-    """word (UTF-8) -> its ids as little-endian unsigned 32-bit integers."""
+    """word (UTF-8) -> its ids as little-endian unsigned 32-bit integers. A
+    plain word's ids are its runs' ids; others are encoded by the library whole."""
 
     def __init__(self, spec: bytes, known: dict[bytes, bytes] | None = None):
         super().__init__(known or {})
         self.tokenizer, self.known = _tokenizer(spec), known or {}
+        self.runs = _RunIds(self.tokenizer) if _runs_apply(spec) else None
 
-    def learn(self, lists: list[list[bytes]]) -> None:
-        new = set().union(*lists) - self.keys()
-        if len(self) + len(new) > CACHED and len(self) > len(self.known):
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHED + len(self.known):
             self.clear()
             self.update(self.known)
-            new = set().union(*lists) - self.keys()
-        if new:
-            words = list(new)
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            self.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in got), strict=True))
+        text = word.decode()
+        if self.runs is not None and _PLAIN(text):
+            ids = b"".join(map(self.runs.__getitem__, _RUNS(text.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
 
 _tables: dict[bytes, WordIds] = {}
@@ -83,9 +122,7 @@ def word_ids(spec: bytes, known: dict[bytes, bytes] | None = None) -> WordIds:
 
 
 def encode_texts(table: WordIds, texts: list[str]) -> list[bytes]:
-    words = [t.encode().split() for t in texts]
-    table.learn(words)
-    return [b"".join(map(table.__getitem__, w)) for w in words]
+    return [b"".join(map(table.__getitem__, t.encode().split())) for t in texts]
 
 
 def distinct_words(docs: DataFrame) -> DataFrame:
@@ -115,8 +152,8 @@ def word_table(docs: DataFrame, spec: bytes, share: float = SHARE) -> DataFrame:
 
     def work(batch):
         words = batch.column(0).to_pylist()
-        got = _tokenizer(shared.value).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {"word": batch.column(0), "ids": [np.array(e.ids, "<u4").tobytes() for e in got]}
+        table = word_ids(shared.value)
+        return {"word": batch.column(0), "ids": [table[w] for w in words]}
 
     return common.per_batch(counts.where(F.col("n") >= max(1, total * share)).select("word"), "word binary, ids binary", work, rows=4096)
 
@@ -174,8 +211,6 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def check_decoder(spec: bytes) -> None:
-    import json
-
     if json.loads(spec).get("decoder"):
         raise ValueError("the tokenizer has a decoder of its own")
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, quality_rules, simhash_dedup, substring_dedup, token_counts
+from . import bpe, common, quality_rules, simhash_dedup, substring_dedup, token_counts, token_files
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digests(common.table(spark, sf_dir, "documents"), min_words=13)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(common.table(spark, sf_dir, "documents"), common.tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), shingle=3)
 
@@ -28,7 +32,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_substring_dedup": op2_substring_dedup, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+    return {"op2_substring_dedup": op2_substring_dedup, "op4_token_files": op4_token_files, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
