@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, quality_rules, simhash_dedup, substring_dedup, token_counts, token_files
+from . import bpe, common, decontaminate, license_scan, quality_rules, simhash_dedup, substring_dedup, token_counts, token_files, url_filter
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digests(common.table(spark, sf_dir, "documents"), min_words=13)
 
 
+#: (verdict, host, path)
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(common.table(spark, sf_dir, "pages"), RULES, url_filter.labelled_urls(spark))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(common.table(spark, sf_dir, "documents"), common.tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -23,6 +31,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), common.tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(common.table(spark, sf_dir, "documents"), license_scan.known_licenses(spark))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(common.table(spark, sf_dir, "documents"))
 
@@ -32,8 +48,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_substring_dedup": op2_substring_dedup, "op4_token_files": op4_token_files, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_url_filter, op4_token_files, op5_simhash, op6_bpe, op7_license_scan, op8_decontaminate, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.sql()}
+    return {"op7_license_scan": license_scan.sql(), "op9_quality_rules": quality_rules.sql()}
