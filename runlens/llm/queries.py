@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, license_scan, quality_rules, simhash_dedup, substring_dedup, token_counts, token_files, url_filter
+from . import bpe, common, decontaminate, html_extract, license_scan, quality_rules, simhash_dedup, substring_dedup, token_counts, token_files, url_filter
+
+
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(common.table(spark, sf_dir, "pages"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_url_filter, op4_token_files, op5_simhash, op6_bpe, op7_license_scan, op8_decontaminate, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op3_url_filter, op4_token_files, op5_simhash, op6_bpe, op7_license_scan, op8_decontaminate, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,7 +77,7 @@ def train(labelled: DataFrame) -> list[float]:
         return [0.0] * BUCKETS + [-1.0]  # nothing to tell apart: allow
     vectors = [(r.label, Vectors.sparse(BUCKETS, {i: c / len(r.b) for i, c in Counter(r.b).items()})) for r in rows]
     frame = labelled.sparkSession.createDataFrame(vectors, ["label", "features"]).coalesce(1)
-    model = LogisticRegression(regParam=1e-4, maxIter=60, standardization=False).fit(frame)
+    model = LogisticRegression(regParam=1e-3, maxIter=100).fit(frame)
     return [*model.coefficients.toArray().tolist(), float(model.intercept)]
 
 
