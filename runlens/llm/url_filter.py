@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lengths of the n-grams, and how many weights they are hashed to.
-GRAMS, BUCKETS = (3, 4, 5), 4096
+GRAMS, BUCKETS = (3, 4, 5), 1 << 14
+#: The model's pull to zero.
+DECAY = 1e-5
 #: Labelled rows that training takes at most; a larger table is refused.
 LABELLED = 20_000
 #: Rules that are written into the plan; more are joined by host.
@@ -30,16 +32,16 @@ _SYLLABLES = "th er on an re he in ed nd ha at en es of ou ea ti or".split()
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, label): a small table, label 1 for block, made by rule from the
-    topics: each in eight hosts and paths, beside as many neutral hosts."""
+    topics: each in sixteen hosts and paths, beside as many neutral hosts."""
     rows = []
     for i, (bad, good) in enumerate(zip(_BLOCKED, _ALLOWED, strict=True)):
-        for j in range(8):
+        for j in range(16):
             s = [_SYLLABLES[(i * 7 + j * 5 + k * 3) % len(_SYLLABLES)] for k in range(4)]
             tld = ("org", "net", "com")[(i + j) % 3]
             lang = ("en", "de", "fr", "es")[j % 4]
             forms = ("https://{t}-{a}.{tld}/{a}", "http://www.{a}{t}.{tld}/{l}/{n}", "https://{a}.example.{tld}/{t}/{n}", "http://{t}{n}.{tld}/")
             for topic, label in ((bad, 1.0), (good, 0.0), ("".join(s[2:]), 0.0)):
-                rows.append((forms[j % 4].format(t=topic, a="".join(s[:2]), tld=tld, l=lang, n=i * 8 + j), label))
+                rows.append((forms[j % 4].format(t=topic, a="".join(s[:2]), tld=tld, l=lang, n=i * 16 + j), label))
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -62,29 +64,33 @@ def _rest(url: Column) -> Column:
 def _buckets(h: Column, p: Column) -> Column:
     """The weights' numbers of the n-grams of ^host/path$, repeats included."""
     text = F.concat(F.lit("^"), h, F.lit(" "), p, F.lit("$"))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i, n=n: F.pmod(F.xxhash64(F.substring(text, i, n)), F.lit(BUCKETS)).cast("int")) for n in GRAMS]
+    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), _bucket_of(text, n)) for n in GRAMS]
     return F.concat(*grams)
 
 
-def train(labelled: DataFrame) -> list[float]:
-    """BUCKETS weights and the intercept. A feature is a bucket's share of the
-    URL's n-grams, so that long paths weigh no more. The labelled rows, LABELLED at
+def _bucket_of(text: Column, n: int):
+    return lambda i: F.pmod(F.xxhash64(F.substring(text, i, n)), F.lit(BUCKETS)).cast("int")
+
+
+def train(labelled: DataFrame, decay: float = DECAY) -> list[float]:
+    """BUCKETS weights and the threshold, none: unknown n-grams alone allow. A feature is a bucket's n-grams
+    over the root of all the URL's, so that long paths weigh no more. The labelled rows, LABELLED at
     most, are made sparse vectors on the driver."""
     rows = labelled.select("label", _buckets(host(F.col("url")), path(F.col("url"))).alias("b")).limit(LABELLED + 1).collect()
     if len(rows) > LABELLED:
         raise ValueError(f"a labelled table of over {LABELLED} rows")
     if len({r.label for r in rows}) < 2:
         return [0.0] * BUCKETS + [-1.0]  # nothing to tell apart: allow
-    vectors = [(r.label, Vectors.sparse(BUCKETS, {i: c / len(r.b) for i, c in Counter(r.b).items()})) for r in rows]
+    vectors = [(r.label, Vectors.sparse(BUCKETS, {i: c / len(r.b) ** 0.5 for i, c in Counter(r.b).items()})) for r in rows]
     frame = labelled.sparkSession.createDataFrame(vectors, ["label", "features"]).coalesce(1)
-    model = LogisticRegression(regParam=1e-3, maxIter=100).fit(frame)
+    model = LogisticRegression(regParam=decay, maxIter=100, standardization=False, fitIntercept=False).fit(frame)
     return [*model.coefficients.toArray().tolist(), float(model.intercept)]
 
 
 def score(h: Column, p: Column, weights: list[float]) -> Column:
-    table = F.lit(weights[:-1])
+    table = F.split(F.lit(",".join(map(repr, weights[:-1]))), ",").cast("array<double>")  # folded to one literal
     b = _buckets(h, p)
-    return F.aggregate(b, F.lit(0.0), lambda a, i: a + F.get(table, i)) / F.size(b) + F.lit(weights[-1])
+    return F.aggregate(b, F.lit(0.0), lambda a, i: a + F.get(table, i)) / F.sqrt(F.size(b)) + F.lit(weights[-1])
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
