@@ -1,10 +1,37 @@
-"""The corpus pipeline: every stage takes all that the one before it kept."""
+"""The corpus pipeline: every stage takes all that the one before it kept.
+
+A stage gets (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next one's docs. All but the last keep the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runlens.llm import bpe, common, decontaminate, quality_rules, simhash_dedup, substring_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: what the rules reject goes."""
+    return quality_rules.keep(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: of each component the document with the smallest doc_id stays."""
+    return simhash_dedup.representatives(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: passages of 13 words or more that a smaller doc_id has go; n_chars follows the text."""
+    left = substring_dedup.remove_repeats(docs, min_words=13)
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
 
-from runlens.llm import bpe, common
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,15 +39,14 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, common.tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("bpe_encoding", encoding)]
+STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("substring_dedup", substrings), ("benchmark_decontamination", decontamination), ("bpe_encoding", encoding)]
 
+#: SimHash components, Hamming search and BPE have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        if stage is not STAGES[0][1]:
-            docs = common.stored(docs, name)
-        docs = stage(spark, docs, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, common.stored(docs, name) if i else docs, sf_dir)
     return docs

@@ -221,6 +221,16 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
+def _component_ids(each: DataFrame) -> DataFrame:
+    """(fp, component_id) of every fingerprint in each(doc_id, fp)."""
+    nodes = common.checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(links(nodes))
+    grouped = nodes.join(roots, nodes.fp == roots.node)
+    least = grouped.groupBy("root").agg(F.min("least").alias("least"))
+    ids = common.checkpointed(roots.join(least, "root").select(F.col("node").alias("fp"), F.col("least").alias("joined")))
+    return nodes.join(ids, "fp", "left").select("fp", F.coalesce("joined", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs.
 
@@ -232,10 +242,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     not read.
     """
     each = common.stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = common.checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(nodes))
-    grouped = nodes.join(roots, nodes.fp == roots.node)
-    least = grouped.groupBy("root").agg(F.min("least").alias("least"))
-    ids = common.checkpointed(roots.join(least, "root").select(F.col("node").alias("fp"), F.col("least").alias("joined")))
-    alone = nodes.join(ids, "fp", "left").select("fp", F.coalesce("joined", "least").alias("component_id"))
-    return each.join(alone, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return each.join(_component_ids(each), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component. Rows
+    that repeat that doc_id all stay; rows with a null doc_id stay too, as nothing tells
+    them apart. Other edge cases as in near_duplicates()."""
+    each = common.stored(fingerprints(docs, shingle), "fingerprints")
+    ids = each.join(_component_ids(each), "fp").where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(common.stored(ids, "dropped"), "doc_id", "left_anti").select(docs.columns)

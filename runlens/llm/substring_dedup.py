@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -226,7 +227,7 @@ def _covered(n_words: int, starts: list[int], sizes: list[int], length: int) ->
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _without(text: str, words: list[bytes], gone: np.ndarray) -> str:
+def _without(text: str, gone: np.ndarray) -> str:
     """text without the words that are gone: what stays between two of them is unchanged."""
     raw = text.encode()
     spans = [m.span() for m in _WORD.finditer(raw)]
@@ -235,6 +236,7 @@ def _without(text: str, words: list[bytes], gone: np.ndarray) -> str:
 
 
 def _judge(docs: DataFrame, min_words: int, schema: str, work) -> DataFrame:
+    """work() over (doc_id, text) and the places of the words that go."""
     joined = _tagged(docs).join(repeated_ranges(docs, min_words), ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "sizes")
 
     def batch(b):
@@ -263,11 +265,26 @@ def kept_digests(docs: DataFrame, min_words: int = 13) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 13) -> DataFrame:
-    """(doc_id, text, n_removed): every text without its repeated words. Texts
+    """docs with every text without its repeated words. Texts
     that lose nothing are unchanged, null included; kept stretches are
-    joined by line feeds. See kept_digests for the edge cases."""
+    joined by line feeds. Other columns stay as they are. See kept_digests for the edge cases."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
+    key = row.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").bitwiseAND(0xFFFFFF).alias("tag"), "text")
+    joined = key.join(repeated_ranges(docs, min_words), ["doc_id", "tag"], "left")
+    names = ["text", "starts", "sizes"]
 
-    def work(texts, words, gone):
-        return {"text": [_without(t, w, m) if m.any() else t for t, w, m in zip(texts, words, gone, strict=True)], "n_removed": [int(m.sum()) for m in gone]}
-
-    return _judge(docs, min_words, "doc_id bigint, text string, n_removed bigint", work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                out = []
+                for text, starts, sizes in zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
+                    if starts:
+                        words = text.encode().split()
+                        text = _without(text, _covered(len(words), starts, sizes, min_words))
+                    out.append(text)
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("row")), pa.array(out, pa.string())], names=["row", "text"])
+
+    schema = T.StructType([row.schema["row"], T.StructField("text", T.StringType())])
+    kept = joined.select("row", *names).mapInArrow(run, schema)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
