@@ -54,16 +54,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _literal(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """rows as a local relation of the plan, which needs no Python on executors."""
+    names = [c.split() for c in ddl.split(", ")]
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {k}) AS {n}' for n, k in names)} FROM VALUES {literal_rows(rows)} AS v({', '.join(n for n, _ in names)})")
+
+
 def pipelines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(pipeline_rows()[0], PIPELINES)
+    return _literal(spark, pipeline_rows()[0], PIPELINES)
 
 
 def nodes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(pipeline_rows()[1], NODES)
+    return _literal(spark, pipeline_rows()[1], NODES)
 
 
 def params(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(pipeline_rows()[2], PARAMS)
+    return _literal(spark, pipeline_rows()[2], PARAMS)
 
 
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
