@@ -13,5 +13,5 @@ def manifest_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and means of value by event_type in tumbling windows; rows later than the watermark go."""
-    g = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return g.select(F.col("window.start").alias("start"), "event_type", "n", "mean")
