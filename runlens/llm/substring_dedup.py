@@ -3,16 +3,19 @@
 Level-wise doubling. A window is `min_words` consecutive words. Level one
 looks at windows of half that length, and only at one in each full
 window, the one with the smallest hash: equal full windows choose equal half
-windows. A half window that occurs in one document alone is done with. Those that are repeated
-are extended to the full length, and there every sequence that starts in a document
-with a smaller doc_id is found. Level two is the last, since `min_words`
-words decide what goes.
+windows. Half windows are shuffled and counted; one that occurs in one document alone is done
+with. Those that are repeated are extended to the full length: only their full windows are
+hashed and shuffled, and every one that a smaller doc_id has is found. Level two is the
+last, since `min_words` words decide what goes.
 
 Each task first settles what its own batch of documents repeats; of equal
-windows it sends on only those of the batch's smallest doc_id. So the rows of a passage
-that a third of all documents share are as many as there are batches.
-A row has one half window's hash and 40 bits of each full window's hash that
-chose it. Two windows are equal if 104 bits of two hashes are.
+windows it sends on only those of the batch's smallest doc_id. A half window that
+several of the batch's documents have is sent to level one as one mark, and its runs
+pass on uncounted under spread keys. So the rows of a half window that a third of all
+documents share are as many as there are batches, and so are those of a full window. Full windows
+are dealt by their own hashes, so those around one half window spread over all tasks. Both
+levels read their sorted rows as a stream and keep no table of them.
+Two full windows are equal if both of their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -33,12 +36,16 @@ from . import common
 
 #: Distinct words whose hashes a worker keeps.
 CACHED = 500_000
-#: Bytes of a full window's hash that are shuffled.
-WIDE = 5
 #: Bytes of text that a task settles at once.
 BATCH = 6 << 20
-
-RUNS = "half bigint, doc_id bigint, at bigint, n int, full binary"
+#: Makes other word hashes for a window's second hash.
+OTHER = np.uint64(0xA0761D6478BD642F)
+
+#: What a row of RUNS is: a half window that one document of its batch has; windows of which a smaller
+#: doc_id of the batch has an equal one; windows whose half windows are repeated in the batch; a mark of such a half window.
+ALONE, SETTLED, SHARED, MARK = range(4)
+RUNS = "half bigint, doc_id bigint, at bigint, n int"  # n: 4 * windows + kind
+WINDOWS = "a bigint, b bigint, doc_id bigint, at bigint, n int"  # n: the windows of a settled run, else 0
 RANGES = "doc_id bigint, at bigint, n int"
 
 
@@ -89,7 +96,7 @@ def _cuts(*cols: np.ndarray) -> np.ndarray:
 
 
 def _batch_runs(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
-    """Rows of RUNS for a batch of (doc_id, tag, text). A row without `full` is settled."""
+    """Rows of RUNS for a batch of (doc_id, tag, text)."""
     ids, tags, texts = (batch.column(i).to_pylist() for i in range(3))
     order = sorted((i for i in range(len(ids)) if ids[i] is not None), key=ids.__getitem__)
     parts, who = [], []
@@ -119,19 +126,21 @@ def _batch_runs(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
     head = np.maximum.accumulate(np.where(_cuts(ordered), np.arange(len(rank)), 0))
     settled = np.empty(len(rank), bool)
     settled[rank] = by[rank[head]] < by[rank]
-    cut = _cuts(doc, np.where(settled, 0, least), settled)
-    first = np.flatnonzero(cut)
-    size = np.diff(np.append(first, len(cut)))
-    done = settled[first]
-    # The full hashes of unsettled windows, run after run, in one buffer.
-    kept = full[~settled]
-    data = np.ascontiguousarray(kept.view(np.uint8).reshape(-1, 8)[:, :WIDE])
-    offsets = np.zeros(len(first) + 1, np.int32)
-    np.cumsum(np.where(done, 0, size) * WIDE, out=offsets[1:])
-    valid = np.packbits(~done, bitorder="little")
-    binary = pa.Array.from_buffers(pa.binary(), len(first), [pa.py_buffer(valid), pa.py_buffer(offsets), pa.py_buffer(data)])
-    key = np.where(done, _mix(doc.astype(np.uint64)[first] + full[first]), least[first]).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(by[first]), pa.array(at[first]), pa.array(size.astype(np.int32)), binary], schema=common.arrow_schema(RUNS))
+    # Repeated at the half length here: `by` goes up, so a half window's first and last rows tell.
+    rank = np.argsort(least, kind="stable")
+    edge = np.flatnonzero(_cuts(least[rank]))
+    last = np.append(edge[1:], len(rank)) - 1
+    many = by[rank[edge]] != by[rank[last]]
+    shared = np.empty(len(rank), bool)
+    shared[rank] = np.repeat(many, last - edge + 1)
+    marks = rank[edge[many]]
+    kind = np.where(settled, SETTLED, np.where(shared, SHARED, ALONE))
+    first = np.flatnonzero(_cuts(doc, np.where(kind == ALONE, least, 0), kind))
+    size = np.diff(np.append(first, len(kind)))
+    key = np.where(kind[first] == ALONE, least[first], _mix(doc.astype(np.uint64)[first] + full[first]))
+    rows = (key, least[marks]), (by[first], by[marks]), (at[first], at[marks]), (4 * size + kind[first], np.full(len(marks), MARK))
+    key, doc_id, at, n = map(np.concatenate, rows)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc_id), pa.array(at), pa.array(n.astype(np.int32))], schema=common.arrow_schema(RUNS))
 
 
 def _runs(length: int):
@@ -146,69 +155,122 @@ def _runs(length: int):
     return run
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From RUNS in the order of (half, doc_id): RANGES of windows whose sequence a smaller doc_id has.
-    Of the half window that is cut by a batch's end, a table says where each
-    full window was first."""
-    open_key, seen = None, {}
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From RUNS in the order of (half, doc_id): RANGES of the windows whose half windows several documents
+    have, n as 2 * windows + whether they are settled. What is held of a half window
+    that a batch's end cuts is one document's rows."""
+    held, open_key, open_alive = None, None, False
     for batch in batches:
-        key, doc, at, n = (batch.column(i).to_numpy() for i in range(4))
-        todo = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-        out = [(doc[~todo], at[~todo], n[~todo])]
-        if todo.any():
-            key, doc, at, n = key[todo], doc[todo], at[todo], n[todo]
-            full = batch.column(4).drop_null()
+        rows = [batch.column(i).to_numpy() for i in range(4)]
+        kind = rows[3] & 3
+        known = (kind == SETTLED) | (kind == SHARED)
+        out = [tuple(x[known] for x in (*rows[1:], kind))]
+        rows = [x[~known] for x in rows]
+        if held:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if len(rows[0]):
+            key, doc, at, n = rows
+            kind = n & 3
             first = np.flatnonzero(_cuts(key))
             last = np.append(first[1:], len(key)) - 1
-            alive = doc[first] != doc[last]  # repeated at the half length
-            alive[-1] = True
-            alive[0] |= key[0] == open_key
-            rows = np.repeat(alive, last - first + 1)
-            group = np.repeat(np.arange(len(first)), last - first + 1)[rows]
-            key_end, goes_on, one = key[-1], key[0] == open_key, len(first) == 1
-            doc, at, n = doc[rows], at[rows], n[rows]
-            kept = full.filter(pa.array(rows))
-            at0, at1 = (np.frombuffer(kept.buffers()[1], np.int32)[kept.offset + i] for i in (0, len(kept)))
-            raw = np.zeros((n.sum(), 8), np.uint8)
-            raw[:, :WIDE] = np.frombuffer(kept.buffers()[2], np.uint8)[at0:at1].reshape(-1, WIDE)
-            hashes = raw.reshape(-1).view(np.uint64)
-            row = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            group, by = group[row], doc[row]
-            rank = np.lexsort((hashes, group))  # stable, so smaller doc_ids stay first
-            head = np.maximum.accumulate(np.where(_cuts(hashes[rank], group[rank]), np.arange(len(rank)), 0))
-            origin = np.empty(len(rank), np.int64)
-            origin[rank] = by[rank[head]]
-            if goes_on:
-                part = np.flatnonzero(group == 0)
-                origin[part] = [seen.get(h, o) for h, o in zip(hashes[part].tolist(), origin[part].tolist(), strict=True)]
-            if not (goes_on and one):
-                seen = {}
-            part = np.flatnonzero(group == group[-1])
-            for h, o in zip(hashes[part].tolist(), origin[part].tolist(), strict=True):
-                seen.setdefault(h, o)
-            open_key = key_end
-            hit = np.flatnonzero(origin < by)
-            if len(hit):
-                cut = _cuts(row[hit], place[hit] - np.arange(len(hit)))
-                begin = np.flatnonzero(cut)
-                size = np.diff(np.append(begin, len(hit)))
-                out.append((doc[row[hit][begin]], at[row[hit][begin]] + place[hit][begin], size))
+            alive = (doc[first] != doc[last]) | np.logical_or.reduceat(kind == MARK, first)
+            alive[0] |= open_alive and key[0] == open_key
+            open_key, open_alive = key[-1], alive[-1]
+            held = None if open_alive else [x[first[-1] :] for x in rows]
+            go = np.repeat(alive, last - first + 1) & (kind == ALONE)
+            out.append((doc[go], at[go], n[go], kind[go]))
+        doc, at, n, kind = (np.concatenate(x) for x in zip(*out, strict=True))
+        if len(doc):
+            n = 2 * (n >> 2) + (kind == SETTLED)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n.astype(np.int32))], schema=common.arrow_schema(RANGES))
+
+
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, run after run."""
+    return np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _windows(length: int):
+    """WINDOWS of (doc_id, tag, text, starts, sizes), with sizes as _repeated() gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                names = ("doc_id", "tag", "text", "starts", "sizes")
+                for out in _windows_of(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), length):
+                    yield out
+
+    return run
+
+
+def _windows_of(ids: list, tags: list, texts: list, starts: list, sizes: list, length: int) -> Iterator[pa.RecordBatch]:
+    who = [i for i in range(len(ids)) if starts[i]]
+    if not who:
+        return
+    parts = []
+    for i in who:
+        words = texts[i].encode().split()
+        parts.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
+    lengths = np.array([len(p) for p in parts])
+    words = np.concatenate(parts)
+    runs = np.array([len(starts[i]) for i in who])
+    doc = np.repeat(np.arange(len(who)), runs)
+    start, n = (np.concatenate([x[i] for i in who]).astype(np.int64) for x in (starts, sizes))
+    settled, n = (n & 1).astype(bool), n >> 1
+    doc_id = np.array([ids[i] for i in who], np.int64)
+    tag = np.array([tags[i] for i in who], np.int64) << 32
+    done = doc[settled]
+    spread = _mix(doc_id[done].view(np.uint64) + start[settled].astype(np.uint64))
+    out = [(spread.view(np.int64), np.zeros(len(done), np.int64), doc_id[done], tag[done] + start[settled], n[settled])]
+    place, of = _places(start[~settled], n[~settled]), np.repeat(doc[~settled], n[~settled])
+    if len(place):
+        where = (np.cumsum(lengths) - lengths)[of] + place
+        a, b = (window_hashes(w, length)[where].view(np.int64) for w in (words, _mix(words ^ OTHER)))
+        out.append((a, b, doc_id[of], tag[of] + place, np.zeros(len(place), np.int64)))
+    a, b, doc, at, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    yield pa.RecordBatch.from_arrays([*map(pa.array, (a, b, doc, at)), pa.array(n.astype(np.int32))], schema=common.arrow_schema(WINDOWS))
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From WINDOWS in the order of (a, b, doc_id): RANGES of windows whose sequence a smaller doc_id has."""
+    open_key, open_doc = None, None
+    for batch in batches:
+        a, b, doc, at, n = (batch.column(i).to_numpy() for i in range(5))
+        settled = n > 0
+        out = [(doc[settled], at[settled], n[settled])]
+        if not settled.all():
+            a, b, doc, at = (x[~settled] for x in (a, b, doc, at))
+            first = np.flatnonzero(_cuts(a, b))
+            origin = doc[first]
+            if (a[0], b[0]) == open_key:
+                origin[0] = open_doc
+            open_key, open_doc = (a[-1], b[-1]), origin[-1]
+            hit = np.repeat(origin, np.diff(np.append(first, len(a)))) < doc
+            out.append((doc[hit], at[hit], np.ones(np.count_nonzero(hit), np.int32)))
         doc, at, n = (np.concatenate(x) for x in zip(*out, strict=True))
         if len(doc):
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n.astype(np.int32))], schema=common.arrow_schema(RANGES))
 
 
-def repeated_ranges(docs: DataFrame, min_words: int = 13) -> DataFrame:
+def _spans(ranges: DataFrame) -> DataFrame:
+    """(doc_id, tag, starts, sizes) of RANGES, each range once."""
+    spans = F.collect_set(F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("start"), F.col("n")))
+    grouped = ranges.groupBy("doc_id", F.shiftright("at", 32).alias("tag")).agg(spans.alias("spans"))
+    return grouped.select("doc_id", "tag", F.col("spans.start").alias("starts"), F.col("spans.n").alias("sizes"))
+
+
+def repeated_ranges(tagged: DataFrame, min_words: int = 13) -> DataFrame:
     """(doc_id, tag, starts, sizes): from each of a document's words `starts`
-    on, `sizes` windows begin whose sequence starts in a smaller doc_id too."""
+    on, `sizes` windows begin whose sequence starts in a smaller doc_id too.
+    tagged: (doc_id, tag, text, ...). All its columns go into the join with the texts, which is the join that
+    the caller makes with the result, so that both can read one exchange."""
     if min_words < 2:
         raise ValueError("min_words must be 2 or more")
-    runs = _tagged(docs).mapInArrow(_runs(min_words), RUNS)
-    found = runs.repartition("half").sortWithinPartitions("half", "doc_id").mapInArrow(_extend, RANGES)
-    spans = F.collect_list(F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("start"), F.col("n")))
-    grouped = found.groupBy("doc_id", F.shiftright("at", 32).alias("tag")).agg(spans.alias("spans"))
-    return grouped.select("doc_id", "tag", F.col("spans.start").alias("starts"), F.col("spans.n").alias("sizes"))
+    runs = tagged.select("doc_id", "tag", "text").mapInArrow(_runs(min_words), RUNS)
+    half = runs.repartition("half").sortWithinPartitions("half", "doc_id").mapInArrow(_repeated, RANGES)
+    windows = tagged.join(_spans(half), ["doc_id", "tag"], "left").mapInArrow(_windows(min_words), WINDOWS)
+    return _spans(windows.repartition("a").sortWithinPartitions("a", "b", "doc_id").mapInArrow(_later, RANGES))
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -237,7 +299,8 @@ def _without(text: str, gone: np.ndarray) -> str:
 
 def _judge(docs: DataFrame, min_words: int, schema: str, work) -> DataFrame:
     """work() over (doc_id, text) and the places of the words that go."""
-    joined = _tagged(docs).join(repeated_ranges(docs, min_words), ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "sizes")
+    tagged = _tagged(docs)
+    joined = tagged.join(repeated_ranges(tagged, min_words), ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "sizes")
 
     def batch(b):
         ids, texts, starts, sizes = (b.column(i).to_pylist() for i in range(4))
@@ -270,7 +333,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 13) -> DataFrame:
     joined by line feeds. Other columns stay as they are. See kept_digests for the edge cases."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
     key = row.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").bitwiseAND(0xFFFFFF).alias("tag"), "text")
-    joined = key.join(repeated_ranges(docs, min_words), ["doc_id", "tag"], "left")
+    joined = key.join(repeated_ranges(key, min_words), ["doc_id", "tag"], "left")
     names = ["text", "starts", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -303,3 +303,16 @@ def test_decontaminate(spark, sf, empty):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(d for d, _ in docs if d not in {x[0] for x in want})
     assert decontaminate.find(frame.limit(0), items).count() == 0
     assert decontaminate.find(frame, items.limit(0)).count() == 0
+
+
+def test_substring_dedup_with_a_hot_phrase(spark):
+    """Six words with different words around them in every document: level two's keys spread,
+    and no window goes that only looks like another's."""
+    phrase = " ".join(f"hot{i}" for i in range(6))
+    rows = [(d, " ".join(f"a{d}x{i}" for i in range(20)) + f" {phrase} " + " ".join(f"b{d}x{i}" for i in range(20))) for d in range(300)]
+    rows += [(1000, PASSAGE), (1001, "x " + PASSAGE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.kept_digests(docs).collect()}
+    assert removed == {**dict.fromkeys(range(300), 0), 1000: 0, 1001: 60}
+    runs = substring_dedup._tagged(docs).mapInArrow(substring_dedup._runs(13), substring_dedup.RUNS)
+    assert max(r["count"] for r in runs.groupBy("half").count().collect()) <= 4 * 2  # a batch's mark or row, not a document's
