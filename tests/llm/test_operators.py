@@ -316,3 +316,15 @@ def test_substring_dedup_with_a_hot_phrase(spark):
     assert removed == {**dict.fromkeys(range(300), 0), 1000: 0, 1001: 60}
     runs = substring_dedup._tagged(docs).mapInArrow(substring_dedup._runs(13), substring_dedup.RUNS)
     assert max(r["count"] for r in runs.groupBy("half").count().collect()) <= 4 * 2  # a batch's mark or row, not a document's
+
+
+def test_substring_dedup_tells_windows_apart_by_128_bits():
+    """Windows whose 40 lowest bits of one hash, or all of it, are equal are still different."""
+    import pyarrow as pa
+
+    rows = [(7, 1, 1, 0, 0), (7, 1, 2, 5, 0), (7, 2, 3, 0, 0), (7 + (1 << 40), 1, 4, 0, 0)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("a", "b", "doc_id", "at", "n"), r)) for r in rows], schema=common.arrow_schema(substring_dedup.WINDOWS))
+    one_by_one = [batch.slice(i, 1) for i in range(4)]
+    for batches in ([batch], one_by_one):
+        got = [tuple(r.values()) for b in substring_dedup._later(iter(batches)) for r in b.to_pylist()]
+        assert got == [(2, 5, 1)]
