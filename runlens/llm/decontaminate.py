@@ -8,6 +8,8 @@ differs in RADIUS // 8 bits at most, and the index lists each item under every
 block value that near. The similarity of weighted shingles, each weighing
 as often as it occurs, then decides exactly.
 
+A document of fewer words than an item is one window.
+
 Only windows that share a shingle with an item of their length are made, since
 others have similarity zero. At similarity 0.8 fingerprints differ in 10 bits
 on average, so that RADIUS leaves over three standard deviations.
@@ -85,14 +87,20 @@ class _Index:
             starts: dict[tuple[int, int], set] = defaultdict(set)
             for p, d in zip(hits[inside].tolist(), doc[inside].tolist(), strict=True):
                 for size in sizes[int(shingles[p])]:
+                    if lengths[d] < size:  # the whole document, if it is long enough to be similar
+                        if lengths[d] - k + 1 >= SIMILARITY * (size - k + 1):
+                            starts[d, size].add(int(ends[d] - lengths[d]))
+                        continue
                     starts[d, size].update(range(max(p - size + k, int(ends[d] - lengths[d])), min(p, int(ends[d]) - size) + 1))
             for (d, size), where in starts.items():
                 if where:
-                    self._verify(out[d], shingles, np.array(sorted(where)), size, size - k + 1, int(ends[d] - lengths[d]))
+                    self._verify(out[d], shingles, np.array(sorted(where)), size, k, min(size, int(lengths[d])), int(ends[d] - lengths[d]))
         return {d: [(i, s, n, sim) for i, (sim, s, n) in sorted(best.items(), key=str)] for d, best in out.items() if best}
 
-    def _verify(self, best: dict, shingles: np.ndarray, where: np.ndarray, size: int, n: int, begin: int) -> None:
+    def _verify(self, best: dict, shingles: np.ndarray, where: np.ndarray, size: int, k: int, length: int, begin: int) -> None:
+        """Windows of `length` words from `where` on against the items of `size` words."""
         fps, table = self.tables[size]
+        n = length - k + 1
         for at in range(0, len(where), 1024):
             part = where[at : at + 1024]
             windows = shingles[part[:, None] + np.arange(n)]
@@ -104,10 +112,10 @@ class _Index:
                         item_id, _, weights = self.by_size[size][i]
                         have = Counter(windows[row].tolist())
                         common_weight = sum(min(c, have[h]) for h, c in weights.items() if h in have)
-                        similarity = common_weight / (2 * n - common_weight)
+                        similarity = common_weight / (n + size - k + 1 - common_weight)
                         start = int(part[row]) - begin
                         if similarity >= SIMILARITY and (item_id not in best or (similarity, -start) > (best[item_id][0], -best[item_id][1])):
-                            best[item_id] = (similarity, start, size)
+                            best[item_id] = (similarity, start, length)
 
 
 def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
@@ -136,7 +144,7 @@ MATCHES = "doc_id bigint, item_id bigint, start bigint, n_words bigint, similari
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): for each document and each
     item that it contains, the most similar window of the item's length, the
-    first of equals.
+    first of equals. A document of fewer words is one window itself.
 
     Null or empty texts and items without words match nothing. An item of
     fewer words than a shingle is one shingle. Texts of any length are

@@ -328,3 +328,13 @@ def test_substring_dedup_tells_windows_apart_by_128_bits():
     for batches in ([batch], one_by_one):
         got = [tuple(r.values()) for b in substring_dedup._later(iter(batches)) for r in b.to_pylist()]
         assert got == [(2, 5, 1)]
+
+
+def test_decontaminate_finds_documents_shorter_than_the_item(spark):
+    words = [f"bench{i}" for i in range(30)]  # 26 shingles
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(1, " ".join(words[:-1])), (2, " ".join(words[2:-2])), (3, " ".join(words[:-6])), (4, " ".join(words[:8])), (5, " ".join(words)), (6, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: (r.start, r.n_words, round(r.similarity, 6)) for r in decontaminate.find(docs, items).collect()}
+    assert found == {1: (0, 29, round(25 / 26, 6)), 2: (0, 26, round(22 / 26, 6)), 5: (0, 30, 1.0)}
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {3, 4, 6}
