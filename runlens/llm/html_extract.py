@@ -29,7 +29,8 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 # HTML's elements by how they cut text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object".split())
+# Elements whose content isn't page text. The first four run to their end tag or the page's end, a drawing to the next block tag at most.
+RAW = frozenset("script style textarea title svg".split())
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 SCOPES = frozenset("table ul ol dl select article section div body td th main aside nav header footer form blockquote".split())
 NOT_IN_P = BLOCKS - frozenset("button label option select legend caption tbody thead tfoot tr td th head html body".split())
@@ -42,9 +43,13 @@ class Block:
         self.path, self.label, self.text, self.chars, self.linked = path, label, [], 0, 0
 
 
-def blocks(page: str) -> list[tuple[str, tuple, int, int, int | None]]:
+_SVG_END = re.compile(rf"</svg(?=[\s/>])[^>]*>|(?=</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>]))", re.I)
+
+
+def blocks(page: str, labelled: bool = False) -> list[tuple[str, tuple, int, int, int | None]]:
     """(text, path, link per cent, own tag depth, label) of the page's leaf blocks, white
-    space made single. path: (tag, names) of the block elements around, outermost first."""
+    space made single. path: (tag, names) of the block elements around, outermost first.
+    label: data-y of the nearest element around if labelled, else None."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], str | None]] = []
     now: Block | None = None
@@ -89,7 +94,7 @@ def blocks(page: str) -> list[tuple[str, tuple, int, int, int | None]]:
             continue
         if tag in RAW:
             if not attrs.endswith("/"):
-                last = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                last = (_SVG_END if tag == "svg" else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)).search(page, at)
                 at = last.end() if last else end
             continue
         if tag == "a":
@@ -110,7 +115,7 @@ def blocks(page: str) -> list[tuple[str, tuple, int, int, int | None]]:
                 names, label = (), None
                 if attrs and not attrs.isspace():
                     got = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-                    label = got.get("data-y")
+                    label = got.get("data-y") if labelled else None
                     names = tuple(dict.fromkeys(x.lower() for k in ("class", "id", "role") for x in _NAME.findall(got.get(k, ""))))
                     if "hidden" in got or re.search(r"display\s*:\s*none", got.get("style", "")):
                         names += ("hidden",)
@@ -236,7 +241,7 @@ def train(pages: list[list[tuple[list[str], int]]]) -> Field:
 
 def sequence(page: str) -> list[tuple[list[str], int]]:
     """A labelled page's blocks; text outside all labels is other."""
-    found = blocks(page)
+    found = blocks(page, labelled=True)
     return [(f, b[4] or 0) for f, b in zip(features(found), found, strict=True)]
 
 

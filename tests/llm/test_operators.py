@@ -338,3 +338,23 @@ def test_decontaminate_finds_documents_shorter_than_the_item(spark):
     found = {r.doc_id: (r.start, r.n_words, round(r.similarity, 6)) for r in decontaminate.find(docs, items).collect()}
     assert found == {1: (0, 29, round(25 / 26, 6)), 2: (0, 26, round(22 / 26, 6)), 5: (0, 30, 1.0)}
     assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {3, 4, 6}
+
+
+@pytest.mark.parametrize("value", ["12.5", "top", ""])
+def test_html_labels_are_read_in_training_only(value):
+    page = f'<article><div data-y="{value}"><p>some words of a page</p></div></article>'
+    assert [(b[0], b[4]) for b in html_extract.blocks(page)] == [("some words of a page", None)]
+    html_extract.main_text(page, html_extract.Field({}, [[0, 0], [0, 0]], 1.0, 0.0))
+    assert [y for _, y in html_extract.sequence('<div data-y="1"><p>a</p></div><p>b</p>')] == [1, 0]
+
+
+@pytest.mark.parametrize("tag", ["math", "object", "noscript", "iframe", "template", "xmp"])
+@pytest.mark.parametrize("close", [True, False])
+def test_html_keeps_the_text_of_elements_that_show_text(tag, close):
+    page = f"<div><p>before <{tag}>inner{f'</{tag}>' if close else ''}</p></div><p>after</p>"
+    assert [b[0] for b in html_extract.blocks(page)] == ["before inner", "after"]
+
+
+def test_html_drawings_and_scripts_hold_no_text():
+    assert [b[0] for b in html_extract.blocks("<p>a<svg><text>x</text></svg> b</p><script>if (1 < 2) '<p>no</p>'</script><p>c</p>")] == ["a b", "c"]
+    assert [b[0] for b in html_extract.blocks("<p>a<svg><text>x</p><p>c<svg><g>y</g></svg></p>")] == ["a", "c"]
