@@ -250,5 +250,19 @@ def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
     that repeat that doc_id all stay; rows with a null doc_id stay too, as nothing tells
     them apart. Other edge cases as in near_duplicates()."""
     each = common.stored(fingerprints(docs, shingle), "fingerprints")
-    ids = each.join(_component_ids(each), "fp").where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(common.stored(ids, "dropped"), "doc_id", "left_anti").select(docs.columns)
+    ids = each.join(_component_ids(each), "fp").where("doc_id != component_id").select("doc_id", "fp").distinct()
+    dropped = common.stored(ids, "dropped")
+    # Texts of one doc_id are told apart by fingerprint, which only they need again.
+    twice = common.stored(each.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1").select("doc_id"), "several")
+    out = docs.join(dropped.join(twice, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return out if twice.isEmpty() else _without(out, twice, dropped, shingle)
+
+
+def _without(docs: DataFrame, several: DataFrame, dropped: DataFrame, shingle: int) -> DataFrame:
+    """docs without the rows whose doc_id is in several and whose (doc_id, fingerprint) is in dropped."""
+    many = docs.join(several, "doc_id", "left_semi").select(docs.columns)
+    texts = many.select("doc_id", "text").distinct()
+    by_text = texts.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("tag"))
+    fp = common.per_batch(by_text.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "tag"), "doc_id bigint, tag bigint, fp bigint", lambda b: {"doc_id": b.column(0), "tag": b.column(2), "fp": vote([fingerprint(t.encode().lower().split(), shingle) for t in common.texts_of(b)]).view(np.int64)})
+    gone = common.stored(fp.join(dropped, ["doc_id", "fp"]).select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag")).distinct(), "gone")
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_tag"]), "left_anti").select(docs.columns)

@@ -358,3 +358,10 @@ def test_html_keeps_the_text_of_elements_that_show_text(tag, close):
 def test_html_drawings_and_scripts_hold_no_text():
     assert [b[0] for b in html_extract.blocks("<p>a<svg><text>x</text></svg> b</p><script>if (1 < 2) '<p>no</p>'</script><p>c</p>")] == ["a b", "c"]
     assert [b[0] for b in html_extract.blocks("<p>a<svg><text>x</p><p>c<svg><g>y</g></svg></p>")] == ["a", "c"]
+
+
+def test_representatives_with_a_repeated_id(spark):
+    first, second = (" ".join(f"{w}{i}" for i in range(60)) for w in ("aa", "bb"))
+    rows = [(1, second), (5, first), (5, second), (9, first)]
+    got = simhash_dedup.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, second), (5, first)]
