@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in
-    tests, where it is unset, a new local one that is set for this session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is
+    unset, a new local one is set for a local session; a cluster's is refused."""
     got = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not got and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     got = got or f"file://{tempfile.mkdtemp(prefix='runlens-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(got)
@@ -59,7 +61,7 @@ def per_batch(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
-_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -67,6 +69,17 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in ddl.split(","))])
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of rows with keyed, which has one row a key and in `count` how many rows
+    the key has. Keys with over a thousandth of them, so a thousand at most, are broadcast; the
+    others, none of which has more than that, meet in a shuffle. keyed is read several times."""
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > total // 1000
+    some = F.broadcast(keyed.where(hot))
+    rest = rows.join(some.select(*keys), keys, "left_anti")
+    return rows.join(some, keys).unionByName(rest.join(keyed.where(~hot), keys))
+
+
 def tokenizer_path(name: str) -> str:
     """A public tokenizer's file; the operators take the path as a parameter."""
     import public_tokenizers

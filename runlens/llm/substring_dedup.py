@@ -1,21 +1,25 @@
 """Removal of word sequences that another document has had before.
 
-Level-wise doubling. A window is `min_words` consecutive words. Level one
-looks at windows of half that length, and only at one in each full
-window, the one with the smallest hash: equal full windows choose equal half
-windows. Half windows are shuffled and counted; one that occurs in one document alone is done
-with. Those that are repeated are extended to the full length: only their full windows are
-hashed and shuffled, and every one that a smaller doc_id has is found. Level two is the
-last, since `min_words` words decide what goes.
+Level-wise doubling. A window is `min_words` consecutive words. The levels are that
+length and its halves down to LEAST words or more: 6 and 13; 6, 12, 25 and 50. A level below the last
+looks at one window of its length in each full
+window, the one with the smallest hash: equal full windows choose equal ones. These are
+shuffled and counted; full windows whose choice occurs in one document alone are done
+with, and the others alone are extended to the next, doubled length. At the last level their
+full windows are hashed and shuffled, and every one that a smaller doc_id has is found.
+When no candidates survive, the levels after have no rows.
+
+Before level one, whole texts that a smaller doc_id has are told by 128 bits of hash: all
+their windows repeat, so they send none.
 
 Each task first settles what its own batch of documents repeats; of equal
-windows it sends on only those of the batch's smallest doc_id. A half window that
-several of the batch's documents have is sent to level one as one mark, and its runs
-pass on uncounted under spread keys. So the rows of a half window that a third of all
+windows it sends on only those of the batch's smallest doc_id. A chosen window that
+several of the batch's documents have is sent as one mark, and its runs
+pass on uncounted under spread keys. So the rows of a phrase that a third of all
 documents share are as many as there are batches, and so are those of a full window. Full windows
-are dealt by their own hashes, so those around one half window spread over all tasks. Both
+are dealt by their own hashes, so those around one phrase spread over all tasks. All
 levels read their sorted rows as a stream and keep no table of them.
-Two full windows are equal if both of their 64-bit hashes are.
+Two full windows are equal if 96 bits of two hashes are.
 """
 
 from __future__ import annotations
@@ -41,12 +45,15 @@ BATCH = 6 << 20
 #: Makes other word hashes for a window's second hash.
 OTHER = np.uint64(0xA0761D6478BD642F)
 
-#: What a row of RUNS is: a half window that one document of its batch has; windows of which a smaller
-#: doc_id of the batch has an equal one; windows whose half windows are repeated in the batch; a mark of such a half window.
+#: The fewest words that a level looks at.
+LEAST = 6
+
+#: What a row of RUNS is: a chosen window that one document of its batch has; windows of which a smaller
+#: doc_id of the batch has an equal one; windows whose choices are repeated in the batch; a mark of such a choice.
 ALONE, SETTLED, SHARED, MARK = range(4)
-RUNS = "half bigint, doc_id bigint, at bigint, n int"  # n: 4 * windows + kind
-WINDOWS = "a bigint, b bigint, doc_id bigint, at bigint, n int"  # n: the windows of a settled run, else 0
-RANGES = "doc_id bigint, at bigint, n int"
+RUNS = "key bigint, doc_id bigint, tag bigint, at int, n int"  # n: 4 * windows + kind
+WINDOWS = "a bigint, b int, doc_id bigint, tag bigint, at int, n int"  # n: the windows of a settled run, else 0
+RANGES = "doc_id bigint, tag bigint, at int, n int"  # n: 2 * windows + whether they are settled
 
 
 class _WordHash(dict):
@@ -95,81 +102,138 @@ def _cuts(*cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batch_runs(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
-    """Rows of RUNS for a batch of (doc_id, tag, text)."""
-    ids, tags, texts = (batch.column(i).to_pylist() for i in range(3))
-    order = sorted((i for i in range(len(ids)) if ids[i] is not None), key=ids.__getitem__)
-    parts, who = [], []
-    for i in order:
-        words = (texts[i] or "").encode().split()
-        if len(words) >= length:
-            parts.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
-            who.append(i)
-    if not parts:
-        return None
-    sizes = np.array([len(p) for p in parts])
-    words = np.concatenate(parts)
-    begin = np.cumsum(sizes) - sizes
-    per = sizes - length + 1
-    doc = np.repeat(np.arange(len(parts)), per)
-    start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    where = begin[doc] + start
-    half = length // 2
-    full = window_hashes(words, length)[where]
-    least = _rolling_min(window_hashes(words, half), length - half + 1)[where]
-    doc_id = np.array([ids[i] for i in who], np.int64)
-    at = (np.array([tags[i] for i in who], np.int64) << 32)[doc] + start
-    by = doc_id[doc]
-    # Settled here: an equal window of a smaller doc_id is in this batch.
-    rank = np.argsort(full, kind="stable")
-    ordered = full[rank]
-    head = np.maximum.accumulate(np.where(_cuts(ordered), np.arange(len(rank)), 0))
-    settled = np.empty(len(rank), bool)
-    settled[rank] = by[rank[head]] < by[rank]
-    # Repeated at the half length here: `by` goes up, so a half window's first and last rows tell.
-    rank = np.argsort(least, kind="stable")
-    edge = np.flatnonzero(_cuts(least[rank]))
-    last = np.append(edge[1:], len(rank)) - 1
-    many = by[rank[edge]] != by[rank[last]]
-    shared = np.empty(len(rank), bool)
-    shared[rank] = np.repeat(many, last - edge + 1)
-    marks = rank[edge[many]]
-    kind = np.where(settled, SETTLED, np.where(shared, SHARED, ALONE))
-    first = np.flatnonzero(_cuts(doc, np.where(kind == ALONE, least, 0), kind))
-    size = np.diff(np.append(first, len(kind)))
-    key = np.where(kind[first] == ALONE, least[first], _mix(doc.astype(np.uint64)[first] + full[first]))
-    rows = (key, least[marks]), (by[first], by[marks]), (at[first], at[marks]), (4 * size + kind[first], np.full(len(marks), MARK))
-    key, doc_id, at, n = map(np.concatenate, rows)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc_id), pa.array(at), pa.array(n.astype(np.int32))], schema=common.arrow_schema(RUNS))
-
-
-def _runs(length: int):
+def _emit(schema: str, *cols: np.ndarray) -> pa.RecordBatch:
+    target = common.arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, target, strict=True)], schema=target)
+
+
+def _joined(parts: list[tuple]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def levels(length: int) -> list[int]:
+    """`length` and its halves of LEAST words or more, the shortest first; at least one below `length`."""
+    out = [length, length // 2]
+    while out[-1] // 2 >= LEAST:
+        out.append(out[-1] // 2)
+    return out[::-1]
+
+
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, run after run."""
+    return np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+class _Texts:
+    """The words' hashes of some documents, and their candidate windows in the order of doc_id."""
+
+    def __init__(self, rows: dict[str, list], length: int):
+        ids, spans = rows["doc_id"], rows.get("starts")
+        order = sorted((i for i in range(len(ids)) if ids[i] is not None and (spans[i] if spans else not rows["copy"][i])), key=ids.__getitem__)
+        parts, who = [], []
+        for i in order:
+            words = (rows["text"][i] or "").encode().split()
+            if len(words) >= length:
+                parts.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
+                who.append(i)
+        self.empty = not parts
+        if self.empty:
+            return
+        sizes = np.array([len(p) for p in parts])
+        self.words, begin = np.concatenate(parts), np.cumsum(sizes) - sizes
+        self.ids, self.tags = (np.array([rows[c][i] for i in who], np.int64) for c in ("doc_id", "tag"))
+        if spans:  # what the level before left
+            runs = np.array([len(spans[i]) for i in who])
+            at, n = (np.concatenate([rows[c][i] for i in who]).astype(np.int64) for c in ("starts", "sizes"))
+            doc, done = np.repeat(np.arange(len(who)), runs), (n & 1).astype(bool)
+            self.passed = doc[done], at[done], n[done] >> 1
+            self.doc, self.start = np.repeat(doc[~done], n[~done] >> 1), _places(at[~done], n[~done] >> 1)
+        else:
+            per = sizes - length + 1
+            self.passed = tuple(np.empty(0, np.int64) for _ in range(3))
+            self.doc, self.start = np.repeat(np.arange(len(who)), per), _places(np.zeros(len(who), np.int64), per)
+        self.where = begin[self.doc] + self.start
+
+    def key(self, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A key that spreads rows that need not meet others."""
+        return _mix(self.ids[doc].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64)
+
+
+def _level_runs(texts: _Texts, length: int, level: int, first: bool) -> pa.RecordBatch:
+    """Rows of RUNS for the candidate windows of a batch."""
+    doc, at, n = texts.passed
+    out = [(texts.key(doc, at), texts.ids[doc], texts.tags[doc], at, 4 * n + SETTLED)]
+    doc, start = texts.doc, texts.start
+    if len(doc):
+        by = texts.ids[doc]
+        least = _rolling_min(window_hashes(texts.words, level), length - level + 1)[texts.where]
+        settled = np.zeros(len(doc), bool)
+        if first:  # an equal window of a smaller doc_id is in this batch
+            full = window_hashes(texts.words, length)[texts.where]
+            rank = np.argsort(full, kind="stable")
+            head = np.maximum.accumulate(np.where(_cuts(full[rank]), np.arange(len(rank)), 0))
+            settled[rank] = by[rank[head]] < by[rank]
+        # Repeated at this level here: `by` goes up, so a choice's first and last rows tell.
+        rank = np.argsort(least, kind="stable")
+        edge = np.flatnonzero(_cuts(least[rank]))
+        last = np.append(edge[1:], len(rank)) - 1
+        many = by[rank[edge]] != by[rank[last]]
+        shared = np.empty(len(rank), bool)
+        shared[rank] = np.repeat(many, last - edge + 1)
+        marks = rank[edge[many]]
+        kind = np.where(settled, SETTLED, np.where(shared, SHARED, ALONE))
+        follows = np.zeros(len(doc), bool)
+        follows[1:] = start[1:] == start[:-1] + 1
+        head = np.flatnonzero(_cuts(doc, np.where(kind == ALONE, least, 0), kind) | ~follows)
+        size = np.diff(np.append(head, len(kind)))
+        key = np.where(kind[head] == ALONE, least[head].view(np.int64), texts.key(doc[head], start[head]))
+        out.append((key, by[head], texts.tags[doc[head]], start[head], 4 * size + kind[head]))
+        out.append((least[marks].view(np.int64), by[marks], texts.tags[doc[marks]], start[marks], np.full(len(marks), MARK)))
+    return _emit(RUNS, *_joined(out))
+
+
+def _full_windows(texts: _Texts, length: int) -> pa.RecordBatch:
+    """Rows of WINDOWS for the candidate windows of a batch."""
+    doc, at, n = texts.passed
+    out = [(texts.key(doc, at), np.zeros(len(doc), np.int32), texts.ids[doc], texts.tags[doc], at, n)]
+    doc = texts.doc
+    if len(doc):
+        a, b = (window_hashes(w, length)[texts.where] for w in (texts.words, _mix(texts.words ^ OTHER)))
+        out.append((a.view(np.int64), (b >> np.uint64(32)).astype(np.uint32).view(np.int32), texts.ids[doc], texts.tags[doc], texts.start, np.zeros(len(doc), np.int64)))
+    return _emit(WINDOWS, *_joined(out))
+
+
+def _by_batch(work, length: int):
+    """work() on the _Texts of batches of about BATCH bytes, in a mapInArrow."""
+    names = ("doc_id", "tag", "text", "copy", "starts", "sizes")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy()
-            part = (np.cumsum(sizes) - sizes) // BATCH
-            for at in np.flatnonzero(_cuts(part)) if len(part) else ():
-                if (out := _batch_runs(batch.slice(at, np.count_nonzero(part == part[at])), length)) is not None:
-                    yield out
+            part = pa.table({n: batch.column(n) for n in names if n in batch.schema.names})
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            lot = (np.cumsum(sizes) - sizes) // BATCH
+            for at in np.flatnonzero(_cuts(lot)) if len(lot) else ():
+                texts = _Texts(part.slice(at, np.count_nonzero(lot == lot[at])).to_pydict(), length)
+                if not texts.empty:
+                    yield work(texts)
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From RUNS in the order of (half, doc_id): RANGES of the windows whose half windows several documents
-    have, n as 2 * windows + whether they are settled. What is held of a half window
-    that a batch's end cuts is one document's rows."""
+    """From RUNS in the order of (key, doc_id): RANGES of the windows whose choices several documents
+    have. What is held of a choice that a batch's end cuts is one document's rows."""
     held, open_key, open_alive = None, None, False
     for batch in batches:
-        rows = [batch.column(i).to_numpy() for i in range(4)]
-        kind = rows[3] & 3
+        rows = [batch.column(i).to_numpy() for i in range(5)]
+        kind = rows[4] & 3
         known = (kind == SETTLED) | (kind == SHARED)
         out = [tuple(x[known] for x in (*rows[1:], kind))]
         rows = [x[~known] for x in rows]
         if held:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         if len(rows[0]):
-            key, doc, at, n = rows
+            key, doc, tag, at, n = rows
             kind = n & 3
             first = np.flatnonzero(_cuts(key))
             last = np.append(first[1:], len(key)) - 1
@@ -178,111 +242,75 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             open_key, open_alive = key[-1], alive[-1]
             held = None if open_alive else [x[first[-1] :] for x in rows]
             go = np.repeat(alive, last - first + 1) & (kind == ALONE)
-            out.append((doc[go], at[go], n[go], kind[go]))
-        doc, at, n, kind = (np.concatenate(x) for x in zip(*out, strict=True))
+            out.append((doc[go], tag[go], at[go], n[go], kind[go]))
+        doc, tag, at, n, kind = _joined(out)
         if len(doc):
-            n = 2 * (n >> 2) + (kind == SETTLED)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n.astype(np.int32))], schema=common.arrow_schema(RANGES))
-
-
-def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... of each run, run after run."""
-    return np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-
-
-def _windows(length: int):
-    """WINDOWS of (doc_id, tag, text, starts, sizes), with sizes as _repeated() gives them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                names = ("doc_id", "tag", "text", "starts", "sizes")
-                for out in _windows_of(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), length):
-                    yield out
-
-    return run
-
-
-def _windows_of(ids: list, tags: list, texts: list, starts: list, sizes: list, length: int) -> Iterator[pa.RecordBatch]:
-    who = [i for i in range(len(ids)) if starts[i]]
-    if not who:
-        return
-    parts = []
-    for i in who:
-        words = texts[i].encode().split()
-        parts.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
-    lengths = np.array([len(p) for p in parts])
-    words = np.concatenate(parts)
-    runs = np.array([len(starts[i]) for i in who])
-    doc = np.repeat(np.arange(len(who)), runs)
-    start, n = (np.concatenate([x[i] for i in who]).astype(np.int64) for x in (starts, sizes))
-    settled, n = (n & 1).astype(bool), n >> 1
-    doc_id = np.array([ids[i] for i in who], np.int64)
-    tag = np.array([tags[i] for i in who], np.int64) << 32
-    done = doc[settled]
-    spread = _mix(doc_id[done].view(np.uint64) + start[settled].astype(np.uint64))
-    out = [(spread.view(np.int64), np.zeros(len(done), np.int64), doc_id[done], tag[done] + start[settled], n[settled])]
-    place, of = _places(start[~settled], n[~settled]), np.repeat(doc[~settled], n[~settled])
-    if len(place):
-        where = (np.cumsum(lengths) - lengths)[of] + place
-        a, b = (window_hashes(w, length)[where].view(np.int64) for w in (words, _mix(words ^ OTHER)))
-        out.append((a, b, doc_id[of], tag[of] + place, np.zeros(len(place), np.int64)))
-    a, b, doc, at, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    yield pa.RecordBatch.from_arrays([*map(pa.array, (a, b, doc, at)), pa.array(n.astype(np.int32))], schema=common.arrow_schema(WINDOWS))
+            yield _emit(RANGES, doc, tag, at, 2 * (n >> 2) + (kind == SETTLED))
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From WINDOWS in the order of (a, b, doc_id): RANGES of windows whose sequence a smaller doc_id has."""
     open_key, open_doc = None, None
     for batch in batches:
-        a, b, doc, at, n = (batch.column(i).to_numpy() for i in range(5))
+        a, b, doc, tag, at, n = (batch.column(i).to_numpy() for i in range(6))
         settled = n > 0
-        out = [(doc[settled], at[settled], n[settled])]
+        out = [(doc[settled], tag[settled], at[settled], n[settled])]
         if not settled.all():
-            a, b, doc, at = (x[~settled] for x in (a, b, doc, at))
+            a, b, doc, tag, at = (x[~settled] for x in (a, b, doc, tag, at))
             first = np.flatnonzero(_cuts(a, b))
             origin = doc[first]
             if (a[0], b[0]) == open_key:
                 origin[0] = open_doc
             open_key, open_doc = (a[-1], b[-1]), origin[-1]
             hit = np.repeat(origin, np.diff(np.append(first, len(a)))) < doc
-            out.append((doc[hit], at[hit], np.ones(np.count_nonzero(hit), np.int32)))
-        doc, at, n = (np.concatenate(x) for x in zip(*out, strict=True))
+            out.append((doc[hit], tag[hit], at[hit], np.ones(np.count_nonzero(hit), np.int32)))
+        doc, tag, at, n = _joined(out)
         if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at), pa.array(n.astype(np.int32))], schema=common.arrow_schema(RANGES))
+            yield _emit(RANGES, doc, tag, at, 2 * n + 1)
 
 
 def _spans(ranges: DataFrame) -> DataFrame:
     """(doc_id, tag, starts, sizes) of RANGES, each range once."""
-    spans = F.collect_set(F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("start"), F.col("n")))
-    grouped = ranges.groupBy("doc_id", F.shiftright("at", 32).alias("tag")).agg(spans.alias("spans"))
-    return grouped.select("doc_id", "tag", F.col("spans.start").alias("starts"), F.col("spans.n").alias("sizes"))
+    grouped = ranges.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    return grouped.select("doc_id", "tag", F.col("spans.at").alias("starts"), F.col("spans.n").alias("sizes"))
+
+
+def _copies(tagged: DataFrame) -> DataFrame:
+    """(doc_id, tag, copy) of every text that a smaller doc_id has whole."""
+    each = tagged.where("doc_id IS NOT NULL").select("doc_id", "tag", F.xxhash64("text", F.lit("second")).alias("other"))
+    least = each.groupBy("tag", "other").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    found = common.spread_join(each, common.stored(least, "copies"), ["tag", "other"], "n")
+    return common.stored(found.where("doc_id > least").select("doc_id", "tag", F.lit(True).alias("copy")).distinct(), "later")
 
 
 def repeated_ranges(tagged: DataFrame, min_words: int = 13) -> DataFrame:
-    """(doc_id, tag, starts, sizes): from each of a document's words `starts`
-    on, `sizes` windows begin whose sequence starts in a smaller doc_id too.
-    tagged: (doc_id, tag, text, ...). All its columns go into the join with the texts, which is the join that
-    the caller makes with the result, so that both can read one exchange."""
+    """tagged(doc_id, tag, text, ...) with copy, starts and sizes: from each of a document's words `starts`
+    on, `sizes` // 2 windows begin whose sequence starts in a smaller doc_id too; copy: all do.
+    Each level joins all columns of tagged with what the level before left, so that all of them and
+    the result can read one exchange of the texts."""
     if min_words < 2:
         raise ValueError("min_words must be 2 or more")
-    runs = tagged.select("doc_id", "tag", "text").mapInArrow(_runs(min_words), RUNS)
-    half = runs.repartition("half").sortWithinPartitions("half", "doc_id").mapInArrow(_repeated, RANGES)
-    windows = tagged.join(_spans(half), ["doc_id", "tag"], "left").mapInArrow(_windows(min_words), WINDOWS)
-    return _spans(windows.repartition("a").sortWithinPartitions("a", "b", "doc_id").mapInArrow(_later, RANGES))
-
-
-def _tagged(docs: DataFrame) -> DataFrame:
-    """tag tells different texts of one doc_id from each other."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").bitwiseAND(0xFFFFFF).alias("tag"), "text")
-
-
-def _covered(n_words: int, starts: list[int], sizes: list[int], length: int) -> np.ndarray:
+    key = ["doc_id", "tag"]
+    texts = tagged.join(_copies(tagged), key, "left")
+    left = texts
+    for i, level in enumerate(levels(min_words)[:-1]):
+        runs = left.mapInArrow(_by_batch(lambda t, level=level, i=i: _level_runs(t, min_words, level, not i), min_words), RUNS)
+        counted = runs.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_repeated, RANGES)
+        left = texts.join(_spans(counted), key, "left")
+    windows = left.mapInArrow(_by_batch(lambda t: _full_windows(t, min_words), min_words), WINDOWS)
+    return texts.join(_spans(windows.repartition("a").sortWithinPartitions("a", "b", "doc_id").mapInArrow(_later, RANGES)), key, "left")
+
+
+def _gone(n_words: int, copy: bool | None, starts: list[int] | None, sizes: list[int] | None, length: int) -> np.ndarray | None:
+    """Which words go; None: none does."""
+    if copy and n_words >= length:
+        return np.ones(n_words, bool)
+    if not starts:
+        return None
     edges = np.zeros(n_words + 1, np.int32)
     begin = np.array(starts)
     np.add.at(edges, begin, 1)
-    np.add.at(edges, begin + np.array(sizes) + length - 1, -1)
+    np.add.at(edges, begin + np.array(sizes) // 2 + length - 1, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -297,18 +325,9 @@ def _without(text: str, gone: np.ndarray) -> str:
     return b"\n".join(raw[spans[a][0] : spans[b - 1][1]] for a, b in cut.reshape(-1, 2).tolist()).decode()
 
 
-def _judge(docs: DataFrame, min_words: int, schema: str, work) -> DataFrame:
-    """work() over (doc_id, text) and the places of the words that go."""
-    tagged = _tagged(docs)
-    joined = tagged.join(repeated_ranges(tagged, min_words), ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "sizes")
-
-    def batch(b):
-        ids, texts, starts, sizes = (b.column(i).to_pylist() for i in range(4))
-        words = [(t or "").encode().split() for t in texts]
-        gone = [_covered(len(w), s, z, min_words) if s else np.zeros(len(w), bool) for w, s, z in zip(words, starts, sizes, strict=True)]
-        return {"doc_id": ids} | work(texts, words, gone)
-
-    return common.per_batch(joined, schema, batch)
+def _tag():
+    """Tells different texts of one doc_id from each other."""
+    return F.xxhash64("text").alias("tag")
 
 
 def kept_digests(docs: DataFrame, min_words: int = 13) -> DataFrame:
@@ -319,35 +338,40 @@ def kept_digests(docs: DataFrame, min_words: int = 13) -> DataFrame:
     anything, and rows with equal doc_ids don't remove each other's words. An empty table gives an
     empty result; other columns are not read.
     """
+    found = repeated_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tag(), "text"), min_words)
 
-    def work(texts, words, gone):
-        kept = [[x for x, g in zip(w, m.tolist(), strict=True) if not g] if m.any() else w for w, m in zip(words, gone, strict=True)]
-        return {"n_words": [len(w) for w in words], "n_removed": [int(m.sum()) for m in gone], "kept_sha256": [hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]}
+    def work(b):
+        ids, texts, *rest = (b.column(i).to_pylist() for i in range(5))
+        n, removed, digests = [], [], []
+        for text, copy, starts, sizes in zip(texts, *rest, strict=True):
+            words = (text or "").encode().split()
+            gone = _gone(len(words), copy, starts, sizes, min_words)
+            n.append(len(words))
+            removed.append(0 if gone is None else int(gone.sum()))
+            kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+            digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+        return {"doc_id": ids, "n_words": n, "n_removed": removed, "kept_sha256": digests}
 
-    return _judge(docs, min_words, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", work)
+    return common.per_batch(found.select("doc_id", "text", "copy", "starts", "sizes"), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", work)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 13) -> DataFrame:
     """docs with every text without its repeated words. Texts
     that lose nothing are unchanged, null included; kept stretches are
     joined by line feeds. Other columns stay as they are. See kept_digests for the edge cases."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
-    key = row.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").bitwiseAND(0xFFFFFF).alias("tag"), "text")
-    joined = key.join(repeated_ranges(key, min_words), ["doc_id", "tag"], "left")
-    names = ["text", "starts", "sizes"]
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _tag(), "text")
+    names = ["text", "copy", "starts", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 out = []
-                for text, starts, sizes in zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
-                    if starts:
-                        words = text.encode().split()
-                        text = _without(text, _covered(len(words), starts, sizes, min_words))
-                    out.append(text)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("row")), pa.array(out, pa.string())], names=["row", "text"])
+                for text, *found in zip(*(part.column(n).to_pylist() for n in names), strict=True):
+                    gone = _gone(len((text or "").encode().split()), *found, min_words)
+                    out.append(text if gone is None else _without(text, gone))
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, pa.string())], names=["row", "text"])
 
     schema = T.StructType([row.schema["row"], T.StructField("text", T.StringType())])
-    kept = joined.select("row", *names).mapInArrow(run, schema)
+    kept = repeated_ranges(row, min_words).select("row", *names).mapInArrow(run, schema)
     return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from contextlib import contextmanager
 from itertools import combinations
 
 import duckdb
@@ -50,29 +51,40 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@contextmanager
+def small_batches(spark, rows=37):
+    """Arrow batches that cut groups of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def result(df):
     return Counter(tuple(r) for r in df.collect())
 
 
-def test_substring_dedup(docs, rows, empty):
+@pytest.mark.parametrize("length", [13, 50])
+def test_substring_dedup(spark, docs, rows, empty, monkeypatch, length):
+    monkeypatch.setattr(substring_dedup, "BATCH", 100_000)  # several batches a task
     windows = defaultdict(lambda: float("inf"))
     texts = [(d, WORD.findall(t or "")) for d, t in rows]
     for d, w in texts:
-        for i in range(len(w) - 12):
+        for i in range(len(w) - length + 1):
             if d is not None:
-                windows[tuple(w[i : i + 13])] = min(windows[tuple(w[i : i + 13])], d)
+                windows[tuple(w[i : i + length])] = min(windows[tuple(w[i : i + length])], d)
     want = Counter()
     for d, w in texts:
         gone = [False] * len(w)
-        for i in range(len(w) - 12):
-            if d is not None and windows[tuple(w[i : i + 13])] < d:
-                gone[i : i + 13] = [True] * 13
+        for i in range(len(w) - length + 1):
+            if d is not None and windows[tuple(w[i : i + length])] < d:
+                gone[i : i + length] = [True] * length
         want[d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()] += 1
-    assert result(substring_dedup.kept_digests(docs)) == want
-    left = substring_dedup.remove_repeats(docs)
+    with small_batches(spark):
+        assert result(substring_dedup.kept_digests(docs, length)) == want
+    left = substring_dedup.remove_repeats(docs, length)
     assert left.columns == docs.columns
     assert Counter((d, len(WORD.findall(t or ""))) for d, t in left.select("doc_id", "text").collect()) == Counter((d, n - g) for d, n, g, _ in want.elements())
-    assert substring_dedup.kept_digests(empty).count() == 0
+    assert substring_dedup.kept_digests(empty, length).count() == 0
 
 
 def test_simhash(docs, rows, empty):
@@ -306,7 +318,7 @@ def test_decontaminate(spark, sf, empty):
 
 
 def test_substring_dedup_with_a_hot_phrase(spark):
-    """Six words with different words around them in every document: level two's keys spread,
+    """Six words with different words around them in every document: the last level's keys spread,
     and no window goes that only looks like another's."""
     phrase = " ".join(f"hot{i}" for i in range(6))
     rows = [(d, " ".join(f"a{d}x{i}" for i in range(20)) + f" {phrase} " + " ".join(f"b{d}x{i}" for i in range(20))) for d in range(300)]
@@ -314,20 +326,46 @@ def test_substring_dedup_with_a_hot_phrase(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     removed = {r.doc_id: r.n_removed for r in substring_dedup.kept_digests(docs).collect()}
     assert removed == {**dict.fromkeys(range(300), 0), 1000: 0, 1001: 60}
-    runs = substring_dedup._tagged(docs).mapInArrow(substring_dedup._runs(13), substring_dedup.RUNS)
-    assert max(r["count"] for r in runs.groupBy("half").count().collect()) <= 4 * 2  # a batch's mark or row, not a document's
+    runs = docs.select("doc_id", substring_dedup._tag(), "text", F.lit(None).cast("boolean").alias("copy")).mapInArrow(substring_dedup._by_batch(lambda t: substring_dedup._level_runs(t, 13, 6, True), 13), substring_dedup.RUNS)
+    assert max(r["count"] for r in runs.groupBy("key").count().collect()) <= 4 * 2  # a batch's mark or row, not a document's
 
 
-def test_substring_dedup_tells_windows_apart_by_128_bits():
+@pytest.mark.parametrize(("length", "shared", "want"), [(13, 6, [6, 13]), (50, 12, [6, 12, 25, 50])])
+def test_substring_levels_extend_survivors_alone(length, shared, want):
+    """Two documents share ten passages of `shared` words: most full windows are done with at the
+    first level, and each level takes only what the one before left."""
+    import pyarrow as pa
+
+    assert substring_dedup.levels(length) == want
+    texts = [" ".join(" ".join([f"{d}w{k}x{i}" for i in range(200)] + [f"s{k}x{i}" for i in range(shared)]) for k in range(10)) for d in "ab"]
+    spans, sizes = [None, None], []
+    for i, level in enumerate(want[:-1]):
+        batches = []
+        for d in (0, 1):
+            row = {"doc_id": [d], "tag": [d], "text": [texts[d]], "copy": [None]} | ({"starts": [spans[d][0]], "sizes": [spans[d][1]]} if i else {})
+            if not i or spans[d][0]:
+                batches.append(substring_dedup._level_runs(substring_dedup._Texts(row, length), length, level, not i))
+        runs = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
+        back = pa.RecordBatch.from_pylist([dict(zip(("key", "doc_id", "tag", "at", "n"), r)) for r in runs], schema=common.arrow_schema(substring_dedup.RUNS))
+        left = [r for b in substring_dedup._repeated(iter([back.slice(k, 1) for k in range(back.num_rows)])) for r in b.to_pylist()]
+        spans = [([r["at"] for r in left if r["doc_id"] == d], [r["n"] for r in left if r["doc_id"] == d]) for d in (0, 1)]
+        sizes.append(sum(r["n"] >> 1 for r in left))
+    windows = 2 * (10 * (200 + shared) - length + 1)
+    assert 0 < sizes[0] < windows / 10 and sizes == sorted(sizes, reverse=True)
+    if length == 50:
+        assert sizes[-1] == 0  # no window of 25 words is repeated: none survives to 50
+
+
+def test_substring_dedup_tells_windows_apart_by_96_bits():
     """Windows whose 40 lowest bits of one hash, or all of it, are equal are still different."""
     import pyarrow as pa
 
-    rows = [(7, 1, 1, 0, 0), (7, 1, 2, 5, 0), (7, 2, 3, 0, 0), (7 + (1 << 40), 1, 4, 0, 0)]
-    batch = pa.RecordBatch.from_pylist([dict(zip(("a", "b", "doc_id", "at", "n"), r)) for r in rows], schema=common.arrow_schema(substring_dedup.WINDOWS))
+    rows = [(7, 1, 1, 9, 0, 0), (7, 1, 2, 9, 5, 0), (7, 2, 3, 9, 0, 0), (7 + (1 << 40), 1, 4, 9, 0, 0)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("a", "b", "doc_id", "tag", "at", "n"), r)) for r in rows], schema=common.arrow_schema(substring_dedup.WINDOWS))
     one_by_one = [batch.slice(i, 1) for i in range(4)]
     for batches in ([batch], one_by_one):
         got = [tuple(r.values()) for b in substring_dedup._later(iter(batches)) for r in b.to_pylist()]
-        assert got == [(2, 5, 1)]
+        assert got == [(2, 9, 5, 3)]
 
 
 def test_decontaminate_finds_documents_shorter_than_the_item(spark):
