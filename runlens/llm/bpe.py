@@ -2,11 +2,14 @@
 
 Words are the runs between ASCII white space. The tokenizer drops white space
 and never joins signs across it, so a text's ids are its words' ids in
-order. Spark counts every distinct word of all texts; each word that makes up
-a millionth of them or more is encoded once for the whole job and joined back
-by position from a broadcast table (a million entries at most, whatever the
-input). A rarer word is encoded once in each task's own table of distinct words.
-Decoding joins ids with the id-to-piece table in each task.
+order. Texts become positions: a word's number in a table. The HOT most frequent words of a bounded
+sample have their numbers from a broadcast table; any other word gets one in its block of
+documents. Spark shuffles these words with their blocks and numbers, so that each distinct word is
+encoded once, and deals the ids back to their blocks, where they are joined with the texts by position.
+A hot word that the sample misses has a row a block, not one an occurrence. The sample
+decides how many rows are shuffled, never a result.
+
+Decoding joins the ids with the id-to-piece table, whose size is the vocabulary's.
 """
 
 from __future__ import annotations
@@ -21,16 +24,26 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: A word is joined from the broadcast table if it is this part of all words.
-SHARE = 1e-6
+#: Words in the broadcast table, and about how many documents are sampled to find them.
+HOT, SAMPLED = 65_536, 20_000
+#: Words, and words that aren't hot, that end a block.
+BLOCK_WORDS, BLOCK_NEW = 4_000_000, 250_000
 #: Words in a worker's own table before it starts anew, and in its counts before it hands them on.
 CACHED, COUNTED = 250_000, 250_000
 
+#: A word of a block, or (slot CHUNK and up) some of its documents as positions.
+PARTS = "key bigint, block bigint, slot int, body binary"
+ENCODED = "block bigint, slot int, body binary"
+CHUNK = 1 << 30
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(spec: bytes):
@@ -91,33 +104,32 @@ class WordIds(dict):
     """word (UTF-8) -> its ids as little-endian unsigned 32-bit integers. A
     plain word's ids are its runs' ids; others are encoded by the library whole."""
 
-    def __init__(self, spec: bytes, known: dict[bytes, bytes] | None = None):
-        super().__init__(known or {})
-        self.tokenizer, self.known = _tokenizer(spec), known or {}
+    def __init__(self, spec: bytes):
+        self.tokenizer = _tokenizer(spec)
         self.runs = _RunIds(self.tokenizer) if _runs_apply(spec) else None
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED + len(self.known):
-            self.clear()
-            self.update(self.known)
+    def encoded(self, word: bytes) -> bytes:
         text = word.decode()
         if self.runs is not None and _PLAIN(text):
-            ids = b"".join(map(self.runs.__getitem__, _RUNS(text.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+            return b"".join(map(self.runs.__getitem__, _RUNS(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = ids = self.encoded(word)
         return ids
 
 
 _tables: dict[bytes, WordIds] = {}
 
 
-def word_ids(spec: bytes, known: dict[bytes, bytes] | None = None) -> WordIds:
+def word_ids(spec: bytes) -> WordIds:
     """This worker's table."""
     got = _tables.get(spec)
-    if got is None or got.known is not (known or got.known):
+    if got is None:
         _tables.clear()
-        got = _tables[spec] = WordIds(spec, known)
+        got = _tables[spec] = WordIds(spec)
     return got
 
 
@@ -143,11 +155,11 @@ def distinct_words(docs: DataFrame) -> DataFrame:
     return common.pick(docs, text="text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(docs: DataFrame, spec: bytes, share: float = SHARE) -> DataFrame:
-    """(word, ids binary): each word that makes up `share` of all words or
-    more, so 1 / share words at most, encoded once."""
-    counts = common.stored(distinct_words(docs), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first().total
+def hot_words(docs: DataFrame, spec: bytes, hot: int = HOT, sampled: int = SAMPLED) -> list[tuple[bytes, bytes]]:
+    """(word, ids) of the most frequent words of about `sampled` documents, `hot` at most, each encoded once."""
+    rows = docs.count()
+    some = docs.sample(sampled / rows, seed=1) if rows > sampled else docs
+    most = distinct_words(some).orderBy(F.desc("n"), "word").limit(hot).select("word")
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def work(batch):
@@ -155,7 +167,113 @@ def word_table(docs: DataFrame, spec: bytes, share: float = SHARE) -> DataFrame:
         table = word_ids(shared.value)
         return {"word": batch.column(0), "ids": [table[w] for w in words]}
 
-    return common.per_batch(counts.where(F.col("n") >= max(1, total * share)).select("word"), "word binary, ids binary", work, rows=4096)
+    return [(bytes(r.word), bytes(r.ids)) for r in common.per_batch(most, "word binary, ids binary", work, rows=4096).collect()]
+
+
+class _Positions(dict):
+    """word -> its number: the hot words' places, then new words in the order in which they come."""
+
+    def __init__(self, hot: dict[bytes, int]):
+        super().__init__(hot)
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
+def _packed(doc_ids: list, slots: list[np.ndarray]) -> bytes:
+    ends = np.cumsum([0, *map(len, slots)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *slots])))
+    batch = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], names=["doc_id", "slots"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _parts(hot: dict[bytes, int], partition: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PARTS of (doc_id, text): blocks of documents and the words that they bring. A block's
+    number is a hash of all that is in it, so a task that runs again gives the same."""
+    table, chunks, words = _Positions(hot), [], 0
+
+    def block():
+        h = xxhash.xxh64(partition.to_bytes(8, "little"))
+        for x in chunks:
+            h.update(x)
+        number = np.uint64(h.intdigest())
+        bodies = [*table.new, *chunks]
+        slots = [*range(len(hot), len(hot) + len(table.new)), *range(CHUNK, CHUNK + len(chunks))]
+        keys = np.array([*map(xxhash.xxh64_intdigest, table.new), *(int(number) ^ (c + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for c in range(len(chunks)))], np.uint64)
+        cols = [pa.array(keys.view(np.int64)), pa.array(np.full(len(bodies), number).view(np.int64)), pa.array(slots, pa.int32()), pa.array(bodies, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, schema=common.arrow_schema(PARTS))
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            slots = []
+            for t in common.texts_of(part):
+                w = t.encode().split()
+                slots.append(np.fromiter(map(table.__getitem__, w), np.int32, len(w)))
+                words += len(w)
+            chunks.append(_packed(part.column(0).to_pylist(), slots))
+            if words >= BLOCK_WORDS or len(table.new) >= BLOCK_NEW:
+                yield block()
+                table, chunks, words = _Positions(hot), [], 0
+    if chunks:
+        yield block()
+
+
+def _encoded(encode, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From PARTS in the order of (key, body): ENCODED with every word as its ids. encode()
+    is called once a distinct word, as its rows follow each other."""
+    last, ids = None, b""
+    for batch in batches:
+        slots, bodies = batch.column(2), batch.column(3).to_pylist()
+        for i, whole in enumerate(pc.greater_equal(slots, CHUNK).to_pylist()):
+            if whole:
+                continue
+            if bodies[i] != last:
+                last = bodies[i]
+                ids = encode(last)
+            bodies[i] = ids
+        yield pa.RecordBatch.from_arrays([batch.column(1), slots, pa.array(bodies, pa.binary())], schema=common.arrow_schema(ENCODED))
+
+
+class _Ids:
+    """The ids of positions: flat[begin[p] : begin[p] + size[p]]."""
+
+    def __init__(self, ids: list[bytes]):
+        self.flat = np.frombuffer(b"".join(ids), "<u4")
+        self.size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.begin = np.cumsum(self.size) - self.size
+
+    def of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all slots, one after the other, and how many each has."""
+        size = self.size[slots]
+        return self.flat[np.repeat(self.begin[slots] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+
+def _chunks(hot: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids, ends) of each chunk of documents, from ENCODED in the order of (block, slot)."""
+    block, new, table = None, [], None
+    for batch in batches:
+        blocks, slots, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        for i in range(batch.num_rows):
+            if blocks[i] != block:
+                block, new, table = blocks[i], [], None
+            if slots[i] < CHUNK:
+                if slots[i] != len(hot) + len(new):
+                    raise RuntimeError("a block lacks words: its documents came in another order when a task ran again")
+                new.append(bodies[i].as_py())
+                continue
+            if table is None:
+                table = _Ids(hot + new)
+            chunk = pa.ipc.open_stream(bodies[i].as_buffer()).read_next_batch()
+            lists = chunk.column(1)
+            ids, size = table.of(lists.values.to_numpy())
+            yield chunk.column(0), ids, np.concatenate(([0], np.cumsum(size)))[lists.offsets.to_numpy()]
 
 
 def pieces(spec: bytes) -> list[str]:
@@ -167,17 +285,36 @@ def pieces(spec: bytes) -> list[str]:
     return out
 
 
-def _shared(docs: DataFrame, tokenizer_path: str):
-    """Broadcast: the tokenizer's file, the ids of the words in word_table (1 / SHARE rows at most) and the pieces."""
+def _texts(docs: DataFrame, tokenizer_path: str, schema: str, work) -> DataFrame:
+    """work(doc_ids, ids, ends, pieces) on chunks of encoded documents."""
     spec = common.file_bytes(tokenizer_path)
     check_splits(spec)
-    known = {bytes(r.word): bytes(r.ids) for r in word_table(docs, spec).toLocalIterator()}
-    return docs.sparkSession.sparkContext.broadcast((spec, known, pieces(spec)))
+    need = common.pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    hot = hot_words(need, spec)
+    context = docs.sparkSession.sparkContext
+    words, file = context.broadcast({w: i for i, (w, _) in enumerate(hot)}), context.broadcast(spec)
+    tables = context.broadcast(([ids for _, ids in hot], pieces(spec)))
+    target = common.arrow_schema(schema)
 
+    def parts(batches):
+        return _parts(words.value, TaskContext.get().partitionId(), batches)
 
-def decode_ids(pieces: list[str], ids: list[bytes]) -> list[str]:
-    """The join of ids with their pieces: a text for each run of ids."""
-    return [" ".join(map(pieces.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
+    def encoded(batches):
+        return _encoded(WordIds(file.value).encoded, batches)
+
+    def ended(batches):
+        hot_ids, names = tables.value
+        names = pa.array(names, pa.string())
+        for chunk in _chunks(hot_ids, batches):
+            yield pa.RecordBatch.from_arrays(work(*chunk, names), schema=target)
+
+    by_word = need.mapInArrow(parts, PARTS).repartition("key").sortWithinPartitions("key", "body")
+    return by_word.mapInArrow(encoded, ENCODED).repartition("block").sortWithinPartitions("block", "slot").mapInArrow(ended, schema)
+
+
+def decode_ids(pieces: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids joined with their pieces, and those between two ends with each other by spaces."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pieces.take(pa.array(ids, pa.uint32()))), " ")
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -185,15 +322,14 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     A null or empty text has no ids. Texts of any length are encoded whole. Repeated rows
     each get a row, a null doc_id stays null, an empty table gives an
-    empty result, other columns are not read.
+    empty result, other columns are not read. docs must come in the same order when a task
+    runs again, as a table does; otherwise the job fails rather than mix up words.
     """
-    shared = _shared(docs, tokenizer_path)
 
-    def work(batch):
-        spec, known, _ = shared.value
-        return {"doc_id": batch.column(0), "ids": encode_texts(word_ids(spec, known), common.texts_of(batch))}
+    def work(doc_ids, ids, ends, _):
+        return [doc_ids, pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())]
 
-    return common.per_batch(common.pick(docs, doc_id="doc_id", text="text"), "doc_id bigint, ids binary", work)
+    return _texts(docs, tokenizer_path, "doc_id bigint, ids binary", work)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -205,7 +341,9 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(pieces(spec))
 
     def work(batch):
-        return {"doc_id": batch.column(0), "text": decode_ids(shared.value, batch.column(1).to_pylist())}
+        ids = [x or b"" for x in batch.column(1).to_pylist()]
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        return {"doc_id": batch.column(0), "text": decode_ids(pa.array(shared.value, pa.string()), np.frombuffer(b"".join(ids), "<u4"), ends)}
 
     return common.per_batch(common.pick(encoded, doc_id="doc_id", ids="ids"), "doc_id bigint, text string", work)
 
@@ -220,12 +358,15 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     every row in one pass, so that ids and texts stay in their task. For
     the edge cases see there."""
     check_decoder(common.file_bytes(tokenizer_path))
-    shared = _shared(docs, tokenizer_path)
-
-    def work(batch):
-        spec, known, table = shared.value
-        ids = encode_texts(word_ids(spec, known), common.texts_of(batch))
-        texts = decode_ids(table, ids)
-        return {"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha256(x).hexdigest() for x in ids], "decoded_sha256": [sha256(t.encode()).hexdigest() for t in texts]}
 
-    return common.per_batch(common.pick(docs, doc_id="doc_id", text="text"), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", work, rows=256)
+    def work(doc_ids, ids, ends, names):
+        spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        texts = decode_ids(names, ids, ends)
+        return [
+            doc_ids,
+            pa.array(np.diff(ends)),
+            pa.array([sha256(ids[a:b]).hexdigest() for a, b in spans], pa.string()),
+            pa.array([sha256(t.as_buffer() or b"").hexdigest() for t in texts], pa.string()),
+        ]
+
+    return _texts(docs, tokenizer_path, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", work)

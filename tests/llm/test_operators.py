@@ -174,6 +174,39 @@ def test_bpe(docs, rows, empty, encoded):
     assert Counter(r.text for r in bpe.decode(bpe.encode(docs, path), path).collect()) == Counter(t.decode(i, skip_special_tokens=False) for i in ids)
 
 
+def test_bpe_in_small_blocks(spark, docs, rows, encoded, monkeypatch):
+    """Blocks, words and chunks cut by task, block and batch; few hot words, so most are joined back."""
+    monkeypatch.setattr(bpe, "BLOCK_NEW", 300)
+    monkeypatch.setattr(bpe, "HOT", 20)
+    monkeypatch.setattr(bpe.hot_words, "__defaults__", (20, 50))
+    with small_batches(spark, 50):
+        got = result(bpe.encode(docs, common.tokenizer_path("word_bpe_49k.json")))
+    assert got == Counter((d, _bytes(i)) for (d, _), i in zip(rows, encoded[1]))
+
+
+def test_bpe_encodes_each_distinct_word_once():
+    import pyarrow as pa
+
+    texts = ["a b a c", "c c d", None, "a d e " * 50]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, None, 3, 4], pa.int64()), "text": texts})
+    rows = [r for k in range(3) for part in bpe._parts({b"a": 0}, k, iter([batch.slice(0, 2), batch.slice(2)])) for r in part.to_pylist()]
+    rows.sort(key=lambda r: (r["key"], r["body"]))
+    ordered = pa.RecordBatch.from_pylist(rows, schema=common.arrow_schema(bpe.PARTS))
+    seen = []
+    encode = lambda w: seen.append(w) or np.array([w[0], 1], "<u4").tobytes()
+    out = [r for b in bpe._encoded(encode, iter([ordered.slice(i, 2) for i in range(0, len(rows), 2)])) for r in b.to_pylist()]
+    assert sorted(seen) == [b"b", b"c", b"d", b"e"]
+    out.sort(key=lambda r: (r["block"], r["slot"]))
+    back = pa.RecordBatch.from_pylist(out, schema=common.arrow_schema(bpe.ENCODED))
+    for ids, flat, ends in bpe._chunks([np.array([97, 1], "<u4").tobytes()], iter([back.slice(i, 1) for i in range(len(out))])):
+        for d, a, b in zip(ids.to_pylist(), ends[:-1], ends[1:]):
+            want = (texts[[1, None, 3, 4].index(d)] or "").split()
+            assert flat[a:b].tolist() == [x for w in want for x in (ord(w), 1)]
+    short = [r for r in out if r["slot"] != out[0]["slot"]]
+    with pytest.raises(RuntimeError):
+        list(bpe._chunks([b"\1\0\0\0"], iter([pa.RecordBatch.from_pylist(short, schema=common.arrow_schema(bpe.ENCODED))])))
+
+
 def test_token_files(docs, rows, empty, encoded):
     path = common.tokenizer_path("word_bpe_49k.json")
     ordered = sorted(zip(rows, encoded[1]), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1] or ""))
@@ -332,12 +365,12 @@ def test_substring_dedup_with_a_hot_phrase(spark):
 
 @pytest.mark.parametrize(("length", "shared", "want"), [(13, 6, [6, 13]), (50, 12, [6, 12, 25, 50])])
 def test_substring_levels_extend_survivors_alone(length, shared, want):
-    """Two documents share ten passages of `shared` words: most full windows are done with at the
+    """Two documents share sixty passages of `shared` words: most full windows are done with at the
     first level, and each level takes only what the one before left."""
     import pyarrow as pa
 
     assert substring_dedup.levels(length) == want
-    texts = [" ".join(" ".join([f"{d}w{k}x{i}" for i in range(200)] + [f"s{k}x{i}" for i in range(shared)]) for k in range(10)) for d in "ab"]
+    texts = [" ".join(" ".join([f"{d}w{k}x{i}" for i in range(100)] + [f"s{k}x{i}" for i in range(shared)]) for k in range(60)) for d in "ab"]
     spans, sizes = [None, None], []
     for i, level in enumerate(want[:-1]):
         batches = []
@@ -350,7 +383,7 @@ def test_substring_levels_extend_survivors_alone(length, shared, want):
         left = [r for b in substring_dedup._repeated(iter([back.slice(k, 1) for k in range(back.num_rows)])) for r in b.to_pylist()]
         spans = [([r["at"] for r in left if r["doc_id"] == d], [r["n"] for r in left if r["doc_id"] == d]) for d in (0, 1)]
         sizes.append(sum(r["n"] >> 1 for r in left))
-    windows = 2 * (10 * (200 + shared) - length + 1)
+    windows = 2 * (60 * (100 + shared) - length + 1)
     assert 0 < sizes[0] < windows / 10 and sizes == sorted(sizes, reverse=True)
     if length == 50:
         assert sizes[-1] == 0  # no window of 25 words is repeated: none survives to 50
