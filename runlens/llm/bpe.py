@@ -5,7 +5,8 @@ and never joins signs across it, so a text's ids are its words' ids in
 order. Texts become positions: a word's number in a table. The HOT most frequent words of a bounded
 sample have their numbers from a broadcast table; any other word gets one in its block of
 documents. Spark shuffles these words with their blocks and numbers, so that each distinct word is
-encoded once, and deals the ids back to their blocks, where they are joined with the texts by position.
+encoded once, and deals the ids back to their blocks, where they are joined with the positions. Words and
+positions come from two readings of the documents, so that the positions are shuffled once.
 A hot word that the sample misses has a row a block, not one an occurrence. The sample
 decides how many rows are shuffled, never a result.
 
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +35,14 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words in the broadcast table, and about how many documents are sampled to find them.
-HOT, SAMPLED = 65_536, 20_000
+HOT, SAMPLED = 524_288, 50_000
 #: Words, and words that aren't hot, that end a block.
 BLOCK_WORDS, BLOCK_NEW = 4_000_000, 250_000
 #: Words in a worker's own table before it starts anew, and in its counts before it hands them on.
 CACHED, COUNTED = 250_000, 250_000
 
-#: A word of a block, or (slot CHUNK and up) some of its documents as positions.
-PARTS = "key bigint, block bigint, slot int, body binary"
-ENCODED = "block bigint, slot int, body binary"
+#: A word of a block, later its ids, or (slot CHUNK and up) some of its documents as positions.
+PARTS = "block bigint, slot int, body binary"
 CHUNK = 1 << 30
 
 
@@ -167,7 +168,8 @@ def hot_words(docs: DataFrame, spec: bytes, hot: int = HOT, sampled: int = SAMPL
         table = word_ids(shared.value)
         return {"word": batch.column(0), "ids": [table[w] for w in words]}
 
-    return [(bytes(r.word), bytes(r.ids)) for r in common.per_batch(most, "word binary, ids binary", work, rows=4096).collect()]
+    found = common.per_batch(most, "word binary, ids binary", work, rows=4096).toArrow()
+    return list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
 
 
 class _Positions(dict):
@@ -184,30 +186,36 @@ class _Positions(dict):
 
 
 def _packed(doc_ids: list, slots: list[np.ndarray]) -> bytes:
-    ends = np.cumsum([0, *map(len, slots)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *slots])))
-    batch = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], names=["doc_id", "slots"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _parts(hot: dict[bytes, int], partition: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """PARTS of (doc_id, text): blocks of documents and the words that they bring. A block's
-    number is a hash of all that is in it, so a task that runs again gives the same."""
+    """Documents' ids, sizes and positions, the last as planes of their four bytes, which pack well."""
+    known = np.array([d is not None for d in doc_ids], np.uint8)
+    sizes = np.array([len(x) for x in slots], np.int64)
+    planes = np.concatenate([np.empty(0, np.int32), *slots]).view(np.uint8).reshape(-1, 4).T
+    head = np.array([len(doc_ids), sizes.sum()], np.int64), np.array([d or 0 for d in doc_ids], np.int64), sizes
+    return zstandard.ZstdCompressor(1).compress(b"".join(x.tobytes() for x in (*head, known, planes)))
+
+
+def _unpacked(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(doc_ids, sizes, positions) of _packed()."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+    docs, words = raw[:16].view(np.int64).tolist()
+    ids, sizes = raw[16 : 16 + 16 * docs].view(np.int64).reshape(2, docs)
+    known = raw[16 + 16 * docs : 16 + 17 * docs]
+    planes = raw[16 + 17 * docs :].reshape(4, words)
+    return pa.array(ids, mask=known == 0), sizes, np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
+
+
+def _blocks(hot: dict[bytes, int], partition: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
+    """(number, new words, packed documents) of blocks of (doc_id, text). The number is a hash of all
+    that is in the block, so that words never meet the positions of another order of documents."""
     table, chunks, words = _Positions(hot), [], 0
 
     def block():
-        h = xxhash.xxh64(partition.to_bytes(8, "little"))
+        h = xxhash.xxh3_64(partition.to_bytes(8, "little"))
         for x in chunks:
             h.update(x)
-        number = np.uint64(h.intdigest())
-        bodies = [*table.new, *chunks]
-        slots = [*range(len(hot), len(hot) + len(table.new)), *range(CHUNK, CHUNK + len(chunks))]
-        keys = np.array([*map(xxhash.xxh64_intdigest, table.new), *(int(number) ^ (c + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for c in range(len(chunks)))], np.uint64)
-        cols = [pa.array(keys.view(np.int64)), pa.array(np.full(len(bodies), number).view(np.int64)), pa.array(slots, pa.int32()), pa.array(bodies, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, schema=common.arrow_schema(PARTS))
+        for w in table.new:
+            h.update(w)
+        return np.uint64(h.intdigest()).view(np.int64), table.new, chunks
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -225,20 +233,25 @@ def _parts(hot: dict[bytes, int], partition: int, batches: Iterator[pa.RecordBat
         yield block()
 
 
+def _rows(block: int, slot: int, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """PARTS of one block, in batches of some MB."""
+    for at in range(0, len(bodies), 16_384):
+        some = bodies[at : at + 16_384]
+        cols = [pa.array(np.full(len(some), block)), pa.array(np.arange(slot + at, slot + at + len(some), dtype=np.int32)), pa.array(some, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, schema=common.arrow_schema(PARTS))
+
+
 def _encoded(encode, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From PARTS in the order of (key, body): ENCODED with every word as its ids. encode()
+    """From words in the order of body: their ids in place of them. encode()
     is called once a distinct word, as its rows follow each other."""
     last, ids = None, b""
     for batch in batches:
-        slots, bodies = batch.column(2), batch.column(3).to_pylist()
-        for i, whole in enumerate(pc.greater_equal(slots, CHUNK).to_pylist()):
-            if whole:
-                continue
-            if bodies[i] != last:
-                last = bodies[i]
-                ids = encode(last)
+        bodies = batch.column(2).to_pylist()
+        for i, word in enumerate(bodies):
+            if word != last:
+                last, ids = word, encode(word)
             bodies[i] = ids
-        yield pa.RecordBatch.from_arrays([batch.column(1), slots, pa.array(bodies, pa.binary())], schema=common.arrow_schema(ENCODED))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], schema=common.arrow_schema(PARTS))
 
 
 class _Ids:
@@ -256,7 +269,7 @@ class _Ids:
 
 
 def _chunks(hot: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(doc_ids, ids, ends) of each chunk of documents, from ENCODED in the order of (block, slot)."""
+    """(doc_ids, ids, ends) of each chunk of documents, from PARTS with encoded words in the order of (block, slot)."""
     block, new, table = None, [], None
     for batch in batches:
         blocks, slots, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
@@ -264,16 +277,15 @@ def _chunks(hot: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[tup
             if blocks[i] != block:
                 block, new, table = blocks[i], [], None
             if slots[i] < CHUNK:
-                if slots[i] != len(hot) + len(new):
-                    raise RuntimeError("a block lacks words: its documents came in another order when a task ran again")
                 new.append(bodies[i].as_py())
                 continue
+            doc_ids, sizes, positions = _unpacked(bodies[i].as_py())
             if table is None:
                 table = _Ids(hot + new)
-            chunk = pa.ipc.open_stream(bodies[i].as_buffer()).read_next_batch()
-            lists = chunk.column(1)
-            ids, size = table.of(lists.values.to_numpy())
-            yield chunk.column(0), ids, np.concatenate(([0], np.cumsum(size)))[lists.offsets.to_numpy()]
+            if len(positions) and positions.max() >= len(hot) + len(new):
+                raise RuntimeError("a block lacks words: its documents came in another order when they were read again")
+            ids, size = table.of(positions)
+            yield doc_ids, ids, np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(sizes)))]
 
 
 def pieces(spec: bytes) -> list[str]:
@@ -296,8 +308,14 @@ def _texts(docs: DataFrame, tokenizer_path: str, schema: str, work) -> DataFrame
     tables = context.broadcast(([ids for _, ids in hot], pieces(spec)))
     target = common.arrow_schema(schema)
 
-    def parts(batches):
-        return _parts(words.value, TaskContext.get().partitionId(), batches)
+    def new_words(batches):
+        known = words.value
+        for block, new, _ in _blocks(known, TaskContext.get().partitionId(), batches):
+            yield from _rows(block, len(known), new)
+
+    def chunks(batches):
+        for block, _, packed in _blocks(words.value, TaskContext.get().partitionId(), batches):
+            yield from _rows(block, CHUNK, packed)
 
     def encoded(batches):
         return _encoded(WordIds(file.value).encoded, batches)
@@ -308,8 +326,9 @@ def _texts(docs: DataFrame, tokenizer_path: str, schema: str, work) -> DataFrame
         for chunk in _chunks(hot_ids, batches):
             yield pa.RecordBatch.from_arrays(work(*chunk, names), schema=target)
 
-    by_word = need.mapInArrow(parts, PARTS).repartition("key").sortWithinPartitions("key", "body")
-    return by_word.mapInArrow(encoded, ENCODED).repartition("block").sortWithinPartitions("block", "slot").mapInArrow(ended, schema)
+    once = need.mapInArrow(new_words, PARTS).repartition("body").sortWithinPartitions("body").mapInArrow(encoded, PARTS)
+    both = once.unionByName(need.mapInArrow(chunks, PARTS))
+    return both.repartition("block").sortWithinPartitions("block", "slot").mapInArrow(ended, schema)
 
 
 def decode_ids(pieces: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -322,8 +341,8 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     A null or empty text has no ids. Texts of any length are encoded whole. Repeated rows
     each get a row, a null doc_id stays null, an empty table gives an
-    empty result, other columns are not read. docs must come in the same order when a task
-    runs again, as a table does; otherwise the job fails rather than mix up words.
+    empty result, other columns are not read. docs must come in the same order each time it is
+    read, as a table does; otherwise the job fails rather than mix up words.
     """
 
     def work(doc_ids, ids, ends, _):

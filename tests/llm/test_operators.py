@@ -189,22 +189,27 @@ def test_bpe_encodes_each_distinct_word_once():
 
     texts = ["a b a c", "c c d", None, "a d e " * 50]
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, None, 3, 4], pa.int64()), "text": texts})
-    rows = [r for k in range(3) for part in bpe._parts({b"a": 0}, k, iter([batch.slice(0, 2), batch.slice(2)])) for r in part.to_pylist()]
-    rows.sort(key=lambda r: (r["key"], r["body"]))
-    ordered = pa.RecordBatch.from_pylist(rows, schema=common.arrow_schema(bpe.PARTS))
+    words, chunks = [], []
+    for k in range(3):
+        for number, new, packed in bpe._blocks({b"a": 0}, k, iter([batch.slice(0, 2), batch.slice(2)])):
+            words += [r for part in bpe._rows(number, 1, new) for r in part.to_pylist()]
+            chunks += [r for part in bpe._rows(number, bpe.CHUNK, packed) for r in part.to_pylist()]
+    frame = lambda rows: pa.RecordBatch.from_pylist(rows, schema=common.arrow_schema(bpe.PARTS))
+    words.sort(key=lambda r: r["body"])
     seen = []
     encode = lambda w: seen.append(w) or np.array([w[0], 1], "<u4").tobytes()
-    out = [r for b in bpe._encoded(encode, iter([ordered.slice(i, 2) for i in range(0, len(rows), 2)])) for r in b.to_pylist()]
+    out = [r for b in bpe._encoded(encode, iter([frame(words[i : i + 2]) for i in range(0, len(words), 2)])) for r in b.to_pylist()]
     assert sorted(seen) == [b"b", b"c", b"d", b"e"]
-    out.sort(key=lambda r: (r["block"], r["slot"]))
-    back = pa.RecordBatch.from_pylist(out, schema=common.arrow_schema(bpe.ENCODED))
-    for ids, flat, ends in bpe._chunks([np.array([97, 1], "<u4").tobytes()], iter([back.slice(i, 1) for i in range(len(out))])):
+    out = sorted([*out, *chunks], key=lambda r: (r["block"], r["slot"]))
+    hot, docs = [np.array([97, 1], "<u4").tobytes()], 0
+    for ids, flat, ends in bpe._chunks(hot, iter([frame([r]) for r in out])):
         for d, a, b in zip(ids.to_pylist(), ends[:-1], ends[1:]):
             want = (texts[[1, None, 3, 4].index(d)] or "").split()
             assert flat[a:b].tolist() == [x for w in want for x in (ord(w), 1)]
-    short = [r for r in out if r["slot"] != out[0]["slot"]]
+            docs += 1
+    assert docs == 12
     with pytest.raises(RuntimeError):
-        list(bpe._chunks([b"\1\0\0\0"], iter([pa.RecordBatch.from_pylist(short, schema=common.arrow_schema(bpe.ENCODED))])))
+        list(bpe._chunks(hot, iter([frame(chunks)])))
 
 
 def test_token_files(docs, rows, empty, encoded):
