@@ -28,7 +28,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,13 +203,14 @@ def _unpacked(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.array(ids, mask=known == 0), sizes, np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
 
 
-def _blocks(hot: dict[bytes, int], partition: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
+def _blocks(hot: dict[bytes, int], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
     """(number, new words, packed documents) of blocks of (doc_id, text). The number is a hash of all
-    that is in the block, so that words never meet the positions of another order of documents."""
+    that is in the block, so that words never meet the positions of another order of documents; blocks
+    that are the same in all share their words."""
     table, chunks, words = _Positions(hot), [], 0
 
     def block():
-        h = xxhash.xxh3_64(partition.to_bytes(8, "little"))
+        h = xxhash.xxh3_64()
         for x in chunks:
             h.update(x)
         for w in table.new:
@@ -277,7 +277,8 @@ def _chunks(hot: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[tup
             if blocks[i] != block:
                 block, new, table = blocks[i], [], None
             if slots[i] < CHUNK:
-                new.append(bodies[i].as_py())
+                if slots[i] == len(hot) + len(new):  # else it came before, from an equal block
+                    new.append(bodies[i].as_py())
                 continue
             doc_ids, sizes, positions = _unpacked(bodies[i].as_py())
             if table is None:
@@ -310,11 +311,11 @@ def _texts(docs: DataFrame, tokenizer_path: str, schema: str, work) -> DataFrame
 
     def new_words(batches):
         known = words.value
-        for block, new, _ in _blocks(known, TaskContext.get().partitionId(), batches):
+        for block, new, _ in _blocks(known, batches):
             yield from _rows(block, len(known), new)
 
     def chunks(batches):
-        for block, _, packed in _blocks(words.value, TaskContext.get().partitionId(), batches):
+        for block, _, packed in _blocks(words.value, batches):
             yield from _rows(block, CHUNK, packed)
 
     def encoded(batches):
