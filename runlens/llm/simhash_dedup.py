@@ -11,7 +11,8 @@ Spark deals out pairs of subtrees: each fingerprint goes to its own subtree and
 pairs with those subtrees whose prefix differs in one bit. Subtrees start at a depth
 that leaves about LEAVES fingerprints in each; pairs with an overfull subtree
 start at level 32 instead, so that no task gets a crowded one whole. A task
-keeps a spanning forest of the links it finds, not all pairs.
+keeps a spanning forest of the links it finds, not all pairs. Documents meet their fingerprint's
+component by a join that broadcasts the fingerprints of many copies.
 """
 
 from __future__ import annotations
@@ -222,13 +223,13 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
 
 
 def _component_ids(each: DataFrame) -> DataFrame:
-    """(fp, component_id) of every fingerprint in each(doc_id, fp)."""
-    nodes = common.checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """(fp, n, component_id) of every fingerprint in each(doc_id, fp), n: its rows."""
+    nodes = common.checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = connected_components(links(nodes))
     grouped = nodes.join(roots, nodes.fp == roots.node)
     least = grouped.groupBy("root").agg(F.min("least").alias("least"))
     ids = common.checkpointed(roots.join(least, "root").select(F.col("node").alias("fp"), F.col("least").alias("joined")))
-    return nodes.join(ids, "fp", "left").select("fp", F.coalesce("joined", "least").alias("component_id"))
+    return common.stored(nodes.join(ids, "fp", "left").select("fp", "n", F.coalesce("joined", "least").alias("component_id")), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     not read.
     """
     each = common.stored(fingerprints(docs, shingle), "fingerprints")
-    return each.join(_component_ids(each), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return common.spread_join(each, _component_ids(each), ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -250,7 +251,7 @@ def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
     that repeat that doc_id all stay; rows with a null doc_id stay too, as nothing tells
     them apart. Other edge cases as in near_duplicates()."""
     each = common.stored(fingerprints(docs, shingle), "fingerprints")
-    ids = each.join(_component_ids(each), "fp").where("doc_id != component_id").select("doc_id", "fp").distinct()
+    ids = common.spread_join(each, _component_ids(each), ["fp"], "n").where("doc_id != component_id").select("doc_id", "fp").distinct()
     dropped = common.stored(ids, "dropped")
     # Texts of one doc_id are told apart by fingerprint, which only they need again.
     twice = common.stored(each.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1").select("doc_id"), "several")
