@@ -1,13 +1,13 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Fixed base rules reject very short and very repetitive texts. What passes
-them fills one quantile sketch for each measure, language and source: counts of
-whole per-mille bins, which are merged by addition and give each quantile to within its
-bin, the same on any partitioning. A measure's limit is the median plus SPREAD times the
-distance from the lower quartile to the median, and never under the measure's floor; so up
-to half of a source may be junk without moving it. Sources with under
-LEAST texts use their language's merged sketch, languages with under LEAST the sketch of
-all. Documents above a limit are rejected by a join with the limits.
+them fills one quantile sketch for each measure, language and source: counts in bins of per mille
+whose width grows with the value, 72 at most, so that a quantile is known to within an eighth of itself. Sketches are
+merged by addition and are the same on any partitioning. A group's distribution is its own sketch and
+PRIOR rows of its language's distribution, which is that language's sketch and PRIOR rows of
+all; so a group of any size has limits that change with each of its rows, and small
+groups lean on their parents. A measure's limit is a high quantile, plus SPREAD times its distance from the median, plus a
+tolerance. Documents above a limit are rejected by a join with the limits.
 
 Only DataFrame functions are used.
 """
@@ -23,9 +23,11 @@ from . import common
 #: Fewer words than this, or more than this per cent in repeated windows, fail the base.
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: Per mille under which a measure rejects nothing.
-FLOORS = {"symbols": 30, "dup_lines": 350, "repeats": 350}
-SPREAD, LEAST = 4, 100
+#: Each measure's high quantile in per cent (the rest of a source may be junk without moving it) and its tolerance in per mille.
+MEASURES = {"symbols": (75, 20), "dup_lines": (99, 50), "repeats": (99, 50)}
+SPREAD, PRIOR = 1, 200
+#: (values under, width) of the sketch's bins.
+WIDTHS = [(16, 1), (32, 2), (64, 4), (128, 8), (256, 16), (512, 32), (1 << 62, 64)]
 
 _SPACES = rf"[{common.SPACE}]+"
 
@@ -71,41 +73,44 @@ def _keys(doc: str = "doc.") -> list[Column]:
     return [F.coalesce(F.col(f"{doc}{c}").cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
 
 
+def _width(value: str) -> str:
+    """SQL of the width of the bin that holds a value."""
+    return "CASE " + " ".join(f"WHEN {value} < {under} THEN {width}" for under, width in WIDTHS) + " END"
+
+
 def sketches(rows: DataFrame) -> DataFrame:
-    """(lang, source, measure, bin, n) of the rows that passed the base. They are
-    summed rather than filtered: a filter would be pushed below the measures,
-    which would then be taken twice."""
-    bins = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bin")) for m in FLOORS]))
-    passed = F.when(F.col("base_failed"), 0).otherwise(1)
-    return rows.select("lang", "source", passed.alias("p"), bins.alias("b")).groupBy("lang", "source", "b.measure", "b.bin").agg(F.sum("p").cast("long").alias("n")).where("n > 0")
+    """(lang, source, measure, bin, n) of the rows that passed the base. bin: the least value of its bin."""
+    bins = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.expr(f"{m} - {m} % {_width(m)}").alias("bin")) for m in MEASURES]))
+    return rows.where("NOT base_failed").select("lang", "source", bins.alias("b")).groupBy("lang", "source", "b.measure", "b.bin").agg(F.count("*").alias("n"))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """(lang, source, symbols, dup_lines, repeats): the greatest per mille that is kept."""
-    floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])[F.col("measure")]
-
-    def level(keys: list[str], name: str) -> DataFrame:
-        """Limits and row counts of the sketches merged over all other keys."""
-        merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-        each = W.partitionBy(*keys, "measure")
-        run = merged.withColumn("upto", F.sum("n").over(each.orderBy("bin"))).withColumn("all", F.sum("n").over(each))
-        at = lambda part: F.min(F.when(100 * F.col("upto") >= part * F.col("all"), F.col("bin")))
-        quartiles = run.groupBy(*keys, "measure").agg(at(25).alias("q25"), at(50).alias("q50"), F.max("all").alias("rows"))
-        limit = F.greatest(floor, F.col("q50") + SPREAD * (F.col("q50") - F.col("q25")))
-        return quartiles.select(*keys, "measure", F.when(F.col("rows") >= LEAST, limit).alias(name))
-
-    own = level(["lang", "source"], "own").join(level(["lang"], "by_lang"), ["lang", "measure"])
-    every = level([], "any_lang")
-    own = own.join(F.broadcast(every), "measure")  # one row a measure
-    limit = F.coalesce("own", "by_lang", "any_lang", floor)
-    return own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, limit)).alias(f"max_{m}") for m in FLOORS])
+    """(lang, source, max_symbols, max_dup_lines, max_repeats): the greatest per mille that is kept."""
+    merged = sketch.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
+    each = W.partitionBy("measure")
+    every = merged.select("measure", "bin", (F.sum("n").over(each.orderBy("bin")).cast("double") / F.sum("n").over(each)).alias("parent"))
+
+    def level(keys: list[str], parent: DataFrame, parent_keys: list[str]) -> DataFrame:
+        """(keys, measure, bin, share): the part of a group's distribution up to each bin of the measure."""
+        own = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+        grid = own.groupBy(*keys, "measure").agg(F.sum("n").alias("rows")).join(parent, [*parent_keys, "measure"])
+        upto = F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy(*keys, "measure").orderBy("bin")).cast("double")
+        return grid.join(own, [*keys, "measure", "bin"], "left").select(*keys, "measure", "bin", ((upto + PRIOR * F.col("parent")) / (F.col("rows") + PRIOR)).alias("share"))
+
+    by_lang = level(["lang"], F.broadcast(every), []).withColumnRenamed("share", "parent")  # 72 bins a measure
+    own = level(["lang", "source"], by_lang, ["lang"])
+    per_cent, tolerance = (F.create_map(*[F.lit(x) for m, v in MEASURES.items() for x in (m, v[i])])[F.col("measure")] for i in (0, 1))
+    at = lambda part: F.min(F.when(F.col("share") * 100 >= part, F.col("bin") + F.expr(_width("bin")) - 1))
+    quantiles = own.groupBy("lang", "source", "measure").agg(at(F.lit(50)).alias("middle"), at(per_cent).alias("high"))
+    limit = F.col("high") + SPREAD * (F.col("high") - F.col("middle")) + tolerance
+    return quantiles.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, limit)).alias(f"max_{m}") for m in MEASURES])
 
 
 def _verdict(rows: DataFrame, limit: DataFrame) -> DataFrame:
     """rows(lang, source, ...) with kept. A group none of whose rows passed the base has no limits and needs none."""
     within = F.lit(True)
-    for m in FLOORS:
-        within &= F.col(m) <= F.coalesce(f"max_{m}", F.lit(FLOORS[m]))
+    for m in MEASURES:
+        within &= F.col(m) <= F.col(f"max_{m}")
     return rows.join(limit, ["lang", "source"], "left").withColumn("kept", F.when(F.col("base_failed"), False).otherwise(within))
 
 
@@ -122,29 +127,31 @@ def judge(docs: DataFrame) -> DataFrame:
     empty table gives an empty result; other columns are not read.
     """
     need = docs.select("doc_id", "text", "lang", "source")
-    rows = common.stored(_judged(_measures(need)).select("doc.doc_id", *_keys(), *COUNTS, "base_failed", *FLOORS), "measures")
+    rows = common.stored(_judged(_measures(need)).select("doc.doc_id", *_keys(), *COUNTS, "base_failed", *MEASURES), "measures")
     limit = common.stored(limits(sketches(rows)), "limits")
     return _verdict(rows, limit).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with docs' columns. Edge cases as there."""
-    rows = _judged(_measures(docs)).withColumns(dict(zip(("lang", "source"), _keys(), strict=True)))
-    limit = common.stored(limits(common.stored(sketches(rows), "sketches")), "limits")
+    rows = common.stored(_judged(_measures(docs)).withColumns(dict(zip(("lang", "source"), _keys(), strict=True))), "measured")
+    limit = common.stored(limits(sketches(rows)), "limits")
     return _verdict(rows, limit).where("kept").select("doc.*")
 
 
 def sql(docs: str = "documents") -> str:
     """DuckDB's SQL for judge()."""
-    floor = "CASE measure " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in FLOORS.items()) + " END"
 
-    def level(keys: str, name: str) -> str:
-        by = f"{keys}, " if keys else ""
-        return f"""(SELECT {by}measure, CASE WHEN max(al) >= {LEAST} THEN greatest(max({floor}), min(CASE WHEN 100 * up >= 50 * al THEN bin END) + {SPREAD} * (min(CASE WHEN 100 * up >= 50 * al THEN bin END) - min(CASE WHEN 100 * up >= 25 * al THEN bin END))) END AS {name}
-            FROM (SELECT {by}measure, bin, sum(n) OVER (PARTITION BY {by}measure ORDER BY bin) AS up, sum(n) OVER (PARTITION BY {by}measure) AS al FROM (SELECT {by}measure, bin, sum(n) AS n FROM sketch GROUP BY {by}measure, bin)) GROUP BY {by}measure)"""
+    def level(keys: str, parent: str, parent_keys: str) -> str:
+        return f"""SELECT {keys}, measure, bin, (CAST(sum(coalesce(n, 0)) OVER (PARTITION BY {keys}, measure ORDER BY bin) AS DOUBLE) + {PRIOR} * parent) / (al + {PRIOR}) AS share
+            FROM (SELECT {keys}, measure, sum(n) AS al FROM sketch GROUP BY {keys}, measure) JOIN {parent} USING ({parent_keys}measure)
+            LEFT JOIN (SELECT {keys}, measure, bin, sum(n) AS n FROM sketch GROUP BY {keys}, measure, bin) USING ({keys}, measure, bin)"""
 
-    picked = ", ".join(f"max(CASE WHEN measure = '{m}' THEN coalesce(own, by_lang, any_lang, {floor}) END) AS max_{m}" for m in FLOORS)
-    within = " AND ".join(f"{m} <= coalesce(max_{m}, {v})" for m, v in FLOORS.items())
+    per_cent, tolerance = ("CASE measure " + " ".join(f"WHEN '{m}' THEN {v[i]}" for m, v in MEASURES.items()) + " END" for i in (0, 1))
+    upper = f"bin + {_width('bin')} - 1"
+    picked = ", ".join(f"max(CASE WHEN measure = '{m}' THEN high + {SPREAD} * (high - middle) + tolerance END) AS max_{m}" for m in MEASURES)
+    within = " AND ".join(f"{m} <= max_{m}" for m in MEASURES)
+    listed = ", ".join(f"{{'measure': '{m}', 'bin': {m} - {m} % {_width(m)}}}" for m in MEASURES)
     return f"""
     WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM {docs}),
     split AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM texts),
@@ -153,8 +160,12 @@ def sql(docs: str = "documents") -> str:
     counted AS (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM windows WHERE whole IS NOT NULL),
     covered AS (SELECT r, count(DISTINCT i + k) AS n FROM counted, (SELECT unnest([0, 1, 2]) AS k) WHERE n >= 2 GROUP BY r),
     m AS (SELECT s.r, doc_id, lang, source, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS wc, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM split s LEFT JOIN covered c ON s.r = c.r),
-    j AS (SELECT *, coalesce(wc, 0) AS word_chars, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed, coalesce(n_symbols * 1000 // nullif(wc, 0), 0) AS symbols, coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS dup_lines, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeats FROM m),
-    sketch AS (SELECT lang, source, measure, bin, count(*) AS n FROM (SELECT lang, source, unnest([{", ".join(f"'{m}'" for m in FLOORS)}]) AS measure, unnest([{", ".join(FLOORS)}]) AS bin FROM j WHERE NOT base_failed) GROUP BY ALL),
-    lim AS (SELECT lang, source, {picked} FROM {level("lang, source", "own")} a JOIN {level("lang", "by_lang")} b USING (lang, measure) JOIN {level("", "any_lang")} c USING (measure) GROUP BY lang, source)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {within} AS kept FROM j LEFT JOIN lim USING (lang, source)
+    j AS MATERIALIZED (SELECT *, coalesce(wc, 0) AS word_chars, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed, coalesce(n_symbols * 1000 // nullif(wc, 0), 0) AS symbols, coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS dup_lines, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeats FROM m),
+    sketch AS MATERIALIZED (SELECT lang, source, b.measure AS measure, b.bin AS bin, count(*) AS n FROM (SELECT lang, source, unnest([{listed}]) AS b FROM j WHERE NOT base_failed) GROUP BY ALL),
+    every AS (SELECT measure, bin, CAST(sum(n) OVER (PARTITION BY measure ORDER BY bin) AS DOUBLE) / sum(n) OVER (PARTITION BY measure) AS parent FROM (SELECT measure, bin, sum(n) AS n FROM sketch GROUP BY measure, bin)),
+    by_lang AS (SELECT lang, measure, bin, share AS parent FROM ({level("lang", "every", "")})),
+    own AS ({level("lang, source", "by_lang", "lang, ")}),
+    quantiles AS (SELECT lang, source, measure, min(CASE WHEN share * 100 >= 50 THEN {upper} END) AS middle, min(CASE WHEN share * 100 >= {per_cent} THEN {upper} END) AS high, max({tolerance}) AS tolerance FROM own GROUP BY lang, source, measure),
+    lim AS (SELECT lang, source, {picked} FROM quantiles GROUP BY lang, source)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({within}, false) AS kept FROM j LEFT JOIN lim USING (lang, source)
     """

@@ -258,6 +258,33 @@ def test_quality_rules(docs, empty):
     assert quality_rules.judge(empty).count() == quality_rules.keep(empty).count() == 0
 
 
+def _made(group, n, symbols):
+    """n texts of 100 words, each a group's own, of which some have that many signs."""
+    return [(f"{group}{i}", " ".join(f"{group}{i}w{k}" + ("#" if k < s else "") for k in range(100)), "en", group) for i, s in enumerate(symbols[:1] * (n - len(symbols[1:])) + symbols[1:])]
+
+
+def test_quality_limits_differ_between_sources_and_change_verdicts(spark):
+    """The same share of signs is usual in one source and junk in another; a source of any size has its own limits."""
+    rows = _made("plain", 400, [0, 40]) + _made("code", 400, [40, 50]) + _made("few", 3, [0, 40])
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string").withColumn("doc_id", F.xxhash64("doc_id"))
+    names, want = _duck(docs, quality_rules.sql())
+    got = quality_rules.judge(docs)
+    assert result(got.select(*names)) == want
+    kept = {(r.source, r.n_symbols): r.kept for r in got.join(docs, "doc_id").select("source", "n_symbols", "kept").distinct().collect()}
+    assert kept["plain", 0] and not kept["plain", 40]
+    assert kept["code", 40] and kept["code", 50]
+
+
+@pytest.mark.parametrize("n", [1, 99, 100, 101, 1000])
+def test_quality_limits_have_no_switch_by_size(spark, n):
+    """One row more moves a group's distribution by its own weight: the share is continuous in the rows."""
+    sketch = [("en", "a", m, 0, 5000) for m in quality_rules.MEASURES] + [("en", "b", m, 128, n) for m in quality_rules.MEASURES]
+    found = {r.source: r.max_symbols for r in quality_rules.limits(spark.createDataFrame(sketch, "lang string, source string, measure string, bin long, n long")).collect()}
+    # Over a quarter of b's rows and its prior's are at 128 or more from n = 67 on, over half from 201 on.
+    want = {1: 20, 99: 143 + 143 + 20, 100: 143 + 143 + 20, 101: 143 + 143 + 20, 1000: 143 + 20}
+    assert found == {"a": 20, "b": want[n]}
+
+
 def test_license_scan(spark, docs, empty):
     mit = license_scan.LICENSES[0][1]
     forms = [(1, mit), (2, "Copyright (c) 1999 A Person\n\n" + mit.upper().replace(" ", "  ")), (3, mit + " And more."), (4, None), (5, "Licenced under CC BY-NC 4.0")]
