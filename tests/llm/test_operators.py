@@ -345,7 +345,9 @@ def test_html_extract_on_held_out_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_decontaminate(spark, sf, empty):
+@pytest.mark.parametrize("block", [16 << 20, 500])
+def test_decontaminate(spark, sf, empty, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)  # one block, several
     items = common.table(spark, sf, "benchmark").limit(12)
     known = [(r.item_id, decontaminate.words_of(r.text)) for r in items.collect()]
     docs = []
@@ -433,6 +435,27 @@ def test_substring_dedup_tells_windows_apart_by_96_bits():
         assert got == [(2, 9, 5, 3)]
 
 
+def test_decontaminate_recall(spark):
+    """Edited items of the larger benchmark, at every similarity from 0.8 on, against exact similarity."""
+    rng, pairs = np.random.default_rng(5), []
+    for r in common.table(spark, "/root/testdata/sf0.1", "benchmark").collect():
+        words = decontaminate.words_of(r.text)
+        for n in range(1, 4):
+            for _ in range(4):
+                other = list(words)
+                at = int(rng.integers(0, len(words)))
+                other[at : at + n] = [b"edit%d" % i for i in range(len(other[at : at + n]))]
+                pairs.append((words, other))
+    assert len(pairs) > 2000 and decontaminate.recall(pairs) > 0.99
+
+
+def test_decontaminate_index_prunes():
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(500)]
+    group = decontaminate._Index(items).by_size[30]
+    found = [len(group.near(fp)) for fp in group.fps]
+    assert min(found) >= 1 and np.mean(found) < 3
+
+
 def test_decontaminate_finds_documents_shorter_than_the_item(spark):
     words = [f"bench{i}" for i in range(30)]  # 26 shingles
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
