@@ -20,9 +20,12 @@ from . import common
 from .html_pages import labelled_pages
 
 #: Labelled pages that are made and trained on, the rounds of training, and its pull to zero.
-TRAINED, ROUNDS, DECAY = 700, 250, 0.02
+TRAINED, ROUNDS, DECAY = 800, 250, 0.02
+#: Elements around a block, the nearest first, that give features.
+AROUND = 32
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")  # of a tag, > between quotation marks included
 _ATTR = re.compile(r"(class|id|role|hidden|data-y|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"'>]|\Z)", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -36,31 +39,93 @@ SCOPES = frozenset("table ul ol dl select article section div body td th main as
 NOT_IN_P = BLOCKS - frozenset("button label option select legend caption tbody thead tfoot tr td th head html body".split())
 
 
-class Block:
-    __slots__ = ("chars", "label", "linked", "path", "text")
+class Element:
+    """An open block element; shared by all blocks within it."""
+
+    __slots__ = ("depth", "features", "label", "names", "parent", "tag")
 
-    def __init__(self, path, label):
-        self.path, self.label, self.text, self.chars, self.linked = path, label, [], 0, 0
+    def __init__(self, parent: Element | None, tag: str, names: tuple[str, ...], label: str | None):
+        self.parent, self.tag, self.names = parent, tag, names
+        self.label = label if label is not None else parent.label if parent else None
+        self.depth = parent.depth + 1 if parent else 1
+        self.features: list[str] | None = None
 
 
-_SVG_END = re.compile(rf"</svg(?=[\s/>])[^>]*>|(?=</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>]))", re.I)
+class Block:
+    __slots__ = ("chars", "element", "linked", "text")
+
+    def __init__(self, element: Element | None):
+        self.element, self.text, self.chars, self.linked = element, [], 0, 0
+
+
+_BLOCK_TAG = rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])"
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>" + (rf"|(?={_BLOCK_TAG})" if t == "svg" else ""), re.I) for t in RAW}
+_HIDDEN = re.compile(r"display\s*:\s*none")
+
+
+def _element(parent: Element | None, tag: str, attrs: str, labelled: bool) -> Element:
+    names, label = (), None
+    if attrs and not attrs.isspace():
+        got = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
+        label = got.get("data-y") if labelled else None
+        names = tuple(dict.fromkeys(x.lower() for k in ("class", "id", "role") for x in _NAME.findall(got.get(k, ""))))
+        if "hidden" in got or _HIDDEN.search(got.get("style", "")):
+            names += ("hidden",)
+    return Element(parent, tag, names, label)
+
+
+class _Open:
+    """The block elements that are open, innermost last. `count` saves searches that can't find anything."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, e: Element) -> None:
+        self.stack.append(e)
+        self.count[e.tag] = self.count.get(e.tag, 0) + 1
+
+    def cut(self, i: int) -> None:
+        for e in self.stack[i:]:
+            self.count[e.tag] -= 1
+        del self.stack[i:]
+
+    def close(self, tag: str) -> bool:
+        """Ends the innermost element of that tag and all within it."""
+        if not self.count.get(tag):
+            return False
+        self.cut(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag))
+        return True
+
+    def close_implied(self, tag: str) -> None:
+        """Ends what the start of `tag` ends without an end tag, within its scope and AROUND levels."""
+        ends = CLOSES.get(tag) or (("p",) if tag in NOT_IN_P else ())
+        if not any(self.count.get(t) for t in ends):
+            return
+        for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 1 - AROUND), -1):
+            if self.stack[i].tag in ends:
+                self.cut(i)
+                if tag == "p":
+                    return
+            elif self.stack[i].tag in SCOPES:
+                return
 
 
-def blocks(page: str, labelled: bool = False) -> list[tuple[str, tuple, int, int, int | None]]:
-    """(text, path, link per cent, own tag depth, label) of the page's leaf blocks, white
-    space made single. path: (tag, names) of the block elements around, outermost first.
-    label: data-y of the nearest element around if labelled, else None."""
+def blocks(page: str, labelled: bool = False) -> list[tuple[str, Element | None, int, int, int | None]]:
+    """(text, innermost element, link per cent, own tag depth, label) of the page's leaf blocks, white
+    space made single, in time linear in the page's length. label: data-y of the nearest element around if labelled, else None.
+    Where a quotation mark in a tag has no mate, tags from there on end at the next >; a tag that never ends, ends the page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], str | None]] = []
+    opened = _Open()
     now: Block | None = None
-    at, end, links = 0, len(page), 0
+    at, end, links, quotes = 0, len(page), 0, True
 
     def add(piece: str) -> None:
         nonlocal now
         if now is None:
             if not piece.strip():
                 return
-            now = Block(tuple((t, n) for t, n, _ in stack), next((y for _, _, y in reversed(stack) if y is not None), None))
+            now = Block(opened.stack[-1] if opened.stack else None)
             out.append(now)
         now.text.append(piece)
         size = len(piece)
@@ -68,85 +133,89 @@ def blocks(page: str, labelled: bool = False) -> list[tuple[str, tuple, int, int
         now.linked += size if links else 0
 
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         stop = m.start() if m else end
         if stop > at:
             add(html.unescape(page[at:stop]))
         if not m:
             break
-        at = m.end()
-        close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        begin = m.end()
+        if m[1] or m[2]:
+            until = "-->" if m[1] else ">"
+            at = page.find(until, begin)
+            if at < 0:
+                break
+            at += len(until)
             continue
-        tag = tag.lower()
-        if close:
+        rest = _REST.match(page, begin) if quotes else None
+        quotes = quotes and rest is not None
+        last = rest.end() - 1 if rest else page.find(">", begin)
+        if last < 0:
+            break
+        attrs, at, tag = page[begin:last], last + 1, m[4].lower()
+        if m[3]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag == "br":
                 add(" ")
             elif tag in BLOCKS:
                 now = None
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        links = 0
-                        break
-            continue
-        if tag in RAW:
+                if opened.close(tag):
+                    links = 0
+        elif tag in RAW:
             if not attrs.endswith("/"):
-                last = (_SVG_END if tag == "svg" else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)).search(page, at)
-                at = last.end() if last else end
-            continue
-        if tag == "a":
+                found = _RAW_END[tag].search(page, at)
+                at = found.end() if found else end
+        elif tag == "a":
             links = 1
         elif tag == "br":
             add(" ")
         elif tag in BLOCKS:
             now = None
-            ends = CLOSES.get(tag, ()) if tag in CLOSES else ("p",) if tag in NOT_IN_P else ()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    if tag == "p":
-                        break
-                elif stack[i][0] in SCOPES:
-                    break
+            opened.close_implied(tag)
             if tag not in VOID and not attrs.endswith("/"):
-                names, label = (), None
-                if attrs and not attrs.isspace():
-                    got = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-                    label = got.get("data-y") if labelled else None
-                    names = tuple(dict.fromkeys(x.lower() for k in ("class", "id", "role") for x in _NAME.findall(got.get(k, ""))))
-                    if "hidden" in got or re.search(r"display\s*:\s*none", got.get("style", "")):
-                        names += ("hidden",)
-                stack.append((tag, names, label))
+                opened.push(_element(opened.stack[-1] if opened.stack else None, tag, attrs, labelled))
     made = []
     for b in out:
         text = " ".join("".join(b.text).split())
         if text:
-            made.append((text, b.path, 100 * b.linked // max(1, b.chars), len(b.path), None if b.label is None else int(b.label)))
+            label = b.element.label if b.element else None
+            made.append((text, b.element, 100 * b.linked // max(1, b.chars), b.element.depth if b.element else 0, None if label is None else int(label)))
     return made
 
 
+def _around(element: Element | None) -> list[str]:
+    """The features of the elements around a block, found once an element."""
+    if element is None:
+        return ["tag=none", "around=none", "unnamed"]
+    if element.features is None:
+        f, named, e = {f"tag={element.tag}"}, False, element
+        for _ in range(AROUND):
+            if e.tag != element.tag:
+                f.add(f"in={e.tag}")
+            f.update(f"name={x}" for x in e.names)
+            named |= bool(e.names)
+            e = e.parent
+            if e is None:
+                break
+        f.add(f"around={element.parent.tag if element.parent else 'none'}")
+        if not named:
+            f.add("unnamed")
+        element.features = sorted(f)
+    return element.features
+
+
 _BUCKETS = (1, 2, 4, 8, 16, 32, 64)
 
 
 def features(page_blocks: list) -> list[list[str]]:
     n, out = len(page_blocks), []
-    for i, (text, path, linked, _, _) in enumerate(page_blocks):
+    for i, (text, element, linked, _, _) in enumerate(page_blocks):
         words = text.count(" ") + 1
         size = sum(words >= b for b in _BUCKETS)
-        own = path[-1][0] if path else "none"
-        ended = text[-1] in ".!?…:\"”»"
-        f = {f"tag={own}", f"words={size}", f"linked={0 if not linked else 1 if linked < 30 else 2 if linked < 80 else 3}", f"ended={ended}", f"words={size} ended={ended}", f"tag={own} words={size}"}
-        for tag, names in path:
-            if tag != own:
-                f.add(f"in={tag}")
-            for x in names:
-                f.add(f"name={x}")
-        f.add(f"around={path[-2][0] if len(path) > 1 else 'none'}")
-        if not any(names for _, names in path):
-            f.add("unnamed")
+        own = element.tag if element else "none"
+        ended = not text[-1].isalnum()
+        f = {f"words={size}", f"linked={0 if not linked else 1 if linked < 30 else 2 if linked < 80 else 3}", f"ended={ended}", f"words={size} ended={ended}", f"tag={own} words={size}", *_around(element)}
         if "©" in text or "(c)" in text:
             f.add("copyright")
         if " | " in text or " · " in text:

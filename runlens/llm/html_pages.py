@@ -1,10 +1,12 @@
 """Labelled pages to train the extractor with, made by rule: every block of
-text carries data-y="1" (article) or "0" on itself or an element around it. Layouts,
-tag and class names, languages and broken markup vary from page to page."""
+text carries data-y="1" (article) or "0" on itself or an element around it. LAYOUTS are families of
+page frames, from semantic elements over named boxes, tables and nested boxes without names to text in a bare body;
+languages and broken markup vary from page to page within each."""
 
 from __future__ import annotations
 
 import random
+import re
 
 # Class and id names that sites give their parts.
 NAMES = {
@@ -19,20 +21,29 @@ NAMES = {
     "share": "share social sharing follow buttons toolbar".split(),
     "content": "content article post entry-content story main-text article-body post-content body-text text story-body".split(),
 }
-SYLLABLES = "th er on an re he in ed nd ha at en es of ou ea ti or de la le que ment pa en ier ción que ado as ll ich ein sch ge ver und ä ü é è".split()
+# Ordinary words of four languages.
+WORDS = {
+    "en": "river market winter children answer letter between morning history evening simple garden story window music people question during teacher never bridge season almost village together science because another doctor weather".split(),
+    "de": "Straße Wasser zwischen Kinder Geschichte Garten immer Fenster Arbeit können Morgen Brücke schon Lehrer wieder Stadt Wissenschaft über Antwort Winter gegen Musik Frage heute".split(),
+    "fr": "rivière toujours enfants histoire jardin pendant fenêtre travail matin réponse ville science lettre musique hiver question avec village chose encore maison".split(),
+    "es": "mercado siempre niños historia jardín durante ventana trabajo mañana respuesta ciudad ciencia carta música invierno pregunta entre pueblo cosa todavía puente".split(),
+}
+LAYOUTS = ("semantic", "boxes", "prefixed", "table", "bare", "document", "nested", "unmarked")
 
 
 class _Maker:
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
-        self.semantic, self.named = self.r.random() < 0.6, self.r.random() < 0.75
+    def __init__(self, seed: int, layout: str):
+        self.r, self.layout = random.Random(seed), layout
+        self.semantic = layout == "semantic" or (layout in ("document", "nested") and self.r.random() < 0.5)
+        self.named = layout in ("boxes", "prefixed", "document") or (layout in ("semantic", "nested", "table") and self.r.random() < 0.6)
+        self.lang = self.r.choice(list(WORDS))
+        self.prefix = self.r.choice(("c-", "o-", "site__", "js-", "Page", "x-")) if layout == "prefixed" else ""
 
     def word(self) -> str:
-        return "".join(self.r.choices(SYLLABLES, k=self.r.choice((1, 1, 2, 2, 3, 4))))
+        return self.r.choice(WORDS[self.lang])
 
     def words(self, low: int, high: int) -> str:
-        junk = self.r.random() < 0.05
-        return " ".join(self.word() + (self.r.choice(("***", "###", "&amp;&amp;&amp;", "%%%")) if junk else "") for _ in range(self.r.randint(low, high)))
+        return " ".join(self.word() for _ in range(self.r.randint(low, high)))
 
     def sentence(self) -> str:
         return self.words(2, 18).capitalize() + self.r.choice("....!?")
@@ -58,8 +69,9 @@ class _Maker:
         semantic = self.semantic and tag
         name = ""
         if (self.named and self.r.random() < 0.9) or not semantic:
-            name = f' {self.r.choice(("class", "class", "id"))}="{self.r.choice(NAMES[kind])}"'
-        t = tag if semantic else self.r.choice(("div", "div", "section", "td"))
+            own = self.prefix + self.r.choice(NAMES[kind]) + (self.r.choice(("", "__inner", "-block", "--wide")) if self.prefix else "")
+            name = f' {self.r.choice(("class", "class", "id"))}="{own}"' if self.named else ""
+        t = tag if semantic else "td" if self.layout == "table" else self.r.choice(("div", "div", "section"))
         return f'<{t}{name} data-y="{y}">{inner}</{t}>'
 
     def article(self) -> str:
@@ -70,7 +82,7 @@ class _Maker:
         for _ in range(r.choice((1, 2, 3, 4, 6, 9, 14, 22))):
             k = r.random()
             if k < 0.72:
-                out.append(f"<p>{self.prose()}" + ("</p>" if r.random() < 0.9 else ""))
+                out.append(f"<p>{self.prose() if r.random() < 0.93 else self.words(1, 8)}" + ("</p>" if r.random() < 0.9 else ""))
             elif k < 0.79:
                 out.append(f"<{(h := r.choice(('h2', 'h3', 'h4')))}>{self.words(1, 8).capitalize()}</{h}>")
             elif k < 0.84:
@@ -81,7 +93,9 @@ class _Maker:
                 out.append("<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{r.randint(1, 999)}</td></tr>" for _ in range(r.randint(2, 4))) + "</table>")
             elif k < 0.92:
                 out.append(f"<figure><img src='x.png'><figcaption>{self.sentence()}</figcaption></figure>")
-            elif k < 0.93:
+            elif k < 0.925:
+                out.append(f"<p>{' | '.join(self.words(1, 2) for _ in range(r.randint(2, 9)))}{r.choice(('', ' |', '.'))}</p>")
+            elif k < 0.935:
                 out.append(f"<pre>{self.words(4, 20)}</pre>")
             elif k < 0.94:
                 out.append(f"<div>{self.prose()}</div>")
@@ -108,34 +122,51 @@ class _Maker:
 
     def page(self) -> str:
         r = self.r
+        if self.layout == "bare" and r.random() < 0.35:  # text and nothing else
+            text = r.choice((self.prose(), "".join(f"<p>{self.prose()}</p>" for _ in range(r.randint(1, 3))), f"<h1>{self.words(1, 6)}</h1><p>{self.prose()}</p>", f"<p>{self.words(1, 12)}</p>"))
+            return f'<html><body data-y="1">{text}</body></html>'
         before = [lambda: self.box("header", "header", f"<a href='/'>{self.words(1, 3)}</a>" + r.choice(("", f"<p>{self.words(2, 6)}</p>"))), lambda: self.box("nav", "nav", self.links(3, 9)), lambda: self.box("notice", "", f"<p>{self.prose(2)}</p>" if r.random() < 0.5 else self.prose(2)), self.advert, self.form, lambda: self.box("sidebar", "aside", self.sidebar())]
         after = [self.comments, lambda: self.box("sidebar", "aside", self.sidebar()), self.advert, self.form, lambda: self.box("share", "", self.links(2, 5)), lambda: self.box("nav", "nav", self.links(2, 5)), lambda: self.box("notice", "", self.prose(2))]
         top = [f() for f in before if r.random() < 0.45]
         end = [f() for f in after if r.random() < 0.4]
-        end.append(self.box("footer", "footer", r.choice(("&copy; {h} &middot; {p}", "<p>&copy; 20{n} {h}</p>", "<p>{p}</p>" + self.links(2, 5), "{p}", "&copy; {h}")).format(h="www." + self.word() + ".example", p=self.prose(3), n=r.randint(10, 29))))
-        core = self.article()
-        form = r.random()
-        if form < 0.4:
-            core = f'<article data-y="1">{core}</article>'
-        elif form < 0.55:
-            core = f'<main data-y="1">{core}</main>'
-        elif form < 0.65:
-            core = f'<main><article data-y="1">{core}</article>{r.choice(end)}</main>'
-        elif form < 0.72:
-            core = f'<section data-y="1"{r.choice(("", " class=content", " class=main"))}>{core}</section>'
-        elif form < 0.9:
-            core = f'<div {r.choice(("class", "id"))}="{r.choice(NAMES["content"])}" data-y="1">{core}</div>'
-        else:
-            core = f'<div data-y="1">{core}</div>'
-        if r.random() < 0.3:
-            core = f"<div class='{r.choice(('wrapper', 'container', 'page', 'row', 'layout'))}'>{core}{''.join(end[:1])}</div>"
-            end = end[1:] or end
-        head = f"<head><title>{self.words(1, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-        return f"<!DOCTYPE html><html>{head}<body>{''.join(top)}<!-- x -->{core}{''.join(end)}" + ("</body></html>" if r.random() < 0.9 else "")
+        end.append(self.box("footer", "footer", r.choice(("&copy; {h} &middot; {p}", "<p>&copy; 20{n} {h}</p>", "<p>{p}</p>" + self.links(2, 5), "{p}", "&copy; {h}")).format(h="www." + self.word().lower() + ".test", p=self.prose(3), n=r.randint(10, 29))))
+        alone = self.layout != "table" and r.random() < 0.1
+        if alone:
+            top, end = [], [""]
+        core = self.frame(self.article() if not alone or r.random() < 0.6 else f"<p>{self.words(1, 8)}", end)
+        if self.layout == "table":
+            side = "".join(top[:1])
+            core = f"<table><tr>{side}{core}{''.join(end[:1])}</tr></table>"
+            top, end = [f"<table><tr>{x}</tr></table>" for x in top[1:]], [f"<table><tr>{x}</tr></table>" for x in end[1:]]
+        elif self.layout == "nested" or r.random() < 0.2:
+            for name in r.choice((("wrapper",), ("container", "row"), ("page", "layout", "col"))):
+                core = f"<div class='{name}'>{core}{''.join(end[:1])}</div>" if self.named else f"<div>{core}</div>"
+                end = end[1:] or end
+        elif self.layout in ("bare", "unmarked"):
+            top, end = [x for x in top if r.random() < 0.4], [x for x in end if r.random() < 0.5]
+        head = f"<head><title>{self.words(1, 6)}</title>" + r.choice(("", "<style>body{color:#333}</style>", "<script>let a = 1 < 2;</script>", "<link rel=stylesheet href=a.css>")) + "</head>"
+        return f"<!DOCTYPE html><html>{head}<body>{''.join(top)}{r.choice(('', '<!-- main -->'))}{core}{''.join(end)}" + ("</body></html>" if r.random() < 0.9 else "")
+
+    def frame(self, article: str, end: list[str]) -> str:
+        """The article in what the layout has around it."""
+        r, name = self.r, self.prefix + self.r.choice(NAMES["content"])
+        if self.layout == "bare":  # each block is labelled itself
+            return re.sub(r"<(p|h[1-4]|ul|blockquote|figure|pre|div|section|header)(?=[ >])(?![^>]*data-y)", r'<\1 data-y="1"', article)
+        if self.layout == "table":
+            return f'<td data-y="1"{r.choice(("", f" class={name}", " width=70%"))}>{article}</td>'
+        if self.layout in ("boxes", "prefixed"):
+            return f'<div {r.choice(("class", "id"))}="{name}" data-y="1">{article}</div>'
+        if self.layout == "unmarked":
+            return f'<div data-y="1">{article}</div>'
+        if self.layout == "document":
+            return f'<div role="main"><div id="{name}" data-y="1">{article}</div></div>' if r.random() < 0.5 else f'<main id="{name}" data-y="1">{article}</main>'
+        tag = r.choice(("article", "article", "main", "section"))
+        inner = f'<{tag} data-y="1"{r.choice(("", f" class={name}"))}>{article}</{tag}>'
+        return f"<main>{inner}{r.choice(end)}</main>" if tag == "article" and r.random() < 0.3 else inner
 
     def sidebar(self) -> str:
         return self.r.choice((f"<h3>{self.words(1, 3)}</h3>{self.links(2, 6)}", f"<p>{self.prose(2)}</p>", f"<h4>{self.words(1, 3)}</h4><p>{self.prose(2)}</p>", self.links(2, 6)))
 
 
-def labelled_pages(n: int, seed: int = 1) -> list[str]:
-    return [_Maker(seed * 1_000_003 + i).page() for i in range(n)]
+def labelled_pages(n: int, seed: int = 1, layouts: tuple[str, ...] = LAYOUTS) -> list[str]:
+    return [_Maker(seed * 1_000_003 + i, layouts[i % len(layouts)]).page() for i in range(n)]

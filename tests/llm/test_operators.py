@@ -329,15 +329,62 @@ def test_url_model_on_held_out_rows(spark):
     assert held.agg(F.avg(((F.col("s") > 0) == (F.col("label") > 0)).cast("double"))).first()[0] > 0.9
 
 
-def test_html_extract_on_held_out_pages(spark):
+def _f1(field, pages):
     hit = made = want = 0
-    for page in html_pages.labelled_pages(60, seed=77):
+    for page in pages:
         seq = html_extract.sequence(page)
-        out = html_extract.trained().decode([f for f, _ in seq])
+        out = field.decode([f for f, _ in seq])
         hit += sum(a and b for a, (_, b) in zip(out, seq))
         made += sum(out)
         want += sum(b for _, b in seq)
-    assert 2 * hit / (made + want) > 0.93
+    return 2 * hit / (made + want)
+
+
+@pytest.mark.parametrize(("layout", "least"), [("prefixed", 0.9), ("nested", 0.9), ("table", 0.7)])
+def test_html_extract_on_held_out_layouts(layout, least):
+    """A family of page frames of which training sees none."""
+    others = tuple(x for x in html_pages.LAYOUTS if x != layout)
+    field = html_extract.train([html_extract.sequence(p) for p in html_pages.labelled_pages(400, 1, others)])
+    assert _f1(field, html_pages.labelled_pages(60, 77, (layout,))) > least
+
+
+@pytest.mark.parametrize("mark", ['<div class="', "<div ", "<div>x", "<h1>x", "<li>x<ul>", "</h2>x<h3>", "<!--", "<a href='", "<svg>x"])
+def test_html_time_is_linear(mark):
+    """Unclosed, nested and malformed markup of 100 and 400 KB."""
+    from time import process_time
+
+    took = []
+    for size in (100_000, 400_000):
+        begin = process_time()
+        html_extract.features(html_extract.blocks(mark * (size // len(mark))))
+        took.append(process_time() - begin)
+    assert took[1] < 8 * took[0] + 0.3
+
+
+#: A page by hand and what a reader would take from it.
+BY_HAND = """<!doctype html><html><head><title>Bridge opens - Town Paper</title></head><body class="single">
+<div id="top-bar"><a href="/">Town Paper</a> <a href="/login">Log in</a></div>
+<ul class="main-menu"><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li><li><a href="/w">Weather</a></li></ul>
+<div class="cookie-notice"><p>We use cookies to improve this site.</p><button>Accept</button></div>
+<div class="post"><h1>The old bridge opens again</h1>
+<p>After three years of work the bridge over the river opened on <b>Monday</b> morning.</p>
+<p>Hundreds of people walked across it &mdash; many of them with their children.</p>
+<blockquote>&quot;I never thought I would see it,&quot; said one of them.</blockquote>
+<ul><li>The work cost four million.</li><li>It took three winters.</li></ul></div>
+<div class="comment-list"><h3>2 comments</h3><p>About time!</p><p>I liked the old one better.</p></div>
+<form class="newsletter"><label>Your address</label><input><button>Subscribe</button></form>
+<div id="footer"><p>&copy; Town Paper</p><a href="/imprint">Imprint</a></div></body></html>"""
+
+
+def test_html_extract_on_a_page_by_hand():
+    text = html_extract.main_text(BY_HAND, html_extract.trained())
+    assert text.split("\n\n") == ["The old bridge opens again", "After three years of work the bridge over the river opened on Monday morning.", "Hundreds of people walked across it \u2014 many of them with their children.", '"I never thought I would see it," said one of them.', "The work cost four million.", "It took three winters."]
+    for body in ("<p>Only one paragraph of text here, and no more.</p>", "Only one paragraph of text here, and no more."):
+        assert html_extract.main_text(f"<html><body>{body}</body></html>", html_extract.trained()) == "Only one paragraph of text here, and no more."
+
+
+def test_html_extract_on_held_out_pages(spark):
+    assert _f1(html_extract.trained(), html_pages.labelled_pages(80, seed=77)) > 0.93
     rows = [(1, "u", "<article><h1>A&amp;B</h1><p>one\n two</p><p>three <b>four</b></p></article><footer>&copy; x</footer>", "x"), (2, None, None, "x"), (2, None, None, "x"), (None, "u", "", "x"), (4, "u", "<article><p>not closed", "x")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
     assert {r.page_id: (r.text, r.n_chars) for r in got.collect()}[1] == ("A&B\n\none two\n\nthree four", 24)
