@@ -286,15 +286,21 @@ def test_quality_limits_have_no_switch_by_size(spark, n):
 
 
 def test_license_scan(spark, docs, empty):
-    mit = license_scan.LICENSES[0][1]
-    forms = [(1, mit), (2, "Copyright (c) 1999 A Person\n\n" + mit.upper().replace(" ", "  ")), (3, mit + " And more."), (4, None), (5, "Licenced under CC BY-NC 4.0")]
-    more = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(*f, "en", "s") for f in forms], "doc_id long, text string, lang string, source string"))
+    texts = dict(reversed(license_scan.LICENSES))
+    mit, wrapped = texts["MIT"], texts["ISC"].replace("above copyright", "above\ncopyright")
+    forms = [(1, mit), (2, "Copyright (c) 1999 A Person\n\n" + mit.upper().replace(" ", "  ")), (3, mit + " And more."), (4, None), (5, "Licenced under CC BY-NC 4.0"), (6, wrapped), (7, "Some words.\n  Released under the MIT Licence\nMore."), (8, "© 2020 x\n" + texts["BSD-3-Clause"])]
+    forms = [(800_000 + n, t, "en", "s", 0, "clash", 1, "clash", True) for n, t in forms]
+    more = docs.unionByName(spark.createDataFrame(forms, SCHEMA)).withColumns({"digest": F.lit("x"), "license": F.lit("y"), "notice": F.lit("z")})
     known = license_scan.known_licenses(spark)
     got = license_scan.scan(more, known)
     names, want = _duck(more, license_scan.sql())
     assert result(got.select(*names)) == want
-    assert {r.doc_id: r.license for r in got.where("doc_id < 6 AND license IS NOT NULL").collect()} == {1: "MIT", 2: "MIT", 5: "CC-BY-NC-4.0"}
+    found = {r.doc_id - 800_000: (r.license, r.notice) for r in got.where("doc_id > 800000 AND doc_id < 800009 AND coalesce(license, notice) IS NOT NULL").collect()}
+    assert found == {1: ("MIT", None), 2: ("MIT", None), 5: ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), 6: ("ISC", None), 7: (None, "MIT"), 8: ("BSD-3-Clause", None)}
+    digests = {n: r for n, r in zip(range(len(license_scan.LICENSES)), license_scan.LICENSES)}
+    assert license_scan.scan(spark.createDataFrame([(n, t) for n, (_, t) in digests.items()], "doc_id long, text string"), known).where("license IS NULL").count() == 0
     assert license_scan.scan(empty, known).count() == 0
+    assert license_scan.scan(more, known.limit(0)).where("coalesce(license, notice) IS NOT NULL").count() == 0
 
 
 def test_url_filter(spark, empty):
