@@ -8,6 +8,7 @@ LogisticRegression are used; the weights are one bounded literal array.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 from pyspark.ml.classification import LogisticRegression
@@ -24,25 +25,53 @@ LABELLED = 20_000
 #: Rules that are written into the plan; more are joined by host.
 LITERAL_RULES = 64
 
-# Topics whose hosts and paths are blocked or allowed in training.
-_BLOCKED = "casino poker betting jackpot xxx porn sexcam escort viagra pills replica warez torrent crack keygen malware phishing spyware clickbait adserver".split()
-_ALLOWED = "news science library museum university school docs wiki health recipe garden travel history music weather sports research archive journal forum".split()
-_SYLLABLES = "th er on an re he in ed nd ha at en es of ou ea ti or".split()
+# The small labelled table, by host and path. Hosts are invented but for their last part.
+_BLOCK = """
+royal-casino-bonus.test/play casinoslots24.test/free-spins bestpokerroom.test/texas-holdem onlinebetting-tips.test/odds
+sportbets.test/live/football jackpot-lottery.test/win/now roulette-strategy.test/ luckyslots.test/machines/777 bingo-cash.test/bonus-code
+blackjack-club.test/tables megacasino.test/en/register betting-exchange.test/horse-racing gamblers-den.test/dice free-spins-slots.test/a1
+hot-sexcams.test/live xxx-videos.test/tube/123 adult-porn-tube.test/teen nudegirls.test/gallery/9 escortgirls-city.test/berlin
+webcam-sex-chat.test/join pornstars.test/models milf-dating.test/profiles erotic-massage.test/prices sexyladies.test/pics/44
+cheapviagra.test/buy online-pharmacy-pills.test/order cialis-generic.test/discount buy-xanax-cheap.test/no-prescription weightloss-pills.test/miracle
+dietpills-online.test/fast replica-watches.test/rolex fake-handbags.test/louis luxury-replicas.test/sale/2 viagra-pills.test/shop
+warez-download.test/games cracked-software.test/photoshop keygen-serials.test/windows torrent-movies.test/download/hd free-cracks.test/serial-key
+nulled-scripts.test/themes pirated-films.test/watch/free apk-mod-hacked.test/unlimited serialz.test/crack/office torrentz-mirror.test/search
+account-verify-login.test/secure/update secure-bank-login.test/confirm paypall-verify.test/signin free-gift-cards.test/claim win-iphone-now.test/survey
+you-won-prize.test/claim/1000 login-security-alert.test/password crypto-doubler.test/invest bitcoin-giveaway.test/send get-rich-quick.test/system
+make-money-fast.test/home earn-cash-online.test/daily forex-robot-profit.test/signals payday-loans-fast.test/apply instant-loan-approval.test/bad-credit
+debt-relief-now.test/free-quote click-here-free.test/offer doctors-hate-this.test/trick shocking-celebrity.test/photos you-wont-believe.test/story
+miracle-cure.test/cancer hair-growth-secret.test/order ad-tracker.test/click/redirect popunder-ads.test/serve spyware-remover.test/download
+adserver-traffic.test/banner buy-followers.test/instagram cheap-seo-links.test/backlinks linkfarm-directory.test/submit spam-mailer.test/bulk
+""".split()
+_ALLOW = """
+citylibrary.test/catalogue/history university.test/faculty/physics museum-of-art.test/exhibitions primaryschool.test/class/3b townhall.test/services/waste
+hospital-north.test/departments/cardiology weather-service.test/forecast/tomorrow gardeners-almanac.test/roses recipes-and-bread.test/sourdough national-park.test/trails/lakes
+science-journal.test/volume/12/article open-data.test/datasets/rivers archive.test/papers/1999 dictionary.test/words/house encyclopedia.test/articles/volcano
+newspaper-daily.test/politics/election localnews.test/2020/05/bridge-opens radio-station.test/programme/morning orchestra.test/concerts/spring theatre.test/tickets/season
+railway-timetable.test/lines/4 bicycle-club.test/routes/coast mountain-hiking.test/huts sailing-school.test/courses football-club.test/fixtures/2021
+bookshop.test/novels/new woodworking.test/forum/joints knitting-patterns.test/scarf astronomy-society.test/meteor chess-lessons.test/openings
+programming-guide.test/python/functions linux-manual.test/man/ls database-docs.test/sql/joins developer.test/api/reference opensource-project.test/wiki/install
+mathematics.test/algebra/groups physics-lectures.test/mechanics chemistry-lab.test/experiments biology-notes.test/cells geography.test/maps/africa
+parliament.test/debates/2019 court-decisions.test/civil tax-office.test/forms/income employment-agency.test/vacancies post-office.test/parcel/track
+church-choir.test/rehearsals community-centre.test/events volunteer-fire.test/members animal-shelter.test/dogs/adopt bird-watching.test/species/owl
+blog-of-a-teacher.test/2018/lesson-plans my-travel-diary.test/italy/rome photography.test/portfolio/landscape painting-class.test/watercolour architecture-review.test/houses
+car-repair-manual.test/brakes hardware-store.test/paint/white furniture-maker.test/tables farm-market.test/vegetables bakery.test/opening-hours
+insurance-company.test/contact bank-branch.test/locations energy-supplier.test/meters water-works.test/quality internet-provider.test/support
+film-festival.test/programme music-lessons.test/piano comics-fan.test/reviews boardgames.test/rules/chess video-lectures.test/course/statistics
+health-advice.test/children/fever dentist.test/appointments nutrition.test/vitamins sports-medicine.test/knee pharmacy-museum.test/history
+""".split()
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): a small table, label 1 for block, made by rule from the
-    topics: each in sixteen hosts and paths, beside as many neutral hosts."""
-    rows = []
-    for i, (bad, good) in enumerate(zip(_BLOCKED, _ALLOWED, strict=True)):
-        for j in range(16):
-            s = [_SYLLABLES[(i * 7 + j * 5 + k * 3) % len(_SYLLABLES)] for k in range(4)]
-            tld = ("org", "net", "com")[(i + j) % 3]
-            lang = ("en", "de", "fr", "es")[j % 4]
-            forms = ("https://{t}-{a}.{tld}/{a}", "http://www.{a}{t}.{tld}/{l}/{n}", "https://{a}.example.{tld}/{t}/{n}", "http://{t}{n}.{tld}/")
-            for topic, label in ((bad, 1.0), (good, 0.0), ("".join(s[2:]), 0.0)):
-                rows.append((forms[j % 4].format(t=topic, a="".join(s[:2]), tld=tld, l=lang, n=i * 16 + j), label))
-    return spark.createDataFrame(rows, "url string, label double")
+    """(url, label): the small labelled table, label 1 for block; each entry with and without www."""
+    rows = [(f"{start}{u}", label) for label, urls in ((1.0, _BLOCK), (0.0, _ALLOW)) for u in urls for start in ("https://", "http://www.")]
+    return _local(spark, ["url string", "label double"], rows)
+
+
+def _local(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table as a relation of literals in the plan, which needs no Python worker."""
+    data = F.from_json(F.lit(json.dumps([dict(zip((c.split()[0] for c in columns), r, strict=True)) for r in rows])), f"array<struct<{', '.join(c.replace(' ', ': ') for c in columns)}>>")
+    return spark.range(1, numPartitions=1).select(F.inline(data))
 
 
 def host(url: Column) -> Column:
@@ -94,7 +123,7 @@ def score(h: Column, p: Column, weights: list[float]) -> Column:
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "verdict string, host string, path string")
+    return _local(spark, ["verdict string", "host string", "path string"], rules)
 
 
 def _best_rule(h: Column, p: Column, rules: list[tuple[str, str, str]]) -> Column:
