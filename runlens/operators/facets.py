@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.roles import classify, leaf
+from ..functions.roles import classify, label_or_hash, leaf
+from ..sources.scratch import checkpointed
+from .quantiles import distribution, null_safe_join
 from .rankings import selected
 
 FACET = "facet_key", "facet_value", "facet_num", "facet_role"
@@ -27,9 +29,10 @@ def pipeline_facets(pipelines: DataFrame, nodes: DataFrame, params: DataFrame) -
     counts = n.groupBy("pipeline_dag_hash").agg(*[F.count_if(F.col("role") == r).alias(r) for r in roles], F.count("*").alias("stages"))
     p = pipelines.join(counts, "pipeline_dag_hash", "left")
     own = _rows(p, "pipeline_dag_hash", [
-        _facet("pipeline", F.coalesce("label", F.substring("pipeline_dag_hash", 1, 10))),
+        _facet("pipeline", label_or_hash(F.col("label"), F.col("pipeline_dag_hash"))),
         _facet("is_linear", F.when(F.col("is_linear") == 1, "linear").otherwise("branching")),
         _facet("model", leaf(F.col("main_model")), role="model"),
+        _facet("model_family", F.coalesce("model_family", leaf(F.col("main_model"))) if "model_family" in pipelines.columns else leaf(F.col("main_model")), role="model"),
         _facet("n_models", F.col("model"), F.col("model"), "model"),
         _facet("n_preprocessing", F.col("preprocessing"), F.col("preprocessing"), "preprocessing"),
         _facet("n_augmentation", F.col("augmentation"), F.col("augmentation"), "augmentation"),
@@ -54,7 +57,7 @@ def literal_text(json: Column) -> Column:
 
 def condition_facets(conditions: DataFrame, datasets: DataFrame) -> DataFrame:
     rows = conditions.join(datasets, "dataset_fingerprint", "left")
-    return _rows(rows, "run_condition_hash", [_facet("dataset", F.coalesce("dataset_name", F.substring("dataset_fingerprint", 1, 10))), _facet("domain", F.col("domain")), _facet("seed", F.col("seed"), F.col("seed"))])
+    return _rows(rows, "run_condition_hash", [_facet("dataset", label_or_hash(F.col("dataset_name"), F.col("dataset_fingerprint"))), _facet("seed", F.col("seed"), F.col("seed")), *[_facet(c, F.col(c), F.col(c) if c == "n_folds" else None) for c in ("domain", "task_type", "split_method", "cv_method", "n_folds", "refit_strategy") if c in rows.columns]])
 
 
 def run_facets(conditions: DataFrame, datasets: DataFrame, pipelines: DataFrame, nodes: DataFrame, params: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def values(facets: DataFrame, key: str, limit: int | None = 200) -> DataFrame:
 
 
 #: What a pivot can make of a group's scores.
-AGGREGATES = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}
+AGGREGATES = {"mean": F.avg, "median": None, "min": F.min, "max": F.max}
 
 
 def pivot(m: DataFrame, facets: DataFrame, group_by: str, color_by: str | None = None, metric: str = "rmse", scope: str = "cv", agg: str = "mean", **options) -> DataFrame:
@@ -88,6 +91,10 @@ def pivot(m: DataFrame, facets: DataFrame, group_by: str, color_by: str | None =
     if color_by is not None:
         rows, keys = rows.join(facets.where(F.col("facet_key") == color_by).select("run_condition_hash", F.col("facet_value").alias("color")), "run_condition_hash"), [*keys, "color"]
     v = F.col("metric_value")
+    if agg == "median":
+        rows = checkpointed(rows.select(*keys, "metric_value", "execution_hash"))
+        middle = distribution(rows, keys, "metric_value", {"score": 0.5}).select(*keys, "score")
+        return null_safe_join(rows.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.count_distinct("execution_hash").alias("n_runs")), middle, keys)
     return rows.groupBy(*keys).agg(AGGREGATES[agg](v).alias("score"), F.min(v).alias("min"), F.max(v).alias("max"), F.count_distinct("execution_hash").alias("n_runs"))
 
 

@@ -5,9 +5,11 @@ A metric that isn't defined for a group gives no row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import distribution, null_safe_join, ranks
+
 #: Probabilities are kept this far from 0 and 1.
 EPS = 1e-15
 REGRESSION = ("mse", "rmse", "mae", "medae", "bias", "r2", "rpd", "rpiq", "ccc")
@@ -27,11 +29,14 @@ def regression(rows: DataFrame, keys: list[str]) -> DataFrame:
     t, p = F.col("y_true").cast("double"), F.col("y_pred").cast("double")
     ok = _finite(t) & _finite(p)
     pairs = rows.select(*keys, F.when(ok, t).alias("t"), F.when(ok, p).alias("p"), F.when(ok, t - p).alias("e"))
-    q = F.percentile("t", F.array(F.lit(0.25), F.lit(0.75)))
+    both = pairs.select(*keys, F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("t").alias("v")), F.struct(F.lit("e").alias("side"), F.abs("e").alias("v")))).alias("x")).select(*keys, "x.*")
+    q = distribution(both, [*keys, "side"], "v", {"low": 0.25, "middle": 0.5, "high": 0.75})
+    q = q.groupBy(*keys).agg(F.max(F.when(F.col("side") == "e", F.col("middle"))).alias("medae"), F.max(F.when(F.col("side") == "t", F.col("high") - F.col("low"))).alias("iqr"))
     g = pairs.groupBy(*keys).agg(
-        F.count("e").alias("n_samples"), F.count("*").alias("n"), F.avg(F.col("e") * F.col("e")).alias("mse"), F.avg(F.abs("e")).alias("mae"), F.median(F.abs("e")).alias("medae"), F.avg("e").alias("bias"),
-        F.var_pop("t").alias("vt"), F.var_pop("p").alias("vp"), F.covar_pop("t", "p").alias("cov"), (F.avg("t") - F.avg("p")).alias("gap"), (q[1] - q[0]).alias("iqr"),
+        F.count("e").alias("n_samples"), F.count("*").alias("n"), F.avg(F.col("e") * F.col("e")).alias("mse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"),
+        F.var_pop("t").alias("vt"), F.var_pop("p").alias("vp"), F.covar_pop("t", "p").alias("cov"), (F.avg("t") - F.avg("p")).alias("gap"),
     ).where("n_samples > 0")
+    g = null_safe_join(g, q, keys)
     rmse, varied = F.sqrt("mse"), F.col("vt") > 0
     wide = g.withColumns({
         "coverage": F.col("n_samples") / F.col("n"),
@@ -83,8 +88,7 @@ def roc_auc(rows: DataFrame, keys: list[str]) -> DataFrame:
     then a running sum over distinct scores replaces a rank over rows."""
     c = F.least(F.greatest(F.col("score"), F.lit(EPS)), F.lit(1 - EPS))
     g = rows.where("y_true IS NOT NULL AND score IS NOT NULL").groupBy(*keys, c.alias("score")).agg(F.count("*").alias("n"), F.count_if(F.col("y_true") == 1).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = g.withColumn("rank", before + (F.col("n") + 1) / 2).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").cast("double").alias("pos"), F.sum("n").cast("double").alias("n"))
+    r = ranks(g, keys, "score").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").cast("double").alias("pos"), F.sum("n").cast("double").alias("n"))
     auc = F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos")))
     return r.select(*keys, auc.alias("roc_auc")).where("roc_auc IS NOT NULL")
 

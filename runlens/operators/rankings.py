@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import classify, label_or_hash
+from ..sources.scratch import checkpointed
+from .quantiles import distribution
 
 # The directions of the metrics in which more is better, and the scopes.
 MAXIMISED = frozenset("r2 rpd rpiq ccc accuracy balanced_accuracy f1_macro f1_micro precision_macro recall_macro roc_auc mcc".split())
@@ -58,7 +60,7 @@ def leaderboard(m: DataFrame, metric: str = "rmse", scope: str = "cv", limit: in
 def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
     """rows with a global row number: range-partitioned, numbered in each range,
     and moved by the counts of the ranges before (one row a range)."""
-    part = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    part = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     part = part.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     sizes = part.groupBy("_range").agg(F.max("_n").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -94,8 +96,8 @@ def operator_effect(m: DataFrame, nodes: DataFrame, metric: str = "rmse", scope:
     superseded scores included."""
     used = nodes.withColumn("role", classify(F.col("operator"), F.col("kind"))).where("operator IS NOT NULL AND role != 'input'")
     rows = selected(m, metric, scope, superseded=True).join(used, "pipeline_dag_hash")
-    v = F.col("metric_value")
-    return rows.groupBy("operator").agg(F.max("role").alias("role"), *_spread(v), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    roles = used.groupBy("operator").agg(F.max("role").alias("role"))
+    return distribution(rows, ["operator"], "metric_value", {"median": 0.5}).join(roles, "operator")
 
 
 def parameter_effect(m: DataFrame, params: DataFrame, param: str, metric: str = "rmse", scope: str = "cv") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed
+from .quantiles import distribution
 from .rankings import selected
 
 
@@ -13,18 +15,13 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def _summary(v: Column) -> list[Column]:
-    quartiles = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(v).alias("n"), F.avg(v).alias("mean"), quartiles[1].alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), quartiles[0].alias("p25"), quartiles[2].alias("p75")]
-
-
 def execution_scores(m: DataFrame, metric: str = "rmse", scope: str = "cv", **options) -> DataFrame:
     return selected(m, metric, scope, **options).groupBy("execution_hash", "run_condition_hash", "dataset_fingerprint").agg(F.avg("metric_value").alias("score"))
 
 
 def summary(m: DataFrame, metric: str = "rmse", scope: str = "cv", by: str | None = None) -> DataFrame:
     """Statistics of the executions' mean scores, of all or by one column."""
-    return execution_scores(m, metric, scope).groupBy(*([by] if by else [])).agg(*_summary(F.col("score")))
+    return distribution(execution_scores(m, metric, scope), [by] if by else [], "score", {"median": 0.5, "p25": 0.25, "p75": 0.75})
 
 
 def correlations(m: DataFrame, facets: DataFrame, metric: str = "rmse", scope: str = "cv") -> DataFrame:
@@ -38,7 +35,7 @@ def correlations(m: DataFrame, facets: DataFrame, metric: str = "rmse", scope: s
 
 def histogram(m: DataFrame, metric: str = "rmse", scope: str = "cv", bins: int = 28) -> DataFrame:
     """(bin, n): executions' scores in equal bins from the least to the greatest; empty bins are absent."""
-    scores = execution_scores(m, metric, scope)
+    scores = checkpointed(execution_scores(m, metric, scope))
     lo, hi = (scores.agg(f("score")).scalar() for f in (F.min, F.max))
     at = F.coalesce(F.floor(F.try_divide((F.col("score") - lo) * bins, hi - lo)), F.lit(0))
     return scores.groupBy(F.least(at, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.roles import classify, classify_sql
 from ..functions.identity import RUN_CONDITION, pseudonym
+from ..functions.roles import classify, classify_sql
 from ..operators import catalogue, facets, graphs, ingest, metrics, rankings, residuals, statistics
 from ..sources import driver_tables as T
 
@@ -18,7 +18,7 @@ NATIONS = ("FRANCE", "GERMANY", "INDIA")
 MODELS = ("PLSRegression", "RandomForestRegressor", "Ridge", "SVR", "TabPFNRegressor")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+_SQL: dict[str, tuple[str, bool]] = {}
 
 
 def query(sql: str | None = None, views: bool = True):
@@ -27,7 +27,7 @@ def query(sql: str | None = None, views: bool = True):
     def put(f):
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = f"{T.sql_views()}\n{sql}" if views else sql
+            _SQL[f.__name__] = sql, views
         return f
 
     return put
@@ -164,8 +164,7 @@ def run_explorer_operator(spark, sf):
     return rounded(rankings.run_explorer(T.backbone(spark, sf), T.nodes(spark), operator="sklearn.svm.SVR"))
 
 
-_ROLES = f"(SELECT *, {classify_sql('operator', 'kind')} AS role, split_part(operator, '.', -1) AS leaf FROM nodes)"
-_USED = f"(SELECT * FROM {_ROLES} WHERE operator IS NOT NULL AND role <> 'input')"
+_ROLES, _USED, _COUNTS, _FACETS = "roles", "used", "counts", "facets"
 
 
 @query(f"SELECT operator, max(role) AS role, count(metric_value) AS n, round(avg(metric_value), 6) AS mean, round(stddev_pop(metric_value), 6) AS std, round(median(metric_value), 6) AS median, round(min(metric_value), 6) AS min, round(max(metric_value), 6) AS max FROM backbone JOIN {_USED} u USING (pipeline_dag_hash) WHERE {ALL} GROUP BY operator")
@@ -195,23 +194,31 @@ def best_per_dataset(spark, sf):
 
 # Facets
 
-_COUNTS = f"(SELECT p.*, {', '.join(f'(SELECT count(*) FROM {_USED} u WHERE u.pipeline_dag_hash = p.pipeline_dag_hash AND u.role = {chr(39)}{r}{chr(39)}) AS {r}' for r in ('model', 'preprocessing', 'augmentation', 'scaler', 'feature_selection'))}, (SELECT count(*) FROM {_USED} u WHERE u.pipeline_dag_hash = p.pipeline_dag_hash) AS stages FROM pipelines p)"
-
-
 def _facet_sql() -> str:
-    plain = lambda key, value, num="NULL", role="condition": f"SELECT pipeline_dag_hash, '{key}' AS facet_key, CAST({value} AS VARCHAR) AS facet_value, CAST({num} AS DOUBLE) AS facet_num, '{role}' AS facet_role FROM {_COUNTS}"
+    plain = lambda key, value, num="NULL", role="condition": f"SELECT pipeline_dag_hash, '{key}' AS facet_key, CAST({value} AS VARCHAR) AS facet_value, CAST({num} AS DOUBLE) AS facet_num, '{role}' AS facet_role FROM counts"
     yes = lambda c: f"CASE WHEN {c} > 0 THEN 'yes' ELSE 'no' END"
-    parts = [plain("pipeline", "label"), plain("is_linear", "CASE WHEN is_linear = 1 THEN 'linear' ELSE 'branching' END"), plain("model", "split_part(main_model, '.', -1)", role="model"), plain("n_stages", "stages", "stages")]
+    parts = [plain("pipeline", "label"), plain("is_linear", "CASE WHEN is_linear = 1 THEN 'linear' ELSE 'branching' END"), plain("n_stages", "stages", "stages")]
+    parts += [plain(k, "split_part(main_model, '.', -1)", role="model") for k in ("model", "model_family")]
     parts += [plain(f"n_{r}{s}", r, r, r) for r, s in (("model", "s"), ("preprocessing", ""), ("augmentation", ""))]
     parts += [plain(f"has_{r}", yes(r), role=r) for r in ("augmentation", "scaler", "feature_selection")]
-    parts += [f"SELECT pipeline_dag_hash, {key}, leaf, NULL, role FROM {_USED} WHERE {where}" for key, where in (("role || '_op'", "true"), ("'operator'", "true"), ("'merge_strategy'", "role = 'merge'"))]
+    parts += [f"SELECT pipeline_dag_hash, {key}, leaf, NULL, role FROM used WHERE {where}" for key, where in (("role || '_op'", "true"), ("'operator'", "true"), ("'merge_strategy'", "role = 'merge'"))]
     parts.append("SELECT pipeline_dag_hash, 'param:' || param_name, CASE value_json WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' ELSE trim(value_json, '\"') END, numeric_value, 'param' FROM params")
     own = " UNION ALL ".join(parts)
-    cond = " UNION ALL ".join(f"SELECT run_condition_hash, '{k}', CAST({v} AS VARCHAR), CAST({n} AS DOUBLE), 'condition' FROM run_conditions JOIN datasets USING (dataset_fingerprint)" for k, v, n in (("dataset", "dataset_name", "NULL"), ("domain", "domain", "NULL"), ("seed", "seed", "seed")))
-    return f"(SELECT run_condition_hash, facet_key, facet_value, max(facet_num) AS facet_num, max(facet_role) AS facet_role FROM run_conditions JOIN ({own}) USING (pipeline_dag_hash) GROUP BY ALL UNION ALL {cond})"
+    cond = " UNION ALL ".join(f"SELECT run_condition_hash, '{k}', CAST({v} AS VARCHAR), CAST({n} AS DOUBLE), 'condition' FROM run_conditions JOIN datasets USING (dataset_fingerprint)" for k, v, n in (("dataset", "dataset_name", "NULL"), ("domain", "domain", "NULL"), ("seed", "seed", "seed"), ("task_type", "task_type", "NULL"), ("split_method", "split_method", "NULL"), ("cv_method", "cv_method", "NULL"), ("n_folds", "n_folds", "n_folds"), ("refit_strategy", "refit_strategy", "NULL")))
+    return f"SELECT run_condition_hash, facet_key, facet_value, max(facet_num) AS facet_num, max(facet_role) AS facet_role FROM run_conditions JOIN ({own}) USING (pipeline_dag_hash) GROUP BY ALL UNION ALL {cond}"
 
 
-_FACETS = _facet_sql()
+def _shared(sql: str) -> str:
+    """The views that a query's SQL needs beyond the tables', each computed once."""
+    roles = ("model", "preprocessing", "augmentation", "scaler", "feature_selection")
+    made = {
+        "roles": f"SELECT *, {classify_sql('operator', 'kind')} AS role, split_part(operator, '.', -1) AS leaf FROM nodes",
+        "used": "SELECT * FROM roles WHERE operator IS NOT NULL AND role <> 'input'",
+        "counts": f"SELECT p.*, {', '.join(f'coalesce({r}, 0) AS {r}' for r in (*roles, 'stages'))} FROM pipelines p LEFT JOIN (SELECT pipeline_dag_hash, count(*) AS stages, {', '.join(f'count(*) FILTER (role = {chr(39)}{r}{chr(39)}) AS {r}' for r in roles)} FROM used GROUP BY 1) USING (pipeline_dag_hash)",
+        "facets": _facet_sql(),
+    }
+    need = list(made) if "facets" in sql else ["roles", "used"] if "used" in sql or "roles" in sql else []
+    return "".join(f",\n{k} AS MATERIALIZED ({made[k]})" for k in need)
 
 
 @query(f"SELECT * FROM {_FACETS}")
@@ -231,7 +238,7 @@ def facet_values(spark, sf):
 
 def _pivot(key: str, color: str | None, score: str = "avg") -> str:
     one = lambda k, v: f"(SELECT run_condition_hash, facet_value AS {v}, facet_num AS num FROM {_FACETS} WHERE facet_key = '{k}')"
-    join = f" JOIN (SELECT run_condition_hash, color FROM {one(color, 'color')}) USING (run_condition_hash)" if color else ""
+    join = f" JOIN {one(color, 'color')[:-1].replace(', facet_num AS num', '')}) USING (run_condition_hash)" if color else ""
     return f"SELECT value, num, {'color, ' if color else ''}round({score}(metric_value), 6) AS score, round(min(metric_value), 6) AS min, round(max(metric_value), 6) AS max, count(DISTINCT execution_hash) AS n_runs FROM backbone JOIN {one(key, 'value')} USING (run_condition_hash){join} WHERE {SEL} GROUP BY ALL"
 
 
@@ -250,14 +257,11 @@ def pivot_numeric(spark, sf):
     return rounded(facets.pivot(T.backbone(spark, sf), _facets(spark, sf), "seed", agg="median"))
 
 
-@query(f"SELECT execution_hash, run_condition_hash, round(score, 6) AS score, " + ", ".join(f"(SELECT min(facet_value) FROM fc f WHERE f.run_condition_hash = s.run_condition_hash AND facet_key = '{k}') AS {k}" for k in ("model", "domain", "seed")) + f" FROM (SELECT execution_hash, run_condition_hash, avg(metric_value) AS score FROM backbone WHERE {SEL} GROUP BY ALL) s")
+@query(f"SELECT execution_hash, run_condition_hash, round(score, 6) AS score, " + ", ".join(f"(SELECT min(facet_value) FROM facets f WHERE f.run_condition_hash = s.run_condition_hash AND facet_key = '{k}') AS {k}" for k in ("model", "domain", "seed")) + f" FROM (SELECT execution_hash, run_condition_hash, avg(metric_value) AS score FROM backbone WHERE {SEL} GROUP BY ALL) s")
 def parallel_coordinates(spark, sf):
     return rounded(facets.parallel(T.backbone(spark, sf), _facets(spark, sf), ["model", "domain", "seed"]))
 
 
-_SQL["parallel_coordinates"] = _SQL["parallel_coordinates"].replace("\nSELECT execution_hash, run", f", fc AS (SELECT * FROM {_FACETS})\nSELECT execution_hash, run", 1)
-
-
 # Statistics and graphs
 
 _EXEC = f"(SELECT execution_hash, run_condition_hash, dataset_fingerprint, avg(metric_value) AS score FROM backbone WHERE {SEL} GROUP BY ALL)"
@@ -441,4 +445,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    common = T.sql_views()
+    return {name: f"{common}{_shared(sql)}\n{sql}" if views else sql for name, (sql, views) in _SQL.items()}

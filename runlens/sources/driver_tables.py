@@ -94,7 +94,10 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return executions(spark, sf_dir).select("run_condition_hash", "pipeline_dag_hash", "dataset_fingerprint", "seed").distinct()
+    """Each with what its facets tell; a condition's methods follow from its pipeline's priority and its seed."""
+    rc = executions(spark, sf_dir).select("run_condition_hash", "pipeline_dag_hash", "dataset_fingerprint", "seed").distinct()
+    odd = F.col("seed") % 2 == 1
+    return rc.withColumns({"task_type": F.lit("regression"), "split_method": F.when(F.col("pipeline_dag_hash").contains("-"), "holdout").otherwise("kennard_stone"), "cv_method": F.when(odd, "kfold").otherwise("shuffle"), "n_folds": F.when(odd, 5).otherwise(10).cast("long"), "refit_strategy": F.lit("full")})
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +170,7 @@ def sql_views() -> str:
             CASE WHEN o_orderstatus = 'P' THEN 'quarantined' ELSE 'valid' END AS execution_validity, CASE WHEN o_custkey % 2 = 0 THEN 'release' ELSE 'user' END AS collection_id,
             c_mktsegment || '|' || o_orderpriority || '|' || c_nationkey || '|' || year(o_orderdate) AS run_condition_hash
             FROM orders JOIN customer ON o_custkey = c_custkey""",
-        "run_conditions": "SELECT DISTINCT run_condition_hash, pipeline_dag_hash, dataset_fingerprint, seed FROM executions",
+        "run_conditions": "SELECT DISTINCT run_condition_hash, pipeline_dag_hash, dataset_fingerprint, seed, 'regression' AS task_type, CASE WHEN contains(pipeline_dag_hash, '-') THEN 'holdout' ELSE 'kennard_stone' END AS split_method, CASE WHEN seed % 2 = 1 THEN 'kfold' ELSE 'shuffle' END AS cv_method, CAST(CASE WHEN seed % 2 = 1 THEN 5 ELSE 10 END AS BIGINT) AS n_folds, 'full' AS refit_strategy FROM executions",
         "observations": """SELECT l_orderkey AS order_key, CASE WHEN l_linestatus = 'F' THEN 'test' ELSE 'cv' END AS score_scope, CASE WHEN l_orderkey % 10 = 0 THEN 'superseded' ELSE 'valid' END AS score_validity,
             CASE l_returnflag WHEN 'A' THEN 'rmse' WHEN 'N' THEN 'r2' ELSE 'mae' END AS metric_name, sqrt(l_extendedprice / l_quantity) AS metric_value,
             'fold' || l_linenumber AS fold_id, CASE WHEN l_linestatus = 'F' THEN 'test' ELSE 'validation' END AS "partition" FROM lineitem""",
