@@ -35,22 +35,23 @@ def is_hash(c: Column) -> Column:
     return c.rlike("^[0-9a-f]{64}$")
 
 
-def _quoted(c: Column) -> Column:
-    """A string as JSON writes it: hashes, names and ids need quotes and backslashes escaped, no more."""
-    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+def quoted(c: Column) -> Column:
+    """A string or null as JSON writes it: hashes, names and ids need quotes and backslashes escaped, no more."""
+    text = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.coalesce(text, F.lit("null"))
 
 
 def hash_of(**fields: Column) -> Column:
     """The fingerprint of an object of plain strings."""
     parts: list[Column] = []
     for i, key in enumerate(sorted(fields)):
-        parts += [F.lit(("{" if i == 0 else ",") + f'"{key}":'), _quoted(fields[key])]
+        parts += [F.lit(("{" if i == 0 else ",") + f'"{key}":'), quoted(fields[key])]
     return F.sha2(F.concat(*parts, F.lit("}")), 256)
 
 
 def run_condition_hash(**parts: Column) -> Column:
     """The fingerprint of the six component hashes in their fixed order."""
-    pairs = [F.concat(F.lit(f'["{name}",'), _quoted(parts[name]), F.lit("]")) for name in RUN_CONDITION]
+    pairs = [F.concat(F.lit(f'["{name}",'), quoted(parts[name]), F.lit("]")) for name in RUN_CONDITION]
     return F.sha2(F.concat(F.lit('{"components":['), F.concat_ws(",", *pairs), F.lit('],"kind":"run_condition","v":1}')), 256)
 
 
@@ -125,8 +126,12 @@ def normal_graph(source) -> dict:
     by_id = {n["id"]: n for n in nodes}
     order = _sorted_topologically([n["id"] for n in nodes], edges)
     signed: dict[str, str] = {}
+    into: dict[str, list[tuple[str, str]]] = {i: [] for i in by_id}
+    for src, _, dst, port in edges:
+        if src in by_id and dst in by_id:
+            into[dst].append((port, src))
     for i in _sorted_topologically(list(by_id), edges):
-        inputs = [(port, signed.get(src, "<unresolved>")) for src, _, dst, port in edges if dst == i and src in by_id]
+        inputs = [(port, signed.get(src, "<unresolved>")) for port, src in into[i]]
         loose = by_id[i]["content"]["kind"].lower() in UNORDERED
         rows = sorted(map(list, inputs)) if loose else [[k, *x] for k, x in enumerate(inputs)]
         signed[i] = fingerprint({"content": by_id[i]["content"], "inputs": rows, "order_sensitive": not loose})

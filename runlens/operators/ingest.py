@@ -14,8 +14,10 @@ RESIDUAL_CAP = 1_000_000
 
 
 def upsert(new: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of new to append: one per key, none that exists."""
-    return new.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
+    """The rows of new to append: one per key, the least of several, none that exists."""
+    rest = [c for c in new.columns if c not in key]
+    once = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*").select(new.columns) if rest else new.distinct()
+    return once.join(existing.select(*key), key, "left_anti")
 
 
 def verify(manifests: DataFrame, quarantine: bool = True) -> DataFrame:
@@ -64,20 +66,26 @@ def publishable(residuals: DataFrame, salt: str, regression: bool = True) -> Dat
 
 def within_cap(residuals: DataFrame, cap: int = RESIDUAL_CAP) -> DataFrame:
     """The residuals of exports with at most cap rows; others keep their scores
-    only, as the policy says. Counts are aggregated before any join."""
-    few = residuals.groupBy("export_hash").agg(F.count("*").alias("n")).where(F.col("n") <= cap)
+    only, as the policy says, and are flagged by cap_report(). Counts are aggregated before any join."""
+    few = cap_report(residuals, cap).where("NOT truncated")
     return residuals.join(few.select("export_hash"), "export_hash", "left_semi")
 
 
+def cap_report(residuals: DataFrame, cap: int = RESIDUAL_CAP) -> DataFrame:
+    """(export_hash, n_rows, truncated) of every export with residuals: what within_cap() leaves out is flagged here."""
+    return residuals.groupBy("export_hash").agg(F.count("*").alias("n_rows")).withColumn("truncated", F.col("n_rows") > cap)
+
+
 def superseded(score_sets: DataFrame) -> DataFrame:
     """score_sets with validity: of an execution's sets of a scope the latest by seq is valid."""
-    last = Window.partitionBy("execution_hash", "scope").orderBy(F.desc("seq"))
+    ties = [c for c in ("score_set_id",) if c in score_sets.columns]
+    last = Window.partitionBy("execution_hash", "scope").orderBy(F.desc("seq"), *ties)
     return score_sets.withColumn("validity", F.when(F.row_number().over(last) == 1, "valid").otherwise("superseded"))
 
 
 def latest(events: DataFrame, key: str, value: str) -> DataFrame:
     """The last status of each key from appended status events."""
-    return events.groupBy(key).agg(F.max_by(value, "seq").alias(value))
+    return events.groupBy(key).agg(F.max(F.struct("seq", value))[value].alias(value))
 
 
 def plan(targets: DataFrame, executions: DataFrame) -> DataFrame:

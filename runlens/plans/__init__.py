@@ -8,34 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import RUN_CONDITION, pseudonym
-from ..functions.roles import classify, classify_sql
+from ..functions.roles import classify
 from ..operators import catalogue, facets, graphs, ingest, metrics, rankings, residuals, statistics
 from ..sources import driver_tables as T
+from . import registry
+from .registry import query, rounded
 
 SEL = "metric_name = 'rmse' AND score_scope = 'cv' AND score_validity = 'valid' AND execution_validity = 'valid'"
 ALL = "metric_name = 'rmse' AND score_scope = 'cv' AND execution_validity = 'valid'"
 NATIONS = ("FRANCE", "GERMANY", "INDIA")
 MODELS = ("PLSRegression", "RandomForestRegressor", "Ridge", "SVR", "TabPFNRegressor")
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, tuple[str, bool]] = {}
-
-
-def query(sql: str | None = None, views: bool = True):
-    """Registers a query under its name, with its SQL over the common views."""
-
-    def put(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql, views
-        return f
-
-    return put
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Sums of doubles depend on the order of rows: results are compared without their last digits."""
-    return df.select(*[F.round(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+_ROLES, _USED, _FACETS = "roles", "used", "facets"
 
 
 def _pipes(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -49,10 +33,21 @@ def _facets(spark: SparkSession, sf: str) -> DataFrame:
 # Catalogue
 
 
-@query("SELECT 'datasets' AS name, count(*) AS n FROM datasets UNION ALL SELECT 'executions', count(*) FROM executions UNION ALL SELECT 'valid_executions', count(*) FROM executions WHERE execution_validity = 'valid' UNION ALL SELECT 'observations', count(*) FROM observations UNION ALL SELECT 'pipelines', count(*) FROM pipelines UNION ALL SELECT 'run_conditions', count(*) FROM run_conditions")
+_COUNTED = {
+    "collections": "SELECT DISTINCT collection_id FROM executions", "datasets": "SELECT * FROM datasets", "domains": "SELECT DISTINCT domain FROM datasets", "executions": "SELECT * FROM executions", "metrics": "SELECT DISTINCT metric_name FROM observations",
+    "nodes": "SELECT * FROM nodes", "observations": "SELECT * FROM observations", "operators": "SELECT DISTINCT operator FROM nodes", "parameters": "SELECT DISTINCT param_name, value_json FROM params", "pipelines": "SELECT * FROM pipelines",
+    "residual_sets": "SELECT DISTINCT residual_set_id FROM residuals", "run_conditions": "SELECT * FROM run_conditions", "seeds": "SELECT DISTINCT seed FROM run_conditions", "valid_executions": "SELECT * FROM executions WHERE execution_validity = 'valid'",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS name, count(*) AS n FROM ({v})" for k, v in _COUNTED.items()))
 def overview_counts(spark, sf):
-    e = T.executions(spark, sf)
-    return catalogue.overview(datasets=T.datasets(spark, sf), executions=e, valid_executions=e.where("execution_validity = 'valid'"), observations=T.observations(spark, sf), pipelines=T.pipelines(spark), run_conditions=T.run_conditions(spark, sf))
+    e, o, d, n, rc = T.executions(spark, sf), T.observations(spark, sf), T.datasets(spark, sf), T.nodes(spark), T.run_conditions(spark, sf)
+    distinct = lambda df, *c: df.select(*c).distinct()
+    return catalogue.overview(
+        collections=distinct(e, "collection_id"), datasets=d, domains=distinct(d, "domain"), executions=e, metrics=distinct(o, "metric_name"), nodes=n, observations=o, operators=distinct(n, "operator"), parameters=distinct(T.params(spark), "param_name", "value_json"),
+        pipelines=T.pipelines(spark), residual_sets=distinct(T.residuals(spark, sf), "residual_set_id"), run_conditions=rc, seeds=distinct(rc, "seed"), valid_executions=e.where("execution_validity = 'valid'"),
+    )
 
 
 @query("SELECT DISTINCT metric_name FROM observations")
@@ -89,11 +84,6 @@ def _targets(spark, sf):
     return T.pipelines(spark).select("pipeline_dag_hash", each, F.lit("release").alias("collection_id"))
 
 
-@query(f"SELECT pipeline_dag_hash, dataset_fingerprint, collection_id FROM ({_PAIRS}) p WHERE NOT EXISTS (SELECT 1 FROM executions e WHERE execution_validity = 'valid' AND e.pipeline_dag_hash = p.pipeline_dag_hash AND e.dataset_fingerprint = p.dataset_fingerprint)")
-def planned_runs(spark, sf):
-    return catalogue.planned(_targets(spark, sf), T.executions(spark, sf)).select("pipeline_dag_hash", "dataset_fingerprint", "collection_id")
-
-
 @query(f"""SELECT pipeline_dag_hash, dataset_fingerprint, collection_id, CASE WHEN EXISTS (SELECT 1 FROM executions e WHERE execution_validity = 'valid' AND e.pipeline_dag_hash = p.pipeline_dag_hash AND e.dataset_fingerprint = p.dataset_fingerprint) THEN 'already_run' ELSE 'planned' END AS status,
     'plan_' || substr(sha256('{{"c":"' || collection_id || '","d":"' || dataset_fingerprint || '","p":"' || pipeline_dag_hash || '"}}'), 1, 16) AS plan_id FROM ({_PAIRS}) p""")
 def plan_or_display(spark, sf):
@@ -164,7 +154,6 @@ def run_explorer_operator(spark, sf):
     return rounded(rankings.run_explorer(T.backbone(spark, sf), T.nodes(spark), operator="sklearn.svm.SVR"))
 
 
-_ROLES, _USED, _COUNTS, _FACETS = "roles", "used", "counts", "facets"
 
 
 @query(f"SELECT operator, max(role) AS role, count(metric_value) AS n, round(avg(metric_value), 6) AS mean, round(stddev_pop(metric_value), 6) AS std, round(median(metric_value), 6) AS median, round(min(metric_value), 6) AS min, round(max(metric_value), 6) AS max FROM backbone JOIN {_USED} u USING (pipeline_dag_hash) WHERE {ALL} GROUP BY operator")
@@ -194,33 +183,6 @@ def best_per_dataset(spark, sf):
 
 # Facets
 
-def _facet_sql() -> str:
-    plain = lambda key, value, num="NULL", role="condition": f"SELECT pipeline_dag_hash, '{key}' AS facet_key, CAST({value} AS VARCHAR) AS facet_value, CAST({num} AS DOUBLE) AS facet_num, '{role}' AS facet_role FROM counts"
-    yes = lambda c: f"CASE WHEN {c} > 0 THEN 'yes' ELSE 'no' END"
-    parts = [plain("pipeline", "label"), plain("is_linear", "CASE WHEN is_linear = 1 THEN 'linear' ELSE 'branching' END"), plain("n_stages", "stages", "stages")]
-    parts += [plain(k, "split_part(main_model, '.', -1)", role="model") for k in ("model", "model_family")]
-    parts += [plain(f"n_{r}{s}", r, r, r) for r, s in (("model", "s"), ("preprocessing", ""), ("augmentation", ""))]
-    parts += [plain(f"has_{r}", yes(r), role=r) for r in ("augmentation", "scaler", "feature_selection")]
-    parts += [f"SELECT pipeline_dag_hash, {key}, leaf, NULL, role FROM used WHERE {where}" for key, where in (("role || '_op'", "true"), ("'operator'", "true"), ("'merge_strategy'", "role = 'merge'"))]
-    parts.append("SELECT pipeline_dag_hash, 'param:' || param_name, CASE value_json WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' ELSE trim(value_json, '\"') END, numeric_value, 'param' FROM params")
-    own = " UNION ALL ".join(parts)
-    cond = " UNION ALL ".join(f"SELECT run_condition_hash, '{k}', CAST({v} AS VARCHAR), CAST({n} AS DOUBLE), 'condition' FROM run_conditions JOIN datasets USING (dataset_fingerprint)" for k, v, n in (("dataset", "dataset_name", "NULL"), ("domain", "domain", "NULL"), ("seed", "seed", "seed"), ("task_type", "task_type", "NULL"), ("split_method", "split_method", "NULL"), ("cv_method", "cv_method", "NULL"), ("n_folds", "n_folds", "n_folds"), ("refit_strategy", "refit_strategy", "NULL")))
-    return f"SELECT run_condition_hash, facet_key, facet_value, max(facet_num) AS facet_num, max(facet_role) AS facet_role FROM run_conditions JOIN ({own}) USING (pipeline_dag_hash) GROUP BY ALL UNION ALL {cond}"
-
-
-def _shared(sql: str) -> str:
-    """The views that a query's SQL needs beyond the tables', each computed once."""
-    roles = ("model", "preprocessing", "augmentation", "scaler", "feature_selection")
-    made = {
-        "roles": f"SELECT *, {classify_sql('operator', 'kind')} AS role, split_part(operator, '.', -1) AS leaf FROM nodes",
-        "used": "SELECT * FROM roles WHERE operator IS NOT NULL AND role <> 'input'",
-        "counts": f"SELECT p.*, {', '.join(f'coalesce({r}, 0) AS {r}' for r in (*roles, 'stages'))} FROM pipelines p LEFT JOIN (SELECT pipeline_dag_hash, count(*) AS stages, {', '.join(f'count(*) FILTER (role = {chr(39)}{r}{chr(39)}) AS {r}' for r in roles)} FROM used GROUP BY 1) USING (pipeline_dag_hash)",
-        "facets": _facet_sql(),
-    }
-    need = list(made) if "facets" in sql else ["roles", "used"] if "used" in sql or "roles" in sql else []
-    return "".join(f",\n{k} AS MATERIALIZED ({made[k]})" for k in need)
-
-
 @query(f"SELECT * FROM {_FACETS}")
 def run_facets(spark, sf):
     return _facets(spark, sf)
@@ -440,10 +402,12 @@ def validate_manifests(spark, sf):
     return ingest.verify(m).select("o_orderkey", "status", F.size("issues").alias("n_issues"))
 
 
+from . import ingestion, views  # noqa: E402, F401  (they register their queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    common = T.sql_views()
-    return {name: f"{common}{_shared(sql)}\n{sql}" if views else sql for name, (sql, views) in _SQL.items()}
+    return registry.composed()

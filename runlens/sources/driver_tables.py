@@ -150,6 +150,30 @@ def condition_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.select(F.col("run_condition_hash").alias("run_key"), *cols)
 
 
+def recipe_texts(spark: SparkSession) -> DataFrame:
+    """(pipeline_id, source): the pipelines as JSON recipes, a list of nodes each."""
+    p = params(spark).groupBy("pipeline_dag_hash", "node_id").agg(F.concat_ws(",", F.sort_array(F.collect_list(F.concat(F.lit('"'), "param_name", F.lit('":'), "value_json")))).alias("j"))
+    n = nodes(spark).join(p, ["pipeline_dag_hash", "node_id"], "left")
+    text = F.concat(F.lit('{"node_id":"'), "node_id", F.lit('","kind":"'), "kind", F.lit('","operator":"'), "operator", F.lit('","params":{'), F.coalesce("j", F.lit("")), F.lit("}}"))
+    each = n.groupBy("pipeline_dag_hash").agg(F.sort_array(F.collect_list(F.struct("node_id", text.alias("t")))).alias("n"))
+    return each.select(F.col("pipeline_dag_hash").alias("pipeline_id"), F.concat(F.lit('{"nodes":['), F.concat_ws(",", "n.t"), F.lit("]}")).alias("source"))
+
+
+def manifest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(execution_hash, text): an export manifest as JSON for each execution; its scores are one per scope."""
+    lit = F.lit
+    scopes = observations(spark, sf_dir).groupBy("order_key").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_set("score_scope")), lambda s: F.concat(lit('{"metric_name":"rmse","metric_value":1.5,"scope":"'), s, lit('"}')))).alias("obs"))
+    e = executions(spark, sf_dir).join(run_conditions(spark, sf_dir).drop("pipeline_dag_hash", "dataset_fingerprint", "seed"), "run_condition_hash").join(scopes, "order_key", "left")
+    e = e.join(recipe_texts(spark).withColumnRenamed("pipeline_id", "pipeline_dag_hash"), "pipeline_dag_hash")
+    text = F.concat(
+        lit('{"arena_export_schema_version": 1, "arena_export_hash": "'), F.sha2("execution_hash", 256), lit('", "dataset": {"dataset_fingerprint": "'), F.sha2(F.concat(lit("d"), "dataset_fingerprint"), 256),
+        lit('"}, "task": {"task_type": "regression", "target_name": "price"}, "dataset_variant": {"variant_spec": {"size": "all"}}, "split": {"method": "'), "split_method", lit('", "params": {"test_size": 0.25}}, "cv": {"method": "'), "cv_method",
+        lit('", "n_folds": '), F.col("n_folds").cast("string"), lit('}, "rng": {"root_seed": '), F.col("seed").cast("string"), lit('}, "refit": {"strategy": "full"}, "execution": {"execution_id": "'), "execution_hash",
+        lit('"}, "pipeline": '), "source", lit(', "scores": {"observations": ['), F.coalesce("obs", lit("")), lit("]}}"),
+    )
+    return e.select("execution_hash", text.alias("text"))
+
+
 def literal_rows(rows: list[tuple]) -> str:
     """rows as the text of SQL VALUES."""
     one = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
@@ -179,7 +203,7 @@ def sql_views() -> str:
             CASE WHEN l_linestatus = 'F' THEN 'test' ELSE 'validation' END AS "partition", CAST(l_partkey AS VARCHAR) AS sample_id, l_extendedprice AS y_true, l_quantity * p_retailprice AS y_pred FROM lineitem JOIN part ON l_partkey = p_partkey""",
         "event_residuals": """SELECT e.event_type AS execution_hash, CAST(user_id AS VARCHAR) AS sample_id, ts, event_id, value - mean AS residual FROM events e JOIN (SELECT event_type, avg(value) AS mean FROM events GROUP BY event_type) m ON e.event_type = m.event_type""",
     }
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in views.items())
+    return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in views.items())
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

@@ -39,8 +39,10 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
 
 def checked_fields(manifest: DataFrame) -> DataFrame:
     """manifests() with the columns that ingestion verifies."""
-    m = "m.arena_export_schema_version AS schema_version, m.dataset.dataset_fingerprint, m.task.task_type, m.cv.n_folds, m.dataset.n_samples, coalesce(size(m.scores.observations), 0) AS n_observations, m.leakage_attestation.oof_enforced, m.leakage_attestation.unsafe_flags, m.residuals.key AS residual_key"
-    return manifest.select("export_hash", "path", *[F.expr(x.strip()) for x in m.split(", ") if "coalesce" not in x and x.strip() != "0) AS n_observations"], F.expr("coalesce(size(m.scores.observations), 0)").alias("n_observations"))
+    return manifest.select(
+        "export_hash", "path", F.col("m.arena_export_schema_version").alias("schema_version"), "m.dataset.dataset_fingerprint", "m.task.task_type", "m.cv.n_folds", "m.dataset.n_samples",
+        F.coalesce(F.size("m.scores.observations"), F.lit(0)).alias("n_observations"), "m.leakage_attestation.oof_enforced", "m.leakage_attestation.unsafe_flags", F.col("m.residuals.key").alias("residual_key"),
+    )
 
 
 def observations(manifest: DataFrame) -> DataFrame:
@@ -52,13 +54,25 @@ def inline_residuals(manifest: DataFrame) -> DataFrame:
 
 
 def prediction_residuals(blocks: DataFrame) -> DataFrame:
-    """blocks(residual_set_id, partition, fold_id, sample_ids, values, y_true) as rows: arrays side by side, null past the end."""
+    """blocks(residual_set_id, partition, fold_id, sample_ids, values, y_true) as rows: arrays side by side, null past
+    the end; of nested values the first element counts."""
+    nested = blocks.schema["values"].dataType.elementType.typeName() == "array"
+    value = lambda i: F.get(F.get("values", i), 0) if nested else F.get("values", i)
     scope = F.when(F.col("partition") == "test", "test").when(F.col("partition") == "final", "refit").otherwise("cv")
     rows = blocks.select("residual_set_id", "partition", "fold_id", scope.alias("scope"), F.posexplode("sample_ids").alias("i", "sample_id"), "values", "y_true")
-    out = rows.withColumns({"y_pred": F.get("values", F.col("i")), "y_true": F.get("y_true", F.col("i"))})
+    out = rows.withColumns({"y_pred": value(F.col("i")), "y_true": F.get("y_true", F.col("i"))})
     return out.select("residual_set_id", "sample_id", "scope", "fold_id", "partition", "y_true", "y_pred", (F.col("y_true") - F.col("y_pred")).alias("residual"))
 
 
+def report_observations(reports: DataFrame) -> DataFrame:
+    """reports(partition, level, fold_id, metrics map of text, ...) as observations with scope; values that are no numbers go.
+    The scope is test or refit by partition, fold for a fold's own, else cv."""
+    scope = F.when(F.col("partition") == "test", "test").when(F.col("partition") == "final", "refit").when(F.col("fold_id").isNotNull(), "fold").otherwise("cv")
+    rest = [c for c in reports.columns if c != "metrics"]
+    rows = reports.select(*rest, scope.alias("scope"), F.explode("metrics").alias("metric_name", "_text"))
+    return rows.withColumn("metric_value", F.col("_text").try_cast("double")).where("metric_value IS NOT NULL").drop("_text")
+
+
 def reshaped(flat, n, k):
     """A flat array as n rows of k; null if its size isn't n * k."""
     rows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(flat, i * k + 1, k))
