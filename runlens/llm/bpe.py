@@ -172,15 +172,18 @@ def hot_words(docs: DataFrame, spec: bytes, hot: int = HOT, sampled: int = SAMPL
 
 
 class _Positions(dict):
-    """word -> its number: the hot words' places, then new words in the order in which they come."""
+    """word -> its number, of the words met so far: the hot words' places, then new words in the order in which they come."""
 
     def __init__(self, hot: dict[bytes, int]):
-        super().__init__(hot)
-        self.new: list[bytes] = []
+        super().__init__()
+        self.hot, self.new = hot, []
 
     def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = n = len(self)
+        n = self.hot.get(word)
+        if n is None:
+            n = len(self.hot) + len(self.new)
+            self.new.append(word)
+        self[word] = n
         return n
 
 
@@ -257,9 +260,9 @@ def _encoded(encode, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 class _Ids:
     """The ids of positions: flat[begin[p] : begin[p] + size[p]]."""
 
-    def __init__(self, ids: list[bytes]):
-        self.flat = np.frombuffer(b"".join(ids), "<u4")
-        self.size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    def __init__(self, hot: tuple[np.ndarray, np.ndarray], new: list[bytes]):
+        self.flat = np.concatenate((hot[0], np.frombuffer(b"".join(new), "<u4")))
+        self.size = np.concatenate((hot[1], np.fromiter(map(len, new), np.int64, len(new)) // 4))
         self.begin = np.cumsum(self.size) - self.size
 
     def of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,22 +271,24 @@ class _Ids:
         return self.flat[np.repeat(self.begin[slots] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
 
 
-def _chunks(hot: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(doc_ids, ids, ends) of each chunk of documents, from PARTS with encoded words in the order of (block, slot)."""
+def _chunks(hot: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids, ends) of each chunk of documents, from PARTS with encoded words in the order of (block, slot).
+    hot: the hot words' ids, one word after the other, and how many each has."""
     block, new, table = None, [], None
+    known = len(hot[1])
     for batch in batches:
         blocks, slots, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         for i in range(batch.num_rows):
             if blocks[i] != block:
                 block, new, table = blocks[i], [], None
             if slots[i] < CHUNK:
-                if slots[i] == len(hot) + len(new):  # else it came before, from an equal block
+                if slots[i] == known + len(new):  # else it came before, from an equal block
                     new.append(bodies[i].as_py())
                 continue
             doc_ids, sizes, positions = _unpacked(bodies[i].as_py())
             if table is None:
-                table = _Ids(hot + new)
-            if len(positions) and positions.max() >= len(hot) + len(new):
+                table = _Ids(hot, new)
+            if len(positions) and positions.max() >= known + len(new):
                 raise RuntimeError("a block lacks words: its documents came in another order when they were read again")
             ids, size = table.of(positions)
             yield doc_ids, ids, np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(sizes)))]
@@ -305,17 +310,20 @@ def _texts(docs: DataFrame, tokenizer_path: str, schema: str, work) -> DataFrame
     need = common.pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     hot = hot_words(need, spec)
     context = docs.sparkSession.sparkContext
-    words, file = context.broadcast({w: i for i, (w, _) in enumerate(hot)}), context.broadcast(spec)
-    tables = context.broadcast(([ids for _, ids in hot], pieces(spec)))
+    # Words have no white space, so one text of them is a table; tasks make a dictionary of it and drop it at their end.
+    words, file = context.broadcast(b" ".join(w for w, _ in hot)), context.broadcast(spec)
+    ids = np.frombuffer(b"".join(x for _, x in hot), "<u4"), np.array([len(x) // 4 for _, x in hot], np.int64)
+    tables = context.broadcast((ids, pieces(spec)))
     target = common.arrow_schema(schema)
 
     def new_words(batches):
-        known = words.value
+        known = {w: i for i, w in enumerate(words.value.split())}
         for block, new, _ in _blocks(known, batches):
             yield from _rows(block, len(known), new)
 
     def chunks(batches):
-        for block, _, packed in _blocks(words.value, batches):
+        known = {w: i for i, w in enumerate(words.value.split())}
+        for block, _, packed in _blocks(known, batches):
             yield from _rows(block, CHUNK, packed)
 
     def encoded(batches):

@@ -43,7 +43,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: compressed,
     and split again at the reader's own size."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # small row groups: a writer holds one in memory
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Distinct words whose hashes a worker keeps.
-CACHED = 500_000
+CACHED = 200_000
 #: Bytes of text that a task settles at once.
 BATCH = 6 << 20
 #: Makes other word hashes for a window's second hash.

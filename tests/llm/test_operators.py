@@ -201,7 +201,7 @@ def test_bpe_encodes_each_distinct_word_once():
     out = [r for b in bpe._encoded(encode, iter([frame(words[i : i + 2]) for i in range(0, len(words), 2)])) for r in b.to_pylist()]
     assert sorted(seen) == [b"b", b"c", b"d", b"e"]
     out = sorted([*out, *chunks], key=lambda r: (r["block"], r["slot"]))
-    hot, docs = [np.array([97, 1], "<u4").tobytes()], 0
+    hot, docs = (np.array([97, 1], "<u4"), np.array([2])), 0
     for ids, flat, ends in bpe._chunks(hot, iter([frame([r]) for r in out])):
         for d, a, b in zip(ids.to_pylist(), ends[:-1], ends[1:]):
             want = (texts[[1, None, 3, 4].index(d)] or "").split()
