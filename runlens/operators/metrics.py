@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quantiles import distribution, null_safe_join, ranks
+from .rankings import direction
 
 #: Probabilities are kept this far from 0 and 1.
 EPS = 1e-15
@@ -94,7 +95,8 @@ def roc_auc(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def recompute(residuals: DataFrame, task_type: str = "regression") -> DataFrame:
-    """Observations of residual sets by scope, fold and partition."""
+    """Observations of residual sets by scope, fold and partition, with the direction of each metric."""
     keys = ["residual_set_id", "scope", "fold_id", "partition"]
     rows = residuals.select("residual_set_id", F.coalesce("scope", F.lit("cv")).alias("scope"), "fold_id", F.coalesce("partition", F.lit("validation")).alias("partition"), "y_true", "y_pred")
-    return (regression if task_type == "regression" else classification)(rows, keys)
+    found = (regression if task_type == "regression" else classification)(rows, keys)
+    return found.withColumn("direction", direction(F.col("metric_name")))

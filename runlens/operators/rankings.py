@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import classify, label_or_hash
 from ..sources.scratch import checkpointed
 from .quantiles import distribution
 
-# The directions of the metrics in which more is better, and the scopes.
+# The metrics in which more is better, those in which less is, and the scopes.
 MAXIMISED = frozenset("r2 rpd rpiq ccc accuracy balanced_accuracy f1_macro f1_micro precision_macro recall_macro roc_auc mcc".split())
+MINIMISED = frozenset("mse rmse mae medae bias log_loss".split())
 SCOPES = ("fold", "cv", "refit", "test", "view")
 PARTITIONS = ("train", "validation", "test", "final")
 
@@ -20,6 +21,17 @@ def ascending(metric: str) -> bool:
     return metric.lower() not in MAXIMISED
 
 
+def direction(metric: Column) -> Column:
+    """max or min, as ascending() says."""
+    return F.when(F.lower(metric).isin(*sorted(MAXIMISED)), "max").otherwise("min")
+
+
+def directions(spark: SparkSession) -> DataFrame:
+    """(metric_name, direction) of every known metric."""
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, sorted(MAXIMISED | MINIMISED)))).alias("metric_name"))
+    return names.withColumn("direction", direction(F.col("metric_name")))
+
+
 def selected(m: DataFrame, metric: str, scope: str = "cv", *, quarantined: bool = False, superseded: bool = False, **equal: str | None) -> DataFrame:
     """The rows of one metric and scope; equal: further columns' values, None for any."""
     if scope not in SCOPES:

@@ -317,7 +317,7 @@ def residual_compare(spark, sf):
 _REG = """SELECT residual_set_id, scope, fold_id, "partition", count(*) AS n_samples, 1.0::DOUBLE AS coverage, avg((y_true - y_pred) ** 2) AS mse, avg(abs(y_true - y_pred)) AS mae, median(abs(y_true - y_pred)) AS medae, avg(y_true - y_pred) AS bias,
     var_pop(y_true) AS vt, var_pop(y_pred) AS vp, covar_pop(y_true, y_pred) AS cov, avg(y_true) - avg(y_pred) AS gap, quantile_cont(y_true, 0.75) - quantile_cont(y_true, 0.25) AS iqr FROM residuals GROUP BY ALL"""
 #: Large values are compared by the logarithm.
-_REG_ROWS = " UNION ALL ".join(f"SELECT residual_set_id, scope, fold_id, \"partition\", n_samples, coverage, '{n}' AS metric_name, round(asinh({e}), 6) AS metric_value FROM ({_REG}) WHERE ({e}) IS NOT NULL" for n, e in {
+_REG_ROWS = " UNION ALL ".join(f"SELECT residual_set_id, scope, fold_id, \"partition\", n_samples, coverage, '{n}' AS metric_name, '{'min' if rankings.ascending(n) else 'max'}' AS direction, round(asinh({e}), 6) AS metric_value FROM ({_REG}) WHERE ({e}) IS NOT NULL" for n, e in {
     "mse": "mse", "rmse": "sqrt(mse)", "mae": "mae", "medae": "medae", "bias": "bias", "r2": "1 - mse / nullif(vt, 0)", "rpd": "sqrt(vt) / nullif(sqrt(mse), 0)", "rpiq": "iqr / nullif(sqrt(mse), 0)", "ccc": "2 * cov / nullif(vt + vp + gap * gap, 0)",
 }.items())
 
@@ -402,7 +402,7 @@ def validate_manifests(spark, sf):
     return ingest.verify(m).select("o_orderkey", "status", F.size("issues").alias("n_issues"))
 
 
-from . import ingestion, views  # noqa: E402, F401  (they register their queries)
+from . import ingestion, uploads, views  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -144,7 +144,7 @@ def prediction_blocks(spark, sf):
     return rounded(manifests.prediction_residuals(blocks).select("residual_set_id", "sample_id", "y_true", "y_pred", "residual", "scope"))
 
 
-@query("SELECT event_id, lower(event_type) AS metric_name, CAST(json_extract(props, '$.k') AS DOUBLE) AS metric_value, CASE WHEN event_id % 2 = 0 THEN 'test' ELSE 'cv' END AS scope FROM events", views=False)
+@query("SELECT event_id, lower(event_type) AS metric_name, CAST(json_extract(props, '$.k') AS DOUBLE) AS metric_value, CASE WHEN event_id % 2 = 0 THEN 'test' ELSE 'fold' END AS scope FROM events", views=False)
 def metric_reports(spark, sf):
     """Reports' metric maps as observations; what isn't a number is dropped."""
     k = F.get_json_object("props", "$.k")

@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ MANIFEST = """schema_version int, export_hash string, dataset struct<dataset_fin
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, m, export_hash) of each JSON file of a folder: the raw text is kept, as hashes start from it."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     parsed = F.from_json("text", MANIFEST.replace("schema_version", "arena_export_schema_version", 1).replace("export_hash", "arena_export_hash", 1))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,21 +57,40 @@ def inline_residuals(manifest: DataFrame) -> DataFrame:
 def prediction_residuals(blocks: DataFrame) -> DataFrame:
     """blocks(residual_set_id, partition, fold_id, sample_ids, values, y_true) as rows: arrays side by side, null past
     the end; of nested values the first element counts."""
-    nested = blocks.schema["values"].dataType.elementType.typeName() == "array"
-    value = lambda i: F.get(F.get("values", i), 0) if nested else F.get("values", i)
-    scope = F.when(F.col("partition") == "test", "test").when(F.col("partition") == "final", "refit").otherwise("cv")
-    rows = blocks.select("residual_set_id", "partition", "fold_id", scope.alias("scope"), F.posexplode("sample_ids").alias("i", "sample_id"), "values", "y_true")
-    out = rows.withColumns({"y_pred": value(F.col("i")), "y_true": F.get("y_true", F.col("i"))})
-    return out.select("residual_set_id", "sample_id", "scope", "fold_id", "partition", "y_true", "y_pred", (F.col("y_true") - F.col("y_pred")).alias("residual"))
+    arrays = {f.name: f.dataType for f in blocks.schema}
+    first = lambda c: F.get(F.get(c, F.col("i")), F.lit(0)) if arrays[c].elementType.typeName() == "array" else F.get(c, F.col("i"))
+    partition = F.lower(F.coalesce("partition", F.lit("validation")))
+    scope = F.when(partition == "test", "test").when(partition == "final", "refit").otherwise("cv")
+    group = F.get("group_ids", F.col("i")) if "group_ids" in arrays else F.lit(None).cast("string")
+    rows = blocks.withColumns({"partition": partition, "scope": scope}).select("*", F.posexplode("sample_ids").alias("i", "sample_id"))
+    out = rows.withColumns({"group_id": group, "y_pred": first("values"), "y_true": first("y_true")})
+    return out.select("residual_set_id", "sample_id", "group_id", "scope", "fold_id", "partition", "y_true", "y_pred", (F.col("y_true") - F.col("y_pred")).alias("residual"))
 
 
 def report_observations(reports: DataFrame) -> DataFrame:
     """reports(partition, level, fold_id, metrics map of text, ...) as observations with scope; values that are no numbers go.
-    The scope is test or refit by partition, fold for a fold's own, else cv."""
-    scope = F.when(F.col("partition") == "test", "test").when(F.col("partition") == "final", "refit").when(F.col("fold_id").isNotNull(), "fold").otherwise("cv")
-    rest = [c for c in reports.columns if c != "metrics"]
-    rows = reports.select(*rest, scope.alias("scope"), F.explode("metrics").alias("metric_name", "_text"))
-    return rows.withColumn("metric_value", F.col("_text").try_cast("double")).where("metric_value IS NOT NULL").drop("_text")
+    The scope is test by partition, fold for a fold's own, else the level if it is a scope, else cv."""
+    partition, level = F.lower(F.coalesce("partition", F.lit("validation"))), F.lower(F.coalesce("level", F.lit("cv")))
+    scope = F.when(partition == "test", "test").when(F.col("fold_id") != "", "fold").when(level.isin("fold", "cv", "refit", "test", "view"), level).otherwise("cv")
+    of = F.when(F.col("level") == "macro", "target").otherwise("sample")
+    rest = [c for c in reports.columns if c not in ("metrics", "partition")]
+    rows = reports.select(*rest, partition.alias("partition"), scope.alias("scope"), of.alias("aggregation_level"), F.explode("metrics").alias("metric_name", "_text"))
+    return rows.withColumns({"metric_name": F.lower("metric_name"), "metric_value": F.col("_text").try_cast("double")}).where("metric_value IS NOT NULL").drop("_text")
+
+
+def residual_rows(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
+    """manifests()' residuals: those inline, else those of the Parquet file that residuals.ref names in the folder. A file that is named
+    by many manifests is read once."""
+    inline = inline_residuals(manifest)
+    refs = manifest.where(F.coalesce(F.size("m.residuals.inline"), F.lit(0)) == 0).select("export_hash", F.get_json_object("text", "$.residuals.ref").alias("ref")).where("ref IS NOT NULL")
+    if "://" not in folder and not any(Path(folder).rglob("*.parquet")):
+        return inline
+    side = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
+    names = [f for f in inline.columns if f != "export_hash"]
+    kinds = {f.name: f.dataType for f in inline.schema}
+    cols = [(F.col(f"`{n}`") if n in side.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names]
+    rows = side.select(F.col("_metadata.file_path").alias("_file"), *cols).withColumn("ref", F.substring_index("_file", folder.rstrip("/").split("/")[-1] + "/", -1)).drop("_file")
+    return inline.unionByName(refs.join(rows, "ref").drop("ref").select("export_hash", *names))
 
 
 def reshaped(flat, n, k):
@@ -79,26 +99,29 @@ def reshaped(flat, n, k):
     return F.when((n > 0) & (k > 0) & (F.size(flat) == n * k), rows)
 
 
+def archived_recipe(content: bytes) -> tuple[str | None, str | None, list[str]]:
+    """(recipe, source_name, artifacts) of an archive."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names = z.namelist()
+            artifacts = sorted(x for x in names if x.startswith("artifacts/"))
+            if "pipeline.json" in names:
+                return z.read("pipeline.json").decode(), "pipeline.json", artifacts
+            chain = json.loads(z.read("manifest.json")).get("preprocessing_chain") if "manifest.json" in names else None
+            return (json.dumps(chain), "manifest.json", artifacts) if chain else (None, None, artifacts)
+    except (zipfile.BadZipFile, ValueError, AttributeError):
+        return None, None, []
+
+
 def recipes(spark: SparkSession, path: str) -> DataFrame:
     """(path, recipe, source_name, artifacts) of recipe archives: a recipe is pipeline.json's text, else the manifest's
     preprocessing chain; artifacts are only named. Files that aren't archives have null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        names = z.namelist()
-                        manifest = json.loads(z.read("manifest.json")) if "manifest.json" in names else {}
-                        own = z.read("pipeline.json").decode() if "pipeline.json" in names else None
-                        chain = manifest.get("preprocessing_chain")
-                        recipe = own if own is not None else json.dumps(chain) if chain else None
-                        rows.append((name, recipe, "pipeline.json" if own is not None else "manifest.json" if chain else None, sorted(x for x in names if x.startswith("artifacts/"))))
-                except (zipfile.BadZipFile, ValueError):
-                    rows.append((name, None, None, []))
-            cols = zip(*rows, strict=True) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], names=["path", "recipe", "source_name", "artifacts"])
+            found = [archived_recipe(content) for content in b.column(1).to_pylist()]
+            cols = zip(*found, strict=True) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.string())), strict=True))], names=["path", "recipe", "source_name", "artifacts"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, recipe string, source_name string, artifacts array<string>")

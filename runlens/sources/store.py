@@ -6,10 +6,16 @@ them visible at once. Readers list markers, so that a lost job leaves nothing to
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions.identity import canonical_json
 
 VERSION = 1
 RESIDUAL = "residual_set_id string, sample_id string, group_id string, origin_sample_id string, scope string, fold_id string, partition string, y_true double, y_pred double, y_proba array<double>, residual double, weight double"
@@ -50,7 +56,39 @@ class Store:
         return batch
 
 
-def snapshot(path: str, **sections: DataFrame) -> None:
-    """Each section as a folder of JSON lines."""
+def snapshot(path: str, per_run: tuple[str, ...] = (), **sections: DataFrame) -> None:
+    """Each section as a folder of JSON lines; sections named in per_run have a folder for each execution_hash."""
     for name, df in sections.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+        out = df.write.mode("overwrite")
+        (out.partitionBy("execution_hash") if name in per_run else out).json(f"{path}/{name}")
+
+
+def write_residuals(rows: DataFrame, path: str) -> None:
+    """Residual rows, a folder for each residual_set_id; sets that are there already are replaced, others stay. Missing columns
+    are null, unknown ones go."""
+    schema = StructType.fromDDL(RESIDUAL)
+    cols = [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    rows.select(*cols).write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("residual_set_id").parquet(path)
+
+
+def residual_set(spark: SparkSession, path: str, residual_set_id: str) -> DataFrame:
+    """The rows of one set: only its folder is read."""
+    return spark.read.schema(RESIDUAL).parquet(path).where(F.col("residual_set_id") == residual_set_id)
+
+
+def audit_copy(manifests: DataFrame, path: str) -> None:
+    """manifests(export_hash, text) as canonical JSON, one row for each export hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([canonical_json(json.loads(t)) for t in b.column(1).to_pylist()], pa.string())], names=["export_hash", "text"])
+
+    once = manifests.where("export_hash IS NOT NULL AND text IS NOT NULL").groupBy("export_hash").agg(F.min("text").alias("text"))
+    once.mapInArrow(run, "export_hash string, text string").write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def select(spark: SparkSession, text: str, views: dict[str, DataFrame], **values) -> DataFrame:
+    """A SQL query with named parameters over views: values are bound, never put into the text."""
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(text, args=values)
