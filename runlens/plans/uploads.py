@@ -87,7 +87,7 @@ def bundle_residuals(spark, sf):
     return bundles.cached_residuals(_bundles(spark, sf)).select("residual_set_id", "sample_id", "scope", "partition", "y_true", "y_pred", "residual")
 
 
-@query("""SELECT 'd' || n_nationkey AS dataset_id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'public' ELSE 'restricted' END AS visibility, CASE WHEN n_nationkey % 4 < 3 THEN n_nationkey + 100 END AS n_samples, CASE WHEN n_nationkey % 4 < 3 THEN n_nationkey + 7 END AS n_features, 1 AS n_targets,
+@query("""SELECT 'd' || n_nationkey AS dataset_id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'public' ELSE 'restricted' END AS visibility, CASE WHEN n_nationkey % 4 < 3 THEN CAST(n_nationkey + 100 AS BIGINT) END AS n_samples, CASE WHEN n_nationkey % 4 < 3 THEN CAST(n_nationkey + 7 AS BIGINT) END AS n_features, 1 AS n_targets,
     sha256('{"id":"d' || n_nationkey || '","name":"' || n_name || '","sources":[' || CASE WHEN n_nationkey % 4 < 3 THEN '{"n_observations":' || (n_nationkey + 100) || ',"n_variables":' || n_nationkey || '},{"n_observations":3,"n_variables":7}' ELSE '' END || '],"tier":"' || CASE WHEN n_nationkey % 2 = 0 THEN 'public' ELSE 'own' END || '","variables":[{"name":"y","role":"target"},{"name":"x","role":"input"}]}') AS card_hash FROM nation""", views=False)
 def dataset_cards(spark, sf):
     """Cards of YAML texts: two sources, or none for every fourth."""
