@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 # The parts of a run condition, in the order in which they are hashed.
 RUN_CONDITION = ("dataset_variant_hash", "split_instance_hash", "cv_instance_hash", "rng_context_hash", "pipeline_dag_hash", "refit_strategy_hash")
 # Node kinds that don't mind the order of their inputs, and the graph format's name in the payload.
-UNORDERED = frozenset("mean average weighted_mean weightedmean vote voting bagging bag sum aggregator ensemble".split())
+UNORDERED = ("mean", "average", "weighted_mean", "weightedmean", "vote", "voting", "bagging", "bag", "sum", "aggregator", "ensemble")
 GRAPH_FORMAT = "arena.graph/1"
 
 

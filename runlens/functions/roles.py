@@ -11,14 +11,38 @@ KINDS = {
     "stacking": "merge", "bagging": "merge", "aggregator": "merge", "augmentation": "augmentation", "split": "split", "feature_selection": "feature_selection",
 }
 SIGNS = [
-    ("augmentation", "augment augmentation mixup jitter warp randomshift rotation addnoise gaussiannoise synthetic oversampl smote"),
-    ("scaler", "standardscaler minmaxscaler robustscaler maxabsscaler normalizer standardize minmax scaler"),
-    ("feature_selection", "selectkbest selectfrommodel rfe boruta vip cars _spa geneticselect featureselect variancethreshold pca kernelpca feature_select"),
-    ("merge", "stacking stackingregressor stackingclassifier voting votingregressor bagging baggingregressor averaging weightedmean meanensemble concat blend"),
-    ("model", "plsregression plsr _pls pls( opls ikpls mbpls simpls ridge lasso elasticnet linearregression logistic svr svc svm randomforest extratrees gradientboost histgradientboost xgb lgbm lightgbm catboost mlpregressor mlpclassifier cnn lstm gru transformerencoder tabpfn gaussianprocess gpr kneighbors knn decisiontree adaboost regressor classifier"),
-    ("sampler", "kennard spxy sampling duplex sampler"),
-    ("split", "kfold shufflesplit groupkfold stratified leaveoneout traintest split"),
-    ("preprocessing", "snv msc emsc savgol savitzky detrend derivative deriv baseline gapsegment smooth normalize osc scatter resample crop trim haar wavelet continuum firstderiv secondderiv logtransform preprocess transform filter"),
+    ("augmentation", (
+        "augment", "augmentation", "mixup", "jitter", "warp", "randomshift", "rotation", "addnoise", "gaussiannoise",
+        "synthetic", "oversampl", "smote",
+    )),
+    ("scaler", (
+        "standardscaler", "minmaxscaler", "robustscaler", "maxabsscaler", "normalizer", "standardize", "minmax", "scaler",
+    )),
+    ("feature_selection", (
+        "selectkbest", "selectfrommodel", "rfe", "boruta", "vip", "cars", "_spa", "geneticselect", "featureselect",
+        "variancethreshold", "pca", "kernelpca", "feature_select",
+    )),
+    ("merge", (
+        "stacking", "stackingregressor", "stackingclassifier", "voting", "votingregressor", "bagging", "baggingregressor",
+        "averaging", "weightedmean", "meanensemble", "concat", "blend",
+    )),
+    ("model", (
+        "plsregression", "plsr", "_pls", "pls(", "opls", "ikpls", "mbpls", "simpls", "ridge", "lasso", "elasticnet",
+        "linearregression", "logistic", "svr", "svc", "svm", "randomforest", "extratrees", "gradientboost", "histgradientboost",
+        "xgb", "lgbm", "lightgbm", "catboost", "mlpregressor", "mlpclassifier", "cnn", "lstm", "gru", "transformerencoder",
+        "tabpfn", "gaussianprocess", "gpr", "kneighbors", "knn", "decisiontree", "adaboost", "regressor", "classifier",
+    )),
+    ("sampler", (
+        "kennard", "spxy", "sampling", "duplex", "sampler",
+    )),
+    ("split", (
+        "kfold", "shufflesplit", "groupkfold", "stratified", "leaveoneout", "traintest", "split",
+    )),
+    ("preprocessing", (
+        "snv", "msc", "emsc", "savgol", "savitzky", "detrend", "derivative", "deriv", "baseline", "gapsegment", "smooth",
+        "normalize", "osc", "scatter", "resample", "crop", "trim", "haar", "wavelet", "continuum", "firstderiv", "secondderiv",
+        "logtransform", "preprocess", "transform", "filter",
+    )),
 ]
 
 
@@ -43,7 +67,7 @@ def classify(operator: Column, kind: Column) -> Column:
     out = out.when((name == "") & plain, "preprocessing").when(name == "", k).when(F.contains(full, F.lit("augment")), "augmentation")
     for role, signs in SIGNS:
         hit = F.lit(False)
-        for s in signs.split():
+        for s in signs:
             hit |= F.contains(name, F.lit(s))
         out = out.when(hit, role)
     return out.when(plain, "preprocessing").otherwise(k)
@@ -55,5 +79,5 @@ def classify_sql(operator: str, kind: str) -> str:
     name = f"split_part({full}, '.', -1)"
     whens = [f"WHEN {k} = '{a}' THEN '{b}'" for a, b in KINDS.items()]
     whens += [f"WHEN {name} = '' AND {k} IN ('', 'transform') THEN 'preprocessing'", f"WHEN {name} = '' THEN {k}", f"WHEN contains({full}, 'augment') THEN 'augmentation'"]
-    whens += ["WHEN " + " OR ".join(f"contains({name}, '{s}')" for s in signs.split()) + f" THEN '{role}'" for role, signs in SIGNS]
+    whens += ["WHEN " + " OR ".join(f"contains({name}, '{s}')" for s in signs) + f" THEN '{role}'" for role, signs in SIGNS]
     return f"CASE {' '.join(whens)} WHEN {k} IN ('', 'transform') THEN 'preprocessing' ELSE {k} END"

@@ -10,8 +10,8 @@ from ..sources.scratch import checkpointed
 from .quantiles import distribution
 
 # The metrics in which more is better, those in which less is, and the scopes.
-MAXIMISED = frozenset("r2 rpd rpiq ccc accuracy balanced_accuracy f1_macro f1_micro precision_macro recall_macro roc_auc mcc".split())
-MINIMISED = frozenset("mse rmse mae medae bias log_loss".split())
+MAXIMISED = ("r2", "rpd", "rpiq", "ccc", "accuracy", "balanced_accuracy", "f1_macro", "f1_micro", "precision_macro", "recall_macro", "roc_auc", "mcc")
+MINIMISED = ("mse", "rmse", "mae", "medae", "bias", "log_loss")
 SCOPES = ("fold", "cv", "refit", "test", "view")
 PARTITIONS = ("train", "validation", "test", "final")
 
@@ -28,7 +28,7 @@ def direction(metric: Column) -> Column:
 
 def directions(spark: SparkSession) -> DataFrame:
     """(metric_name, direction) of every known metric."""
-    names = spark.range(1).select(F.explode(F.array(*map(F.lit, sorted(MAXIMISED | MINIMISED)))).alias("metric_name"))
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, sorted(MAXIMISED + MINIMISED)))).alias("metric_name"))
     return names.withColumn("direction", direction(F.col("metric_name")))
 
 
