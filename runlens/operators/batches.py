@@ -2,60 +2,98 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import manifests as M
+from ..sources.commitlog import Conflict, State
 from ..sources.scratch import checkpointed
 from ..sources.store import RESIDUAL, Store
-from . import metrics, resolve
-from .ingest import RESIDUAL_CAP, cap_report, new_exports, publishable, superseded, upsert, verify, within_cap
+from . import catalogue, facets, metrics, resolve
+from .ingest import RESIDUAL_CAP, cap_report, latest, new_exports, once, publishable, superseded, verify, within_cap
 from .rankings import direction
 
-_RUN = "run_condition_hash string, " + ", ".join(f"{h} string" for h in resolve.HASHES if h not in ("export_hash", "score_spec_hash"))
+_PARTS = ("dataset_fingerprint", "task_hash", "dataset_variant_hash", "split_instance_hash", "cv_instance_hash", "rng_context_hash", "refit_strategy_hash", "pipeline_dag_hash")
 #: The store's tables.
 TABLES = {
+    "settings": "key string, value string, seq timestamp",
     "collections": "collection_id string, kind string, created_at timestamp",
     "batches": "export_hash string, schema_version int, status string, collection_id string, issues array<string>, n_residuals long, truncated boolean, seq timestamp",
-    "pipeline_dags": "pipeline_dag_hash string, label string, main_model string, is_linear int",
-    "pipeline_nodes": "pipeline_dag_hash string, node_id string, signature string, role string, operator string, operator_version string, params_json string, branch_path_json string, fit_scope string, operator_spec_hash string, params_hash string, model_family string",
+    "dataset_fingerprints": "dataset_fingerprint string, privacy_level string, n_samples long, n_features long, task_type string, schema_fingerprint string, relation_fingerprint string, plan_fingerprint string, x_stats_json string, y_stats_json string, group_stats_json string, dataset_card_hash string, created_at timestamp",
+    "dataset_cards": "dataset_card_hash string, dataset_id string, dataset_version string, source_registry string, dataset_fingerprint string, visibility string, name string, domain string, modality string, signal_type string, axis_unit string, axis_min double, axis_max double, axis_resolution double, n_samples long, n_features long, license string, content_hash string, descriptor_hash string, card_json string, created_at timestamp",
+    "task_specs": "task_hash string, dataset_fingerprint string, task_type string, target_name string, target_unit string, target_hash string, encoding_json string",
+    "dataset_variants": "dataset_variant_hash string, dataset_fingerprint string, task_hash string, variant_spec_json string, sample_manifest_hash string, size_label string, aggregation string",
+    "split_specs": "split_spec_hash string, method string, params_json string, group_policy string, stratification_policy string",
+    "split_instances": "split_instance_hash string, split_spec_hash string, rng_context_hash string, partition_summary_json string, split_indices_hash string",
+    "cv_specs": "cv_spec_hash string, method string, n_folds long, n_repeats long, nested int, within_train_only int",
+    "cv_instances": "cv_instance_hash string, cv_spec_hash string, rng_context_hash string, fold_summary_json string, engine_fold_set_fingerprint string",
+    "rng_contexts": "rng_context_hash string, root_seed long, derivation string, framework_seeds_json string, determinism_flags_json string",
+    "refit_strategies": "refit_strategy_hash string, strategy string, selection_scope string, train_scope string, params_json string",
+    "score_specs": "score_spec_hash string, score_version string, metric_implementation string, score_level string, aggregation_policy string",
+    "pipeline_dags": "pipeline_dag_hash string, label string, main_model string, is_linear int, n_nodes long, entry_nodes_json string, terminal_nodes_json string, graph_json string, engine_graph_fingerprint string, identity_hash string",
+    "pipeline_nodes": "pipeline_dag_hash string, node_id string, signature string, kind string, operator string, operator_version string, params_json string, branch_path_json string, fit_scope string, operator_spec_hash string, params_hash string, model_family string",
     "pipeline_edges": "pipeline_dag_hash string, src string, src_port string, dst string, dst_port string",
     "operator_specs": "operator_spec_hash string, library string, entrypoint string, version string, role string",
     "node_params": "pipeline_dag_hash string, node_id string, param_name string, value_json string, param_value_hash string",
     "parameter_values": "param_value_hash string, name string, value_json string, kind string, numeric_value double, is_numeric int, is_ordinal int, is_sweepable int",
-    "run_conditions": _RUN,
-    "executions": "execution_hash string, run_condition_hash string, export_hash string, execution_id string, collection_id string, execution_validity string, seq timestamp",
-    "score_sets": "score_set_id string, execution_hash string, scope string, n_observations long, seq timestamp",
-    "observations": "score_set_id string, metric_name string, metric_value double, direction string, fold_id string, partition string",
-    "residual_sets": "residual_set_id string, execution_hash string, key string, n_rows long, truncated boolean",
+    "run_conditions": "run_condition_hash string, collection_id string, " + ", ".join(f"{h} string" for h in _PARTS),
+    "run_facets": "run_condition_hash string, facet_key string, facet_value string, facet_num double, facet_role string",
+    "executions": "execution_hash string, run_condition_hash string, export_hash string, execution_id string, collection_id string, execution_validity string, status string, producer_capsule string, time_ms double, peak_mem_mb double, os string, hardware string, failure_code string, failure_message string, oof_enforced int, unsafe_flags_json string, seq timestamp",
+    "score_sets": "score_set_id string, execution_hash string, scope string, n_observations long, score_spec_hash string, seq timestamp",
+    "observations": "score_set_id string, metric_name string, metric_value double, direction string, fold_id string, partition string, aggregation_level string, metric_unit string, n_samples long, coverage double",
+    "residual_sets": "residual_set_id string, execution_hash string, key string, n_rows long, truncated boolean, partitions array<string>, publishable_json string",
     "residuals": RESIDUAL,
-}
-KEYS = {"collections": ["collection_id"], "pipeline_dags": ["pipeline_dag_hash"], "pipeline_nodes": ["pipeline_dag_hash", "node_id"], "pipeline_edges": ["pipeline_dag_hash", "src", "src_port", "dst", "dst_port"], "operator_specs": ["operator_spec_hash"], "node_params": ["pipeline_dag_hash", "node_id", "param_name"], "parameter_values": ["param_value_hash"], "run_conditions": ["run_condition_hash"], "executions": ["execution_hash"], "score_sets": ["score_set_id"], "residual_sets": ["residual_set_id"]}
+    "plan_events": "plan_id string, pipeline_dag_hash string, dataset_fingerprint string, collection_id string, status string, source string, fulfilled_by string, seq timestamp",
+}
+KEYS = {
+    "settings": ["key"], "collections": ["collection_id"], "dataset_fingerprints": ["dataset_fingerprint"], "dataset_cards": ["dataset_card_hash"], "task_specs": ["task_hash"], "dataset_variants": ["dataset_variant_hash"], "split_specs": ["split_spec_hash"],
+    "split_instances": ["split_instance_hash"], "cv_specs": ["cv_spec_hash"], "cv_instances": ["cv_instance_hash"], "rng_contexts": ["rng_context_hash"], "refit_strategies": ["refit_strategy_hash"], "score_specs": ["score_spec_hash"],
+    "pipeline_dags": ["pipeline_dag_hash"], "pipeline_nodes": ["pipeline_dag_hash", "node_id"], "pipeline_edges": ["pipeline_dag_hash", "src", "src_port", "dst", "dst_port"], "operator_specs": ["operator_spec_hash"], "node_params": ["pipeline_dag_hash", "node_id", "param_name"],
+    "parameter_values": ["param_value_hash"], "run_conditions": ["run_condition_hash"], "run_facets": ["run_condition_hash", "facet_key", "facet_value"], "executions": ["execution_hash"], "score_sets": ["score_set_id"], "residual_sets": ["residual_set_id"],
+}
+#: Columns by which rows that several runs have are laid out, so that one run's are in few files.
+CLUSTERED = {"residuals": ["residual_set_id"], "observations": ["score_set_id"]}
+_NODES_1 = TABLES["pipeline_nodes"].replace("kind string", "role string")
+#: Stores of version 1 called a node's declared kind its role, and had scores of single samples only.
+UPGRADES = {1: {"pipeline_nodes": (_NODES_1, lambda df: df.withColumnRenamed("role", "kind")), "observations": (TABLES["observations"], lambda df: df.withColumn("aggregation_level", F.coalesce("aggregation_level", F.lit("sample"))))}}
+
+
+def open_store(spark: SparkSession, root: str) -> Store:
+    """The store under root, of this version or an older one; a new one where there is none."""
+    return Store(spark, root, TABLES, KEYS, CLUSTERED, UPGRADES)
 
 
 @dataclass(frozen=True)
 class Policy:
-    """How a batch is taken. quarantine: whether a missing attestation keeps a run apart (by default in releases only); recompute:
-    scores are made from residuals even where a manifest has some."""
+    """How a batch is taken. salt: of the pseudonyms, for a store's first batch; the store keeps it, and another one is refused. quarantine: whether a
+    missing attestation keeps a run apart (by default in releases only); recompute: scores are made from residuals even where a manifest has some."""
 
     collection: str
-    salt: str
+    salt: str | None = None
     release: bool = False
     quarantine: bool | None = None
     cap: int = RESIDUAL_CAP
     recompute: bool = False
 
 
-def _residuals(accepted: DataFrame, policy: Policy, side: DataFrame | None) -> DataFrame:
+def settings(store: Store, state: State | None = None) -> dict[str, str]:
+    """The store's settings: the last value of each key."""
+    return dict(latest(store.read("settings", state), "key", "value").select("key", "value").collect())  # a few rows
+
+
+def _residuals(accepted: DataFrame, salt: str, side: DataFrame | None) -> DataFrame:
     """Residual rows as they may be kept, by export; side: rows from beside the manifests."""
     may = {f"may_{c}": F.get_json_object("text", f"$.residuals.publishable.{c}").cast("boolean") for c in ("y_true", "y_pred", "y_proba")}
     flags = accepted.select("export_hash", (F.col("m.task.task_type") == "regression").alias("_regression"), *[v.alias(k) for k, v in may.items()])
     rows = M.inline_residuals(accepted)
-    rows = (rows if side is None else rows.unionByName(side.join(accepted.select("export_hash"), "export_hash", "left_semi"))).withColumn("y_proba", F.lit(None).cast("array<double>"))
+    if side is not None:
+        bare = accepted.where(F.coalesce(F.size("m.residuals.inline"), F.lit(0)) == 0)
+        rows = rows.unionByName(side.join(bare.select("export_hash"), "export_hash", "left_semi"), allowMissingColumns=True)
     joined = rows.join(flags, "export_hash")
-    parts = [publishable(joined.where(F.coalesce("_regression", F.lit(False)) == yes), policy.salt, yes) for yes in (True, False)]
+    parts = [publishable(joined.where(F.coalesce("_regression", F.lit(False)) == yes), salt, yes) for yes in (True, False)]
     return parts[0].unionByName(parts[1])
 
 
@@ -67,58 +105,175 @@ def _recomputed(rows: DataFrame, which: DataFrame) -> DataFrame:
     return made[0].select(*cols).unionByName(made[1].select(*cols))
 
 
-def ingest(store: Store, manifests: DataFrame, policy: Policy, side: DataFrame | None = None) -> DataFrame:
+def run_facets(conditions: DataFrame, dags: DataFrame, nodes: DataFrame, params: DataFrame, values: DataFrame, names: DataFrame) -> DataFrame:
+    """Facets of conditions, each key and value once."""
+    typed = params.join(values.select("param_value_hash", "numeric_value", "is_numeric"), "param_value_hash", "left")
+    rows = facets.run_facets(conditions, names, dags, nodes, typed)
+    return rows.groupBy("run_condition_hash", "facet_key", "facet_value").agg(F.max("facet_num").alias("facet_num"), F.max("facet_role").alias("facet_role"))
+
+
+def ingest(store: Store, manifests: DataFrame, policy: Policy, side: DataFrame | None = None, scores: DataFrame | None = None, tries: int = 4) -> DataFrame:
     """Commits what is new of manifests() and returns a report: a row for each export with its status (committed, quarantined,
     rejected or already_ingested), issues, n_residuals and truncated. An export that comes twice counts once; what can't be read or
-    resolved is rejected and leaves nothing. side: residual rows by export, of manifests without inline ones."""
-    now = F.current_timestamp()
-    m = checkpointed(manifests.withColumn("export_hash", F.coalesce("m.arena_export_hash", "export_hash", F.sha2("text", 256))))
-    known = store.read("batches")
-    verified = verify(M.checked_fields(m), policy.release if policy.quarantine is None else policy.quarantine).select("export_hash", "schema_version", "status", "issues")
-    once = verified.groupBy("export_hash").agg(F.min_by(F.struct("schema_version", "status", "issues"), F.coalesce("schema_version", F.lit(0))).alias("v")).select("export_hash", "v.*")
-    fresh = new_exports(once, known)
+    resolved is rejected and leaves nothing. side: residual rows by export, of manifests without inline ones; scores: observations
+    by export, of manifests without any. If another writer comes first the batch is told apart from what that one wrote, `tries` times at most."""
+    store = store if store.keys else open_store(store.spark, store.root)
+    named = F.coalesce("m.arena_export_hash", "export_hash", F.sha2("text", 256))
+    m = checkpointed(manifests.withColumn("export_hash", named))
+    for left in reversed(range(tries)):
+        try:
+            return _ingested(store, m, policy, side, scores)
+        except Conflict:
+            if not left:
+                raise
+    raise ValueError("tries must be 1 or more")
+
+
+def _ingested(store: Store, m: DataFrame, policy: Policy, side: DataFrame | None, scores: DataFrame | None) -> DataFrame:
+    now, state = F.current_timestamp(), store.state()
+    kept_salt = settings(store, state).get("salt")
+    if kept_salt is not None and policy.salt not in (None, kept_salt):
+        raise ValueError("the store has another salt: samples would no longer meet")
+    salt = kept_salt or policy.salt or uuid.uuid4().hex
+    known = store.read("batches", state)
+    fields = M.checked_fields(m)
+    if scores is not None:
+        counted = scores.groupBy("export_hash").agg(F.count("*").alias("_n"))
+        fields = fields.join(counted, "export_hash", "left").withColumn("n_observations", F.coalesce("_n", F.lit(0)) + F.col("n_observations")).drop("_n")
+    verified = verify(fields, policy.release if policy.quarantine is None else policy.quarantine).select("export_hash", "schema_version", "status", "issues")
+    first = verified.groupBy("export_hash").agg(F.min_by(F.struct("schema_version", "status", "issues"), F.coalesce("schema_version", F.lit(0))).alias("v")).select("export_hash", "v.*")
+    fresh = new_exports(first, known)
     accepted = m.groupBy("export_hash").agg(F.min("text").alias("text"), F.min("m").alias("m")).join(fresh.where("status != 'rejected'").select("export_hash", "status"), "export_hash")
     accepted = checkpointed(accepted)
     resolved = checkpointed(resolve.resolve(accepted).where("error IS NULL").join(accepted.select("export_hash", "status"), "export_hash"))
     usable = accepted.join(resolved.select("export_hash"), "export_hash", "left_semi")
-    residuals = checkpointed(_residuals(usable, policy, side))
+    residuals = checkpointed(_residuals(usable, salt, side))
     caps = checkpointed(cap_report(residuals, policy.cap))
     given = M.observations(usable)
+    if scores is not None:
+        bare = usable.select("export_hash").join(given.select("export_hash").distinct(), "export_hash", "left_anti")
+        given = given.unionByName(scores.join(bare, "export_hash", "left_semi"), allowMissingColumns=True).select(given.columns)
     wanted = usable.select("export_hash") if policy.recompute else usable.select("export_hash").join(given.select("export_hash").distinct(), "export_hash", "left_anti")
-    observed = given.join(wanted, "export_hash", "left_anti").unionByName(_recomputed(within_cap(residuals, policy.cap), wanted)) if not policy.recompute else _recomputed(within_cap(residuals, policy.cap), wanted)
-    observed = checkpointed(observed.withColumn("scope", F.coalesce("scope", F.lit("cv"))))
+    wanted = wanted.join(caps.where("NOT truncated"), "export_hash", "left_semi")
+    made = _recomputed(within_cap(residuals, policy.cap), wanted)
+    observed = checkpointed(given.join(wanted, "export_hash", "left_anti").unionByName(made, allowMissingColumns=True).withColumn("scope", F.coalesce("scope", F.lit("cv"))))
 
     nodes, params = resolve.pipeline_nodes(resolved), resolve.node_params(resolved)
-    executions = resolved.select("execution_hash", "run_condition_hash", "export_hash", "execution_id", F.lit(policy.collection).alias("collection_id"), F.when(F.col("status") == "quarantined", "quarantined").otherwise("valid").alias("execution_validity"), now.alias("seq"))
-    sets = upsert(resolve.score_sets(resolved, observed).withColumn("seq", now), store.read("score_sets"), KEYS["score_sets"])
+    values, dags, conditions = resolve.parameter_values(params), resolve.pipeline_dags(resolved), resolve.conditions(resolved)
+    fresh_conditions = checkpointed(store.absent("run_conditions", conditions, state))
+    spec = resolve.specs(resolved)
+    names = spec["dataset_cards"].groupBy("dataset_fingerprint").agg(F.min("name").alias("dataset_name"), F.min("domain").alias("domain"))
+    run = ("status", "producer_capsule", "time_ms", "peak_mem_mb", "os", "hardware", "failure_code", "failure_message", "oof_enforced", "unsafe_flags_json")
+    executions = resolved.select("execution_hash", "run_condition_hash", "export_hash", "execution_id", F.lit(policy.collection).alias("collection_id"), F.when(F.col("status") == "quarantined", "quarantined").otherwise("valid").alias("execution_validity"), *[F.col(f"spec.{c}").alias(c) for c in run], now.alias("seq"))
+    sets = checkpointed(store.absent("score_sets", once(resolve.score_sets(resolved, observed, policies=True).withColumn("seq", now), KEYS["score_sets"]), state))
     scored = observed.join(resolved.select("export_hash", "execution_hash"), "export_hash").join(sets.select("score_set_id", "execution_hash", "scope"), ["execution_hash", "scope"])
     key = F.coalesce("m.residuals.key", F.lit("sample_id"))
-    residual_sets = usable.select("export_hash", key.alias("key")).join(caps, "export_hash").join(resolved.select("export_hash", "execution_hash"), "export_hash").withColumn("residual_set_id", resolve.residual_set_id(F.col("execution_hash"), F.col("key")))
+    parts = residuals.groupBy("export_hash").agg(F.array_sort(F.collect_set("partition")).alias("partitions"))
+    residual_sets = usable.select("export_hash", key.alias("key")).join(caps, "export_hash").join(parts, "export_hash").join(resolved.select("export_hash", "execution_hash", "spec.publishable_json"), "export_hash").withColumn("residual_set_id", resolve.residual_set_id(F.col("execution_hash"), F.col("key")))
     kept = within_cap(residuals, policy.cap).join(residual_sets.select("export_hash", "residual_set_id"), "export_hash")
-    tables = {
+    offered = {
+        "settings": store.spark.range(1).select(F.lit("salt").alias("key"), F.lit(salt).alias("value"), now.alias("seq")),
         "collections": store.spark.range(1).select(F.lit(policy.collection).alias("collection_id"), F.lit("benchmark_release" if policy.release else "user_run_collection").alias("kind"), now.alias("created_at")),
-        "pipeline_dags": resolve.pipeline_dags(resolved), "pipeline_nodes": nodes, "pipeline_edges": resolve.pipeline_edges(resolved), "operator_specs": resolve.operator_specs(nodes), "node_params": params, "parameter_values": resolve.parameter_values(params),
-        "run_conditions": resolved.select("run_condition_hash", *[h for h in resolve.HASHES if h not in ("export_hash", "score_spec_hash")]), "executions": executions, "residual_sets": residual_sets.select("residual_set_id", "execution_hash", "key", "n_rows", "truncated"),
+        **spec, "pipeline_dags": dags, "pipeline_nodes": nodes.withColumnRenamed("role", "kind"), "pipeline_edges": resolve.pipeline_edges(resolved), "operator_specs": resolve.operator_specs(nodes), "node_params": params, "parameter_values": values,
+        "run_conditions": resolved.select("run_condition_hash", F.lit(policy.collection).alias("collection_id"), *_PARTS), "run_facets": run_facets(fresh_conditions, dags, nodes.withColumnRenamed("role", "kind"), params, values, names),
+        "executions": executions, "residual_sets": residual_sets.select("residual_set_id", "execution_hash", "key", "n_rows", "truncated", "partitions", "publishable_json"),
     }
-    tables = {name: upsert(rows, store.read(name), KEYS[name]) for name, rows in tables.items()}
+    counters = {name: Observation() for name in offered}
+    tables = {name: store.absent(name, once(rows, KEYS[name]).observe(counters[name], F.count(F.lit(1)).alias("n")), state) for name, rows in offered.items()}
+    if state.of("plan_events"):
+        tables["plan_events"] = _fulfilled(plans(store, state), resolved).withColumn("seq", now)
     lost = accepted.join(resolved.select("export_hash"), "export_hash", "left_anti").select("export_hash", F.lit(True).alias("lost"))
     seen = known.where(F.col("status").isin("committed", "quarantined")).select("export_hash").distinct().withColumn("seen", F.lit(True))
-    report = once.join(seen, "export_hash", "left").join(lost, "export_hash", "left").join(caps, "export_hash", "left")
+    report = first.join(seen, "export_hash", "left").join(lost, "export_hash", "left").join(caps, "export_hash", "left")
     status = F.when(F.col("seen"), "already_ingested").when(F.col("lost"), "rejected").otherwise(F.col("status"))
     issues = F.when(F.col("lost"), F.array_append("issues", F.lit("error: unresolved"))).otherwise(F.col("issues"))
     report = checkpointed(report.select("export_hash", "schema_version", status.alias("status"), issues.alias("issues"), F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_residuals"), F.coalesce("truncated", F.lit(False)).alias("truncated")))
     batch = report.where("status IN ('committed', 'quarantined')").withColumns({"collection_id": F.lit(policy.collection), "seq": now})
-    store.commit(**tables, batches=batch, score_sets=sets, observations=scored.withColumn("direction", direction(F.col("metric_name"))), residuals=kept)
+    told = F.coalesce(F.col("direction"), direction(F.col("metric_name")))
+    scored = scored.withColumns({"direction": told, "aggregation_level": F.coalesce("aggregation_level", F.lit("sample"))})
+    store.commit(state, counters, **tables, batches=batch, score_sets=sets, observations=scored, residuals=kept)
     return report
 
 
-def current_score_sets(store: Store) -> DataFrame:
+def _fulfilled(open_plans: DataFrame, resolved: DataFrame) -> DataFrame:
+    """An event for each open plan that an execution of this batch carries out: the least one."""
+    done = resolved.groupBy("pipeline_dag_hash", "dataset_fingerprint").agg(F.min("execution_hash").alias("by"))
+    hit = open_plans.where("status = 'planned'").join(done, ["pipeline_dag_hash", "dataset_fingerprint"])
+    return hit.withColumns({"status": F.lit("fulfilled"), "fulfilled_by": F.col("by")}).drop("by")
+
+
+def plan(store: Store, targets: DataFrame, source: str = "upload") -> DataFrame:
+    """Plans targets(pipeline_dag_hash, dataset_fingerprint, collection_id) and returns them with plan_id and status: already_run where the store
+    has a run of the pair, else planned; a plan that is open or done already isn't made again."""
+    from .ingest import plan as planned
+
+    state = store.state()
+    found = checkpointed(planned(targets.distinct(), executions(store, state)))
+    known = plans(store, state).select("plan_id")
+    fresh = found.where("status = 'planned'").join(known, "plan_id", "left_anti").withColumns({"source": F.lit(source), "seq": F.current_timestamp()})
+    store.commit(state, plan_events=fresh)
+    return found
+
+
+# What the store's tables say, in the columns that rankings, facets and statistics read
+
+
+def plans(store: Store, state: State | None = None) -> DataFrame:
+    """Each plan's last event; of several at one time fulfilled counts."""
+    events = store.read("plan_events", state)
+    rest = ("status", "pipeline_dag_hash", "dataset_fingerprint", "collection_id", "source", "fulfilled_by")
+    last = F.max_by(F.struct(*rest), F.struct("seq", F.col("status") == "fulfilled"))
+    return events.groupBy("plan_id").agg(last.alias("e"), F.min("seq").alias("created_at")).select("plan_id", "e.*", "created_at")
+
+
+def datasets(store: Store, state: State | None = None) -> DataFrame:
+    """(dataset_fingerprint, dataset_name, domain, modality, signal_type, privacy_level, n_samples, n_features, task_type): names are the card's, null without one."""
+    cards = store.read("dataset_cards", state).select("dataset_card_hash", F.col("name").alias("dataset_name"), "domain", "modality", "signal_type")
+    own = store.read("dataset_fingerprints", state).select("dataset_fingerprint", "dataset_card_hash", "privacy_level", "n_samples", "n_features", "task_type")
+    return own.join(cards, "dataset_card_hash", "left").drop("dataset_card_hash")
+
+
+def conditions(store: Store, state: State | None = None) -> DataFrame:
+    """Run conditions with what their parts say: task_type, split_method, cv_method, n_folds, seed, refit_strategy, size_label."""
+    read = lambda t, *cols: store.read(t, state).select(*cols)
+    rows = store.read("run_conditions", state)
+    rows = rows.join(read("task_specs", "task_hash", "task_type", "target_name"), "task_hash", "left").join(read("dataset_variants", "dataset_variant_hash", "size_label", F.col("aggregation").alias("variant_aggregation")), "dataset_variant_hash", "left")
+    split = read("split_instances", "split_instance_hash", "split_spec_hash").join(read("split_specs", "split_spec_hash", F.col("method").alias("split_method")), "split_spec_hash", "left").drop("split_spec_hash")
+    cv = read("cv_instances", "cv_instance_hash", "cv_spec_hash").join(read("cv_specs", "cv_spec_hash", F.col("method").alias("cv_method"), "n_folds"), "cv_spec_hash", "left").drop("cv_spec_hash")
+    rows = rows.join(split, "split_instance_hash", "left").join(cv, "cv_instance_hash", "left")
+    rows = rows.join(read("rng_contexts", "rng_context_hash", F.col("root_seed").alias("seed"), "derivation"), "rng_context_hash", "left")
+    return rows.join(read("refit_strategies", "refit_strategy_hash", F.col("strategy").alias("refit_strategy")), "refit_strategy_hash", "left")
+
+
+def executions(store: Store, state: State | None = None) -> DataFrame:
+    """Executions with their condition's pipeline, dataset and origin collection."""
+    origin = store.read("run_conditions", state)
+    return store.read("executions", state).drop("collection_id").join(origin, "run_condition_hash")
+
+
+def params(store: Store, state: State | None = None) -> DataFrame:
+    """(pipeline_dag_hash, node_id, param_name, value_json, numeric_value, is_numeric, is_sweepable)."""
+    values = store.read("parameter_values", state).select("param_value_hash", "numeric_value", "is_numeric", "is_sweepable")
+    return store.read("node_params", state).join(values, "param_value_hash", "left").drop("param_value_hash")
+
+
+def current_score_sets(store: Store, state: State | None = None) -> DataFrame:
     """The store's score sets with validity: of an execution and scope the latest is valid."""
-    return superseded(store.read("score_sets"))
+    return superseded(store.read("score_sets", state))
 
 
-def backbone(store: Store) -> DataFrame:
+def backbone(store: Store, state: State | None = None) -> DataFrame:
     """The store's observations with their runs: what rankings, facets and statistics read."""
-    runs = store.read("executions").drop("seq").join(store.read("run_conditions"), "run_condition_hash").join(store.read("pipeline_dags"), "pipeline_dag_hash", "left")
-    sets = current_score_sets(store).select("score_set_id", "execution_hash", F.col("scope").alias("score_scope"), F.col("validity").alias("score_validity"))
-    return runs.join(sets, "execution_hash").join(store.read("observations"), "score_set_id")
+    runs = executions(store, state).drop("seq").join(store.read("pipeline_dags", state).select("pipeline_dag_hash", "label", "main_model", "is_linear"), "pipeline_dag_hash", "left")
+    runs = runs.join(datasets(store, state).select("dataset_fingerprint", "dataset_name", "domain"), "dataset_fingerprint", "left")
+    sets = current_score_sets(store, state).select("score_set_id", "execution_hash", F.col("scope").alias("score_scope"), F.col("validity").alias("score_validity"))
+    return runs.join(sets, "execution_hash").join(store.read("observations", state), "score_set_id")
+
+
+def overview(store: Store) -> DataFrame:
+    """(name, n): how much the store has, all of one state."""
+    state = store.state()
+    t = {name: store.read(name, state) for name in TABLES}
+    counted = {"datasets": "dataset_fingerprints", "dataset_cards": "dataset_cards", "tasks": "task_specs", "pipelines": "pipeline_dags", "operators": "operator_specs", "parameters": "parameter_values", "run_conditions": "run_conditions", "executions": "executions", "score_sets": "score_sets", "metric_observations": "observations", "residual_sets": "residual_sets", "collections": "collections"}
+    runs = {f"{v}_executions": t["executions"].where(F.col("execution_validity") == v) for v in ("valid", "quarantined")}
+    return catalogue.overview(**{name: t[table] for name, table in counted.items()}, **runs, metrics=t["observations"].select("metric_name").distinct())

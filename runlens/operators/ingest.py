@@ -13,11 +13,15 @@ TASKS = ("regression", "classification", "binary_classification", "multiclass_cl
 RESIDUAL_CAP = 1_000_000
 
 
+def once(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key, the least of several."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*").select(rows.columns) if rest else rows.distinct()
+
+
 def upsert(new: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
     """The rows of new to append: one per key, the least of several, none that exists."""
-    rest = [c for c in new.columns if c not in key]
-    once = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*").select(new.columns) if rest else new.distinct()
-    return once.join(existing.select(*key), key, "left_anti")
+    return once(new, key).join(existing.select(*key), key, "left_anti")
 
 
 def verify(manifests: DataFrame, quarantine: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import canonical_json, fingerprint, hash_of, normal_graph, quoted, run_condition_hash
+from ..functions.identity import GRAPH_FORMAT, canonical_json, fingerprint, hash_of, normal_graph, quoted, run_condition_hash
 
 #: What computes scores, as it enters the score policies' hashes.
 IMPLEMENTATION = "metrics/1"
@@ -24,8 +24,22 @@ _TEXT = pa.string()
 _NODE = pa.struct([(n, _TEXT) for n in ("node_id", "signature", "role", "operator", "operator_version", "params_json", "branch_path_json", "fit_scope")])
 _PARAM = pa.struct([(n, _TEXT) for n in ("node_id", "param_name", "value_json")])
 _EDGE = pa.struct([(n, _TEXT) for n in ("src", "src_port", "dst", "dst_port")])
-_OUT = pa.schema([*((h, _TEXT) for h in HASHES), ("execution_id", _TEXT), ("label", _TEXT), ("main_model", _TEXT), ("is_linear", pa.bool_()), ("nodes", pa.list_(_NODE)), ("params", pa.list_(_PARAM)), ("edges", pa.list_(_EDGE)), ("error", _TEXT)])
-_DDL = ", ".join(f"{h} string" for h in HASHES) + ", execution_id string, label string, main_model string, is_linear boolean, nodes array<struct<{}>>, params array<struct<{}>>, edges array<struct<{}>>, error string".format(*(", ".join(f"{f.name}: string" for f in t) for t in (_NODE, _PARAM, _EDGE)))
+#: What a manifest states of its dimensions, beside their hashes: texts, numbers, and open objects as canonical JSON.
+_WHOLE = ("n_samples", "n_features", "n_folds", "n_repeats", "nested", "within_train_only", "root_seed", "oof_enforced")
+_REAL = ("time_ms", "peak_mem_mb")
+_TEXTS = (
+    "privacy_level", "schema_fingerprint", "relation_fingerprint", "plan_fingerprint", "x_stats_json", "y_stats_json", "group_stats_json", "dataset_card_hash", "card_json",
+    "task_type", "target_name", "target_unit", "target_hash", "encoding_json", "variant_spec_json", "sample_manifest_hash", "size_label", "aggregation",
+    "split_method", "split_params_json", "group_policy", "stratification_policy", "partition_summary_json", "split_indices_hash", "cv_method", "fold_summary_json", "engine_fold_set_fingerprint",
+    "derivation", "framework_seeds_json", "determinism_flags_json", "strategy", "selection_scope", "train_scope", "refit_params_json",
+    "score_version", "metric_implementation", "score_level", "aggregation_policy", "graph_json", "engine_graph_fingerprint", "identity_hash",
+    "producer_capsule", "os", "hardware", "status", "failure_code", "failure_message", "unsafe_flags_json", "publishable_json",
+)
+_SPEC = pa.struct([*((n, pa.int64()) for n in _WHOLE), *((n, pa.float64()) for n in _REAL), *((n, _TEXT) for n in _TEXTS)])
+_OUT = pa.schema([*((h, _TEXT) for h in HASHES), ("execution_id", _TEXT), ("label", _TEXT), ("main_model", _TEXT), ("is_linear", pa.bool_()), ("nodes", pa.list_(_NODE)), ("params", pa.list_(_PARAM)), ("edges", pa.list_(_EDGE)), ("spec", _SPEC), ("error", _TEXT)])
+_DDL = ", ".join(f"{h} string" for h in HASHES) + ", execution_id string, label string, main_model string, is_linear boolean, nodes array<struct<{}>>, params array<struct<{}>>, edges array<struct<{}>>, spec struct<{}>, error string".format(
+    *(", ".join(f"{f.name}: string" for f in t) for t in (_NODE, _PARAM, _EDGE)), ", ".join([*(f"{n}: bigint" for n in _WHOLE), *(f"{n}: double" for n in _REAL), *(f"{n}: string" for n in _TEXTS)])
+)
 
 
 def _score_level(observations: list[dict]) -> str:
@@ -38,12 +52,27 @@ def _source(pipeline: dict):
     return pipeline.get("graph") or ({"nodes": pipeline["nodes"]} if pipeline.get("nodes") else {"nodes": [{"node_id": "pipeline", "operator": pipeline.get("human_label") or "opaque"}]})
 
 
+def _stated(given: dict) -> dict:
+    """The fields of _SPEC that a manifest gives, as their kinds; what can't be one is null."""
+    out = {}
+    for name, x in given.items():
+        if name in _WHOLE:
+            x = int(x) if isinstance(x, (bool, int)) or (isinstance(x, float) and x.is_integer()) else None
+            out[name] = x if x is None or -(2**63) <= x < 2**63 else None
+        elif name in _REAL:
+            out[name] = float(x) if isinstance(x, (int, float)) else None
+        else:
+            out[name] = canonical_json(x) if name.endswith("_json") and x is not None else None if x is None else str(x)
+    return out
+
+
 def resolved_manifest(m: dict, implementation: str = IMPLEMENTATION) -> dict:
     """The columns of resolve() of one manifest. Instance hashes that the producer gives are taken; a
     task's and a variant's are always made again."""
     part = lambda name: m.get(name) or {}
     dataset, task, variant, split, cv, rng, refit, scores = map(part, ("dataset", "task", "dataset_variant", "split", "cv", "rng", "refit", "scores"))
-    out = {"dataset_fingerprint": dataset["dataset_fingerprint"], "label": part("pipeline").get("human_label"), "execution_id": part("execution").get("execution_id")}
+    text = lambda x: None if x is None else str(x)
+    out = {"dataset_fingerprint": dataset["dataset_fingerprint"], "label": text(part("pipeline").get("human_label")), "execution_id": text(part("execution").get("execution_id"))}
     # The fields of each payload and what stands for absent ones.
     out["task_hash"] = fingerprint({"dataset_fingerprint": out["dataset_fingerprint"], "task_type": task["task_type"], "target_name": task.get("target_name"), "target_hash": task.get("target_hash"), "encoding": task.get("encoding") or {}})
     out["dataset_variant_hash"] = fingerprint({"dataset_fingerprint": out["dataset_fingerprint"], "task_hash": out["task_hash"], "variant_spec": variant.get("variant_spec") or {}})
@@ -59,6 +88,21 @@ def resolved_manifest(m: dict, implementation: str = IMPLEMENTATION) -> dict:
     out |= {"pipeline_dag_hash": graph["dag_hash"], "is_linear": graph["linear"], "edges": graph["edges"]}
     out["nodes"] = [{"node_id": n["id"], "signature": n["signature"], "role": n["kind"], "operator": n["operator"], "operator_version": n["operator_version"], "params_json": canonical_json(n["params"]), "branch_path_json": canonical_json(n["branch_path"]), "fit_scope": n["fit_scope"]} for n in graph["nodes"]]
     out["params"] = [{"node_id": n["id"], "param_name": k, "value_json": canonical_json(v)} for n in graph["nodes"] for k, v in n["params"].items()]
+    card, execution, attested = dataset.get("dataset_card") or None, part("execution"), part("leakage_attestation")
+    out["spec"] = _stated({
+        "privacy_level": dataset.get("visibility") or "public", **{k: dataset.get(k) for k in ("n_samples", "n_features", "schema_fingerprint", "relation_fingerprint", "plan_fingerprint")},
+        **{f"{k}_json": dataset.get(k) or {} for k in ("x_stats", "y_stats", "group_stats")}, "card_json": card, "dataset_card_hash": card and fingerprint(card),
+        **{k: task.get(k) for k in ("task_type", "target_name", "target_unit", "target_hash")}, "encoding_json": task.get("encoding") or {},
+        "variant_spec_json": variant.get("variant_spec") or {}, "sample_manifest_hash": variant.get("sample_manifest_hash"), "size_label": (variant.get("variant_spec") or {}).get("size", "all"), "aggregation": (variant.get("variant_spec") or {}).get("aggregation", "none"),
+        "split_method": split.get("method", "none"), "split_params_json": split.get("params") or {}, "partition_summary_json": split.get("partition_summary") or {}, **{k: split.get(k) for k in ("group_policy", "stratification_policy", "split_indices_hash")},
+        "cv_method": cv.get("method", "none"), "n_folds": cv.get("n_folds"), "n_repeats": cv.get("n_repeats"), "nested": cv.get("nested", False), "within_train_only": cv.get("within_train_only", True), "fold_summary_json": cv.get("fold_summary") or {}, "engine_fold_set_fingerprint": cv.get("cv_instance_hash"),
+        "root_seed": rng.get("root_seed"), "derivation": rng.get("derivation"), "framework_seeds_json": rng.get("framework_seeds") or {}, "determinism_flags_json": rng.get("determinism_flags") or {},
+        "strategy": refit.get("strategy", "none"), "selection_scope": refit.get("selection_scope"), "train_scope": refit.get("train_scope"), "refit_params_json": refit.get("params") or {},
+        "score_version": scores.get("score_version", "1.0"), "metric_implementation": scores.get("metric_implementation") or implementation, "score_level": _score_level(scores.get("observations") or []), "aggregation_policy": scores.get("aggregation_policy") or "macro_mean",
+        "graph_json": {"schema": GRAPH_FORMAT, "nodes": graph["nodes"], "edges": graph["edges"]}, "engine_graph_fingerprint": part("pipeline").get("engine_graph_fingerprint"), "identity_hash": graph["step_hash"],
+        **{k: execution.get(k) for k in ("time_ms", "peak_mem_mb", "os", "hardware", "failure_code", "failure_message")}, "status": execution.get("status") or "ok", "producer_capsule": part("producer").get("capsule"),
+        "oof_enforced": attested.get("oof_enforced", False), "unsafe_flags_json": sorted(map(str, attested.get("unsafe_flags") or [])), "publishable_json": part("residuals").get("publishable") or {},
+    })
     out["main_model"] = next((n["operator"] for n in graph["nodes"] if "model" in n["kind"].lower() and n["operator"]), None)
     return out
 
@@ -88,12 +132,14 @@ def resolve(manifests: DataFrame, implementation: str = IMPLEMENTATION) -> DataF
 
 def _pipelines(resolved: DataFrame) -> DataFrame:
     """One row a pipeline; what differs between its exports is taken from the least label."""
-    row = F.struct("label", "main_model", "is_linear", "nodes", "params", "edges")
+    row = F.struct("label", "main_model", "is_linear", "nodes", "params", "edges", "spec.graph_json", "spec.engine_graph_fingerprint", "spec.identity_hash")
     return resolved.where("error IS NULL").groupBy("pipeline_dag_hash").agg(F.min_by(row, F.coalesce("label", F.lit(""))).alias("p")).select("pipeline_dag_hash", "p.*")
 
 
 def pipeline_dags(resolved: DataFrame) -> DataFrame:
-    return _pipelines(resolved).select("pipeline_dag_hash", "label", "main_model", F.col("is_linear").cast("int").alias("is_linear"))
+    p = _pipelines(resolved)
+    without = lambda side: F.to_json(F.transform(F.filter("nodes", lambda n: ~F.exists("edges", lambda e: e[side] == n["node_id"])), lambda n: n["node_id"]))
+    return p.select("pipeline_dag_hash", "label", "main_model", F.col("is_linear").cast("int").alias("is_linear"), F.size("nodes").cast("long").alias("n_nodes"), without("dst").alias("entry_nodes_json"), without("src").alias("terminal_nodes_json"), "graph_json", "engine_graph_fingerprint", "identity_hash")
 
 
 def pipeline_nodes(resolved: DataFrame) -> DataFrame:
@@ -149,16 +195,51 @@ def end_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("pipeline_dag_hash", "node_id", F.col("_dst").isNull().alias("is_entry"), F.col("_src").isNull().alias("is_terminal")).where("is_entry OR is_terminal")
 
 
+_CARD = "name string, dataset_id string, version string, dataset_version string, source_registry string, domain string, modality string, signal_type string, axis struct<unit:string, range:array<double>, resolution:double, n:long>, license string, content_hash string, descriptor_hash string"
+
+
+def specs(resolved: DataFrame) -> dict[str, DataFrame]:
+    """The rows of each dimension that a condition is made of, by table: a dataset, its card, task and variant, split, cv, seeds, refit and score policy."""
+    rows = resolved.where("error IS NULL").select(*HASHES, "spec.*").withColumn("now", F.current_timestamp())
+    card = F.from_json("card_json", _CARD)
+    named = rows.where("card_json IS NOT NULL").withColumn("c", card)
+    kept = ("name", "domain", "modality", "signal_type", "license", "content_hash", "descriptor_hash")
+    out = {
+        "dataset_fingerprints": rows.select("dataset_fingerprint", "privacy_level", "n_samples", "n_features", F.get_json_object("card_json", "$.task_type").alias("task_type"), "schema_fingerprint", "relation_fingerprint", "plan_fingerprint", "x_stats_json", "y_stats_json", "group_stats_json", "dataset_card_hash", F.col("now").alias("created_at")),
+        "dataset_cards": named.select(
+            "dataset_card_hash", F.coalesce("c.name", "c.dataset_id").alias("dataset_id"), F.coalesce("c.version", "c.dataset_version").alias("dataset_version"), "c.source_registry", "dataset_fingerprint", F.col("privacy_level").alias("visibility"), *[f"c.{k}" for k in kept],
+            F.col("c.axis.unit").alias("axis_unit"), F.get("c.axis.range", F.lit(0)).alias("axis_min"), F.get("c.axis.range", F.lit(1)).alias("axis_max"), F.col("c.axis.resolution").alias("axis_resolution"), "n_samples", F.coalesce("n_features", "c.axis.n").alias("n_features"), "card_json", F.col("now").alias("created_at"),
+        ),
+        "task_specs": rows.select("task_hash", "dataset_fingerprint", "task_type", "target_name", "target_unit", "target_hash", "encoding_json"),
+        "dataset_variants": rows.select("dataset_variant_hash", "dataset_fingerprint", "task_hash", "variant_spec_json", "sample_manifest_hash", "size_label", "aggregation"),
+        "split_specs": rows.select("split_spec_hash", F.col("split_method").alias("method"), F.col("split_params_json").alias("params_json"), "group_policy", "stratification_policy"),
+        "split_instances": rows.select("split_instance_hash", "split_spec_hash", "rng_context_hash", "partition_summary_json", "split_indices_hash"),
+        "cv_specs": rows.select("cv_spec_hash", F.col("cv_method").alias("method"), "n_folds", "n_repeats", "nested", "within_train_only"),
+        "cv_instances": rows.select("cv_instance_hash", "cv_spec_hash", "rng_context_hash", "fold_summary_json", "engine_fold_set_fingerprint"),
+        "rng_contexts": rows.select("rng_context_hash", "root_seed", "derivation", "framework_seeds_json", "determinism_flags_json"),
+        "refit_strategies": rows.select("refit_strategy_hash", "strategy", "selection_scope", "train_scope", F.col("refit_params_json").alias("params_json")),
+        "score_specs": rows.select("score_spec_hash", "score_version", "metric_implementation", "score_level", "aggregation_policy"),
+    }
+    return out
+
+
+def conditions(resolved: DataFrame) -> DataFrame:
+    """What facets tell of each run condition: run_facets() reads it."""
+    own = resolved.where("error IS NULL").select("run_condition_hash", "pipeline_dag_hash", "dataset_fingerprint", F.col("spec.root_seed").alias("seed"), "spec.task_type", "spec.split_method", "spec.cv_method", "spec.n_folds", F.col("spec.strategy").alias("refit_strategy"))
+    rest = own.columns[1:]
+    return own.groupBy("run_condition_hash").agg(F.min(F.struct(*rest)).alias("c")).select("run_condition_hash", "c.*")
+
+
 # Facts
 
 
-def score_sets(resolved: DataFrame, observations: DataFrame) -> DataFrame:
-    """(score_set_id, execution_hash, scope, n_observations): one set for each scope of an execution.
+def score_sets(resolved: DataFrame, observations: DataFrame, policies: bool = False) -> DataFrame:
+    """(score_set_id, execution_hash, scope, n_observations): one set for each scope of an execution; policies: with score_spec_hash.
     observations: (export_hash, scope, ...)."""
     by_scope = observations.groupBy("export_hash", F.coalesce("scope", F.lit("cv")).alias("scope")).agg(F.count("*").alias("n_observations"))
     rows = resolved.where("error IS NULL").select("export_hash", "execution_hash", "score_spec_hash").join(by_scope, "export_hash")
     key = hash_of(execution=F.col("execution_hash"), score_spec=F.col("score_spec_hash"), scope=F.col("scope"))
-    return rows.select(key.alias("score_set_id"), "execution_hash", "scope", "n_observations")
+    return rows.select(key.alias("score_set_id"), "execution_hash", "scope", "n_observations", *(["score_spec_hash"] if policies else []))
 
 
 def residual_set_id(execution: Column, key: Column) -> Column:

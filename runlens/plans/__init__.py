@@ -402,7 +402,7 @@ def validate_manifests(spark, sf):
     return ingest.verify(m).select("o_orderkey", "status", F.size("issues").alias("n_issues"))
 
 
-from . import ingestion, uploads, views  # noqa: E402, F401  (they register their queries)
+from . import ingestion, stored, uploads, views  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 from ..functions.identity import fingerprint
 
 MANIFEST = """schema_version int, export_hash string, dataset struct<dataset_fingerprint:string, n_samples:long>, task struct<task_type:string>, cv struct<n_folds:long>,
-    leakage_attestation struct<oof_enforced:boolean, unsafe_flags:array<string>>, scores struct<observations:array<struct<metric_name:string, metric_value:double, scope:string, fold_id:string, partition:string>>>,
-    residuals struct<key:string, inline:array<struct<sample_id:string, scope:string, fold_id:string, partition:string, y_true:double, y_pred:double, residual:double>>>"""
+    leakage_attestation struct<oof_enforced:boolean, unsafe_flags:array<string>>,
+    scores struct<observations:array<struct<metric_name:string, metric_value:double, direction:string, scope:string, fold_id:string, partition:string, aggregation_level:string, metric_unit:string, n_samples:long, coverage:double>>>,
+    residuals struct<key:string, inline:array<struct<sample_id:string, group_id:string, origin_sample_id:string, scope:string, fold_id:string, partition:string, y_true:double, y_pred:double, y_proba:array<double>, residual:double, weight:double>>>"""
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, m, export_hash) of each JSON file of a folder: the raw text is kept, as hashes start from it."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    parsed = F.from_json("text", MANIFEST.replace("schema_version", "arena_export_schema_version", 1).replace("export_hash", "arena_export_hash", 1))
+    return parsed(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")))
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """rows(path, text) with m, what ingestion reads of a manifest, and export_hash, the hash of its content."""
+    fields = F.from_json("text", MANIFEST.replace("schema_version", "arena_export_schema_version", 1).replace("export_hash", "arena_export_hash", 1))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -35,7 +40,7 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["path", "text", "export_hash"])
 
-    return rows.mapInArrow(hashed, "path string, text string, export_hash string").withColumn("m", parsed)
+    return rows.select("path", "text").mapInArrow(hashed, "path string, text string, export_hash string").withColumn("m", fields)
 
 
 def checked_fields(manifest: DataFrame) -> DataFrame:

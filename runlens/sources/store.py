@@ -1,59 +1,252 @@
-"""A store of tables as Parquet folders with committed batches.
+"""A store of tables as Parquet files with a log of commits.
 
-A batch's tables are written under their own folders first; a marker file makes
-them visible at once. Readers list markers, so that a lost job leaves nothing to see.
+A commit's files are written first and become visible at once with its entry of the log (commitlog.py): a lost job leaves nothing to
+see. Each file's entry has its rows and the least and greatest value of the table's first key, and keyed tables have an index beside
+their files, a Bloom filter for each file, so that a batch reads only files that may hold one of its keys. Deleted rows are
+hidden by lists of their places; compact() writes small files anew without them.
+Files keep the format they were written in and are brought to the present one as they are read.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.identity import canonical_json
+from .commitlog import Conflict, Log, State
 
-VERSION = 1
+VERSION = 2
 RESIDUAL = "residual_set_id string, sample_id string, group_id string, origin_sample_id string, scope string, fold_id string, partition string, y_true double, y_pred double, y_proba array<double>, residual double, weight double"
+#: Rows up to which a table's keys are read whole rather than by the index; rows of a file that compact() writes.
+SMALL, FILE_ROWS = 100_000, 1_000_000
+#: Tables of a commit that are written side by side.
+WRITERS = 6
+#: Rows from which a file gets a filter: a smaller one's keys are as soon read.
+FILTERED = 10_000
+#: Bits of a filter for each key, and how many of them a key sets: about one in 2,000 absent keys is taken for present.
+BITS, HASHES = 16, 7
+
+#: From a format to the next one: table -> (the DDL that files of that format have, what makes present rows of them).
+Upgrades = dict[int, dict[str, tuple[str, Callable[[DataFrame], DataFrame]]]]
+
+
+def _places(keys: list[str], slots: Column) -> Column:
+    """The bits of a key in a filter of `slots` bits, a power of two."""
+    return F.array(*[F.xxhash64(F.lit(i), *keys).bitwiseAND(slots - 1) for i in range(HASHES)])
+
+
+def _seen(rows: Observation) -> int:
+    """The number n of observed rows; Spark tells of none where it found out that there are no rows and left the step out."""
+    try:
+        return rows.get["n"]
+    except Py4JJavaError:
+        return 0
 
 
 class Store:
-    """Tables under root; schemas: table name -> DDL. An unknown or empty table reads as empty."""
+    """Tables under root; schemas: table -> DDL; keys: table -> the columns that name a row. A table without keys may have
+    columns in clustered, by which its rows are laid out. An unknown or empty table reads as empty."""
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
-        self.spark, self.root, self.schemas = spark, root, schemas
-        newer = self._markers().where(F.col("version") > VERSION).limit(1).count()
-        if newer:
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keys: dict[str, list[str]] | None = None, clustered: dict[str, list[str]] | None = None, upgrades: Upgrades | None = None):
+        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
+        self.keys, self.clustered, self.upgrades = keys or {}, clustered or {}, upgrades or {}
+        self.log, self._old = Log(spark, self.root), None
+        if any(f["format"] > VERSION for f in self.state().files.values()):
             raise ValueError("the store is of a newer version")
 
-    def _markers(self) -> DataFrame:
-        schema = "batch string, version int, seq timestamp"
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_commits")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.schema(schema).parquet(str(path)) if fs.exists(path) else self.spark.createDataFrame([], schema)
-
-    def read(self, table: str) -> DataFrame:
-        batches = [r.batch for r in self._markers().select("batch").collect()]  # one short id a commit
-        schema = self.spark.createDataFrame([], self.schemas[table]).schema
-        if not batches:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*[f"{self.root}/{table}/batch={b}" for b in batches]).select(*schema.names)
-
-    def commit(self, **tables: DataFrame) -> str:
-        """Appends to all tables of the store or, if anything fails, to none. Columns that a
-        table lacks are null, others go."""
-        batch = uuid.uuid4().hex
-        for name, ddl in self.schemas.items():
-            schema = self.spark.createDataFrame([], ddl).schema
-            rows = tables[name] if name in tables else self.spark.createDataFrame([], schema)
-            cols = [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
-            rows.select(*cols).write.option("compression", "zstd").parquet(f"{self.root}/{name}/batch={batch}")
-        self.spark.range(1).select(F.lit(batch).alias("batch"), F.lit(VERSION).alias("version"), F.current_timestamp().alias("seq")).write.mode("append").parquet(f"{self.root}/_commits")
-        return batch
+    def state(self) -> State:
+        """The live files; of a store of version 1, those of the batches that its markers name."""
+        state = self.log.state()
+        if state.version >= 0:
+            return state
+        if self._old is None:
+            self._old = self._first_format()
+        return State(-1, self._old)
+
+    def _first_format(self) -> dict[str, dict]:
+        if not self.log.files.names(f"{self.root}/_commits"):
+            return {}
+        markers = self.spark.read.schema("batch string, version int").parquet(f"{self.root}/_commits").collect()  # stores of this version are small
+        out = {}
+        for table in self.schemas:
+            for m in markers:
+                folder = f"{table}/batch={m.batch}"
+                out |= {f"{folder}/{n}": {"table": table, "format": m.version, "rows": None} for n in self.log.files.names(f"{self.root}/{folder}") if n.endswith(".parquet")}
+        return out
+
+    # Reading
+
+    def _schema(self, table: str) -> StructType:
+        return StructType.fromDDL(self.schemas[table])
+
+    def _present(self, table: str, paths: list[str], format_: int, extra: list[Column]) -> DataFrame:
+        """Rows of files of one format, as they are now: columns that a format lacks are null."""
+        steps = [(v, self.upgrades[v][table]) for v in range(format_, VERSION) if table in self.upgrades.get(v, {})]
+        schema = StructType.fromDDL(steps[0][1][0]) if steps else self._schema(table)
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths]).select("*", *extra)
+        for _, (_, step) in steps:
+            rows = step(rows)
+        names = [f.name for f in self._schema(table)]
+        cols = [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self._schema(table)]
+        return rows.select(*cols, *[c for c in rows.columns if c not in names and c.startswith("_")])
+
+    def _rows(self, table: str, files: dict[str, dict], placed: bool = False) -> DataFrame:
+        """The visible rows of some files; placed: with _file and _row, the file's name and the row's place."""
+        place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+        parts = []
+        for format_ in sorted({f["format"] for f in files.values()}):
+            for hidden in (False, True):
+                paths = [p for p, f in files.items() if f["format"] == format_ and bool(f.get("hidden")) == hidden]
+                if not paths:
+                    continue
+                rows = self._present(table, paths, format_, place if hidden or placed else [])
+                if hidden:
+                    folders = sorted({h for p in paths for h in files[p]["hidden"]})
+                    gone = self.spark.read.schema("_file string, _row bigint").parquet(*[f"{self.root}/{h}" for h in folders])
+                    rows = rows.join(gone, ["_file", "_row"], "left_anti")
+                parts.append(rows.select(*self._schema(table).names, *(["_file", "_row"] if placed else [])))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self._schema(table))
+
+    def read(self, table: str, state: State | None = None) -> DataFrame:
+        return self._rows(table, (state or self.state()).of(table))
+
+    def lookup(self, table: str, value: str, state: State | None = None) -> DataFrame:
+        """The rows whose first key, or first clustering column, has this value: only files whose range holds it are opened."""
+        column = (self.keys.get(table) or self.clustered[table])[0]
+        files = {p: f for p, f in (state or self.state()).of(table).items() if f.get("low") is None or f["low"] <= value <= f["high"]}
+        return self._rows(table, files).where(F.col(column) == value)
+
+    def candidates(self, table: str, keys: DataFrame, state: State | None = None) -> dict[str, dict]:
+        """The live files that may hold one of the keys: files without a filter, and those whose filter has all bits of one."""
+        files, names = (state or self.state()).of(table), self.keys[table]
+        known = {p: f for p, f in files.items() if f.get("index")}
+        if not known:
+            return files
+        sizes = F.array(*[F.lit(s).cast("long") for s in sorted({f["slots"] for f in known.values()})])  # powers of two: a few
+        bits = keys.select(*names).distinct().withColumn("slots", F.explode(sizes)).select(F.xxhash64(*names).alias("k"), "slots", F.explode(_places(names, F.col("slots"))).alias("bit"))
+        bits = bits.select("k", "slots", F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("mask")).groupBy("k", "slots", "word").agg(F.bit_or("mask").alias("mask"))
+        words = bits.groupBy("k", "slots").agg(F.count("*").alias("words"))
+        index = self.spark.read.schema("table string, file string, slots long, word long, bits long").parquet(*[f"{self.root}/{i}" for i in sorted({f["index"] for f in known.values()})])
+        hits = index.where(F.col("table") == table).join(bits, ["slots", "word"]).where(F.expr("bits & mask = mask")).groupBy("file", "k", "slots").agg(F.count("*").alias("words"))
+        found = {r.file for r in hits.join(words, ["k", "slots", "words"]).select("file").distinct().collect()}  # at most the live files
+        return {p: f for p, f in files.items() if p not in known or p.rsplit("/", 1)[-1] in found}
+
+    def absent(self, table: str, rows: DataFrame, state: State | None = None) -> DataFrame:
+        """rows whose key the table doesn't have. Of a large table only candidates' keys are read."""
+        state, keys = state or self.state(), self.keys[table]
+        files = state.of(table)
+        if len(files) > 1 and sum(f["rows"] or SMALL for f in files.values()) > SMALL:
+            files = self.candidates(table, rows, state)
+        return rows.join(self._rows(table, files).select(*keys), keys, "left_anti") if files else rows
+
+    # Writing
+
+    def _written(self, table: str, rows: DataFrame) -> str:
+        """The folder of rows, cast to the table's columns: missing ones are null, others go."""
+        cols = [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self._schema(table)]
+        out, order = rows.select(*cols), self.clustered.get(table) or self.keys.get(table)
+        if table in self.clustered:
+            out = out.repartitionByRange(*order)
+        else:
+            out = out.hint("rebalance")  # few files of a good size
+        folder = f"{table}/{uuid.uuid4().hex}"
+        (out.sortWithinPartitions(*order) if order else out).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        return folder
+
+    def _described(self, folders: dict[str, str]) -> dict[str, dict]:
+        """What the log says of the files of new folders, empty ones left out; keyed tables' files get filters."""
+        first = lambda t: (self.keys.get(t) or self.clustered.get(t) or [None])[0]
+        keyed = {t: f for t, f in folders.items() if t in self.keys}
+
+        def names(t: str, *cols: Column) -> DataFrame:
+            return self.spark.read.schema(self._schema(t)).parquet(f"{self.root}/{folders[t]}").select(F.lit(t).alias("table"), F.col("_metadata.file_name").alias("file"), *cols)
+
+        counted = reduce(DataFrame.unionByName, [names(t, (F.col(c) if (c := first(t)) else F.lit(None)).cast("string").alias("k")) for t in folders])
+        found = counted.groupBy("table", "file").agg(F.count("*").alias("rows"), F.min("k").alias("low"), F.max("k").alias("high")).collect()  # a row a new file
+        out = {f"{folders[r.table]}/{r.file}": {"table": r.table, "format": VERSION, "rows": r.rows, "low": r.low, "high": r.high} for r in found}
+        if not keyed:
+            return out
+        slots = {r.file: max(64, 1 << math.ceil(math.log2(BITS * r.rows))) for r in found if r.table in keyed and r.rows >= FILTERED}
+        keyed = {t: f for t, f in keyed.items() if any(r.table == t and r.file in slots for r in found)}
+        if slots:
+            index = f"_index/{uuid.uuid4().hex}"
+            sizes = F.broadcast(self.spark.createDataFrame(list(slots.items()), "file string, slots long"))
+            each = [names(t, *map(F.col, self.keys[t])).join(sizes, "file").select("table", "file", "slots", F.explode(_places(self.keys[t], F.col("slots"))).alias("bit")) for t in keyed]
+            words = reduce(DataFrame.unionByName, each).groupBy("table", "file", "slots", F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"))
+            words.repartition(max(1, sum(slots.values()) >> 26), "table", "file").sortWithinPartitions("table", "word").write.option("compression", "zstd").parquet(f"{self.root}/{index}")
+            for p, f in out.items():
+                if (name := p.rsplit("/", 1)[-1]) in slots:
+                    f |= {"slots": slots[name], "index": index}
+        return out
+
+    def _append(self, entry: dict, read: State | None, writes: set[str]) -> int:
+        """Gives the entry the next number. What came after read must not have touched keyed tables that this writes, nor
+        files that it removes or hides."""
+        while True:
+            state = self.state()
+            if state.version < 0:
+                entry = entry | {"add": {p: f for p, f in state.files.items() if p not in entry.get("remove", ())} | entry.get("add", {})}
+            if read is not None and state.version > read.version:
+                for _, other in self.log.entries(read.version):
+                    touched = {f["table"] for f in other.get("add", {}).values()}
+                    if touched & writes & set(self.keys):
+                        raise Conflict(f"other rows came into {sorted(touched & writes & set(self.keys))}")
+            if not {*entry.get("remove", ()), *entry.get("hide", {})} <= set(state.files):
+                raise Conflict("files that are to go are gone")
+            if self.log.append(state.version + 1, entry):
+                return state.version + 1
+
+    def commit(self, read: State | None = None, counters: dict[str, Observation] | None = None, **tables: DataFrame) -> int:
+        """Appends to all the tables or, if anything fails, to none; the version it has then. read: the state that
+        rows were made from; if another commit has since added to a keyed table of these, Conflict is raised and nothing is seen. counters: observed
+        numbers n of the rows that were offered to a table, of which the writing job tells."""
+        with ThreadPoolExecutor(WRITERS) as pool:  # small tables take longer to plan than to write
+            folders = dict(zip(tables, pool.map(self._written, tables, tables.values()), strict=True))
+        entry = {"add": self._described(folders) if folders else {}, "tables": sorted(tables)}
+        if counters:
+            entry["counters"] = {name: _seen(o) for name, o in counters.items() if name in tables}
+        return self._append(entry, read, set(tables))
+
+    def delete(self, table: str, condition: Column, read: State | None = None) -> int:
+        """Hides the rows of a table for which condition holds; their files stay as they are."""
+        state = read or self.state()
+        files, folder = state.of(table), f"_hidden/{uuid.uuid4().hex}"
+        self._rows(table, files, placed=True).where(condition).select("_file", "_row").write.parquet(f"{self.root}/{folder}")
+        hit = {r[0] for r in self.spark.read.schema("_file string, _row bigint").parquet(f"{self.root}/{folder}").select("_file").distinct().collect()}  # at most the live files
+        return self._append({"hide": {p: folder for p in files if p.rsplit("/", 1)[-1] in hit}}, state, set())
+
+    def compact(self, table: str, rows: int = FILE_ROWS) -> int:
+        """Small files of a table, and those with hidden rows or of an older format, as files of about `rows` rows in the order of the keys."""
+        state = self.state()
+        small = {p: f for p, f in state.of(table).items() if f["rows"] is None or f["rows"] < rows // 2 or f.get("hidden") or f["format"] < VERSION}
+        if len(small) < 2 and not any(f.get("hidden") or f["format"] < VERSION for f in small.values()):
+            return state.version
+        found = self._rows(table, small)
+        n = max(1, math.ceil(sum(f["rows"] or rows for f in small.values()) / rows))
+        order = self.clustered.get(table) or self.keys.get(table)
+        folder = f"{table}/{uuid.uuid4().hex}"
+        laid = found.repartitionByRange(n, *order).sortWithinPartitions(*order) if order else found.repartition(n)
+        laid.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        return self._append({"add": self._described({table: folder}), "remove": sorted(small)}, None, set())
+
+    def history(self) -> DataFrame:
+        """(version, table, new, deduplicated) of each commit that counted."""
+        rows = []
+        for v, e in self.log.entries(-1):
+            for table, offered in e.get("counters", {}).items():
+                new = sum(f["rows"] or 0 for f in e.get("add", {}).values() if f["table"] == table)
+                rows.append((v, table, new, offered - new))
+        return self.spark.createDataFrame(rows, "version long, table string, new long, deduplicated long")
 
 
 def snapshot(path: str, per_run: tuple[str, ...] = (), **sections: DataFrame) -> None:
