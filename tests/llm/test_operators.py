@@ -278,11 +278,13 @@ def test_quality_limits_differ_between_sources_and_change_verdicts(spark):
 @pytest.mark.parametrize("n", [1, 99, 100, 101, 1000])
 def test_quality_limits_have_no_switch_by_size(spark, n):
     """One row more moves a group's distribution by its own weight: the share is continuous in the rows."""
-    sketch = [("en", "a", m, 0, 5000) for m in quality_rules.MEASURES] + [("en", "b", m, 128, n) for m in quality_rules.MEASURES]
+    each = [x for m in quality_rules.MEASURES for x in (m, f"one_{m}")]
+    sketch = [("en", s, m, b if m in quality_rules.MEASURES else 5, k) for s, b, k in (("a", 0, 5000), ("b", 128, n)) for m in each]
     found = {r.source: r.max_symbols for r in quality_rules.limits(spark.createDataFrame(sketch, "lang string, source string, measure string, bin long, n long")).collect()}
     # Over a quarter of b's rows and its prior's are at 128 or more from n = 67 on, over half from 201 on.
-    want = {1: 20, 99: 143 + 143 + 20, 100: 143 + 143 + 20, 101: 143 + 143 + 20, 1000: 143 + 20}
-    assert found == {"a": 20, "b": want[n]}
+    few = quality_rules.MEASURES["symbols"][1] * 5  # what one sign weighs in the usual text, a few times
+    want = {1: 0, 99: 143 + 143, 100: 143 + 143, 101: 143 + 143, 1000: 143}
+    assert found == {"a": few, "b": want[n] + few}
 
 
 def test_license_scan(spark, docs, empty):
