@@ -64,6 +64,23 @@ LICENSES = [
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 ]
 
+# Digests of the canonical forms of long licences' whole texts, as operating systems ship them.
+DIGESTS = [
+    ("Apache-2.0", "b72841207b909f286adad3e0f99b0eee7eb28eb6ef9ad5440ef09431de039716"),
+    ("Artistic-1.0-Perl", "3f72fca8e9edf142b844df45d827a04462cb9a6dd286357a134eb8b2d030d707"),
+    ("CC0-1.0", "400db3ed80e146737970d3ff856f201f0206119c2851164504a236a6893f845a"),
+    ("GFDL-1.2", "00bc0fc943c6557a551ed32579874c03c01efd181c5e5f3990bf8595a02af33f"),
+    ("GFDL-1.3", "069cb5bc99df568e8f093d5b811a45c050b476ca779e06c27f53824e5a2f01fc"),
+    ("GPL-1.0", "8e0f81d73b1faf1f8a0333d582879d563350b94d7f1722f07832813be56d0d14"),
+    ("GPL-2.0", "1fc5512cd5033f07c0376e93dc984b943d419477f2e6ee97b3ab1f19486cebb6"),
+    ("GPL-3.0", "2c2b46f8f109c47a97e47e2cec690ac3dafe2b9b344c6d3311460b6c3dadfd0c"),
+    ("LGPL-2.0", "9fad27f8768b724d4343ae8840edd60d469d6925335f351d9e4fa2b7175d6c1a"),
+    ("LGPL-2.1", "6d10b75ac8120e4d7a939c3e0de48941cd5e17413f5a8b9b87860b9f65e673a5"),
+    ("LGPL-3.0", "7d6e51c6bb80fc7a025c16e64157adf9c280c58dee4c4b2bf73e596166a2a08f"),
+    ("MPL-1.1", "1e2f1bca600978c8bd27b0b6cb5ba1067ffea1d93bd3eb7e4090c906cbc68114"),
+    ("MPL-2.0", "d4eba72ed883aa90fbf114041e6f1356eba87eefc07f3eadea2cf9d754076630"),
+]
+
 #: Known texts at most; their digests go to every task.
 KNOWN = 10_000
 
@@ -89,7 +106,8 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LICENSES, "license string, text string")
+    """(license, text, digest): a known text, or the digest of its canonical form alone."""
+    return spark.createDataFrame([*((n, t, None) for n, t in LICENSES), *((n, None, d) for n, d in DIGESTS)], "license string, text string, digest string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -100,10 +118,12 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     A null or empty text, or one of copyright lines and punctuation only, has the digest of the empty text,
     which is no licence. Of several licences with one canonical text, or several lines that are notices, the
     first by name is given. Repeated rows each get a row, a null doc_id stays null, empty tables
-    give no rows or no licences; other columns are not read. known has KNOWN rows at most: a hash join
+    give no rows or no licences; other columns are not read. known(license, text, and digest where a text is known by it alone) has KNOWN rows at most: a hash join
     with a broadcast for whole texts, a look-up in the same table for lines.
     """
-    names = known.where(canonical(F.col("text")) != "").groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
+    made = F.when(canonical(F.col("text")) != "", F.sha2(canonical(F.col("text")), 256))
+    own = F.coalesce(made, F.col("digest")) if "digest" in known.columns else made
+    names = known.select(own.alias("digest"), "license").where("digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
     rows = names.limit(KNOWN + 1).collect()
     if len(rows) > KNOWN:
         raise ValueError(f"over {KNOWN} known texts")
@@ -131,8 +151,9 @@ def sql(docs: str = "documents") -> str:
         return plain(f"array_to_string({lines(text)}, ' ')")
 
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in LICENSES)
+    alone = ", ".join(f"('{name}', '{digest}')" for name, digest in DIGESTS)
     return f"""
-    WITH known AS MATERIALIZED (SELECT sha256({form("text")}) AS digest, min(license) AS license FROM (VALUES {rows}) v(license, text) WHERE {form("text")} <> '' GROUP BY 1),
+    WITH known AS MATERIALIZED (SELECT digest, min(license) AS license FROM (SELECT sha256({form("text")}) AS digest, license FROM (VALUES {rows}) v(license, text) WHERE {form("text")} <> '' UNION ALL SELECT digest, license FROM (VALUES {alone}) w(license, digest)) GROUP BY 1),
     d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM {docs}),
     line AS (SELECT r, unnest({lines("text")}) AS x FROM d),
     notices AS (SELECT r, min(license) AS notice FROM (SELECT r, sha256({plain("x")}) AS digest FROM line) JOIN known USING (digest) GROUP BY r),

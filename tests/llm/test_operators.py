@@ -2,6 +2,7 @@
 smallest documents and on rows with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -305,6 +306,21 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(more, known.limit(0)).where("coalesce(license, notice) IS NOT NULL").count() == 0
 
 
+def test_whole_texts_of_long_licenses(spark):
+    """The texts that this system has are found whole, in any case and with another wrapping, and not with a word more."""
+    folder = "/usr/share/common-licenses"
+    have = [(n, f"{folder}/{f}") for n, f in (("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0")) if os.path.exists(f"{folder}/{f}")]
+    if not have:
+        pytest.skip("no licence texts here")
+    texts = [(n, open(f, encoding="utf-8").read()) for n, f in have]
+    rows = [(i, t, n) for i, (n, t) in enumerate(texts)] + [(10 + i, t.upper().replace(" of ", "  of\t"), n) for i, (n, t) in enumerate(texts)] + [(20 + i, t + " more", None) for i, (_, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string").drop("want").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = {r.doc_id: r.license for r in license_scan.scan(docs, license_scan.known_licenses(spark)).collect()}
+    assert got == {d: n for d, _, n in rows}
+    names, want = _duck(docs, license_scan.sql())
+    assert result(license_scan.scan(docs, license_scan.known_licenses(spark)).select(*names)) == want
+
+
 def test_url_filter(spark, empty):
     urls = ["https://WWW.Example.com/en/a?b#c", "http://example.com/en/", "http://a.example.com/en/x", "https://shop.net/es/x", "https://net/fr/", "http://notnet/es/", "x", None, "http://", "ftp://h.org#f", "http://casino-poker-betting.example.org/poker/jackpot", "https://library.science.example.org/journal/articles", "https://a.com", "http://b.net/es"]
     pages = spark.createDataFrame([(i, u, 1, "h") for i, u in enumerate(urls)], "page_id long, url string, best int, host string")
