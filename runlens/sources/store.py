@@ -46,7 +46,8 @@ def _places(keys: list[str], slots: Column) -> Column:
 
 
 def _seen(rows: Observation) -> int:
-    """The number n of observed rows; Spark tells of none where it found out that there are no rows and left the step out."""
+    """The number n of observed rows. Spark tells of none where the rows turned out to be none and their steps were left out: so no
+    shuffle may stand between the observed rows and the write, as an empty one would take them along."""
     try:
         return rows.get["n"]
     except Py4JJavaError:
@@ -157,8 +158,8 @@ class Store:
         out, order = rows.select(*cols), self.clustered.get(table) or self.keys.get(table)
         if table in self.clustered:
             out = out.repartitionByRange(*order)
-        else:
-            out = out.hint("rebalance")  # few files of a good size
+        elif not order:
+            out = out.hint("rebalance")  # few files of a good size; keyed rows come from a shuffle of their own
         folder = f"{table}/{uuid.uuid4().hex}"
         (out.sortWithinPartitions(*order) if order else out).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
         return folder
