@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import RUN_CONDITION, pseudonym
-from ..functions.roles import classify
 from ..operators import catalogue, facets, graphs, ingest, metrics, rankings, residuals, statistics
 from ..sources import driver_tables as T
 from . import registry
@@ -65,16 +64,6 @@ def pipelines_catalog(spark, sf):
     return catalogue.with_usage(T.pipelines(spark), T.run_conditions(spark, sf), "pipeline_dag_hash")
 
 
-@query("SELECT operator, count(DISTINCT pipeline_dag_hash) AS n_pipelines FROM nodes GROUP BY operator")
-def operators_catalog(spark, sf):
-    return catalogue.operators(T.nodes(spark))
-
-
-@query("SELECT param_name, count(DISTINCT value_json) AS n_values, CAST(sum(is_numeric) > 0 AS INTEGER) AS is_numeric FROM params WHERE is_sweepable = 1 GROUP BY param_name")
-def sweepable_parameters(spark, sf):
-    return catalogue.sweepable_parameters(T.params(spark))
-
-
 _PAIRS = "SELECT pipeline_dag_hash, dataset_fingerprint, 'release' AS collection_id FROM pipelines CROSS JOIN datasets"
 
 
@@ -154,8 +143,6 @@ def run_explorer_operator(spark, sf):
     return rounded(rankings.run_explorer(T.backbone(spark, sf), T.nodes(spark), operator="sklearn.svm.SVR"))
 
 
-
-
 @query(f"SELECT operator, max(role) AS role, count(metric_value) AS n, round(avg(metric_value), 6) AS mean, round(stddev_pop(metric_value), 6) AS std, round(median(metric_value), 6) AS median, round(min(metric_value), 6) AS min, round(max(metric_value), 6) AS max FROM backbone JOIN {_USED} u USING (pipeline_dag_hash) WHERE {ALL} GROUP BY operator")
 def operator_effect(spark, sf):
     return rounded(rankings.operator_effect(T.backbone(spark, sf), T.nodes(spark)))
@@ -273,11 +260,6 @@ def operator_graph_nodes(spark, sf):
     return rounded(graphs.operator_nodes(T.backbone(spark, sf), T.nodes(spark)))
 
 
-@query(f"SELECT a.leaf AS source, b.leaf AS target, count(DISTINCT a.pipeline_dag_hash) AS weight FROM {_USED} a JOIN {_USED} b ON a.pipeline_dag_hash = b.pipeline_dag_hash AND a.leaf < b.leaf GROUP BY ALL")
-def operator_graph_edges(spark, sf):
-    return graphs.operator_edges(T.nodes(spark))
-
-
 @query(f"SELECT operator, role, n_pipelines, n_runs, round(score, 6) AS score FROM ({_OPS})")
 def composition(spark, sf):
     return rounded(graphs.composition(T.backbone(spark, sf), T.nodes(spark)))
@@ -288,11 +270,6 @@ def composition_rollup(spark, sf):
     return rounded(graphs.composition_rollup(T.backbone(spark, sf), T.nodes(spark)))
 
 
-@query(f"SELECT pipeline_dag_hash, node_id, operator, role FROM {_ROLES}")
-def role_classification(spark, sf):
-    return T.nodes(spark).select("pipeline_dag_hash", "node_id", "operator", classify(F.col("operator"), F.col("kind")).alias("role"))
-
-
 # Residuals and metrics
 
 
@@ -402,7 +379,7 @@ def validate_manifests(spark, sf):
     return ingest.verify(m).select("o_orderkey", "status", F.size("issues").alias("n_issues"))
 
 
-from . import ingestion, stored, uploads, views  # noqa: E402, F401  (they register their queries)
+from . import ingestion, pipelines, stored, uploads, views  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

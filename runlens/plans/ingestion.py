@@ -11,11 +11,6 @@ from ..sources import manifests
 from .registry import query, rounded
 
 
-@query("SELECT pipeline_dag_hash AS pipeline_id, dag AS pipeline_dag_hash FROM dags")
-def dag_hashes(spark, sf):
-    return identity.dag_hashes(T.recipe_texts(spark)).select("pipeline_id", "pipeline_dag_hash")
-
-
 _IDS = """SELECT *, sha256('{"dataset_fingerprint":"' || dataset_fingerprint || '","task_hash":"' || task_hash || '","variant_spec":{"size":"all"}}') AS dataset_variant_hash, sha256('{"spec":"' || split_spec_hash || '","summary":{}}') AS split_instance_hash, sha256('{"spec":"' || cv_spec_hash || '","summary":{}}') AS cv_instance_hash FROM (
     SELECT execution_hash AS execution_id, sha256(execution_hash) AS export_hash, dag AS pipeline_dag_hash, f AS dataset_fingerprint, coalesce(scopes, []) AS scopes,
         sha256('{"dataset_fingerprint":"' || f || '","encoding":{},"target_hash":null,"target_name":"price","task_type":"regression"}') AS task_hash,
@@ -51,36 +46,6 @@ def residual_set_ids(spark, sf):
     return resolve.resolve(T.manifest_texts(spark, sf)).select("execution_hash", resolve.residual_set_id(F.col("execution_hash"), F.lit("sample_id")).alias("residual_set_id"))
 
 
-def _resolved_recipes(spark):
-    """The pipelines alone, as manifests of one dataset."""
-    head = '{"dataset": {"dataset_fingerprint": "' + "0" * 64 + '"}, "task": {"task_type": "regression"}, "pipeline": '
-    return resolve.resolve(T.recipe_texts(spark).select(F.concat(F.lit(head), "source", F.lit("}")).alias("text")))
-
-
-_SPEC = "sha256('{\"entrypoint\":\"' || operator || '\",\"role\":\"' || kind || '\",\"version\":null}')"
-
-
-@query(f"SELECT dag AS pipeline_dag_hash, 'g' || content.i AS node_id, s AS signature, kind AS role, operator, {_SPEC} AS operator_spec_hash, sha256(params_json) AS params_hash, CASE WHEN kind = 'model' THEN kind END AS model_family FROM content JOIN chain ON content.pipeline_dag_hash = chain.pipeline_dag_hash AND content.i = chain.i JOIN dags ON dags.pipeline_dag_hash = content.pipeline_dag_hash")
-def dimension_nodes(spark, sf):
-    return resolve.pipeline_nodes(_resolved_recipes(spark)).select("pipeline_dag_hash", "node_id", "signature", "role", "operator", "operator_spec_hash", "params_hash", "model_family")
-
-
-@query(f"SELECT DISTINCT {_SPEC} AS operator_spec_hash, split_part(operator, '.', 1) AS library, operator AS entrypoint, CAST(NULL AS VARCHAR) AS version, kind AS role FROM content")
-def dimension_operators(spark, sf):
-    return resolve.operator_specs(resolve.pipeline_nodes(_resolved_recipes(spark)))
-
-
-@query("SELECT DISTINCT sha256('{\"name\":\"' || param_name || '\",\"value\":' || value_json || '}') AS param_value_hash, param_name AS name, value_json, CASE WHEN value_json IN ('true', 'false') THEN 'bool' WHEN value_json LIKE '\"%' THEN 'categorical' ELSE 'numeric' END AS kind, numeric_value, CAST(numeric_value IS NOT NULL AS INTEGER) AS is_numeric, CAST(numeric_value IS NOT NULL AS INTEGER) AS is_ordinal, 1 AS is_sweepable FROM params")
-def dimension_parameters(spark, sf):
-    return resolve.parameter_values(resolve.node_params(_resolved_recipes(spark)))
-
-
-@query("SELECT dag AS pipeline_dag_hash, 'g' || i AS node_id, i = 0 AS is_entry, i = n AS is_terminal FROM (SELECT pipeline_dag_hash, i, max(i) OVER (PARTITION BY pipeline_dag_hash) AS n FROM content) JOIN dags USING (pipeline_dag_hash) WHERE i = 0 OR i = n")
-def graph_end_nodes(spark, sf):
-    found = _resolved_recipes(spark)
-    return resolve.end_nodes(resolve.pipeline_nodes(found), resolve.pipeline_edges(found))
-
-
 _YEAR = "execution_validity = 'valid' AND seed = 2001"
 _TARGETS = "SELECT pipeline_dag_hash, dataset_fingerprint, 'release' AS collection_id FROM pipelines CROSS JOIN datasets"
 

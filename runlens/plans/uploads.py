@@ -5,19 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identity
-from ..operators import rankings, resolve, uploads
+from ..operators import resolve, uploads
 from ..sources import bundles, cards, workspace
 from ..sources import driver_tables as T
 from .registry import query, rounded
 
-_MAX = ", ".join(f"('{n}', 'max')" for n in sorted(rankings.MAXIMISED))
-_MIN = ", ".join(f"('{n}', 'min')" for n in sorted(rankings.MINIMISED))
-
-
-@query(f"SELECT * FROM (VALUES {_MAX}, {_MIN}) v(metric_name, direction)", views=False)
-def metric_directions(spark, sf):
-    return rankings.directions(spark)
-
 
 def _predictions(spark, sf):
     """Events as predictions: one in five of a final fold, one in five aggregated, half with a map of scores."""

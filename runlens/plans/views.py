@@ -64,11 +64,6 @@ def coded_axis(spark, sf):
     return views.coded(T.datasets(spark, sf).select("dataset_fingerprint", "domain"), "domain").select("dataset_fingerprint", "domain", F.col("domain_code").cast("long").alias("domain_code"))
 
 
-@query("SELECT pipeline_dag_hash, label FROM pipelines WHERE contains(lower(label || ' ' || main_model), 'svr') AND is_linear = 1")
-def pipelines_filtered(spark, sf):
-    return views.filtered_pipelines(T.pipelines(spark), "SVR", linear=True).select("pipeline_dag_hash", "label")
-
-
 @query(f"SELECT pipeline_dag_hash, round(coalesce(16 + (n - min(n) OVER ()) / nullif(max(n) OVER () - min(n) OVER (), 0)::DOUBLE * 44, 16), 6) AS size FROM (SELECT pipeline_dag_hash, count(DISTINCT execution_hash) AS n FROM backbone WHERE {SEL} GROUP BY 1)")
 def node_sizes(spark, sf):
     n = graphs.pipeline_nodes(T.backbone(spark, sf)).select("pipeline_dag_hash", "n_runs")

@@ -32,21 +32,21 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("o_orderkey", F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), "n", F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") != "P").alias("attested"), "nation", "dataset_name", "domain")
 
 
-def _graph(segment: Column, priority: Column, n: Column) -> Column:
+def graph(segment: Column, priority: Column, n: Column) -> Column:
     """The pipeline as JSON: nodes and edges."""
     prio = F.substring(priority, 1, 1).cast("int")
     at = F.sequence(F.lit(1), n)
     odd = n % 2 == 1
     node = lambda name, kind, operator, params: F.concat(F.lit('{"id":"'), name, F.lit(f'","kind":"{kind}","operator":'), _text(operator), F.lit(',"params":{'), params, F.lit("}}"))
     number = lambda x: x.cast("string")
-    steps = F.transform(at, lambda i: node(F.concat(F.lit("s"), number(i)), "transform", _step(i, prio), F.concat(F.lit('"window":'), number(i * 2 + 1), F.lit(',"center":'), F.when(i % 2 == 0, "true").otherwise("false"))))
+    s = lambda i: F.concat(F.lit("s"), F.lpad(number(i), 2, "0"))
+    steps = F.transform(at, lambda i: node(s(i), "transform", _step(i, prio), F.concat(F.lit('"window":'), number(i * 2 + 1), F.lit(',"center":'), F.when(i % 2 == 0, "true").otherwise("false"))))
     model = F.element_at(F.create_map(*[F.lit(x) for kv in T.MODELS.items() for x in kv]), segment)
     ends = F.array(node(F.lit("x"), "input", F.lit("X"), F.lit("")), node(F.lit("z"), "model", model, F.concat(F.lit('"n_components":'), number(n * 2), F.lit(',"kernel":'), _text(F.lower(segment)))))
     merge = F.when(odd, F.array().cast("array<string>")).otherwise(F.array(node(F.lit("m"), "mean", F.lit("ensemble.MeanEnsemble"), F.lit(""))))
     edge = lambda a, b, port: F.concat(F.lit('{"src":"'), a, F.lit('","dst":"'), b, F.lit('","dst_port":"'), port, F.lit('"}'))
-    s = lambda i: F.concat(F.lit("s"), number(i))
     chain = F.array_append(F.transform(at, lambda i: edge(F.when(i == 1, "x").otherwise(s(i - 1)), s(i), F.lit("in"))), edge(s(n), F.lit("z"), F.lit("in")))
-    wide = F.concat(F.transform(at, lambda i: edge(F.lit("x"), s(i), F.lit("in"))), F.transform(at, lambda i: edge(s(i), F.lit("m"), F.concat(F.lit("in"), number(i)))), F.array(edge(F.lit("m"), F.lit("z"), F.lit("in"))))
+    wide = F.concat(F.transform(at, lambda i: edge(F.lit("x"), s(i), F.lit("in"))), F.transform(at, lambda i: edge(s(i), F.lit("m"), F.concat(F.lit("in"), F.lpad(number(i), 2, "0")))), F.array(edge(F.lit("m"), F.lit("z"), F.lit("in"))))
     return F.concat(F.lit('{"nodes":['), F.concat_ws(",", ends, steps, merge), F.lit('],"edges":['), F.concat_ws(",", F.when(odd, chain).otherwise(wide)), F.lit("]}"))
 
 
@@ -66,7 +66,7 @@ def manifest_texts(spark: SparkSession, sf: str) -> DataFrame:
         lit('{"arena_export_schema_version":1,"dataset":{"n_samples":100,"dataset_fingerprint":"'), F.sha2(F.concat(lit("d"), "nation"), 256), lit('","dataset_card":{"name":"'), "dataset_name", lit('","domain":"'), "domain",
         lit('"}},"task":{"task_type":"regression","target_name":"price"},"split":{"method":"'), F.when(F.col("priority").contains("-"), "holdout").otherwise("kennard_stone"), lit('","params":{"test_size":0.25}},"cv":{"method":"'), F.when(F.col("year") % 2 == 1, 'kfold","n_folds":5').otherwise('shuffle","n_folds":10'),
         lit('},"rng":{"root_seed":'), text("year"), lit('},"refit":{"strategy":"full"},"execution":{"execution_id":"e'), text("o_orderkey"), lit('"},"leakage_attestation":{"oof_enforced":'), text("attested"), lit('},"pipeline":{"human_label":"'), F.concat_ws("/", "segment", "priority", text("n")), lit('","graph":'),
-        _graph(F.col("segment"), F.col("priority"), F.col("n")), lit('},"scores":{"observations":['), "scores", lit("]}}"),
+        graph(F.col("segment"), F.col("priority"), F.col("n")), lit('},"scores":{"observations":['), "scores", lit("]}}"),
     )
     return o.select(F.concat(lit("order-"), text("o_orderkey")).alias("path"), body.alias("text"))
 
