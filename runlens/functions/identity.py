@@ -70,7 +70,8 @@ def _first(d: dict, *keys: str):
     return next((d[k] for k in keys if d.get(k)), None)
 
 
-def _node(raw, place: int) -> dict:
+def node_of(raw, place: int) -> dict:
+    """A step of any accepted shape: its id, branch path and content."""
     blank = {"kind": "transform", "operator_version": None, "params": {}, "fit_scope": None}
     if not isinstance(raw, dict):
         return {"id": f"n{place}", "branch_path": [], "content": blank | {"operator": str(raw)}}
@@ -90,7 +91,7 @@ def _graph(source) -> tuple[list[dict], list[tuple[str, str, str, str]], bool]:
     steps = source if isinstance(source, list) else source.get("nodes") if isinstance(source, dict) else None
     if not isinstance(steps, list):
         raise TypeError("a pipeline is a list of steps, or an object with nodes, pipeline or steps")
-    nodes = [_node(x, i) for i, x in enumerate(steps)]
+    nodes = [node_of(x, i) for i, x in enumerate(steps)]
     given = source.get("edges") if isinstance(source, dict) else None
     if not isinstance(given, list):
         return nodes, [(a["id"], "out", b["id"], "in") for a, b in zip(nodes, nodes[1:])], True  # noqa: B905

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .facets import pivot
-from .rankings import ascending, best_first, leaderboard, robustness
+from .rankings import ascending, best_first, leaderboard, ranked, robustness
 
 
 def _best(p: DataFrame, finding: str, metric: str) -> DataFrame:
@@ -31,9 +31,9 @@ def findings(m: DataFrame, facets: DataFrame, metric: str = "rmse", scope: str =
 
 def coded(rows: DataFrame, column: str) -> DataFrame:
     """rows with <column>_code: the place of the value among the sorted distinct values, from 0; null stays null.
-    The distinct values are numbered, not the rows."""
+    The distinct values are numbered, by sorted ranges, not the rows."""
     seen = rows.where(F.col(column).isNotNull()).select(column).distinct()
-    codes = seen.withColumn(f"{column}_code", F.row_number().over(Window.orderBy(column)) - 1)
+    codes = ranked(seen, [F.col(column).asc()]).select(column, (F.col("rank") - 1).cast("int").alias(f"{column}_code"))
     return rows.join(codes, column, "left")
 
 

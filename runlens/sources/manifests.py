@@ -6,13 +6,13 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import fingerprint
+from .commitlog import Files
 
 MANIFEST = """schema_version int, export_hash string, dataset struct<dataset_fingerprint:string, n_samples:long>, task struct<task_type:string>, cv struct<n_folds:long>,
     leakage_attestation struct<oof_enforced:boolean, unsafe_flags:array<string>>,
@@ -83,19 +83,25 @@ def report_observations(reports: DataFrame) -> DataFrame:
     return rows.withColumns({"metric_name": F.lower("metric_name"), "metric_value": F.col("_text").try_cast("double")}).where("metric_value IS NOT NULL").drop("_text")
 
 
-def residual_rows(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """manifests()' residuals: those inline, else those of the Parquet file that residuals.ref names in the folder. A file that is named
-    by many manifests is read once."""
+def residual_rows(spark: SparkSession, manifest: DataFrame, folder: str | None = None) -> DataFrame:
+    """manifests()' residuals: those inline, else those of the Parquet file that residuals.ref names in the folder, by default the
+    manifest's own. Only named files are opened, each once however many manifests name it; one that isn't there has no rows."""
     inline = inline_residuals(manifest)
-    refs = manifest.where(F.coalesce(F.size("m.residuals.inline"), F.lit(0)) == 0).select("export_hash", F.get_json_object("text", "$.residuals.ref").alias("ref")).where("ref IS NOT NULL")
-    if "://" not in folder and not any(Path(folder).rglob("*.parquet")):
+    bare = manifest.where(F.coalesce(F.size("m.residuals.inline"), F.lit(0)) == 0)
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    beside = F.lit(folder.rstrip("/")) if folder else decoded(F.regexp_replace("path", "/[^/]*$", ""))
+    refs = bare.select("export_hash", F.concat(beside, F.lit("/"), F.get_json_object("text", "$.residuals.ref")).alias("_named")).where("_named IS NOT NULL")
+    files = Files(spark)
+    named = [r[0] for r in refs.select("_named").distinct().collect()]  # the batch's file names, which the reader needs
+    there = [x for x in named if files.exists(x)]
+    if not there:
         return inline
-    side = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
-    names = [f for f in inline.columns if f != "export_hash"]
-    kinds = {f.name: f.dataType for f in inline.schema}
-    cols = [(F.col(f"`{n}`") if n in side.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names]
-    rows = side.select(F.col("_metadata.file_path").alias("_file"), *cols).withColumn("ref", F.substring_index("_file", folder.rstrip("/").split("/")[-1] + "/", -1)).drop("_file")
-    return inline.unionByName(refs.join(rows, "ref").drop("ref").select("export_hash", *names))
+    kinds = {f.name: f.dataType for f in inline.schema if f.name != "export_hash"}
+    side = spark.read.option("mergeSchema", True).parquet(*there)
+    cols = [(F.col(f"`{n}`") if n in side.columns else F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()]
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^[a-z0-9+.-]+:/*", "/"), "/+", "/")
+    rows = side.select(plain(decoded(F.col("_metadata.file_path"))).alias("_file"), *cols)
+    return inline.unionByName(refs.withColumn("_file", plain(F.col("_named"))).join(rows, "_file").select(inline.columns))
 
 
 def reshaped(flat, n, k):
