@@ -101,7 +101,7 @@ def _recomputed(rows: DataFrame, which: DataFrame) -> DataFrame:
     """Observations from the residuals of the exports in which."""
     own = rows.join(which, "export_hash", "left_semi").withColumn("residual_set_id", F.col("export_hash"))
     made = [metrics.recompute(own.where(F.col("_regression") == yes), "regression" if yes else "classification") for yes in (True, False)]
-    cols = F.col("residual_set_id").alias("export_hash"), "metric_name", "metric_value", "scope", "fold_id", "partition"
+    cols = F.col("residual_set_id").alias("export_hash"), "metric_name", "metric_value", "scope", "fold_id", "partition", "n_samples", "coverage"
     return made[0].select(*cols).unionByName(made[1].select(*cols))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import is_hash, plan_id, pseudonym, run_condition_hash
 
 # What a manifest's fields may be.
-TASKS = ("regression", "classification", "binary_classification", "multiclass_classification")
+TASKS = ("regression", "binary", "multiclass", "multilabel")
 #: Residual rows of an export beyond which only its scores are kept.
 RESIDUAL_CAP = 1_000_000
 

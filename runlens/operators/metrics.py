@@ -94,9 +94,33 @@ def roc_auc(rows: DataFrame, keys: list[str]) -> DataFrame:
     return r.select(*keys, auc.alias("roc_auc")).where("roc_auc IS NOT NULL")
 
 
+def probabilities(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_samples, metric_name, metric_value): log_loss, and for two classes roc_auc, of rows(keys, y_true, y_pred, y_proba). A probability's
+    column is its label's place among the sorted labels of its group, seen on either side, which travel with the rows; labels beyond the columns are
+    skipped. A group in which a pair lacks its probabilities has neither."""
+    pairs = rows.where("y_true IS NOT NULL AND y_pred IS NOT NULL")
+    whole = F.min(F.col("y_proba").isNotNull()).alias("whole")
+    labels = F.array_sort(F.array_union(F.collect_set("y_true"), F.collect_set("y_pred"))).alias("labels")  # classes, which are few
+    groups = pairs.groupBy(*keys).agg(labels, whole, F.max(F.size("y_proba")).alias("k"), F.count("*").alias("n_samples")).where("whole")
+    found = null_safe_join(pairs, groups, keys).withColumn("at", F.array_position("labels", F.col("y_true")).cast("int"))
+    p = F.get("y_proba", F.col("at") - 1)
+    loss = -F.log(F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS)))
+    losses = found.groupBy(*keys, "n_samples").agg(F.avg(loss).alias("log_loss"))
+    two = found.where("k = 2").select(*keys, (F.col("at") == 2).cast("int").alias("y_true"), F.get("y_proba", F.lit(1)).alias("score"))
+    areas = null_safe_join(groups.select(*keys, "n_samples"), roc_auc(two, keys), keys)
+    return _long(losses, [*keys, "n_samples"], ("log_loss",)).unionByName(_long(areas, [*keys, "n_samples"], ("roc_auc",)))
+
+
 def recompute(residuals: DataFrame, task_type: str = "regression") -> DataFrame:
-    """Observations of residual sets by scope, fold and partition, with the direction of each metric."""
+    """Observations of residual sets by scope, fold and partition, with the direction of each metric, how many pairs it is made of and their share of the rows."""
     keys = ["residual_set_id", "scope", "fold_id", "partition"]
-    rows = residuals.select("residual_set_id", F.coalesce("scope", F.lit("cv")).alias("scope"), "fold_id", F.coalesce("partition", F.lit("validation")).alias("partition"), "y_true", "y_pred")
-    found = (regression if task_type == "regression" else classification)(rows, keys)
+    probable = task_type != "regression" and "y_proba" in residuals.columns
+    rows = residuals.select("residual_set_id", F.coalesce("scope", F.lit("cv")).alias("scope"), "fold_id", F.coalesce("partition", F.lit("validation")).alias("partition"), "y_true", "y_pred", *(["y_proba"] if probable else []))
+    if task_type == "regression":
+        found = regression(rows, keys)
+    else:
+        found = classification(rows, keys)
+        found = found.unionByName(probabilities(rows, keys)) if probable else found
+        totals = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+        found = null_safe_join(found, totals, keys).withColumn("coverage", F.col("n_samples") / F.col("_rows")).drop("_rows")
     return found.withColumn("direction", direction(F.col("metric_name")))

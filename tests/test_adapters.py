@@ -3,10 +3,11 @@
 import json
 import sqlite3
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
-from runlens.operators import adapters, batches, rankings
+from runlens.operators import adapters, batches, metrics, rankings
 from runlens.sources import manifests, workspace
 
 
@@ -69,3 +70,37 @@ def test_only_named_files_are_opened(spark, tmp_path):
     rows = manifests.residual_rows(spark, m)
     assert sorted((r.sample_id, r.group_id, r.weight, r.y_proba) for r in rows.collect()) == [("a", "g", 0.5, [0.1, 0.9]), ("b", "g", 0.5, [0.1, 0.9])]
     assert rows.select("export_hash").distinct().count() == 2 and not any("broken" in f for f in rows.inputFiles())
+
+
+def test_probability_metrics_follow_the_residuals(spark):
+    """Against the definitions, with labels that only predictions have, a set without some probabilities and a null fold."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for name, k, fold in (("two", 2, None), ("three", 3, "f0"), ("part", 2, "f0")):
+        for i in range(40):
+            p = rng.dirichlet(np.ones(k)).tolist()
+            rows.append((name, "cv", fold, "validation", float(10 * rng.integers(k)) if i else 0.0, float(10 * int(np.argmax(p))), None if name == "part" and i == 7 else p))
+    rows += [("two", "cv", None, "validation", None, 0.0, [0.5, 0.5]), ("two", "cv", None, "validation", 10.0, None, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "residual_set_id string, scope string, fold_id string, partition string, y_true double, y_pred double, y_proba array<double>")
+    got = {(r.residual_set_id, r.metric_name): r for r in metrics.recompute(df, "multiclass").collect()}
+    assert {n for s, n in got if s == "part"} == {"accuracy", "precision_macro", "recall_macro", "f1_macro", "balanced_accuracy", "mcc"} and ("three", "roc_auc") not in got
+    for name in ("two", "three"):
+        pairs = [(t, q) for s, *_, t, p, q in rows if s == name and t is not None and p is not None]
+        labels = sorted({t for s, *_, t, p, q in rows if s == name and None not in (t, p)} | {p for s, *_, t, p, q in rows if s == name and None not in (t, p)})
+        want = -np.mean([np.log(np.clip(q[labels.index(t)], 1e-15, 1 - 1e-15)) for t, q in pairs])
+        assert abs(got[name, "log_loss"].metric_value - want) < 1e-9 and got[name, "log_loss"].direction == "min" and got[name, "log_loss"].n_samples == 40
+    high, low = ([q[1] for t, q in [(t, q) for s, *_, t, p, q in rows if s == "two" and None not in (t, p)] if (t == 10.0) == yes] for yes in (True, False))
+    area = np.mean([(a > b) + 0.5 * (a == b) for a in high for b in low])
+    assert abs(got["two", "roc_auc"].metric_value - area) < 1e-9 and abs(got["two", "accuracy"].coverage - 40 / 42) < 1e-12 and got["three", "mcc"].coverage == 1.0
+
+
+def test_a_classification_batch_gets_its_probability_scores(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [{"sample_id": f"s{i}", "y_true": i % 2, "y_pred": i % 2, "y_proba": [0.8 - 0.6 * (i % 2), 0.2 + 0.6 * (i % 2)]} for i in range(6)]
+    body = {"arena_export_schema_version": 1, "dataset": {"dataset_fingerprint": "a" * 64}, "task": {"task_type": "binary"}, "pipeline": {"nodes": [{"node_id": "a", "kind": "model", "operator": "x.Y"}]}, "residuals": {"inline": rows}, "leakage_attestation": {"oof_enforced": True}}
+    (tmp_path / "in" / "a.json").write_text(json.dumps(body))
+    s = batches.open_store(spark, f"{tmp_path}/s")
+    assert [r.status for r in batches.ingest(s, manifests.manifests(spark, f"{tmp_path}/in"), batches.Policy("lab")).collect()] == ["committed"]
+    got = {r.metric_name: (round(r.metric_value, 9), r.direction, r.n_samples, r.coverage) for r in s.read("observations").collect()}
+    assert got["roc_auc"] == (1.0, "max", 6, 1.0) and got["log_loss"] == (round(-float(np.log(0.8)), 9), "min", 6, 1.0) and got["accuracy"][0] == 1.0
+    assert s.read("residuals").where("size(y_proba) = 2").count() == 6
