@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources import manifests as M
 from ..sources.commitlog import Conflict, State
 from ..sources.scratch import checkpointed
-from ..sources.store import RESIDUAL, Store
+from ..sources.store import RESIDUAL, Snapshot, Store, snapshot
 from . import catalogue, facets, metrics, resolve
 from .ingest import RESIDUAL_CAP, cap_report, latest, new_exports, once, publishable, superseded, verify, within_cap
 from .rankings import direction
@@ -66,6 +66,21 @@ def open_store(spark: SparkSession, root: str) -> Store:
     return Store(spark, root, TABLES, KEYS, CLUSTERED, UPGRADES)
 
 
+#: Tables of which a snapshot has a folder for each run.
+PER_RUN = ("score_sets", "residual_sets")
+
+
+def export_snapshot(store: Store, path: str) -> None:
+    """All tables of one state but the settings, which hold the salt, as folders of JSON lines."""
+    state = store.state()
+    snapshot(path, per_run=PER_RUN, **{name: store.read(name, state) for name in TABLES if name != "settings"})
+
+
+def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    """An exported snapshot, for backbone() and whatever else reads a store's tables."""
+    return Snapshot(spark, path, TABLES)
+
+
 @dataclass(frozen=True)
 class Policy:
     """How a batch is taken. salt: of the pseudonyms, for a store's first batch; the store keeps it, and another one is refused. quarantine: whether a

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.identity import canonical_json
-from .commitlog import Conflict, Log, State
+from .commitlog import Conflict, Files, Log, State
 
 VERSION = 2
 RESIDUAL = "residual_set_id string, sample_id string, group_id string, origin_sample_id string, scope string, fold_id string, partition string, y_true double, y_pred double, y_proba array<double>, residual double, weight double"
@@ -257,6 +257,25 @@ def snapshot(path: str, per_run: tuple[str, ...] = (), **sections: DataFrame) ->
         (out.partitionBy("execution_hash") if name in per_run else out).json(f"{path}/{name}")
 
 
+class Snapshot:
+    """A snapshot()'s folders as a store's tables: what reads a Store by read() reads it too."""
+
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str]):
+        self.spark, self.path, self.schemas = spark, path.rstrip("/"), schemas
+        self._there = set(Files(spark).names(self.path))
+
+    def read(self, table: str, state: State | None = None) -> DataFrame:
+        """A table's rows; empty for a folder that isn't there. Columns that it lacks are null."""
+        schema = StructType.fromDDL(self.schemas[table])
+        if table not in self._there:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).json(f"{self.path}/{table}").select(*schema.names)
+
+    def run(self, table: str, execution_hash: str) -> DataFrame:
+        """One run's rows of a section that has a folder for each run: only that folder is read."""
+        return self.read(table).where(F.col("execution_hash") == execution_hash)
+
+
 def write_residuals(rows: DataFrame, path: str) -> None:
     """Residual rows, a folder for each residual_set_id; sets that are there already are replaced, others stay. Missing columns
     are null, unknown ones go."""

@@ -153,6 +153,20 @@ def test_every_operator_runs_on_the_store(lab):
     assert views.findings(m, found).count() >= 3
 
 
+def test_a_snapshot_ranks_as_its_store_does(spark, lab, tmp_path):
+    s, *_ = lab
+    batches.export_snapshot(s, f"{tmp_path}/out")
+    shot = batches.open_snapshot(spark, f"{tmp_path}/out")
+    board = lambda x: [tuple(r) for r in rankings.leaderboard(batches.backbone(x)).collect()]
+    assert board(shot) == board(s) and not (tmp_path / "out" / "settings").exists()
+    effect = lambda x: sorted(tuple(r) for r in rankings.operator_effect(batches.backbone(x), x.read("pipeline_nodes")).collect())
+    assert effect(shot) == effect(s)
+    key = s.read("score_sets").first().execution_hash
+    one = shot.run("score_sets", key)
+    assert one.count() == 1 and one.first().execution_hash == key and len(one.inputFiles()) == len(shot.read("score_sets").inputFiles()) and "PartitionFilters: [isnotnull(execution_hash" in one._jdf.queryExecution().toString()
+    assert shot.read("settings").count() == 0
+
+
 def test_what_a_batch_leaves(spark, lab):
     s, first, targets = lab
     counts = {r.name: r.n for r in batches.overview(s).collect()}
