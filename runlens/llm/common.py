@@ -101,6 +101,11 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def bytes_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+    """The column's strings in UTF-8, as Arrow holds them; null becomes the empty text."""
+    return [t or b"" for t in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns, as (new name = type or old name), so that extra
     columns of any name can't clash."""

@@ -43,6 +43,9 @@ BLOCK, LANES, PERCENTILE = 128, 4, 90
 SEGMENT = 1 << 18
 MAGIC = b"PFB1"
 
+#: How many bits each number of up to 16 bits has.
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
 SEGMENTS = "shard int, segment int, n_ids bigint, data binary"
 
 
@@ -55,7 +58,7 @@ def pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full = np.concatenate((ids, np.full(n * BLOCK - len(ids), tail.min(), np.uint32))).reshape(n, BLOCK)
     least = full.min(axis=1)
     rest = full - least[:, None]
-    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
+    bits = _BITS[rest] if rest.max() < len(_BITS) else np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
     at = math.ceil(BLOCK * PERCENTILE / 100) - 1
     width = np.partition(bits, at, axis=1)[:, at].astype(np.int64)
     over = bits > width[:, None]
@@ -159,7 +162,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                for doc_id, x in zip(part.column(0).to_pylist(), bpe.encode_texts(table, common.texts_of(part)), strict=True):
+                for doc_id, x in zip(part.column(0).to_pylist(), [b"".join(map(table.__getitem__, t.split())) for t in common.bytes_of(part)], strict=True):
                     doc_ids.append(doc_id)
                     ids.append(x + end)
                     n += len(x) // 4 + 1
