@@ -6,6 +6,7 @@ import sqlite3
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 from runlens.operators import adapters, batches, metrics, rankings
 from runlens.sources import manifests, workspace
@@ -104,3 +105,24 @@ def test_a_classification_batch_gets_its_probability_scores(spark, tmp_path):
     got = {r.metric_name: (round(r.metric_value, 9), r.direction, r.n_samples, r.coverage) for r in s.read("observations").collect()}
     assert got["roc_auc"] == (1.0, "max", 6, 1.0) and got["log_loss"] == (round(-float(np.log(0.8)), 9), "min", 6, 1.0) and got["accuracy"][0] == 1.0
     assert s.read("residuals").where("size(y_proba) = 2").count() == 6
+
+
+def test_uploads_go_where_their_content_says(spark, tmp_path):
+    """A recipe is registered and planned; the export that runs it fulfils the plan; the recipe uploaded again has been run."""
+    steps = [{"class": "a.Snv"}, {"model": "b.Pls", "params": {"n": 3}}]
+    body = {"arena_export_schema_version": 1, "dataset": {"dataset_fingerprint": "a" * 64, "dataset_card": {"name": "corn"}}, "task": {"task_type": "regression"}, "pipeline": {"graph": {"nodes": [{"node_id": "n0", "operator": "a.Snv"}, {"node_id": "n1", "kind": "model", "operator": "b.Pls", "params": {"n": 3}}], "edges": [{"src": "n0", "dst": "n1"}]}}, "scores": {"observations": [{"metric_name": "rmse", "metric_value": 1.0}]}}
+    bundle = {"bundle_id": "b1", "graph_fingerprint": "g", "prediction_caches": [{"partition": "validation", "sample_ids": ["s"], "values": [1.0], "y_true": [2.0]}]}
+    frame = lambda *rows: spark.createDataFrame([(k, v if isinstance(v, bytes) else json.dumps(v).encode()) for k, v in rows], "path string, content binary")
+    s = batches.open_store(spark, f"{tmp_path}/s")
+    policy = batches.Policy("lab")
+    first = {r.path: r for r in adapters.upload(s, frame(("recipe", steps), ("odd", b"\xff"), ("bad", {"nodes": "no list"})), policy, ["a" * 64]).collect()}
+    assert {k: (r.kind, r.status) for k, r in first.items()} == {"recipe": ("recipe", "planned"), "odd": ("unknown", "unknown"), "bad": ("recipe", "unknown")}
+    assert s.read("pipeline_nodes").count() == 2 and {r.status for r in batches.plans(s).collect()} == {"planned"}
+    then = {r.path: (r.kind, r.status) for r in adapters.upload(s, frame(("export", body), ("bundle", bundle)), policy).collect()}
+    assert then == {"export": ("export", "committed"), "bundle": ("bundle", "committed")}
+    assert {r.status for r in batches.plans(s).collect()} == {"fulfilled"} and s.read("executions").count() == 2
+    assert sorted((r.metric_name, r.metric_value) for r in batches.backbone(s).where("metric_name = 'rmse'").collect()) == [("rmse", 1.0), ("rmse", 1.0)]
+    again = adapters.upload(s, frame(("recipe", steps)), policy, ["corn"]).first()
+    assert (again.status, again.dataset_fingerprint) == ("already_run", "a" * 64) and again.pipeline_dag_hash == first["recipe"].pipeline_dag_hash
+    with pytest.raises(ValueError, match="releases"):
+        adapters.upload(s, frame(("export", body)), batches.Policy("release"))
