@@ -28,6 +28,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ BLOCK, LANES, PERCENTILE = 128, 4, 90
 #: A segment is closed at so many ids.
 SEGMENT = 1 << 18
 MAGIC = b"PFB1"
+#: Words, and runs of letters or signs, that a worker keeps the ids of.
+ROOM = 1_000_000
 
 #: How many bits each number of up to 16 bits has.
 _BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
@@ -138,6 +141,34 @@ def unpack_segment(data: bytes) -> tuple[int, list[int | None], np.ndarray, np.n
     return before, [None if x else d for d, x in zip(doc_ids, null, strict=True)], sizes, ids
 
 
+class _Runs(bpe._RunIds):
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= ROOM:
+            self.clear()
+        self[run] = ids = np.array([t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.signs))], "<u4").tobytes()
+        return ids
+
+
+class _Words(bpe.WordIds):
+    """WordIds with room for ROOM words and runs: a task here holds little else."""
+
+    def __init__(self, spec: bytes):
+        super().__init__(spec)
+        self.runs = None if self.runs is None else _Runs(self.tokenizer)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= ROOM:
+            self.clear()
+        self[word] = ids = self.encoded(word)
+        return ids
+
+
+@lru_cache(maxsize=1)
+def _words(spec: bytes) -> _Words:
+    """This worker's table."""
+    return _Words(spec)
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
     """Encodes every whole text, with end_id behind it, into token files at path.
 
@@ -152,7 +183,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        table = bpe.word_ids(shared.value)
+        table = _words(shared.value)
         doc_ids, ids, n, before, number = [], [], 0, 0, 0
 
         def closed() -> pa.RecordBatch:
