@@ -27,7 +27,7 @@ _LISTED = ("execution_id", *resolve.HASHES, "run_condition_hash", "execution_has
 
 @query(f"SELECT {', '.join(_LISTED)} FROM {_RESOLVED}")
 def manifest_identities(spark, sf):
-    return resolve.resolve(T.manifest_texts(spark, sf)).select(*_LISTED)
+    return resolve.identities(T.manifest_texts(spark, sf)).select(*_LISTED)
 
 
 _SETS = f"SELECT sha256('{{\"execution\":\"' || execution_hash || '\",\"scope\":\"' || scope || '\",\"score_spec\":\"' || score_spec_hash || '\"}}') AS score_set_id, execution_hash, scope FROM (SELECT *, unnest(scopes) AS scope FROM {_RESOLVED})"
@@ -38,12 +38,12 @@ def manifest_facts(spark, sf):
     texts = T.manifest_texts(spark, sf)
     parsed = texts.select(F.from_json("text", "arena_export_hash string, scores struct<observations:array<struct<metric_name:string, metric_value:double, scope:string>>>").alias("m"))
     observed = parsed.select(F.col("m.arena_export_hash").alias("export_hash"), F.inline("m.scores.observations"))
-    return resolve.score_sets(resolve.resolve(texts), observed)
+    return resolve.score_sets(resolve.identities(texts), observed)
 
 
 @query(f"SELECT execution_hash, sha256('{{\"execution\":\"' || execution_hash || '\",\"key\":\"sample_id\"}}') AS residual_set_id FROM {_RESOLVED}")
 def residual_set_ids(spark, sf):
-    return resolve.resolve(T.manifest_texts(spark, sf)).select("execution_hash", resolve.residual_set_id(F.col("execution_hash"), F.lit("sample_id")).alias("residual_set_id"))
+    return resolve.identities(T.manifest_texts(spark, sf)).select("execution_hash", resolve.residual_set_id(F.col("execution_hash"), F.lit("sample_id")).alias("residual_set_id"))
 
 
 _YEAR = "execution_validity = 'valid' AND seed = 2001"

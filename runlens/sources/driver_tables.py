@@ -94,10 +94,14 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each with what its facets tell; a condition's methods follow from its pipeline's priority and its seed."""
-    rc = executions(spark, sf_dir).select("run_condition_hash", "pipeline_dag_hash", "dataset_fingerprint", "seed").distinct()
+    """Each with what its facets tell."""
+    return with_methods(executions(spark, sf_dir).select("run_condition_hash", "pipeline_dag_hash", "dataset_fingerprint", "seed").distinct())
+
+
+def with_methods(conditions: DataFrame) -> DataFrame:
+    """A condition's methods follow from its pipeline's priority and its seed."""
     odd = F.col("seed") % 2 == 1
-    return rc.withColumns({"task_type": F.lit("regression"), "split_method": F.when(F.col("pipeline_dag_hash").contains("-"), "holdout").otherwise("kennard_stone"), "cv_method": F.when(odd, "kfold").otherwise("shuffle"), "n_folds": F.when(odd, 5).otherwise(10).cast("long"), "refit_strategy": F.lit("full")})
+    return conditions.withColumns({"task_type": F.lit("regression"), "split_method": F.when(F.col("pipeline_dag_hash").contains("-"), "holdout").otherwise("kennard_stone"), "cv_method": F.when(odd, "kfold").otherwise("shuffle"), "n_folds": F.when(odd, 5).otherwise(10).cast("long"), "refit_strategy": F.lit("full")})
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +166,10 @@ def recipe_texts(spark: SparkSession) -> DataFrame:
 def manifest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(execution_hash, text): an export manifest as JSON for each execution; its scores are one per scope."""
     lit = F.lit
-    scopes = observations(spark, sf_dir).groupBy("order_key").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_set("score_scope")), lambda s: F.concat(lit('{"metric_name":"rmse","metric_value":1.5,"scope":"'), s, lit('"}')))).alias("obs"))
-    e = executions(spark, sf_dir).join(run_conditions(spark, sf_dir).drop("pipeline_dag_hash", "dataset_fingerprint", "seed"), "run_condition_hash").join(scopes, "order_key", "left")
-    e = e.join(recipe_texts(spark).withColumnRenamed("pipeline_id", "pipeline_dag_hash"), "pipeline_dag_hash")
+    score = lambda scope: F.when(F.bool_or(F.col("score_scope") == scope), lit(f'{{"metric_name":"rmse","metric_value":1.5,"scope":"{scope}"}}'))
+    scopes = observations(spark, sf_dir).groupBy("order_key").agg(F.concat_ws(",", score("cv"), score("test")).alias("obs"))
+    e = with_methods(executions(spark, sf_dir)).join(scopes, "order_key", "left")
+    e = e.join(F.broadcast(recipe_texts(spark).withColumnRenamed("pipeline_id", "pipeline_dag_hash")), "pipeline_dag_hash")
     text = F.concat(
         lit('{"arena_export_schema_version": 1, "arena_export_hash": "'), F.sha2("execution_hash", 256), lit('", "dataset": {"dataset_fingerprint": "'), F.sha2(F.concat(lit("d"), "dataset_fingerprint"), 256),
         lit('"}, "task": {"task_type": "regression", "target_name": "price"}, "dataset_variant": {"variant_spec": {"size": "all"}}, "split": {"method": "'), "split_method", lit('", "params": {"test_size": 0.25}}, "cv": {"method": "'), "cv_method",
