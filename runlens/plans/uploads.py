@@ -8,6 +8,7 @@ from ..functions import identity
 from ..operators import resolve, uploads
 from ..sources import bundles, cards, workspace
 from ..sources import driver_tables as T
+from ..sources.scratch import spread
 from .registry import query, rounded
 
 
@@ -64,13 +65,13 @@ def _bundles(spark, sf):
     """A bundle for each part: predictions are nested, every third has an envelope."""
     k = F.col("p_partkey").cast("string")
     text = F.concat(F.lit('{"bundle_id": "b'), k, F.lit('", "graph_fingerprint": "g", "campaign_fingerprint": "c'), k, F.lit('", "unsafe_flags": [], "prediction_caches": [{"partition": "TEST", "fold_id": null, "sample_ids": ["s1", "s2"], "values": [[1.5], '), k, F.lit('], "targets": ['), k, F.lit("]}]}"))
-    return T.table(spark, sf, "part").select(k.alias("path"), text.alias("text"), F.lit(None).cast("string").alias("graph"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('{"schema_fingerprint": "'), F.sha2(k, 256), F.lit('"}'))).alias("envelope"))
+    return spread(T.table(spark, sf, "part").select("p_partkey"), "p_partkey").select(k.alias("path"), text.alias("text"), F.lit(None).cast("string").alias("graph"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('{"schema_fingerprint": "'), F.sha2(k, 256), F.lit('"}'))).alias("envelope"))
 
 
 @query("""SELECT 'b' || p_partkey AS execution_id, CASE WHEN p_partkey % 3 = 0 THEN sha256(CAST(p_partkey AS VARCHAR)) ELSE sha256('{"bundle":"b' || p_partkey || '","graph":"g"}') END AS dataset_fingerprint, 'c' || p_partkey AS cv_instance_hash,
     sha256('{"derivation":"sha256-hash-chain","determinism_flags":{},"framework_seeds":{},"root_seed":null}') AS rng_context_hash, CAST(NULL AS VARCHAR) AS error FROM part""", views=False)
 def bundle_identities(spark, sf):
-    return resolve.resolve(bundles.bundle_manifests(_bundles(spark, sf))).select("execution_id", "dataset_fingerprint", "cv_instance_hash", "rng_context_hash", "error")
+    return resolve.identities(bundles.bundle_manifests(_bundles(spark, sf))).select("execution_id", "dataset_fingerprint", "cv_instance_hash", "rng_context_hash", "error")
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS residual_set_id, sample_id, 'test' AS scope, 'test' AS "partition", y_true, y_pred, y_true - y_pred AS residual FROM (

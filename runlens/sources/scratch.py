@@ -22,3 +22,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once, with its lineage cut."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores by its keys: a small file is one task, however much is then made of its rows."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *keys)

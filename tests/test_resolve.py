@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 from runlens.operators import resolve
+from runlens.plans import uploads
 
 
 def manifest(i, **more):
@@ -41,3 +42,6 @@ def test_every_part_is_told_in_few_rows(spark):
         kept = [c for c in a[name].columns if c != "created_at"]
         assert set(a[name].select(*kept).collect()) == set(b[name].select(*kept).collect()), name
     assert set(resolve.conditions(found.where("good" if "good" in found.columns else F.col("execution_id").isNotNull())).collect()) == set(resolve.conditions(whole).collect())
+
+def test_bundles_of_one_file_are_many_tasks(spark, sf):
+    assert uploads._bundles(spark, sf).rdd.getNumPartitions() > 1
