@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..sources import manifests as M
 from ..sources.commitlog import Conflict, State
-from ..sources.scratch import checkpointed
+from ..sources.scratch import checkpointed, short_shuffles, written
 from ..sources.store import RESIDUAL, Snapshot, Store, snapshot
 from . import catalogue, facets, metrics, resolve
-from .ingest import RESIDUAL_CAP, cap_report, latest, new_exports, once, publishable, superseded, verify, within_cap
+from .ingest import RESIDUAL_CAP, cap_report, latest, once, publishable, superseded, verify, within_cap
 from .rankings import direction
 
 _PARTS = ("dataset_fingerprint", "task_hash", "dataset_variant_hash", "split_instance_hash", "cv_instance_hash", "rng_context_hash", "refit_strategy_hash", "pipeline_dag_hash")
@@ -99,16 +99,17 @@ def settings(store: Store, state: State | None = None) -> dict[str, str]:
     return dict(latest(store.read("settings", state), "key", "value").select("key", "value").collect())  # a few rows
 
 
-def _residuals(accepted: DataFrame, salt: str, side: DataFrame | None) -> DataFrame:
+#: How many residual rows and scores a manifest has inline.
+_INLINE, _SCORES = "coalesce(nullif(size(m.residuals.inline), -1), 0)", "coalesce(nullif(size(m.scores.observations), -1), 0)"
+
+
+def _residuals(usable: DataFrame, salt: str, side: DataFrame | None) -> DataFrame:
     """Residual rows as they may be kept, by export; side: rows from beside the manifests."""
-    may = {f"may_{c}": F.get_json_object("text", f"$.residuals.publishable.{c}").cast("boolean") for c in ("y_true", "y_pred", "y_proba")}
-    flags = accepted.select("export_hash", (F.col("m.task.task_type") == "regression").alias("_regression"), *[v.alias(k) for k, v in may.items()])
-    rows = M.inline_residuals(accepted)
+    flags = "export_hash", "may.*", F.coalesce(F.col("m.task.task_type") == "regression", F.lit(False)).alias("_regression")
+    rows = usable.where(f"{_INLINE} > 0").select(*flags, F.inline("m.residuals.inline"))
     if side is not None:
-        bare = accepted.where(F.coalesce(F.size("m.residuals.inline"), F.lit(0)) == 0)
-        rows = rows.unionByName(side.join(bare.select("export_hash"), "export_hash", "left_semi"), allowMissingColumns=True)
-    joined = rows.join(flags, "export_hash")
-    parts = [publishable(joined.where(F.coalesce("_regression", F.lit(False)) == yes), salt, yes) for yes in (True, False)]
+        rows = rows.unionByName(side.join(usable.where(f"{_INLINE} = 0").select(*flags), "export_hash"), allowMissingColumns=True)
+    parts = [publishable(rows.where(F.col("_regression") == yes), salt, yes) for yes in (True, False)]
     return parts[0].unionByName(parts[1])
 
 
@@ -134,78 +135,130 @@ def ingest(store: Store, manifests: DataFrame, policy: Policy, side: DataFrame |
     by export, of manifests without any. If another writer comes first the batch is told apart from what that one wrote, `tries` times at most."""
     store = store if store.keys else open_store(store.spark, store.root)
     named = F.coalesce("m.arena_export_hash", "export_hash", F.sha2("text", 256))
-    m = checkpointed(manifests.withColumn("export_hash", named))
-    for left in reversed(range(tries)):
-        try:
-            return _ingested(store, m, policy, side, scores)
-        except Conflict:
-            if not left:
-                raise
+    m = manifests.withColumn("export_hash", named).select("export_hash", "path", "text", "m")
+    with short_shuffles(store.spark):
+        rows = _read(m, policy)
+        twice = _twice(rows)
+        for left in reversed(range(tries)):
+            try:
+                return _ingested(store, m, rows, twice, policy, side, scores)
+            except Conflict:
+                if not left:
+                    raise
     raise ValueError("tries must be 1 or more")
 
 
-def _ingested(store: Store, m: DataFrame, policy: Policy, side: DataFrame | None, scores: DataFrame | None) -> DataFrame:
+def _verified(rows: DataFrame, policy: Policy, scores: DataFrame | None = None) -> DataFrame:
+    """rows with schema_version, status and issues."""
+    fields = M.checked_fields(rows, F.struct(*[c for c in rows.columns if c != "export_hash"]).alias("row"))
+    if scores is not None:
+        counted = scores.groupBy("export_hash").agg(F.count("*").alias("_n"))
+        fields = fields.join(counted, "export_hash", "left").withColumn("n_observations", F.coalesce("_n", F.lit(0)) + F.col("n_observations")).drop("_n")
+    return verify(fields, policy.release if policy.quarantine is None else policy.quarantine).select("export_hash", "schema_version", "status", "issues", "row.*")
+
+
+def _read(m: DataFrame, policy: Policy) -> DataFrame:
+    """Manifests in narrow rows, which are all that is kept of them: their texts are many times larger. What is rejected isn't resolved."""
+    may = [F.get_json_object("text", f"$.residuals.publishable.{c}").cast("boolean").alias(f"may_{c}") for c in ("y_true", "y_pred", "y_proba")]
+    told = _verified(m, policy).withColumns({"may": F.struct(*may), "_good": (F.col("status") != "rejected") & F.coalesce(F.col("m.arena_export_hash") != "", F.lit(True))})
+    return written(resolve.identities(told, ("export_hash", "path", "m", "may"), "_good"))
+
+
+def _twice(rows: DataFrame) -> DataFrame | None:
+    """The exports that come more than once, if any: short hashes are counted, and whole ones where those are equal."""
+    short = F.xxhash64("export_hash").alias("_short")
+    again = written(rows.groupBy(short).agg(F.count("*").alias("n")).where("n > 1").select("_short"))
+    if again.isEmpty():
+        return None
+    return written(rows.select("export_hash", short).join(again, "_short", "left_semi").groupBy("export_hash").agg(F.count("*").alias("n")).where("n > 1").select("export_hash"))
+
+
+def _ingested(store: Store, m: DataFrame, rows: DataFrame, twice: DataFrame | None, policy: Policy, side: DataFrame | None, scores: DataFrame | None) -> DataFrame:
     now, state = F.current_timestamp(), store.state()
     kept_salt = settings(store, state).get("salt")
     if kept_salt is not None and policy.salt not in (None, kept_salt):
         raise ValueError("the store has another salt: samples would no longer meet")
     salt = kept_salt or policy.salt or uuid.uuid4().hex
-    known = store.read("batches", state)
-    fields = M.checked_fields(m)
-    if scores is not None:
-        counted = scores.groupBy("export_hash").agg(F.count("*").alias("_n"))
-        fields = fields.join(counted, "export_hash", "left").withColumn("n_observations", F.coalesce("_n", F.lit(0)) + F.col("n_observations")).drop("_n")
-    verified = verify(fields, policy.release if policy.quarantine is None else policy.quarantine).select("export_hash", "schema_version", "status", "issues")
-    first = verified.groupBy("export_hash").agg(F.min_by(F.struct("schema_version", "status", "issues"), F.coalesce("schema_version", F.lit(0))).alias("v")).select("export_hash", "v.*")
-    fresh = new_exports(first, known)
-    accepted = m.groupBy("export_hash").agg(F.min("text").alias("text"), F.min("m").alias("m")).join(fresh.where("status != 'rejected'").select("export_hash", "status"), "export_hash")
-    accepted = checkpointed(accepted)
-    resolved = checkpointed(resolve.resolve(accepted).where("error IS NULL").join(accepted.select("export_hash", "status"), "export_hash"))
-    usable = accepted.join(resolved.select("export_hash"), "export_hash", "left_semi")
-    residuals = checkpointed(_residuals(usable, salt, side))
-    caps = checkpointed(cap_report(residuals, policy.cap))
-    given = M.observations(usable)
+    first = _verified(rows, policy, scores).select("export_hash", "schema_version", "status", "issues")
+    if twice is not None:
+        least = F.min_by(F.struct("schema_version", "status", "issues"), F.coalesce("schema_version", F.lit(0))).alias("v")
+        several = written(first.join(twice, "export_hash", "left_semi").groupBy("export_hash").agg(least).select("export_hash", "v.*"))
+        first = first.join(twice, "export_hash", "left_anti").unionByName(several)
+    seen = store.read("batches", state).where(F.col("status").isin("committed", "quarantined")) if state.of("batches") else None
+    old = None if seen is None else written(first.join(seen, ["export_hash", "schema_version"], "left_semi").select("export_hash"))
+    if old is not None and old.isEmpty():
+        old = None
+    if twice is not None or old is not None:  # parts are told by what is taken
+        rest = m if old is None else m.join(old, "export_hash", "left_anti")
+        if twice is not None:
+            least = rest.join(twice, "export_hash", "left_semi").groupBy("export_hash").agg(*[F.min(c).alias(c) for c in ("path", "text", "m")])
+            rest = rest.join(twice, "export_hash", "left_anti").unionByName(least)
+        rows = _read(rest, policy)
+    accepted = _verified(rows, policy)
+    if twice is not None:
+        accepted = accepted.join(several.select("export_hash", F.col("status").alias("_status")), "export_hash", "left").withColumn("status", F.coalesce("_status", "status"))
+    accepted = accepted.where("status != 'rejected'")
+    usable = accepted.where("execution_hash IS NOT NULL")
+    residuals = written(_residuals(usable, salt, side))
+    caps = written(cap_report(residuals, policy.cap))
+    # Exports whose scores are in their rows need no join; the others get theirs from beside or from residuals.
+    bare = usable if policy.recompute else usable.where(f"{_SCORES} = 0")
+    direct = usable.where(f"{_SCORES} > 0")
+    ids = "export_hash", "execution_hash", "score_spec_hash"
+    wanted = bare.select("export_hash")
     if scores is not None:
-        bare = usable.select("export_hash").join(given.select("export_hash").distinct(), "export_hash", "left_anti")
-        given = given.unionByName(scores.join(bare, "export_hash", "left_semi"), allowMissingColumns=True).select(given.columns)
-    wanted = usable.select("export_hash") if policy.recompute else usable.select("export_hash").join(given.select("export_hash").distinct(), "export_hash", "left_anti")
-    wanted = wanted.join(caps.where("NOT truncated"), "export_hash", "left_semi")
+        beside = scores.join(usable.where(f"{_SCORES} = 0").select("export_hash"), "export_hash", "left_semi")
+        wanted = wanted if policy.recompute else wanted.join(beside.select("export_hash").distinct(), "export_hash", "left_anti")
+    wanted = written(wanted.join(caps.where("NOT truncated"), "export_hash", "left_semi"))
+    if policy.recompute:
+        direct = direct.join(wanted, "export_hash", "left_anti")
     made = _recomputed(within_cap(residuals, policy.cap), wanted)
-    observed = checkpointed(given.join(wanted, "export_hash", "left_anti").unionByName(made, allowMissingColumns=True).withColumn("scope", F.coalesce("scope", F.lit("cv"))))
-
-    nodes, params = resolve.pipeline_nodes(resolved), resolve.node_params(resolved)
-    values, dags, conditions = resolve.parameter_values(params), resolve.pipeline_dags(resolved), resolve.conditions(resolved)
-    fresh_conditions = checkpointed(store.absent("run_conditions", conditions, state))
-    spec = resolve.specs(resolved)
+    given = M.observations(direct.select("export_hash", "m"))
+    if scores is not None:
+        made = made.unionByName(beside.join(wanted, "export_hash", "left_anti"), allowMissingColumns=True)
+    scope = F.coalesce("scope", F.lit("cv"))
+    made = written(given.limit(0).unionByName(made, allowMissingColumns=True).select(given.columns).withColumn("scope", scope))
+    set_id = resolve.score_set_id(F.col("execution_hash"), F.col("score_spec_hash"), F.col("scope"))
+    scored = direct.select(*ids, F.inline("m.scores.observations")).withColumn("scope", scope).unionByName(made.join(bare.select(*ids), "export_hash")).withColumn("score_set_id", set_id)
+    scopes = F.transform("m.scores.observations", lambda o: F.coalesce(o["scope"], F.lit("cv")))
+    sets = direct.select(*ids, scopes.alias("_scopes")).select("*", F.explode(F.array_distinct("_scopes")).alias("scope"))
+    sets = sets.select("execution_hash", "score_spec_hash", "scope", F.size(F.filter("_scopes", lambda x: x == F.col("scope"))).cast("long").alias("n_observations")).withColumn("score_set_id", set_id)
+    sets = store.absent("score_sets", sets.unionByName(resolve.score_sets(bare, made, policies=True)).withColumn("seq", now), state)
+    scored = store.absent("score_sets", scored, state)
+
+    told = written(rows.where("told IS NOT NULL").select(*resolve.HASHES, "error", "told.*"))
+    nodes, params = resolve.pipeline_nodes(told), resolve.node_params(told)
+    values, dags = resolve.parameter_values(params), resolve.pipeline_dags(told)
+    fresh_conditions = checkpointed(store.absent("run_conditions", resolve.conditions(usable), state))
+    spec = resolve.specs(told)
     names = spec["dataset_cards"].groupBy("dataset_fingerprint").agg(F.min("name").alias("dataset_name"), F.min("domain").alias("domain"))
-    run = ("status", "producer_capsule", "time_ms", "peak_mem_mb", "os", "hardware", "failure_code", "failure_message", "oof_enforced", "unsafe_flags_json")
-    executions = resolved.select("execution_hash", "run_condition_hash", "export_hash", "execution_id", F.lit(policy.collection).alias("collection_id"), F.when(F.col("status") == "quarantined", "quarantined").otherwise("valid").alias("execution_validity"), *[F.col(f"spec.{c}").alias(c) for c in run], now.alias("seq"))
-    sets = checkpointed(store.absent("score_sets", once(resolve.score_sets(resolved, observed, policies=True).withColumn("seq", now), KEYS["score_sets"]), state))
-    scored = observed.join(resolved.select("export_hash", "execution_hash"), "export_hash").join(sets.select("score_set_id", "execution_hash", "scope"), ["execution_hash", "scope"])
+    run = [c for c in resolve.RUN if c != "publishable_json"]
+    executions = usable.select("execution_hash", "run_condition_hash", "export_hash", "execution_id", F.lit(policy.collection).alias("collection_id"), F.when(F.col("status") == "quarantined", "quarantined").otherwise("valid").alias("execution_validity"), *[f"run.{c}" for c in run], now.alias("seq"))
     key = F.coalesce("m.residuals.key", F.lit("sample_id"))
-    parts = residuals.groupBy("export_hash").agg(F.array_sort(F.collect_set("partition")).alias("partitions"))
-    residual_sets = usable.select("export_hash", key.alias("key")).join(caps, "export_hash").join(parts, "export_hash").join(resolved.select("export_hash", "execution_hash", "spec.publishable_json"), "export_hash").withColumn("residual_set_id", resolve.residual_set_id(F.col("execution_hash"), F.col("key")))
+    parts = written(residuals.groupBy("export_hash").agg(F.array_sort(F.collect_set("partition")).alias("partitions")))
+    residual_sets = usable.select("export_hash", "execution_hash", "run.publishable_json", key.alias("key")).join(caps, "export_hash").join(parts, "export_hash").withColumn("residual_set_id", resolve.residual_set_id(F.col("execution_hash"), F.col("key")))
     kept = within_cap(residuals, policy.cap).join(residual_sets.select("export_hash", "residual_set_id"), "export_hash")
     offered = {
         "settings": store.spark.range(1).select(F.lit("salt").alias("key"), F.lit(salt).alias("value"), now.alias("seq")),
         "collections": store.spark.range(1).select(F.lit(policy.collection).alias("collection_id"), F.lit("benchmark_release" if policy.release else "user_run_collection").alias("kind"), now.alias("created_at")),
-        **spec, "pipeline_dags": dags, "pipeline_nodes": nodes.withColumnRenamed("role", "kind"), "pipeline_edges": resolve.pipeline_edges(resolved), "operator_specs": resolve.operator_specs(nodes), "node_params": params, "parameter_values": values,
-        "run_conditions": resolved.select("run_condition_hash", F.lit(policy.collection).alias("collection_id"), *_PARTS), "run_facets": run_facets(fresh_conditions, dags, nodes.withColumnRenamed("role", "kind"), params, values, names),
+        **spec, "pipeline_dags": dags, "pipeline_nodes": nodes.withColumnRenamed("role", "kind"), "pipeline_edges": resolve.pipeline_edges(told), "operator_specs": resolve.operator_specs(nodes), "node_params": params, "parameter_values": values,
+        "run_conditions": usable.select("run_condition_hash", F.lit(policy.collection).alias("collection_id"), *_PARTS).distinct(), "run_facets": run_facets(fresh_conditions, dags, nodes.withColumnRenamed("role", "kind"), params, values, names),
         "executions": executions, "residual_sets": residual_sets.select("residual_set_id", "execution_hash", "key", "n_rows", "truncated", "partitions", "publishable_json"),
     }
     counters = {name: Observation() for name in offered}
-    tables = {name: store.absent(name, once(rows, KEYS[name]).observe(counters[name], F.count(F.lit(1)).alias("n")), state) for name, rows in offered.items()}
+    single = lambda name, rows: rows if name == "executions" else once(rows, KEYS[name])  # noqa: E731  (an execution is its export's, which is there once)
+    tables = {name: store.absent(name, single(name, rows).observe(counters[name], F.count(F.lit(1)).alias("n")), state) for name, rows in offered.items()}
     if state.of("plan_events"):
-        tables["plan_events"] = _fulfilled(plans(store, state), resolved).withColumn("seq", now)
-    lost = accepted.join(resolved.select("export_hash"), "export_hash", "left_anti").select("export_hash", F.lit(True).alias("lost"))
-    seen = known.where(F.col("status").isin("committed", "quarantined")).select("export_hash").distinct().withColumn("seen", F.lit(True))
-    report = first.join(seen, "export_hash", "left").join(lost, "export_hash", "left").join(caps, "export_hash", "left")
+        tables["plan_events"] = _fulfilled(plans(store, state), usable).withColumn("seq", now)
+    lost = written(accepted.where("execution_hash IS NULL").select("export_hash", F.lit(True).alias("lost")))
+    report = first.join(lost, "export_hash", "left").join(caps, "export_hash", "left")
+    report = report.withColumn("seen", F.lit(False)) if seen is None else report.join(seen.select("export_hash").distinct().withColumn("seen", F.lit(True)), "export_hash", "left")
     status = F.when(F.col("seen"), "already_ingested").when(F.col("lost"), "rejected").otherwise(F.col("status"))
     issues = F.when(F.col("lost"), F.array_append("issues", F.lit("error: unresolved"))).otherwise(F.col("issues"))
-    report = checkpointed(report.select("export_hash", "schema_version", status.alias("status"), issues.alias("issues"), F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_residuals"), F.coalesce("truncated", F.lit(False)).alias("truncated")))
+    report = report.select("export_hash", "schema_version", status.alias("status"), issues.alias("issues"), F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_residuals"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
     batch = report.where("status IN ('committed', 'quarantined')").withColumns({"collection_id": F.lit(policy.collection), "seq": now})
-    told = F.coalesce(F.col("direction"), direction(F.col("metric_name")))
-    scored = scored.withColumns({"direction": told, "aggregation_level": F.coalesce("aggregation_level", F.lit("sample"))})
+    direction_ = F.coalesce(F.col("direction"), direction(F.col("metric_name")))
+    scored = scored.withColumns({"direction": direction_, "aggregation_level": F.coalesce("aggregation_level", F.lit("sample"))})
     store.commit(state, counters, **tables, batches=batch, score_sets=sets, observations=scored, residuals=kept)
     return report
 

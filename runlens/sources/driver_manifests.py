@@ -23,13 +23,13 @@ def _step(i: Column, prio: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, _STEPS)), ((prio + i) % len(_STEPS) + 1).cast("int"))
 
 
-def orders(spark: SparkSession, sf: str) -> DataFrame:
-    """One row an order: its key, segment, priority, number of line items, year, validity, nation and region."""
+def orders(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
+    """One row an order: its key, segment, priority, number of line items, year, validity, nation and region, and more that its line items make."""
     o, c = T.table(spark, sf, "orders"), T.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    items = T.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
+    items = T.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"), *more)
     rows = o.join(c, o.o_custkey == c.c_custkey).join(items, o.o_orderkey == items.l_orderkey)
     rows = rows.join(T.datasets(spark, sf).withColumnRenamed("dataset_fingerprint", "nation"), F.col("c_nationkey").cast("string") == F.col("nation"))
-    return rows.select("o_orderkey", F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), "n", F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") != "P").alias("attested"), "nation", "dataset_name", "domain")
+    return rows.select("o_orderkey", F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), "n", F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") != "P").alias("attested"), "nation", "dataset_name", "domain", *items.columns[2:])
 
 
 def graph(segment: Column, priority: Column, n: Column) -> Column:
@@ -52,15 +52,17 @@ def graph(segment: Column, priority: Column, n: Column) -> Column:
 
 def manifest_texts(spark: SparkSession, sf: str) -> DataFrame:
     """(path, text): a manifest for each order."""
-    item = T.table(spark, sf, "lineitem")
-    test, lit = F.col("l_linestatus") == "F", F.lit
-    metric = F.when(F.col("l_returnflag") == "A", "rmse").when(F.col("l_returnflag") == "N", "r2").otherwise("mae")
-    score = F.concat(
-        lit('{"metric_name":"'), metric, lit('","metric_value":'), F.sqrt(F.col("l_extendedprice") / F.col("l_quantity")).cast("string"), lit(',"scope":"'), F.when(test, "test").otherwise("cv"), lit('","fold_id":"fold'), F.col("l_linenumber").cast("string"),
-        lit('","partition":"'), F.when(test, "test").otherwise("validation"), lit('","aggregation_level":"'), F.when(F.col("l_linenumber") % 2 == 0, "target").otherwise("sample"), lit('","n_samples":'), F.col("l_quantity").cast("int").cast("string"), lit("}"),
-    )
-    scores = item.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.concat_ws(",", F.array_sort(F.collect_list(score))).alias("scores"))
-    o = orders(spark, sf).join(scores, "o_orderkey")
+    lit, kept = F.lit, ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_extendedprice")
+
+    def score(x: Column) -> Column:
+        test, flag = x["l_linestatus"] == "F", x["l_returnflag"]
+        return F.concat(
+            lit('{"metric_name":"'), F.when(flag == "A", "rmse").when(flag == "N", "r2").otherwise("mae"), lit('","metric_value":'), F.sqrt(x["l_extendedprice"] / x["l_quantity"]).cast("string"), lit(',"scope":"'), F.when(test, "test").otherwise("cv"), lit('","fold_id":"fold'), x["l_linenumber"].cast("string"),
+            lit('","partition":"'), F.when(test, "test").otherwise("validation"), lit('","aggregation_level":"'), F.when(x["l_linenumber"] % 2 == 0, "target").otherwise("sample"), lit('","n_samples":'), x["l_quantity"].cast("int").cast("string"), lit("}"),
+        )
+
+    o = orders(spark, sf, F.collect_list(F.struct(*kept)).alias("items"))
+    o = o.withColumn("scores", F.concat_ws(",", F.array_sort(F.transform("items", score))))
     text = lambda c: F.col(c).cast("string")
     body = F.concat(
         lit('{"arena_export_schema_version":1,"dataset":{"n_samples":100,"dataset_fingerprint":"'), F.sha2(F.concat(lit("d"), "nation"), 256), lit('","dataset_card":{"name":"'), "dataset_name", lit('","domain":"'), "domain",

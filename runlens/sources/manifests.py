@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import fingerprint
@@ -43,11 +43,11 @@ def parsed(rows: DataFrame) -> DataFrame:
     return rows.select("path", "text").mapInArrow(hashed, "path string, text string, export_hash string").withColumn("m", fields)
 
 
-def checked_fields(manifest: DataFrame) -> DataFrame:
-    """manifests() with the columns that ingestion verifies."""
+def checked_fields(manifest: DataFrame, *more: Column | str) -> DataFrame:
+    """manifests() with the columns that ingestion verifies, and more."""
     return manifest.select(
         "export_hash", "path", F.col("m.arena_export_schema_version").alias("schema_version"), "m.dataset.dataset_fingerprint", "m.task.task_type", "m.cv.n_folds", "m.dataset.n_samples",
-        F.coalesce(F.size("m.scores.observations"), F.lit(0)).alias("n_observations"), "m.leakage_attestation.oof_enforced", "m.leakage_attestation.unsafe_flags", F.col("m.residuals.key").alias("residual_key"),
+        F.coalesce(F.size("m.scores.observations"), F.lit(0)).alias("n_observations"), "m.leakage_attestation.oof_enforced", "m.leakage_attestation.unsafe_flags", F.col("m.residuals.key").alias("residual_key"), *more,
     )
 
 

@@ -54,3 +54,20 @@ def test_scores_are_made_from_residuals(spark, tmp_path):
     found = {(r.label, r.metric_name, round(r.metric_value, 6)) for r in batches.backbone(s).where("metric_name IN ('rmse', 'mae')").collect()}
     assert found == {("pls", "rmse", 0.5), ("pls", "mae", 0.5), ("pls", "rmse", 9.0)}
     assert s.read("residuals").where("residual = -0.5").count() == 4
+
+
+def test_scratch_holds_no_texts(spark, tmp_path):
+    """Manifests are kept in narrow rows: a batch's scratch is a fraction of its texts."""
+    import os
+    import random
+    from urllib.parse import urlparse
+
+    from runlens.sources.scratch import folder
+
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(urlparse(folder(spark)).path) for f in names)
+    noise, before = random.Random(1), size()
+    texts = [json.dumps(manifest("pls", i, 1.0 * i, notes=f"{noise.getrandbits(160_000):x}")) for i in range(60)]
+    rows = manifests.parsed(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string"))
+    s = batches.open_store(spark, str(tmp_path / "store"))
+    assert {r.status for r in batches.ingest(s, rows, batches.Policy("lab", "salt")).collect()} == {"committed"}
+    assert s.read("executions").count() == 60 and size() - before < sum(map(len, texts)) / 2
