@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..sources import manifests as M
 from ..sources.commitlog import Conflict, State
-from ..sources.scratch import checkpointed, short_shuffles, written
-from ..sources.store import RESIDUAL, Snapshot, Store, snapshot
+from ..sources.scratch import checkpointed, remove, short_shuffles, sliced, written
+from ..sources.store import RESIDUAL, SMALL, Snapshot, Store, snapshot
 from . import catalogue, facets, metrics, resolve
 from .ingest import RESIDUAL_CAP, cap_report, latest, once, publishable, superseded, verify, within_cap
 from .rankings import direction
@@ -43,7 +43,7 @@ TABLES = {
     "run_facets": "run_condition_hash string, facet_key string, facet_value string, facet_num double, facet_role string",
     "executions": "execution_hash string, run_condition_hash string, export_hash string, execution_id string, collection_id string, execution_validity string, status string, producer_capsule string, time_ms double, peak_mem_mb double, os string, hardware string, failure_code string, failure_message string, oof_enforced int, unsafe_flags_json string, seq timestamp",
     "score_sets": "score_set_id string, execution_hash string, scope string, n_observations long, score_spec_hash string, seq timestamp",
-    "observations": "score_set_id string, metric_name string, metric_value double, direction string, fold_id string, partition string, aggregation_level string, metric_unit string, n_samples long, coverage double",
+    "observations": "score_set_id string, execution_hash string, score_spec_hash string, scope string, run_condition_hash string, execution_validity string, metric_name string, metric_value double, direction string, fold_id string, partition string, aggregation_level string, metric_unit string, n_samples long, coverage double",
     "residual_sets": "residual_set_id string, execution_hash string, key string, n_rows long, truncated boolean, partitions array<string>, publishable_json string",
     "residuals": RESIDUAL,
     "plan_events": "plan_id string, pipeline_dag_hash string, dataset_fingerprint string, collection_id string, status string, source string, fulfilled_by string, seq timestamp",
@@ -55,7 +55,12 @@ KEYS = {
     "parameter_values": ["param_value_hash"], "run_conditions": ["run_condition_hash"], "run_facets": ["run_condition_hash", "facet_key", "facet_value"], "executions": ["execution_hash"], "score_sets": ["score_set_id"], "residual_sets": ["residual_set_id"],
 }
 #: Columns by which rows that several runs have are laid out, so that one run's are in few files.
-CLUSTERED = {"residuals": ["residual_set_id"], "observations": ["score_set_id"]}
+CLUSTERED = {"residuals": ["residual_set_id"], "observations": ["execution_hash"]}
+#: A score set's id follows from what names the set, so it isn't stored. A run's sets lie side by side.
+DERIVED = {"score_sets": {"score_set_id": resolve.SCORE_SET_ID}, "observations": {"score_set_id": resolve.SCORE_SET_ID}}
+IN_ORDER = {"score_sets": ["execution_hash", "scope"]}
+#: Bytes of a batch's rows that are brought into the store at a time, and then removed.
+SLICE = 64 << 20
 _NODES_1 = TABLES["pipeline_nodes"].replace("kind string", "role string")
 #: Stores of version 1 called a node's declared kind its role, and had scores of single samples only.
 UPGRADES = {1: {"pipeline_nodes": (_NODES_1, lambda df: df.withColumnRenamed("role", "kind")), "observations": (TABLES["observations"], lambda df: df.withColumn("aggregation_level", F.coalesce("aggregation_level", F.lit("sample"))))}}
@@ -63,7 +68,7 @@ UPGRADES = {1: {"pipeline_nodes": (_NODES_1, lambda df: df.withColumnRenamed("ro
 
 def open_store(spark: SparkSession, root: str) -> Store:
     """The store under root, of this version or an older one; a new one where there is none."""
-    return Store(spark, root, TABLES, KEYS, CLUSTERED, UPGRADES)
+    return Store(spark, root, TABLES, KEYS, CLUSTERED, UPGRADES, DERIVED, IN_ORDER)
 
 
 #: Tables of which a snapshot has a folder for each run.
@@ -137,12 +142,12 @@ def ingest(store: Store, manifests: DataFrame, policy: Policy, side: DataFrame |
     named = F.coalesce("m.arena_export_hash", "export_hash", F.sha2("text", 256))
     m = manifests.withColumn("export_hash", named).select("export_hash", "path", "text", "m")
     with short_shuffles(store.spark):
-        rows = _read(m, policy)
-        twice = _twice(rows)
         for left in reversed(range(tries)):
+            rows = _read(m, policy)
             try:
-                return _ingested(store, m, rows, twice, policy, side, scores)
+                return _ingested(store, m, rows, _twice(rows), policy, side, scores)
             except Conflict:
+                remove(rows)
                 if not left:
                     raise
     raise ValueError("tries must be 1 or more")
@@ -161,7 +166,7 @@ def _read(m: DataFrame, policy: Policy) -> DataFrame:
     """Manifests in narrow rows, which are all that is kept of them: their texts are many times larger. What is rejected isn't resolved."""
     may = [F.get_json_object("text", f"$.residuals.publishable.{c}").cast("boolean").alias(f"may_{c}") for c in ("y_true", "y_pred", "y_proba")]
     told = _verified(m, policy).withColumns({"may": F.struct(*may), "_good": (F.col("status") != "rejected") & F.coalesce(F.col("m.arena_export_hash") != "", F.lit(True))})
-    return written(resolve.identities(told, ("export_hash", "path", "m", "may"), "_good"))
+    return written(resolve.told(told, ("export_hash", "path", "m", "may"), "_good"))
 
 
 def _twice(rows: DataFrame) -> DataFrame | None:
@@ -173,13 +178,14 @@ def _twice(rows: DataFrame) -> DataFrame | None:
     return written(rows.select("export_hash", short).join(again, "_short", "left_semi").groupBy("export_hash").agg(F.count("*").alias("n")).where("n > 1").select("export_hash"))
 
 
-def _ingested(store: Store, m: DataFrame, rows: DataFrame, twice: DataFrame | None, policy: Policy, side: DataFrame | None, scores: DataFrame | None) -> DataFrame:
+def _ingested(store: Store, m: DataFrame, read: DataFrame, twice: DataFrame | None, policy: Policy, side: DataFrame | None, scores: DataFrame | None) -> DataFrame:
     now, state = F.current_timestamp(), store.state()
     kept_salt = settings(store, state).get("salt")
     if kept_salt is not None and policy.salt not in (None, kept_salt):
         raise ValueError("the store has another salt: samples would no longer meet")
     salt = kept_salt or policy.salt or uuid.uuid4().hex
-    first = _verified(rows, policy, scores).select("export_hash", "schema_version", "status", "issues")
+    first = _verified(read, policy, scores).select("export_hash", "schema_version", "status", "issues")
+    kept_rows = read
     if twice is not None:
         least = F.min_by(F.struct("schema_version", "status", "issues"), F.coalesce("schema_version", F.lit(0))).alias("v")
         several = written(first.join(twice, "export_hash", "left_semi").groupBy("export_hash").agg(least).select("export_hash", "v.*"))
@@ -193,18 +199,22 @@ def _ingested(store: Store, m: DataFrame, rows: DataFrame, twice: DataFrame | No
         if twice is not None:
             least = rest.join(twice, "export_hash", "left_semi").groupBy("export_hash").agg(*[F.min(c).alias(c) for c in ("path", "text", "m")])
             rest = rest.join(twice, "export_hash", "left_anti").unionByName(least)
-        rows = _read(rest, policy)
-    accepted = _verified(rows, policy)
-    if twice is not None:
-        accepted = accepted.join(several.select("export_hash", F.col("status").alias("_status")), "export_hash", "left").withColumn("status", F.coalesce("_status", "status"))
-    accepted = accepted.where("status != 'rejected'")
+        kept_rows = _read(rest, policy)
+
+    def taken(part: DataFrame) -> DataFrame:
+        out = _verified(resolve.hashed(part), policy)
+        if twice is not None:
+            out = out.join(several.select("export_hash", F.col("status").alias("_status")), "export_hash", "left").withColumn("status", F.coalesce("_status", "status"))
+        return out.where("status != 'rejected'")
+
+    rows = resolve.hashed(kept_rows)
+    accepted = taken(kept_rows)
     usable = accepted.where("execution_hash IS NOT NULL")
     residuals = written(_residuals(usable, salt, side))
     caps = written(cap_report(residuals, policy.cap))
     # Exports whose scores are in their rows need no join; the others get theirs from beside or from residuals.
     bare = usable if policy.recompute else usable.where(f"{_SCORES} = 0")
     direct = usable.where(f"{_SCORES} > 0")
-    ids = "export_hash", "execution_hash", "score_spec_hash"
     wanted = bare.select("export_hash")
     if scores is not None:
         beside = scores.join(usable.where(f"{_SCORES} = 0").select("export_hash"), "export_hash", "left_semi")
@@ -218,22 +228,12 @@ def _ingested(store: Store, m: DataFrame, rows: DataFrame, twice: DataFrame | No
         made = made.unionByName(beside.join(wanted, "export_hash", "left_anti"), allowMissingColumns=True)
     scope = F.coalesce("scope", F.lit("cv"))
     made = written(given.limit(0).unionByName(made, allowMissingColumns=True).select(given.columns).withColumn("scope", scope))
-    set_id = resolve.score_set_id(F.col("execution_hash"), F.col("score_spec_hash"), F.col("scope"))
-    scored = direct.select(*ids, F.inline("m.scores.observations")).withColumn("scope", scope).unionByName(made.join(bare.select(*ids), "export_hash")).withColumn("score_set_id", set_id)
-    scopes = F.transform("m.scores.observations", lambda o: F.coalesce(o["scope"], F.lit("cv")))
-    sets = direct.select(*ids, scopes.alias("_scopes")).select("*", F.explode(F.array_distinct("_scopes")).alias("scope"))
-    sets = sets.select("execution_hash", "score_spec_hash", "scope", F.size(F.filter("_scopes", lambda x: x == F.col("scope"))).cast("long").alias("n_observations")).withColumn("score_set_id", set_id)
-    sets = store.absent("score_sets", sets.unionByName(resolve.score_sets(bare, made, policies=True)).withColumn("seq", now), state)
-    scored = store.absent("score_sets", scored, state)
-
     told = written(rows.where("told IS NOT NULL").select(*resolve.HASHES, "error", "told.*"))
     nodes, params = resolve.pipeline_nodes(told), resolve.node_params(told)
     values, dags = resolve.parameter_values(params), resolve.pipeline_dags(told)
     fresh_conditions = checkpointed(store.absent("run_conditions", resolve.conditions(usable), state))
     spec = resolve.specs(told)
     names = spec["dataset_cards"].groupBy("dataset_fingerprint").agg(F.min("name").alias("dataset_name"), F.min("domain").alias("domain"))
-    run = [c for c in resolve.RUN if c != "publishable_json"]
-    executions = usable.select("execution_hash", "run_condition_hash", "export_hash", "execution_id", F.lit(policy.collection).alias("collection_id"), F.when(F.col("status") == "quarantined", "quarantined").otherwise("valid").alias("execution_validity"), *[f"run.{c}" for c in run], now.alias("seq"))
     key = F.coalesce("m.residuals.key", F.lit("sample_id"))
     parts = written(residuals.groupBy("export_hash").agg(F.array_sort(F.collect_set("partition")).alias("partitions")))
     residual_sets = usable.select("export_hash", "execution_hash", "run.publishable_json", key.alias("key")).join(caps, "export_hash").join(parts, "export_hash").withColumn("residual_set_id", resolve.residual_set_id(F.col("execution_hash"), F.col("key")))
@@ -243,11 +243,10 @@ def _ingested(store: Store, m: DataFrame, rows: DataFrame, twice: DataFrame | No
         "collections": store.spark.range(1).select(F.lit(policy.collection).alias("collection_id"), F.lit("benchmark_release" if policy.release else "user_run_collection").alias("kind"), now.alias("created_at")),
         **spec, "pipeline_dags": dags, "pipeline_nodes": nodes.withColumnRenamed("role", "kind"), "pipeline_edges": resolve.pipeline_edges(told), "operator_specs": resolve.operator_specs(nodes), "node_params": params, "parameter_values": values,
         "run_conditions": usable.select("run_condition_hash", F.lit(policy.collection).alias("collection_id"), *_PARTS).distinct(), "run_facets": run_facets(fresh_conditions, dags, nodes.withColumnRenamed("role", "kind"), params, values, names),
-        "executions": executions, "residual_sets": residual_sets.select("residual_set_id", "execution_hash", "key", "n_rows", "truncated", "partitions", "publishable_json"),
+        "residual_sets": residual_sets.select("residual_set_id", "execution_hash", "key", "n_rows", "truncated", "partitions", "publishable_json"),
     }
-    counters = {name: Observation() for name in offered}
-    single = lambda name, rows: rows if name == "executions" else once(rows, KEYS[name])  # noqa: E731  (an execution is its export's, which is there once)
-    tables = {name: store.absent(name, single(name, rows).observe(counters[name], F.count(F.lit(1)).alias("n")), state) for name, rows in offered.items()}
+    counters = {name: [Observation()] for name in offered} | {"executions": []}
+    tables = {name: store.absent(name, once(rows, KEYS[name]).observe(counters[name][0], F.count(F.lit(1)).alias("n")), state) for name, rows in offered.items()}
     if state.of("plan_events"):
         tables["plan_events"] = _fulfilled(plans(store, state), usable).withColumn("seq", now)
     lost = written(accepted.where("execution_hash IS NULL").select("export_hash", F.lit(True).alias("lost")))
@@ -257,10 +256,39 @@ def _ingested(store: Store, m: DataFrame, rows: DataFrame, twice: DataFrame | No
     issues = F.when(F.col("lost"), F.array_append("issues", F.lit("error: unresolved"))).otherwise(F.col("issues"))
     report = report.select("export_hash", "schema_version", status.alias("status"), issues.alias("issues"), F.coalesce("n_rows", F.lit(0).cast("bigint")).alias("n_residuals"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
     batch = report.where("status IN ('committed', 'quarantined')").withColumns({"collection_id": F.lit(policy.collection), "seq": now})
-    direction_ = F.coalesce(F.col("direction"), direction(F.col("metric_name")))
-    scored = scored.withColumns({"direction": direction_, "aggregation_level": F.coalesce("aggregation_level", F.lit("sample"))})
-    store.commit(state, counters, **tables, batches=batch, score_sets=sets, observations=scored, residuals=kept)
-    return report
+    tables |= {"batches": batch, "residuals": kept}
+
+    def bulk(part: DataFrame) -> dict[str, DataFrame]:
+        """The runs of some of the batch's rows, their sets and scores. An execution is its export's, which is there once."""
+        counters["executions"].append(Observation())
+        own = taken(part).where("execution_hash IS NOT NULL").withColumn("execution_validity", F.when(F.col("status") == "quarantined", "quarantined").otherwise("valid"))
+        run = own.select("execution_hash", "run_condition_hash", "export_hash", "execution_id", F.lit(policy.collection).alias("collection_id"), "execution_validity", *[f"run.{c}" for c in resolve.RUN if c != "publishable_json"], now.alias("seq"))
+        direct = own.where(f"{_SCORES} > 0")
+        bare = own if policy.recompute else own.where(f"{_SCORES} = 0")
+        if policy.recompute:
+            direct = direct.join(wanted, "export_hash", "left_anti")
+        named = "export_hash", "execution_hash", "score_spec_hash"
+        ids, set_id = (*named, "run_condition_hash", "execution_validity"), resolve.score_set_id(F.col("execution_hash"), F.col("score_spec_hash"), F.col("scope"))
+        scored = direct.select(*ids, F.inline("m.scores.observations")).withColumn("scope", scope).unionByName(made.join(bare.select(*ids), "export_hash")).withColumn("score_set_id", set_id)
+        scopes = F.transform("m.scores.observations", lambda o: F.coalesce(o["scope"], F.lit("cv")))
+        sets = direct.select(*named, scopes.alias("_scopes")).select("*", F.explode(F.array_distinct("_scopes")).alias("scope"))
+        sets = sets.select("execution_hash", "score_spec_hash", "scope", F.size(F.filter("_scopes", lambda x: x == F.col("scope"))).cast("long").alias("n_observations")).withColumn("score_set_id", set_id)
+        sets = sets.unionByName(resolve.score_sets(bare, made, policies=True)).withColumn("seq", now)
+        rest = {"direction": F.coalesce(F.col("direction"), direction(F.col("metric_name"))), "aggregation_level": F.coalesce("aggregation_level", F.lit("sample"))}
+        run = store.absent("executions", run.observe(counters["executions"][-1], F.count(F.lit(1)).alias("n")), state)
+        return {"executions": run, "score_sets": store.absent("score_sets", sets, state), "observations": store.absent("score_sets", scored, state).withColumns(rest)}
+
+    # What is in the store goes from the scratch folder: a large batch is brought there a slice at a time.
+    parts = sliced(kept_rows, SLICE)
+    others = written(report.where("status NOT IN ('committed', 'quarantined')"))
+    staged = store.stage(**tables, **(bulk(parts[0]) if len(parts) == 1 else {}))
+    for part in parts if len(parts) > 1 else []:
+        staged |= store.stage(**bulk(part))
+        remove(part)
+    store.commit(state, counters, staged)
+    for used in (read, kept_rows, residuals, made, told):
+        remove(used)
+    return store.rows("batches", staged).select(others.columns).unionByName(others)
 
 
 def _fulfilled(open_plans: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -310,12 +338,17 @@ def conditions(store: Store, state: State | None = None) -> DataFrame:
     cv = read("cv_instances", "cv_instance_hash", "cv_spec_hash").join(read("cv_specs", "cv_spec_hash", F.col("method").alias("cv_method"), "n_folds"), "cv_spec_hash", "left").drop("cv_spec_hash")
     rows = rows.join(split, "split_instance_hash", "left").join(cv, "cv_instance_hash", "left")
     rows = rows.join(read("rng_contexts", "rng_context_hash", F.col("root_seed").alias("seed"), "derivation"), "rng_context_hash", "left")
-    return rows.join(read("refit_strategies", "refit_strategy_hash", F.col("strategy").alias("refit_strategy")), "refit_strategy_hash", "left")
+    rows = rows.join(read("refit_strategies", "refit_strategy_hash", F.col("strategy").alias("refit_strategy")), "refit_strategy_hash", "left")
+    return _few(store, "run_conditions", rows, state)
+
+
+def _few(store: Store | Snapshot, table: str, rows: DataFrame, state: State | None) -> DataFrame:
+    return store.small(table, rows, state) if isinstance(store, Store) else rows
 
 
 def executions(store: Store, state: State | None = None) -> DataFrame:
     """Executions with their condition's pipeline, dataset and origin collection."""
-    origin = store.read("run_conditions", state)
+    origin = _few(store, "run_conditions", store.read("run_conditions", state), state)
     return store.read("executions", state).drop("collection_id").join(origin, "run_condition_hash")
 
 
@@ -335,7 +368,36 @@ def backbone(store: Store, state: State | None = None) -> DataFrame:
     runs = executions(store, state).drop("seq").join(store.read("pipeline_dags", state).select("pipeline_dag_hash", "label", "main_model", "is_linear"), "pipeline_dag_hash", "left")
     runs = runs.join(datasets(store, state).select("dataset_fingerprint", "dataset_name", "domain"), "dataset_fingerprint", "left")
     sets = current_score_sets(store, state).select("score_set_id", "execution_hash", F.col("scope").alias("score_scope"), F.col("validity").alias("score_validity"))
-    return runs.join(sets, "execution_hash").join(store.read("observations", state), "score_set_id")
+    return runs.join(sets, "execution_hash").join(store.read("observations", state).drop(*_OF_RUN), "score_set_id")
+
+
+#: What an observation says of its run and set, beside the set's id.
+_OF_RUN = "execution_hash", "score_spec_hash", "scope", "run_condition_hash", "execution_validity"
+
+
+def _replaced(store: Store, state: State) -> DataFrame | None:
+    """The ids of score sets that aren't valid any more, if any: short hashes of execution and scope are counted, and sets looked at where those are equal."""
+    sets = store.read("score_sets", state).withColumn("_short", F.xxhash64("execution_hash", "scope"))
+    with short_shuffles(store.spark):
+        again = written(sets.groupBy("_short").agg(F.count("*").alias("n")).where("n > 1").select("_short"))
+        if again.isEmpty():
+            return None
+        return written(superseded(sets.join(again, "_short", "left_semi").drop("_short")).where("validity = 'superseded'").select("score_set_id", F.lit("superseded").alias("score_validity")))
+
+
+def scores(store: Store | Snapshot, state: State | None = None) -> DataFrame:
+    """backbone() without the columns that only executions have, such as times and ids: observations name their run, so that
+    they meet conditions, which are far fewer, and neither executions nor score sets. Where files of older formats don't name it, or runs or sets are hidden, backbone()'s rows."""
+    state = store.state() if state is None and isinstance(store, Store) else state
+    gone = [c for c in TABLES["executions"].split(", ") if c.split()[0] not in ("execution_hash", "run_condition_hash", "execution_validity", "collection_id")]
+    if not isinstance(store, Store) or any(f["format"] < 3 for f in state.of("observations").values()) or any(f.get("hidden") for t in ("executions", "score_sets") for f in state.of(t).values()):
+        return backbone(store, state).drop(*[c.split()[0] for c in gone])
+    of = store.read("run_conditions", state).join(store.read("pipeline_dags", state).select("pipeline_dag_hash", "label", "main_model", "is_linear"), "pipeline_dag_hash", "left")
+    of = of.join(datasets(store, state).select("dataset_fingerprint", "dataset_name", "domain"), "dataset_fingerprint", "left")
+    rows = store.read("observations", state).drop("score_spec_hash").withColumnRenamed("scope", "score_scope")
+    old = _replaced(store, state)
+    rows = rows.withColumn("score_validity", F.lit("valid")) if old is None else rows.join(old, "score_set_id", "left").fillna("valid", "score_validity")
+    return rows.join(store.small("run_conditions", of, state), "run_condition_hash")
 
 
 def overview(store: Store) -> DataFrame:

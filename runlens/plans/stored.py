@@ -39,7 +39,7 @@ def _as_sql(body: str) -> str:
 @query(_as_sql(f"SELECT label, dataset_name, year, round(avg(metric_value), 6) AS mean_score, round(min(metric_value), 6) AS min_score, round(max(metric_value), 6) AS max_score, count(*) AS n_obs FROM s WHERE {_CV} GROUP BY ALL"), views=False)
 def store_leaderboard(spark, sf) -> DataFrame:
     s = store(spark, sf)
-    board = rankings.leaderboard(batches.backbone(s), limit=None)
+    board = rankings.leaderboard(batches.scores(s), limit=None)
     seeds = batches.conditions(s).select("run_condition_hash", F.col("seed").alias("year"))
     return rounded(board.join(seeds, "run_condition_hash").select("label", "dataset_name", "year", "mean_score", "min_score", "max_score", "n_obs"))
 
@@ -47,7 +47,7 @@ def store_leaderboard(spark, sf) -> DataFrame:
 @query(_as_sql(f"SELECT label, dataset_name, round(avg(metric_value), 6) AS mean_score, count(DISTINCT o_orderkey) AS n_runs FROM s WHERE {_CV} GROUP BY ALL"), views=False)
 def store_matrix(spark, sf) -> DataFrame:
     s = store(spark, sf)
-    cells = rankings.matrix_cells(batches.backbone(s))
+    cells = rankings.matrix_cells(batches.scores(s))
     names = s.read("pipeline_dags").select("pipeline_dag_hash", "label")
     return rounded(cells.join(names, "pipeline_dag_hash").join(batches.datasets(s), "dataset_fingerprint").select("label", "dataset_name", "mean_score", "n_runs"))
 
@@ -55,20 +55,20 @@ def store_matrix(spark, sf) -> DataFrame:
 @query(_as_sql(f"SELECT operator, max({classify_sql('operator', 'kind')}) AS role, count(*) AS n, round(avg(metric_value), 6) AS mean, round(median(metric_value), 6) AS median, round(min(metric_value), 6) AS min, round(max(metric_value), 6) AS max FROM s JOIN nodes USING (label) WHERE {_CV} AND kind <> 'input' GROUP BY operator"), views=False)
 def store_operator_effect(spark, sf) -> DataFrame:
     s = store(spark, sf)
-    return rounded(rankings.operator_effect(batches.backbone(s), s.read("pipeline_nodes")).select("operator", "role", "n", "mean", "median", "min", "max"))
+    return rounded(rankings.operator_effect(batches.scores(s), s.read("pipeline_nodes")).select("operator", "role", "n", "mean", "median", "min", "max"))
 
 
 @query(_as_sql(f"SELECT CAST(2 * n AS DOUBLE) AS value_num, dataset_name, count(*) AS n, round(avg(metric_value), 6) AS mean FROM s WHERE {_CV} GROUP BY ALL"), views=False)
 def store_parameter_effect(spark, sf) -> DataFrame:
     s = store(spark, sf)
-    points = rankings.parameter_effect(batches.backbone(s), batches.params(s), "n_components").join(batches.datasets(s), "dataset_fingerprint")
+    points = rankings.parameter_effect(batches.scores(s), batches.params(s), "n_components").join(batches.datasets(s), "dataset_fingerprint")
     return rounded(points.groupBy("value_num", "dataset_name").agg(F.count("*").alias("n"), F.avg("score").alias("mean")))
 
 
 @query(_as_sql(f"SELECT cv_method AS value, CAST(2 * n AS VARCHAR) AS color, round(avg(metric_value), 6) AS score, round(min(metric_value), 6) AS min, round(max(metric_value), 6) AS max, count(DISTINCT o_orderkey) AS n_runs FROM s WHERE {_CV} GROUP BY ALL"), views=False)
 def store_pivot(spark, sf) -> DataFrame:
     s = store(spark, sf)
-    return rounded(facets.pivot(batches.backbone(s), s.read("run_facets"), "cv_method", "param:n_components").select("value", "color", "score", "min", "max", "n_runs"))
+    return rounded(facets.pivot(batches.scores(s), s.read("run_facets"), "cv_method", "param:n_components").select("value", "color", "score", "min", "max", "n_runs"))
 
 
 _CONDITIONS = "(SELECT DISTINCT label, dataset_name, domain, year, n, segment, priority, split_method, cv_method FROM o)"
@@ -86,7 +86,7 @@ def store_facets(spark, sf) -> DataFrame:
 @query(_as_sql(f"SELECT domain, count(*) AS n, round(avg(score), 6) AS mean, round(min(score), 6) AS min, round(max(score), 6) AS max FROM (SELECT o_orderkey, domain, avg(metric_value) AS score FROM s WHERE {_CV} GROUP BY ALL) GROUP BY domain"), views=False)
 def store_scores_by_domain(spark, sf) -> DataFrame:
     s = store(spark, sf)
-    scores = statistics.execution_scores(batches.backbone(s)).join(batches.datasets(s), "dataset_fingerprint")
+    scores = statistics.execution_scores(batches.scores(s)).join(batches.datasets(s), "dataset_fingerprint")
     return rounded(scores.groupBy("domain").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.min("score").alias("min"), F.max("score").alias("max")))
 
 
@@ -107,6 +107,6 @@ def store_run_detail(spark, sf) -> DataFrame:
     s = store(spark, sf)
     of = batches.executions(s).join(batches.conditions(s).select("run_condition_hash", "seed"), "run_condition_hash")
     first = of.agg(F.min_by("execution_hash", F.substring("execution_id", 2, 20).cast("long"))).first()[0]
-    row = views.run_detail(first, of, batches.conditions(s).select("run_condition_hash", "pipeline_dag_hash", "dataset_fingerprint", "seed", "cv_method", "n_folds"), s.read("pipeline_dags").drop("n_nodes"), batches.datasets(s).select("dataset_fingerprint", "dataset_name"), s.read("pipeline_nodes"), batches.params(s), batches.backbone(s), s.read("pipeline_edges"))
+    row = views.run_detail(first, of, batches.conditions(s).select("run_condition_hash", "pipeline_dag_hash", "dataset_fingerprint", "seed", "cv_method", "n_folds"), s.read("pipeline_dags").drop("n_nodes"), batches.datasets(s).select("dataset_fingerprint", "dataset_name"), s.read("pipeline_nodes"), batches.params(s), batches.scores(s), s.read("pipeline_edges"))
     total = F.aggregate("scores", F.lit(0.0), lambda n, x: n + x["metric_value"])
     return rounded(row.select("execution_id", "label", "dataset_name", "seed", "cv_method", "n_folds", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"), F.size("params").alias("n_params"), total.alias("total")), 4)

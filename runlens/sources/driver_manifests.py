@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import driver_tables as T
+from .scratch import spread
 
 _STEPS = list(T.STEPS.values())
 
@@ -26,7 +27,7 @@ def _step(i: Column, prio: Column) -> Column:
 def orders(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
     """One row an order: its key, segment, priority, number of line items, year, validity, nation and region, and more that its line items make."""
     o, c = T.table(spark, sf, "orders"), T.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    items = T.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"), *more)
+    items = spread(T.table(spark, sf, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"), *more)
     rows = o.join(c, o.o_custkey == c.c_custkey).join(items, o.o_orderkey == items.l_orderkey)
     rows = rows.join(T.datasets(spark, sf).withColumnRenamed("dataset_fingerprint", "nation"), F.col("c_nationkey").cast("string") == F.col("nation"))
     return rows.select("o_orderkey", F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), "n", F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") != "P").alias("attested"), "nation", "dataset_name", "domain", *items.columns[2:])

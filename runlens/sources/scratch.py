@@ -9,6 +9,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .commitlog import Files
+
+
+#: How frames are kept as Parquet: sorted texts by what differs, and hashes of which a file has tens of thousands in a dictionary.
+COLUMNS = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.dictionary.page.size": "4194304"}
+
 
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset a local session gets a new one and a cluster's is refused."""
@@ -30,10 +36,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df, computed once, as compressed columns: wide frames take a fraction of a checkpoint's room, and readers open only the columns they name."""
     path = f"{folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**COLUMNS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """The files of a written() frame, or of one of its slices, which is read no more."""
+    files = Files(df.sparkSession)
+    for path in df.inputFiles():
+        files.remove(path)
+
+
+def sliced(df: DataFrame, size: int, most: int = 16) -> list[DataFrame]:
+    """A written() frame by groups of its files of about `size` bytes, `most` groups at most."""
+    paths, files = sorted(df.inputFiles()), Files(df.sparkSession)
+    n = min(len(paths), most, max(1, -(-sum(map(files.size, paths)) // size)))
+    return [df.sparkSession.read.schema(df.schema).parquet(*paths[i::n]) for i in range(n)] if n > 1 else [df]
+
+
 @contextmanager
 def short_shuffles(spark: SparkSession) -> Iterator[None]:
     """Shuffle files go with the query that wrote them, rather than with the driver's next garbage collection."""

@@ -4,7 +4,8 @@ A commit's files are written first and become visible at once with its entry of
 see. Each file's entry has its rows and the least and greatest value of the table's first key, and keyed tables have an index beside
 their files, a Bloom filter for each file, so that a batch reads only files that may hold one of its keys. Deleted rows are
 hidden by lists of their places; compact() writes small files anew without them.
-Files keep the format they were written in and are brought to the present one as they are read.
+Files keep the format they were written in and are brought to the present one as they are read. Columns that follow from others
+need not be stored: a file's entry says which they are and how they are made.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import math
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
@@ -24,8 +26,9 @@ from pyspark.sql.types import StructType
 
 from ..functions.identity import canonical_json
 from .commitlog import Conflict, Files, Log, State
+from .scratch import COLUMNS
 
-VERSION = 2
+VERSION = 3
 RESIDUAL = "residual_set_id string, sample_id string, group_id string, origin_sample_id string, scope string, fold_id string, partition string, y_true double, y_pred double, y_proba array<double>, residual double, weight double"
 #: Rows up to which a table's keys are read whole rather than by the index; rows of a file that compact() writes.
 SMALL, FILE_ROWS = 100_000, 1_000_000
@@ -40,6 +43,17 @@ BITS, HASHES = 16, 7
 Upgrades = dict[int, dict[str, tuple[str, Callable[[DataFrame], DataFrame]]]]
 
 
+@dataclass
+class Staged:
+    """What is written and not yet seen: the tables, and what the log will say of their files."""
+
+    tables: set[str] = field(default_factory=set)
+    files: dict[str, dict] = field(default_factory=dict)
+
+    def __or__(self, other: Staged) -> Staged:
+        return Staged(self.tables | other.tables, self.files | other.files)
+
+
 def _places(keys: list[str], slots: Column) -> Column:
     """The bits of a key in a filter of `slots` bits, a power of two."""
     return F.array(*[F.xxhash64(F.lit(i), *keys).bitwiseAND(slots - 1) for i in range(HASHES)])
@@ -56,11 +70,12 @@ def _seen(rows: Observation) -> int:
 
 class Store:
     """Tables under root; schemas: table -> DDL; keys: table -> the columns that name a row. A table without keys may have
-    columns in clustered, by which its rows are laid out. An unknown or empty table reads as empty."""
+    columns in clustered, by which its rows are laid out. derived: table -> columns that aren't stored, with the SQL that makes them of stored ones; in_order: table -> columns
+    by which a file's rows are sorted, where they aren't the keys. An unknown or empty table reads as empty."""
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keys: dict[str, list[str]] | None = None, clustered: dict[str, list[str]] | None = None, upgrades: Upgrades | None = None):
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keys: dict[str, list[str]] | None = None, clustered: dict[str, list[str]] | None = None, upgrades: Upgrades | None = None, derived: dict[str, dict[str, str]] | None = None, in_order: dict[str, list[str]] | None = None):
         self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
-        self.keys, self.clustered, self.upgrades = keys or {}, clustered or {}, upgrades or {}
+        self.keys, self.clustered, self.upgrades, self.derived, self.in_order = keys or {}, clustered or {}, upgrades or {}, derived or {}, in_order or {}
         self.log, self._old = Log(spark, self.root), None
         if any(f["format"] > VERSION for f in self.state().files.values()):
             raise ValueError("the store is of a newer version")
@@ -90,11 +105,19 @@ class Store:
     def _schema(self, table: str) -> StructType:
         return StructType.fromDDL(self.schemas[table])
 
-    def _present(self, table: str, paths: list[str], format_: int, extra: list[Column]) -> DataFrame:
+    def _stored(self, table: str, paths: list[str], derived: dict[str, str], *extra: Column) -> DataFrame:
+        """Rows of files of the present format, with their derived columns."""
+        schema = StructType([f for f in self._schema(table) if f.name not in derived])
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths]).select("*", *extra)
+        return rows.withColumns({c: F.expr(e) for c, e in derived.items()}) if derived else rows
+
+    def _present(self, table: str, paths: list[str], format_: int, derived: dict[str, str], extra: list[Column]) -> DataFrame:
         """Rows of files of one format, as they are now: columns that a format lacks are null."""
         steps = [(v, self.upgrades[v][table]) for v in range(format_, VERSION) if table in self.upgrades.get(v, {})]
-        schema = StructType.fromDDL(steps[0][1][0]) if steps else self._schema(table)
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths]).select("*", *extra)
+        if steps:
+            rows = self.spark.read.schema(StructType.fromDDL(steps[0][1][0])).parquet(*[f"{self.root}/{p}" for p in paths]).select("*", *extra)
+        else:
+            rows = self._stored(table, paths, derived, *extra)
         for _, (_, step) in steps:
             rows = step(rows)
         names = [f.name for f in self._schema(table)]
@@ -105,12 +128,12 @@ class Store:
         """The visible rows of some files; placed: with _file and _row, the file's name and the row's place."""
         place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
         parts = []
-        for format_ in sorted({f["format"] for f in files.values()}):
+        for format_, derived in sorted({(f["format"], tuple(f.get("derived", {}).items())) for f in files.values()}):
             for hidden in (False, True):
-                paths = [p for p, f in files.items() if f["format"] == format_ and bool(f.get("hidden")) == hidden]
+                paths = [p for p, f in files.items() if f["format"] == format_ and tuple(f.get("derived", {}).items()) == derived and bool(f.get("hidden")) == hidden]
                 if not paths:
                     continue
-                rows = self._present(table, paths, format_, place if hidden or placed else [])
+                rows = self._present(table, paths, format_, dict(derived), place if hidden or placed else [])
                 if hidden:
                     folders = sorted({h for p in paths for h in files[p]["hidden"]})
                     gone = self.spark.read.schema("_file string, _row bigint").parquet(*[f"{self.root}/{h}" for h in folders])
@@ -121,6 +144,15 @@ class Store:
     def read(self, table: str, state: State | None = None) -> DataFrame:
         return self._rows(table, (state or self.state()).of(table))
 
+    def rows(self, table: str, staged: Staged) -> DataFrame:
+        """A table's rows of what was staged."""
+        return self._rows(table, {p: f for p, f in staged.files.items() if f["table"] == table})
+
+    def small(self, table: str, rows: DataFrame, state: State | None = None) -> DataFrame:
+        """rows, one for each of the table at most, to be broadcast where the log says that they are few."""
+        n = [f["rows"] for f in (state or self.state()).of(table).values()]
+        return F.broadcast(rows) if None not in n and sum(n) <= SMALL else rows
+
     def lookup(self, table: str, value: str, state: State | None = None) -> DataFrame:
         """The rows whose first key, or first clustering column, has this value: only files whose range holds it are opened."""
         column = (self.keys.get(table) or self.clustered[table])[0]
@@ -152,17 +184,25 @@ class Store:
 
     # Writing
 
+    def _order(self, table: str) -> list[str] | None:
+        return self.in_order.get(table) or self.clustered.get(table) or self.keys.get(table)
+
+    def _files(self, table: str, rows: DataFrame) -> str:
+        """The folder of laid out rows."""
+        folder, order = f"{table}/{uuid.uuid4().hex}", self._order(table)
+        rows = rows.sortWithinPartitions(*order) if order else rows
+        rows.drop(*self.derived.get(table, ())).write.options(**COLUMNS).parquet(f"{self.root}/{folder}")
+        return folder
+
     def _written(self, table: str, rows: DataFrame) -> str:
         """The folder of rows, cast to the table's columns: missing ones are null, others go."""
         cols = [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self._schema(table)]
-        out, order = rows.select(*cols), self.clustered.get(table) or self.keys.get(table)
+        out = rows.select(*cols)
         if table in self.clustered:
-            out = out.repartitionByRange(*order)
-        elif not order:
+            out = out.repartitionByRange(*self.clustered[table])
+        elif not self._order(table):
             out = out.hint("rebalance")  # few files of a good size; keyed rows come from a shuffle of their own
-        folder = f"{table}/{uuid.uuid4().hex}"
-        (out.sortWithinPartitions(*order) if order else out).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        return folder
+        return self._files(table, out)
 
     def _described(self, folders: dict[str, str]) -> dict[str, dict]:
         """What the log says of the files of new folders, empty ones left out; keyed tables' files get filters."""
@@ -170,11 +210,11 @@ class Store:
         keyed = {t: f for t, f in folders.items() if t in self.keys}
 
         def names(t: str, *cols: Column) -> DataFrame:
-            return self.spark.read.schema(self._schema(t)).parquet(f"{self.root}/{folders[t]}").select(F.lit(t).alias("table"), F.col("_metadata.file_name").alias("file"), *cols)
+            return self._stored(t, [folders[t]], self.derived.get(t, {}), F.col("_metadata.file_name").alias("_name")).select(F.lit(t).alias("table"), F.col("_name").alias("file"), *cols)
 
         counted = reduce(DataFrame.unionByName, [names(t, (F.col(c) if (c := first(t)) else F.lit(None)).cast("string").alias("k")) for t in folders])
         found = counted.groupBy("table", "file").agg(F.count("*").alias("rows"), F.min("k").alias("low"), F.max("k").alias("high")).collect()  # a row a new file
-        out = {f"{folders[r.table]}/{r.file}": {"table": r.table, "format": VERSION, "rows": r.rows, "low": r.low, "high": r.high} for r in found}
+        out = {f"{folders[r.table]}/{r.file}": {"table": r.table, "format": VERSION, "rows": r.rows, "low": r.low, "high": r.high} | ({"derived": self.derived[r.table]} if r.table in self.derived else {}) for r in found}
         if not keyed:
             return out
         slots = {r.file: max(64, 1 << math.ceil(math.log2(BITS * r.rows))) for r in found if r.table in keyed and r.rows >= FILTERED}
@@ -184,7 +224,7 @@ class Store:
             sizes = F.broadcast(self.spark.createDataFrame(list(slots.items()), "file string, slots long"))
             each = [names(t, *map(F.col, self.keys[t])).join(sizes, "file").select("table", "file", "slots", F.explode(_places(self.keys[t], F.col("slots"))).alias("bit")) for t in keyed]
             words = reduce(DataFrame.unionByName, each).groupBy("table", "file", "slots", F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"))
-            words.repartition(max(1, sum(slots.values()) >> 26), "table", "file").sortWithinPartitions("table", "word").write.option("compression", "zstd").parquet(f"{self.root}/{index}")
+            words.repartition(max(1, sum(slots.values()) >> 26), "table", "file").sortWithinPartitions("table", "word").write.options(**COLUMNS).parquet(f"{self.root}/{index}")
             for p, f in out.items():
                 if (name := p.rsplit("/", 1)[-1]) in slots:
                     f |= {"slots": slots[name], "index": index}
@@ -207,16 +247,21 @@ class Store:
             if self.log.append(state.version + 1, entry):
                 return state.version + 1
 
-    def commit(self, read: State | None = None, counters: dict[str, Observation] | None = None, **tables: DataFrame) -> int:
-        """Appends to all the tables or, if anything fails, to none; the version it has then. read: the state that
-        rows were made from; if another commit has since added to a keyed table of these, Conflict is raised and nothing is seen. counters: observed
-        numbers n of the rows that were offered to a table, of which the writing job tells."""
+    def stage(self, **tables: DataFrame) -> Staged:
+        """Rows of tables, written and described and not yet seen: commit() shows them."""
         with ThreadPoolExecutor(WRITERS) as pool:  # small tables take longer to plan than to write
             folders = dict(zip(tables, pool.map(self._written, tables, tables.values()), strict=True))
-        entry = {"add": self._described(folders) if folders else {}, "tables": sorted(tables)}
+        return Staged(set(tables), self._described(folders) if folders else {})
+
+    def commit(self, read: State | None = None, counters: dict[str, list[Observation]] | None = None, staged: Staged | None = None, **tables: DataFrame) -> int:
+        """Appends to all the tables, and what is staged, or, if anything fails, to none; the version it has then. read: the state that
+        rows were made from; if another commit has since added to a keyed table of these, Conflict is raised and nothing is seen. counters: observed
+        numbers n of the rows that were offered to a table, of which the writing jobs tell."""
+        staged = (staged or Staged()) | self.stage(**tables)
+        entry = {"add": staged.files, "tables": sorted(staged.tables)}
         if counters:
-            entry["counters"] = {name: _seen(o) for name, o in counters.items() if name in tables}
-        return self._append(entry, read, set(tables))
+            entry["counters"] = {name: sum(map(_seen, seen)) for name, seen in counters.items() if name in staged.tables}
+        return self._append(entry, read, staged.tables)
 
     def delete(self, table: str, condition: Column, read: State | None = None) -> int:
         """Hides the rows of a table for which condition holds; their files stay as they are."""
@@ -234,10 +279,8 @@ class Store:
             return state.version
         found = self._rows(table, small)
         n = max(1, math.ceil(sum(f["rows"] or rows for f in small.values()) / rows))
-        order = self.clustered.get(table) or self.keys.get(table)
-        folder = f"{table}/{uuid.uuid4().hex}"
-        laid = found.repartitionByRange(n, *order).sortWithinPartitions(*order) if order else found.repartition(n)
-        laid.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        order = self._order(table)
+        folder = self._files(table, found.repartitionByRange(n, *order) if order else found.repartition(n))
         return self._append({"add": self._described({table: folder}), "remove": sorted(small)}, None, set())
 
     def history(self) -> DataFrame:

@@ -71,3 +71,61 @@ def test_scratch_holds_no_texts(spark, tmp_path):
     s = batches.open_store(spark, str(tmp_path / "store"))
     assert {r.status for r in batches.ingest(s, rows, batches.Policy("lab", "salt")).collect()} == {"committed"}
     assert s.read("executions").count() == 60 and size() - before < sum(map(len, texts)) / 2
+
+
+def _texts(spark, n):
+    odd = lambda i: [{"metric_name": "rmse", "metric_value": 1.0 + i, "scope": s, "fold_id": "f0", "partition": "validation"} for s in ("cv", 'a "\\ b', None)[: 1 + i % 3]]
+    rows = [{"sample_id": f"s{i}", "y_true": 1.0 * i, "y_pred": 1.0 * i + 0.5, "partition": "validation", "scope": "cv", "fold_id": "f0"} for i in range(4)]
+    made = [manifest("pls", i, residuals=rows) if i % 5 == 4 else manifest("pls", i, scores={"observations": odd(i)}, oof=i % 4 > 0) for i in range(n)]
+    return spark.createDataFrame([(str(i), json.dumps(m)) for i, m in enumerate(made)], "path string, text string").repartition(4)
+
+
+def _whole(s):
+    return {t: sorted(repr(r) for r in s.read(t).drop("seq", "created_at").collect()) for t in batches.TABLES}
+
+
+def test_a_batch_in_slices_is_the_same_and_leaves_no_scratch(spark, tmp_path, monkeypatch):
+    import os
+    from urllib.parse import urlparse
+
+    from runlens.sources.scratch import folder
+
+    texts = spark.createDataFrame(_texts(spark, 24).collect() + [("bad", "{")], "path string, text string").repartition(4)
+    stores, reports = [batches.open_store(spark, str(tmp_path / n)) for n in ("whole", "sliced")], []
+    for s, size in zip(stores, (batches.SLICE, 1), strict=True):
+        monkeypatch.setattr(batches, "SLICE", size)
+        before = set(os.listdir(urlparse(folder(spark)).path))
+        reports.append(sorted(map(repr, batches.ingest(s, manifests.parsed(texts), batches.Policy("lab", "salt")).collect())))
+        left = [os.path.join(d, f) for new in set(os.listdir(urlparse(folder(spark)).path)) - before for d, _, names in os.walk(f"{urlparse(folder(spark)).path}/{new}") for f in names if f.endswith(".parquet")]
+        assert "m" not in {c for f in left for c in spark.read.parquet(f).columns}  # rows of manifests go once they are in the store
+    assert [len({p.split("/")[1] for p in s.state().of("executions")}) for s in stores] == [1, 4]
+    assert _whole(stores[0]) == _whole(stores[1]) and reports[0] == reports[1] and len(reports[0]) == 25
+    told = [{(r.table): (r.new, r.deduplicated) for r in s.history().collect()} for s in stores]
+    assert told[0] == told[1] and told[1]["executions"] == (24, 0)
+    again = batches.ingest(stores[1], manifests.parsed(texts), batches.Policy("lab", "salt")).collect()
+    assert {r.status for r in again} == {"already_ingested", "rejected"} and _whole(stores[0]) == _whole(stores[1])
+
+
+def test_scores_are_the_backbone_without_its_joins(spark, tmp_path):
+    s = batches.open_store(spark, str(tmp_path / "store"))
+    batches.ingest(s, manifests.parsed(_texts(spark, 24)), batches.Policy("lab", "salt", release=True))
+    paths = [f"{s.root}/{p}" for t in ("score_sets", "observations") for p in s.state().of(t)]
+    assert all("score_set_id" not in spark.read.parquet(p).columns for p in paths)
+    own = batches.resolve.score_set_id(F.col("execution_hash"), F.col("score_spec_hash"), F.col("scope"))
+    assert s.read("score_sets").where(own != F.col("score_set_id")).count() == 0 and s.read("score_sets").where("scope LIKE 'a %'").count() > 0
+
+    def same():
+        found = batches.scores(s)
+        rows = [sorted(repr(r) for r in df.select(sorted(found.columns)).collect()) for df in (found, batches.backbone(s))]
+        assert rows[0] == rows[1] and rows[0]
+        return found
+
+    files = same().inputFiles()
+    assert files and not any("/executions/" in f or "/score_sets/" in f for f in files)
+    # Another policy's set of the same execution and scope comes later: the first one is replaced.
+    one = s.read("score_sets").where("scope = 'cv'").orderBy("execution_hash").limit(1)
+    later = one.withColumns({"score_spec_hash": F.lit("f" * 64), "seq": F.current_timestamp()}).drop("score_set_id").withColumn("score_set_id", own)
+    s.commit(s.state(), score_sets=later)
+    assert same().where("score_validity = 'superseded'").count() > 0
+    s.delete("executions", F.col("execution_hash") == one.first().execution_hash)
+    assert same().where(F.col("execution_hash") == one.first().execution_hash).count() == 0
