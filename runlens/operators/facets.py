@@ -86,16 +86,18 @@ def pivot(m: DataFrame, facets: DataFrame, group_by: str, color_by: str | None =
     """Scores by one or two facets; a condition with several values counts for each."""
     if agg not in AGGREGATES:
         raise ValueError(f"agg must be one of {sorted(AGGREGATES)}")
-    rows, keys = selected(m, metric, scope, **options), ["value", "num"]
+    rows, keys, v = selected(m, metric, scope, **options), ["value", "num"], F.col("metric_value")
+    if agg != "median":  # an execution has one condition: what is distinct there is so in a group
+        rows = rows.groupBy("run_condition_hash").agg(F.sum(v.cast("double")).alias("sum"), F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.count_distinct("execution_hash").alias("n_runs"))
     rows = rows.join(facets.where(F.col("facet_key") == group_by).select("run_condition_hash", F.col("facet_value").alias("value"), F.col("facet_num").alias("num")), "run_condition_hash")
     if color_by is not None:
         rows, keys = rows.join(facets.where(F.col("facet_key") == color_by).select("run_condition_hash", F.col("facet_value").alias("color")), "run_condition_hash"), [*keys, "color"]
-    v = F.col("metric_value")
     if agg == "median":
         rows = checkpointed(rows.select(*keys, "metric_value", "execution_hash"))
         middle = distribution(rows, keys, "metric_value", {"score": 0.5}).select(*keys, "score")
         return null_safe_join(rows.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.count_distinct("execution_hash").alias("n_runs")), middle, keys)
-    return rows.groupBy(*keys).agg(AGGREGATES[agg](v).alias("score"), F.min(v).alias("min"), F.max(v).alias("max"), F.count_distinct("execution_hash").alias("n_runs"))
+    score = F.try_divide(F.sum("sum"), F.sum("n")) if agg == "mean" else AGGREGATES[agg](agg)
+    return rows.groupBy(*keys).agg(score.alias("score"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("n_runs").alias("n_runs"))
 
 
 def parallel(m: DataFrame, facets: DataFrame, dimensions: list[str], metric: str = "rmse", scope: str = "cv", **options) -> DataFrame:
