@@ -56,9 +56,9 @@ KEYS = {
 }
 #: Columns by which rows that several runs have are laid out, so that one run's are in few files.
 CLUSTERED = {"residuals": ["residual_set_id"], "observations": ["execution_hash"]}
-#: A score set's id follows from what names the set, so it isn't stored. A run's sets lie side by side.
-DERIVED = {"score_sets": {"score_set_id": resolve.SCORE_SET_ID}, "observations": {"score_set_id": resolve.SCORE_SET_ID}}
-IN_ORDER = {"score_sets": ["execution_hash", "scope"]}
+#: What follows from other columns isn't stored: a score set's id from what names the set, an execution's hash from its condition and export. A run's sets lie side by side.
+DERIVED = {"executions": {"execution_hash": resolve.EXECUTION_HASH}, "score_sets": {"score_set_id": resolve.SCORE_SET_ID}, "observations": {"score_set_id": resolve.SCORE_SET_ID}}
+IN_ORDER = {"executions": ["export_hash"], "score_sets": ["execution_hash", "scope"]}
 #: Bytes of a batch's rows that are brought into the store at a time, and then removed.
 SLICE = 64 << 20
 _NODES_1 = TABLES["pipeline_nodes"].replace("kind string", "role string")

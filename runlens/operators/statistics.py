@@ -15,8 +15,9 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def execution_scores(m: DataFrame, metric: str = "rmse", scope: str = "cv", **options) -> DataFrame:
-    return selected(m, metric, scope, **options).groupBy("execution_hash", "run_condition_hash", "dataset_fingerprint").agg(F.avg("metric_value").alias("score"))
+def execution_scores(m: DataFrame, metric: str = "rmse", scope: str = "cv", of: tuple[str, ...] = ("run_condition_hash", "dataset_fingerprint"), **options) -> DataFrame:
+    """Each execution's mean score, with what is asked of it: columns that have one value an execution."""
+    return selected(m, metric, scope, **options).groupBy("execution_hash", *of).agg(F.avg("metric_value").alias("score"))
 
 
 def summary(m: DataFrame, metric: str = "rmse", scope: str = "cv", by: str | None = None) -> DataFrame:

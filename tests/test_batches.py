@@ -3,7 +3,8 @@
 import json
 
 from pyspark.sql import functions as F
-from runlens.operators import batches, rankings
+from runlens.functions.identity import fingerprint
+from runlens.operators import batches, rankings, statistics
 from runlens.sources import manifests, store
 
 
@@ -129,3 +130,26 @@ def test_scores_are_the_backbone_without_its_joins(spark, tmp_path):
     assert same().where("score_validity = 'superseded'").count() > 0
     s.delete("executions", F.col("execution_hash") == one.first().execution_hash)
     assert same().where(F.col("execution_hash") == one.first().execution_hash).count() == 0
+
+
+def test_an_executions_hash_is_made_as_it_is_read(spark, tmp_path):
+    s = batches.open_store(spark, str(tmp_path / "store"))
+    batches.ingest(s, manifests.parsed(_texts(spark, 24)), batches.Policy("lab", "salt"))
+    paths = [f"{s.root}/{p}" for p in s.state().of("executions")]
+    assert paths and all("execution_hash" not in spark.read.parquet(p).columns for p in paths)
+    rows = s.read("executions").collect()
+    assert len(rows) == 24 and all(r.execution_hash == fingerprint({"run_condition": r.run_condition_hash, "export": r.export_hash, "execution_id": r.execution_id}) for r in rows)
+    assert {r.execution_hash for r in rows} >= {r[0] for r in s.read("observations").select("execution_hash").collect()}
+    one = min(r.execution_hash for r in rows)
+    assert [r.execution_hash for r in s.lookup("executions", one).collect()] == [one]
+    _bring_only_what_is_asked(s)
+
+
+def _bring_only_what_is_asked(s):
+    """Scores meet the names of conditions behind the shuffle, and rows are the same."""
+    m = batches.scores(s)
+    old = statistics.execution_scores(m).join(batches.datasets(s), "dataset_fingerprint").select("execution_hash", "domain", "score")
+    new = statistics.execution_scores(m, of=("domain",))
+    assert sorted(map(repr, new.select(old.columns).collect())) == sorted(map(repr, old.collect())) and old.count() > 0
+    shuffled = [x for x in new._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert shuffled and not any("dataset_fingerprint" in x or "run_condition_hash" in x for x in shuffled)
