@@ -285,6 +285,10 @@ def _ingested(store: Store, m: DataFrame, read: DataFrame, twice: DataFrame | No
     for part in parts if len(parts) > 1 else []:
         staged |= store.stage(**bulk(part))
         remove(part)
+    taken_as = uuid.uuid4().hex
+    for f in staged.files.values():
+        if f["table"] == "score_sets":
+            f["batch"] = taken_as
     store.commit(state, counters, staged)
     for used in (read, kept_rows, residuals, made, told):
         remove(used)
@@ -376,7 +380,10 @@ _OF_RUN = "execution_hash", "score_spec_hash", "scope", "run_condition_hash", "e
 
 
 def _replaced(store: Store, state: State) -> DataFrame | None:
-    """The ids of score sets that aren't valid any more, if any: short hashes of execution and scope are counted, and sets looked at where those are equal."""
+    """The ids of score sets that aren't valid any more, if any: short hashes of execution and scope are counted, and sets looked at where those are equal.
+    A batch has one set of an execution and scope at most, so that sets of one batch needn't be looked at."""
+    if len({f.get("batch", p) for p, f in state.of("score_sets").items()}) < 2:
+        return None
     sets = store.read("score_sets", state).withColumn("_short", F.xxhash64("execution_hash", "scope"))
     with short_shuffles(store.spark):
         again = written(sets.groupBy("_short").agg(F.count("*").alias("n")).where("n > 1").select("_short"))

@@ -145,6 +145,20 @@ def test_an_executions_hash_is_made_as_it_is_read(spark, tmp_path):
     _bring_only_what_is_asked(s)
 
 
+def test_sets_of_one_batch_are_not_looked_at_for_later_ones(spark, tmp_path, monkeypatch):
+    s = batches.open_store(spark, str(tmp_path / "store"))
+    texts = _texts(spark, 24)
+    batches.ingest(s, manifests.parsed(texts.where("path < '2'")), batches.Policy("lab", "salt"))
+    looked = []
+    monkeypatch.setattr(batches, "written", lambda df, made=batches.written: looked.append(df.columns) or made(df))
+    assert batches.scores(s).count() > 0 and not looked
+    batches.ingest(s, manifests.parsed(texts), batches.Policy("lab", "salt"))
+    looked.clear()
+    assert batches.scores(s).count() == batches.backbone(s).count() and ["_short"] in looked
+    s.compact("score_sets")
+    assert batches.scores(s).count() == batches.backbone(s).count()
+
+
 def _bring_only_what_is_asked(s):
     """Scores meet the names of conditions behind the shuffle, and rows are the same."""
     m = batches.scores(s)
