@@ -392,6 +392,12 @@ def _replaced(store: Store, state: State) -> DataFrame | None:
         return written(superseded(sets.join(again, "_short", "left_semi").drop("_short")).where("validity = 'superseded'").select("score_set_id", F.lit("superseded").alias("score_validity")))
 
 
+def named_conditions(store: Store | Snapshot, state: State | None = None) -> DataFrame:
+    """Run conditions with the names of their pipeline and dataset: label, main_model, is_linear, dataset_name, domain."""
+    of = store.read("run_conditions", state).join(store.read("pipeline_dags", state).select("pipeline_dag_hash", "label", "main_model", "is_linear"), "pipeline_dag_hash", "left")
+    return _few(store, "run_conditions", of.join(datasets(store, state).select("dataset_fingerprint", "dataset_name", "domain"), "dataset_fingerprint", "left"), state)
+
+
 def scores(store: Store | Snapshot, state: State | None = None) -> DataFrame:
     """backbone() without the columns that only executions have, such as times and ids: observations name their run, so that
     they meet conditions, which are far fewer, and neither executions nor score sets. Where files of older formats don't name it, or runs or sets are hidden, backbone()'s rows."""
@@ -399,12 +405,10 @@ def scores(store: Store | Snapshot, state: State | None = None) -> DataFrame:
     gone = [c for c in TABLES["executions"].split(", ") if c.split()[0] not in ("execution_hash", "run_condition_hash", "execution_validity", "collection_id")]
     if not isinstance(store, Store) or any(f["format"] < 3 for f in state.of("observations").values()) or any(f.get("hidden") for t in ("executions", "score_sets") for f in state.of(t).values()):
         return backbone(store, state).drop(*[c.split()[0] for c in gone])
-    of = store.read("run_conditions", state).join(store.read("pipeline_dags", state).select("pipeline_dag_hash", "label", "main_model", "is_linear"), "pipeline_dag_hash", "left")
-    of = of.join(datasets(store, state).select("dataset_fingerprint", "dataset_name", "domain"), "dataset_fingerprint", "left")
     rows = store.read("observations", state).drop("score_spec_hash").withColumnRenamed("scope", "score_scope")
     old = _replaced(store, state)
     rows = rows.withColumn("score_validity", F.lit("valid")) if old is None else rows.join(old, "score_set_id", "left").fillna("valid", "score_validity")
-    return rows.join(store.small("run_conditions", of, state), "run_condition_hash")
+    return rows.join(named_conditions(store, state), "run_condition_hash")
 
 
 def overview(store: Store) -> DataFrame:

@@ -55,12 +55,18 @@ def best_first(metric: str, score: str, *ties: str) -> list[Column]:
     return [c.asc_nulls_last() if ascending(metric) else c.desc_nulls_last(), *[F.col(t).asc() for t in ties]]
 
 
-def leaderboard(m: DataFrame, metric: str = "rmse", scope: str = "cv", limit: int | None = 200, **options) -> DataFrame:
-    """Run conditions by their mean score; rank is the row's number. limit is the report's length."""
+def leaderboard(m: DataFrame, metric: str = "rmse", scope: str = "cv", limit: int | None = 200, of: DataFrame | None = None, **options) -> DataFrame:
+    """Run conditions by their mean score; rank is the row's number. limit is the report's length. of: the conditions, one row each, with
+    pipeline_dag_hash, dataset_fingerprint, label and dataset_name, where the scores needn't bring these through the shuffle."""
     rows = selected(m, metric, scope, **options)
-    label = label_or_hash(F.first("label", True), F.col("pipeline_dag_hash"))
     score = F.col("metric_value")
-    g = rows.groupBy("run_condition_hash", "pipeline_dag_hash", "dataset_fingerprint").agg(label.alias("label"), F.first("dataset_name", True).alias("dataset_name"), F.avg(score).alias("mean_score"), F.min(score).alias("min_score"), F.max(score).alias("max_score"), F.count("*").alias("n_obs"))
+    numbers = [F.avg(score).alias("mean_score"), F.min(score).alias("min_score"), F.max(score).alias("max_score"), F.count("*").alias("n_obs")]
+    if of is not None:
+        names = of.select("run_condition_hash", "pipeline_dag_hash", "dataset_fingerprint", label_or_hash(F.col("label"), F.col("pipeline_dag_hash")).alias("label"), "dataset_name")
+        g = rows.groupBy("run_condition_hash").agg(*numbers).join(names, "run_condition_hash")
+    else:
+        label = label_or_hash(F.first("label", True), F.col("pipeline_dag_hash"))
+        g = rows.groupBy("run_condition_hash", "pipeline_dag_hash", "dataset_fingerprint").agg(label.alias("label"), F.first("dataset_name", True).alias("dataset_name"), *numbers)
     order = best_first(metric, "mean_score", "run_condition_hash")
     top = g.orderBy(*order).limit(limit) if limit is not None else g
     # A report of `limit` rows is ranked in one window; a whole one is numbered by sorted ranges.

@@ -39,7 +39,7 @@ def _as_sql(body: str) -> str:
 @query(_as_sql(f"SELECT label, dataset_name, year, round(avg(metric_value), 6) AS mean_score, round(min(metric_value), 6) AS min_score, round(max(metric_value), 6) AS max_score, count(*) AS n_obs FROM s WHERE {_CV} GROUP BY ALL"), views=False)
 def store_leaderboard(spark, sf) -> DataFrame:
     s = store(spark, sf)
-    board = rankings.leaderboard(batches.scores(s), limit=None)
+    board = rankings.leaderboard(batches.scores(s), limit=None, of=batches.named_conditions(s))
     seeds = batches.conditions(s).select("run_condition_hash", F.col("seed").alias("year"))
     return rounded(board.join(seeds, "run_condition_hash").select("label", "dataset_name", "year", "mean_score", "min_score", "max_score", "n_obs"))
 

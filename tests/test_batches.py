@@ -162,6 +162,9 @@ def test_sets_of_one_batch_are_not_looked_at_for_later_ones(spark, tmp_path, mon
 def _bring_only_what_is_asked(s):
     """Scores meet the names of conditions behind the shuffle, and rows are the same."""
     m = batches.scores(s)
+    for limit in (None, 5):
+        old, new = (rankings.leaderboard(m, limit=limit, of=of) for of in (None, batches.named_conditions(s)))
+        assert sorted(map(repr, new.select(old.columns).collect())) == sorted(map(repr, old.collect())) and old.count() > 0
     old = statistics.execution_scores(m).join(batches.datasets(s), "dataset_fingerprint").select("execution_hash", "domain", "score")
     new = statistics.execution_scores(m, of=("domain",))
     assert sorted(map(repr, new.select(old.columns).collect())) == sorted(map(repr, old.collect())) and old.count() > 0
