@@ -134,18 +134,16 @@ def run_facets(conditions: DataFrame, dags: DataFrame, nodes: DataFrame, params:
 
 
 def ingest(store: Store, manifests: DataFrame, policy: Policy, side: DataFrame | None = None, scores: DataFrame | None = None, tries: int = 4) -> DataFrame:
-    """Commits what is new of manifests() and returns a report: a row for each export with its status (committed, quarantined,
+    """Commits what is new of manifests(), or of fields(), and returns a report: a row for each export with its status (committed, quarantined,
     rejected or already_ingested), issues, n_residuals and truncated. An export that comes twice counts once; what can't be read or
     resolved is rejected and leaves nothing. side: residual rows by export, of manifests without inline ones; scores: observations
     by export, of manifests without any. If another writer comes first the batch is told apart from what that one wrote, `tries` times at most."""
     store = store if store.keys else open_store(store.spark, store.root)
-    named = F.coalesce("m.arena_export_hash", "export_hash", F.sha2("text", 256))
-    m = manifests.withColumn("export_hash", named).select("export_hash", "path", "text", "m")
     with short_shuffles(store.spark):
         for left in reversed(range(tries)):
-            rows = _read(m, policy)
+            rows = _read(_named(manifests), policy)
             try:
-                return _ingested(store, m, rows, _twice(rows), policy, side, scores)
+                return _ingested(store, manifests, rows, _twice(rows), policy, side, scores)
             except Conflict:
                 remove(rows)
                 if not left:
@@ -153,6 +151,12 @@ def ingest(store: Store, manifests: DataFrame, policy: Policy, side: DataFrame |
     raise ValueError("tries must be 1 or more")
 
 
+def _named(manifests: DataFrame) -> DataFrame:
+    """Manifests with the hash that they give, else that of their content, else that of their text; of fields() null where none is given, as _read() makes it."""
+    named = F.coalesce("m.arena_export_hash", "export_hash", F.sha2("text", 256)) if "export_hash" in manifests.columns else F.col("m.arena_export_hash")
+    return manifests.withColumn("export_hash", named).select("export_hash", "path", "text", "m")
+
+
 def _verified(rows: DataFrame, policy: Policy, scores: DataFrame | None = None) -> DataFrame:
     """rows with schema_version, status and issues."""
     fields = M.checked_fields(rows, F.struct(*[c for c in rows.columns if c != "export_hash"]).alias("row"))
@@ -164,9 +168,10 @@ def _verified(rows: DataFrame, policy: Policy, scores: DataFrame | None = None)
 
 def _read(m: DataFrame, policy: Policy) -> DataFrame:
     """Manifests in narrow rows, which are all that is kept of them: their texts are many times larger. What is rejected isn't resolved."""
-    may = [F.get_json_object("text", f"$.residuals.publishable.{c}").cast("boolean").alias(f"may_{c}") for c in ("y_true", "y_pred", "y_proba")]
+    named = F.contains("text", F.lit("publishable")) | F.contains("text", F.lit("\\u"))  # else no name is that one: the text needn't be read for it
+    may = [F.when(named, F.get_json_object("text", f"$.residuals.publishable.{c}")).cast("boolean").alias(f"may_{c}") for c in ("y_true", "y_pred", "y_proba")]
     told = _verified(m, policy).withColumns({"may": F.struct(*may), "_good": (F.col("status") != "rejected") & F.coalesce(F.col("m.arena_export_hash") != "", F.lit(True))})
-    return written(resolve.told(told, ("export_hash", "path", "m", "may"), "_good"))
+    return written(resolve.identities(told, ("export_hash", "path", "m", "may"), "_good"))
 
 
 def _twice(rows: DataFrame) -> DataFrame | None:
@@ -178,7 +183,7 @@ def _twice(rows: DataFrame) -> DataFrame | None:
     return written(rows.select("export_hash", short).join(again, "_short", "left_semi").groupBy("export_hash").agg(F.count("*").alias("n")).where("n > 1").select("export_hash"))
 
 
-def _ingested(store: Store, m: DataFrame, read: DataFrame, twice: DataFrame | None, policy: Policy, side: DataFrame | None, scores: DataFrame | None) -> DataFrame:
+def _ingested(store: Store, manifests: DataFrame, read: DataFrame, twice: DataFrame | None, policy: Policy, side: DataFrame | None, scores: DataFrame | None) -> DataFrame:
     now, state = F.current_timestamp(), store.state()
     kept_salt = settings(store, state).get("salt")
     if kept_salt is not None and policy.salt not in (None, kept_salt):
@@ -195,6 +200,7 @@ def _ingested(store: Store, m: DataFrame, read: DataFrame, twice: DataFrame | No
     if old is not None and old.isEmpty():
         old = None
     if twice is not None or old is not None:  # parts are told by what is taken
+        m = _named(manifests if "export_hash" in manifests.columns else M.parsed(manifests))
         rest = m if old is None else m.join(old, "export_hash", "left_anti")
         if twice is not None:
             least = rest.join(twice, "export_hash", "left_semi").groupBy("export_hash").agg(*[F.min(c).alias(c) for c in ("path", "text", "m")])
@@ -202,12 +208,11 @@ def _ingested(store: Store, m: DataFrame, read: DataFrame, twice: DataFrame | No
         kept_rows = _read(rest, policy)
 
     def taken(part: DataFrame) -> DataFrame:
-        out = _verified(resolve.hashed(part), policy)
+        out = _verified(part, policy)
         if twice is not None:
             out = out.join(several.select("export_hash", F.col("status").alias("_status")), "export_hash", "left").withColumn("status", F.coalesce("_status", "status"))
         return out.where("status != 'rejected'")
 
-    rows = resolve.hashed(kept_rows)
     accepted = taken(kept_rows)
     usable = accepted.where("execution_hash IS NOT NULL")
     residuals = written(_residuals(usable, salt, side))
@@ -228,7 +233,7 @@ def _ingested(store: Store, m: DataFrame, read: DataFrame, twice: DataFrame | No
         made = made.unionByName(beside.join(wanted, "export_hash", "left_anti"), allowMissingColumns=True)
     scope = F.coalesce("scope", F.lit("cv"))
     made = written(given.limit(0).unionByName(made, allowMissingColumns=True).select(given.columns).withColumn("scope", scope))
-    told = written(rows.where("told IS NOT NULL").select(*resolve.HASHES, "error", "told.*"))
+    told = written(kept_rows.where("told IS NOT NULL").select(*resolve.HASHES, "error", "told.*"))
     nodes, params = resolve.pipeline_nodes(told), resolve.node_params(told)
     values, dags = resolve.parameter_values(params), resolve.pipeline_dags(told)
     fresh_conditions = checkpointed(store.absent("run_conditions", resolve.conditions(usable), state))

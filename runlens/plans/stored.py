@@ -27,7 +27,7 @@ def store(spark: SparkSession, sf: str) -> Store:
     key = spark.sparkContext.applicationId, sf
     if key not in _made:
         root = f"{folder(spark)}/orders-{uuid.uuid4().hex}"
-        batches.ingest(batches.open_store(spark, root), manifests.parsed(driver_manifests.manifest_texts(spark, sf)), batches.Policy("orders", salt="salt", release=True))
+        batches.ingest(batches.open_store(spark, root), manifests.fields(driver_manifests.manifest_texts(spark, sf)), batches.Policy("orders", salt="salt", release=True))
         _made[key] = root
     return batches.open_store(spark, _made[key])
 

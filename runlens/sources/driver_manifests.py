@@ -24,13 +24,20 @@ def _step(i: Column, prio: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, _STEPS)), ((prio + i) % len(_STEPS) + 1).cast("int"))
 
 
-def orders(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
-    """One row an order: its key, segment, priority, number of line items, year, validity, nation and region, and more that its line items make."""
+def _counts(spark: SparkSession, sf: str) -> DataFrame:
+    """(l_orderkey, n): an order's number of line items."""
+    return spread(T.table(spark, sf, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
+
+
+def orders(spark: SparkSession, sf: str, items: DataFrame | None = None) -> DataFrame:
+    """One row an order: its key, segment, priority, number of line items, year, validity, nation and region, and what items(l_orderkey, n, ...) has
+    of its line items beside. Joined by merging: a small table's few files would be as few tasks, however much is then made of an order."""
     o, c = T.table(spark, sf, "orders"), T.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    items = spread(T.table(spark, sf, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"), *more)
-    rows = o.join(c, o.o_custkey == c.c_custkey).join(items, o.o_orderkey == items.l_orderkey)
-    rows = rows.join(T.datasets(spark, sf).withColumnRenamed("dataset_fingerprint", "nation"), F.col("c_nationkey").cast("string") == F.col("nation"))
-    return rows.select("o_orderkey", F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), "n", F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") != "P").alias("attested"), "nation", "dataset_name", "domain", *items.columns[2:])
+    items = _counts(spark, sf) if items is None else items
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(T.datasets(spark, sf).withColumnRenamed("dataset_fingerprint", "nation"), F.col("c_nationkey").cast("string") == F.col("nation"))
+    rows = rows.select("o_orderkey", F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") != "P").alias("attested"), "nation", "dataset_name", "domain")
+    rows = items.join(rows.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.select("o_orderkey", "segment", "priority", "n", "year", "attested", "nation", "dataset_name", "domain", *items.columns[2:])
 
 
 def graph(segment: Column, priority: Column, n: Column) -> Column:
@@ -53,23 +60,25 @@ def graph(segment: Column, priority: Column, n: Column) -> Column:
 
 def manifest_texts(spark: SparkSession, sf: str) -> DataFrame:
     """(path, text): a manifest for each order."""
-    lit, kept = F.lit, ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_extendedprice")
-
-    def score(x: Column) -> Column:
-        test, flag = x["l_linestatus"] == "F", x["l_returnflag"]
-        return F.concat(
-            lit('{"metric_name":"'), F.when(flag == "A", "rmse").when(flag == "N", "r2").otherwise("mae"), lit('","metric_value":'), F.sqrt(x["l_extendedprice"] / x["l_quantity"]).cast("string"), lit(',"scope":"'), F.when(test, "test").otherwise("cv"), lit('","fold_id":"fold'), x["l_linenumber"].cast("string"),
-            lit('","partition":"'), F.when(test, "test").otherwise("validation"), lit('","aggregation_level":"'), F.when(x["l_linenumber"] % 2 == 0, "target").otherwise("sample"), lit('","n_samples":'), x["l_quantity"].cast("int").cast("string"), lit("}"),
-        )
-
-    o = orders(spark, sf, F.collect_list(F.struct(*kept)).alias("items"))
-    o = o.withColumn("scores", F.concat_ws(",", F.array_sort(F.transform("items", score))))
+    lit, flag, test = F.lit, F.col("l_returnflag"), F.col("l_linestatus") == "F"
+    score = F.concat(
+        lit('{"metric_name":"'), F.when(flag == "A", "rmse").when(flag == "N", "r2").otherwise("mae"), lit('","metric_value":'), F.sqrt(F.col("l_extendedprice") / F.col("l_quantity")).cast("string"), lit(',"scope":"'), F.when(test, "test").otherwise("cv"), lit('","fold_id":"fold'), F.col("l_linenumber").cast("string"),
+        lit('","partition":"'), F.when(test, "test").otherwise("validation"), lit('","aggregation_level":"'), F.when(F.col("l_linenumber") % 2 == 0, "target").otherwise("sample"), lit('","n_samples":'), F.col("l_quantity").cast("int").cast("string"), lit("}"),
+    )
+    items = spread(T.table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_extendedprice"), "l_orderkey").select("l_orderkey", score.alias("score"))
+    items = items.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"), F.collect_list("score").alias("items"))
+    o = orders(spark, sf, items).withColumn("scores", F.concat_ws(",", F.sort_array("items")))
+    # A pipeline's text is made once and joined to the orders that have it: kinds and counts make a few hundred.
+    kinds = {f"_{c}": F.col(c) for c in ("segment", "priority", "n")}
+    pairs = T.table(spark, sf, "orders").join(T.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("_segment"), F.col("o_orderpriority").alias("_priority")).distinct()
+    made = pairs.crossJoin(_counts(spark, sf).select(F.col("n").alias("_n")).distinct()).withColumn("graph", graph(*map(F.col, kinds)))
+    o = o.join(F.broadcast(made), [c.eqNullSafe(F.col(k)) for k, c in kinds.items()]).drop(*kinds)
     text = lambda c: F.col(c).cast("string")
     body = F.concat(
         lit('{"arena_export_schema_version":1,"dataset":{"n_samples":100,"dataset_fingerprint":"'), F.sha2(F.concat(lit("d"), "nation"), 256), lit('","dataset_card":{"name":"'), "dataset_name", lit('","domain":"'), "domain",
         lit('"}},"task":{"task_type":"regression","target_name":"price"},"split":{"method":"'), F.when(F.col("priority").contains("-"), "holdout").otherwise("kennard_stone"), lit('","params":{"test_size":0.25}},"cv":{"method":"'), F.when(F.col("year") % 2 == 1, 'kfold","n_folds":5').otherwise('shuffle","n_folds":10'),
         lit('},"rng":{"root_seed":'), text("year"), lit('},"refit":{"strategy":"full"},"execution":{"execution_id":"e'), text("o_orderkey"), lit('"},"leakage_attestation":{"oof_enforced":'), text("attested"), lit('},"pipeline":{"human_label":"'), F.concat_ws("/", "segment", "priority", text("n")), lit('","graph":'),
-        graph(F.col("segment"), F.col("priority"), F.col("n")), lit('},"scores":{"observations":['), "scores", lit("]}}"),
+        "graph", lit('},"scores":{"observations":['), "scores", lit("]}}"),
     )
     return o.select(F.concat(lit("order-"), text("o_orderkey")).alias("path"), body.alias("text"))
 

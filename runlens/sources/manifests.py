@@ -25,9 +25,13 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")))
 
 
+def fields(rows: DataFrame) -> DataFrame:
+    """rows(path, text) with m, what ingestion reads of a manifest."""
+    return rows.withColumn("m", F.from_json("text", MANIFEST.replace("schema_version", "arena_export_schema_version", 1).replace("export_hash", "arena_export_hash", 1)))
+
+
 def parsed(rows: DataFrame) -> DataFrame:
-    """rows(path, text) with m, what ingestion reads of a manifest, and export_hash, the hash of its content."""
-    fields = F.from_json("text", MANIFEST.replace("schema_version", "arena_export_schema_version", 1).replace("export_hash", "arena_export_hash", 1))
+    """fields() with export_hash, the hash of a manifest's content."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -40,7 +44,7 @@ def parsed(rows: DataFrame) -> DataFrame:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["path", "text", "export_hash"])
 
-    return rows.select("path", "text").mapInArrow(hashed, "path string, text string, export_hash string").withColumn("m", fields)
+    return fields(rows.select("path", "text").mapInArrow(hashed, "path string, text string, export_hash string"))
 
 
 def checked_fields(manifest: DataFrame, *more: Column | str) -> DataFrame:

@@ -3,8 +3,10 @@
 import json
 
 from pyspark.sql import functions as F
+from runlens.functions.identity import fingerprint
 from runlens.operators import resolve
 from runlens.plans import uploads
+from runlens.sources import driver_manifests, manifests
 
 
 def manifest(i, **more):
@@ -45,3 +47,40 @@ def test_every_part_is_told_in_few_rows(spark):
 
 def test_bundles_of_one_file_are_many_tasks(spark, sf):
     assert uploads._bundles(spark, sf).rdd.getNumPartitions() > 1
+
+
+def test_texts_are_read_once(monkeypatch):
+    """Fields whose text has come before aren't read again, whatever stands between them; what isn't plain is left to json.loads()."""
+    texts, shared = resolve.Texts(), {"nodes": [{"operator": f"x.S{i}", "params": {"k": 1.0, "é\n": [i]}} for i in range(9)]}
+    odd = [manifest(i, pipeline=shared, notes=["}", '"', {"a": None}], n=10**i, flag=True, x=None) for i in range(9)]
+    given = [json.dumps(m, indent=i % 3 or None, ensure_ascii=i % 2 > 0) for i, m in enumerate(odd)] * 2
+    for text in given:
+        fields = texts(text)
+        assert {k: x[0] for k, x in fields.items()} == json.loads(text) and resolve._fingerprint(fields) == fingerprint(json.loads(text))
+    read = []
+    monkeypatch.setattr(texts, "scan", lambda text, at, scan=texts.scan: read.append(text[at : at + 1]) or scan(text, at))
+    for text in given:
+        assert texts(text)
+        read.clear()
+        assert texts(text) and sorted(read) == ["1", "n", "t"]  # the number, the null and the boolean
+    for bad in ("", "{", "[1]", "{}", '{"a":1}x', '{"a":1,}', '{"a" 1}', '{"\\u0061":1}', '﻿{"a":1}', '{"a":{"b":1}', '{"a":{"b":1}}}'):
+        assert texts(bad) is None and texts('{"a":{"b":1},"a":{"b":2}}')["a"][0] == {"b": 2}
+    assert texts('{"a":{"b":1}  ,"b":[ ] }\n')["b"][0] == [] and texts('{"a":NaN}')["a"][0] != 0
+
+
+def test_hashes_are_made_in_the_same_pass(spark):
+    texts = [json.dumps(manifest(i)) for i in range(5)] + ['{"a":NaN}', "{", json.dumps({"arena_export_hash": "given", "é": 1})]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    given = F.get_json_object("text", "$.arena_export_hash")
+    found = {r.path: r.export_hash for r in resolve.told(rows.withColumns({"export_hash": given, "good": F.lit(False)}), ("export_hash", "path"), "good").collect()}
+    named = {r.path: r.h for r in manifests.parsed(rows).select("path", F.coalesce(given, "export_hash", F.sha2("text", 256)).alias("h")).collect()}
+    assert found == named and len(set(found.values())) == 8
+
+
+def test_orders_texts_are_made_in_many_tasks(spark, sf):
+    """A small table's one file isn't one task of all manifests, and a pipeline's text isn't made for each order."""
+    texts = driver_manifests.manifest_texts(spark, sf)
+    assert texts.rdd.getNumPartitions() > 1
+    made = [r.text for r in texts.collect()]
+    graphs = {json.dumps(json.loads(t)["pipeline"]) for t in made}
+    assert len(made) == len({json.loads(t)["execution"]["execution_id"] for t in made}) and 1 < len(graphs) < len(made)
