@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources import manifests as M
 from ..sources.commitlog import Conflict, State
-from ..sources.scratch import checkpointed, remove, short_shuffles, sliced, written
+from ..sources.scratch import checkpointed, ranged, remove, short_shuffles, size, sliced, written
 from ..sources.store import RESIDUAL, SMALL, Snapshot, Store, snapshot
 from . import catalogue, facets, metrics, resolve
 from .ingest import RESIDUAL_CAP, cap_report, latest, once, publishable, superseded, verify, within_cap
@@ -61,6 +61,8 @@ DERIVED = {"executions": {"execution_hash": resolve.EXECUTION_HASH}, "score_sets
 IN_ORDER = {"executions": ["export_hash"], "score_sets": ["execution_hash", "scope"]}
 #: Bytes of a batch's rows that are brought into the store at a time, and then removed.
 SLICE = 64 << 20
+#: Bytes of a slice's rows from which its scores go to another file.
+LAID = 2 << 20
 _NODES_1 = TABLES["pipeline_nodes"].replace("kind string", "role string")
 #: Stores of version 1 called a node's declared kind its role, and had scores of single samples only.
 UPGRADES = {1: {"pipeline_nodes": (_NODES_1, lambda df: df.withColumnRenamed("role", "kind")), "observations": (TABLES["observations"], lambda df: df.withColumn("aggregation_level", F.coalesce("aggregation_level", F.lit("sample"))))}}
@@ -171,7 +173,7 @@ def _read(m: DataFrame, policy: Policy) -> DataFrame:
     named = F.contains("text", F.lit("publishable")) | F.contains("text", F.lit("\\u"))  # else no name is that one: the text needn't be read for it
     may = [F.when(named, F.get_json_object("text", f"$.residuals.publishable.{c}")).cast("boolean").alias(f"may_{c}") for c in ("y_true", "y_pred", "y_proba")]
     told = _verified(m, policy).withColumns({"may": F.struct(*may), "_good": (F.col("status") != "rejected") & F.coalesce(F.col("m.arena_export_hash") != "", F.lit(True))})
-    return written(resolve.identities(told, ("export_hash", "path", "m", "may"), "_good"))
+    return written(resolve.identities(told, ("export_hash", "path", "m", "may", "status"), "_good"))
 
 
 def _twice(rows: DataFrame) -> DataFrame | None:
@@ -189,7 +191,7 @@ def _ingested(store: Store, manifests: DataFrame, read: DataFrame, twice: DataFr
     if kept_salt is not None and policy.salt not in (None, kept_salt):
         raise ValueError("the store has another salt: samples would no longer meet")
     salt = kept_salt or policy.salt or uuid.uuid4().hex
-    first = _verified(read, policy, scores).select("export_hash", "schema_version", "status", "issues")
+    first = _verified(read.drop("status"), policy, scores).select("export_hash", "schema_version", "status", "issues")
     kept_rows = read
     if twice is not None:
         least = F.min_by(F.struct("schema_version", "status", "issues"), F.coalesce("schema_version", F.lit(0))).alias("v")
@@ -208,7 +210,7 @@ def _ingested(store: Store, manifests: DataFrame, read: DataFrame, twice: DataFr
         kept_rows = _read(rest, policy)
 
     def taken(part: DataFrame) -> DataFrame:
-        out = _verified(part, policy)
+        out = part
         if twice is not None:
             out = out.join(several.select("export_hash", F.col("status").alias("_status")), "export_hash", "left").withColumn("status", F.coalesce("_status", "status"))
         return out.where("status != 'rejected'")
@@ -274,7 +276,11 @@ def _ingested(store: Store, manifests: DataFrame, read: DataFrame, twice: DataFr
             direct = direct.join(wanted, "export_hash", "left_anti")
         named = "export_hash", "execution_hash", "score_spec_hash"
         ids, set_id = (*named, "run_condition_hash", "execution_validity"), resolve.score_set_id(F.col("execution_hash"), F.col("score_spec_hash"), F.col("scope"))
-        scored = direct.select(*ids, F.inline("m.scores.observations")).withColumn("scope", scope).unionByName(made.join(bare.select(*ids), "export_hash")).withColumn("score_set_id", set_id)
+        rows = direct
+        if laid:
+            rows = ranged(direct.select(*ids, "m"), "execution_hash", min(store.spark.sparkContext.defaultParallelism, size(part) // LAID))
+        scored = rows.select(*ids, F.inline("m.scores.observations")).withColumn("scope", scope)
+        scored = (scored if laid else scored.unionByName(made.join(bare.select(*ids), "export_hash"))).withColumn("score_set_id", set_id)
         scopes = F.transform("m.scores.observations", lambda o: F.coalesce(o["scope"], F.lit("cv")))
         sets = direct.select(*named, scopes.alias("_scopes")).select("*", F.explode(F.array_distinct("_scopes")).alias("scope"))
         sets = sets.select("execution_hash", "score_spec_hash", "scope", F.size(F.filter("_scopes", lambda x: x == F.col("scope"))).cast("long").alias("n_observations")).withColumn("score_set_id", set_id)
@@ -285,10 +291,13 @@ def _ingested(store: Store, manifests: DataFrame, read: DataFrame, twice: DataFr
 
     # What is in the store goes from the scratch folder: a large batch is brought there a slice at a time.
     parts = sliced(kept_rows, SLICE)
+    # Where all scores are their manifests' own and none can be there yet, whole manifests are shuffled to their place, which are fewer and shorter than their scores.
+    laid = not state.of("score_sets") and not policy.recompute and made.isEmpty()
+    in_place = {"observations"} if laid else set()
     others = written(report.where("status NOT IN ('committed', 'quarantined')"))
-    staged = store.stage(**tables, **(bulk(parts[0]) if len(parts) == 1 else {}))
+    staged = store.stage(in_place, **tables, **(bulk(parts[0]) if len(parts) == 1 else {}))
     for part in parts if len(parts) > 1 else []:
-        staged |= store.stage(**bulk(part))
+        staged |= store.stage(in_place, **bulk(part))
         remove(part)
     taken_as = uuid.uuid4().hex
     for f in staged.files.values():

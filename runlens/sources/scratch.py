@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .commitlog import Files
 
@@ -47,6 +48,19 @@ def remove(df: DataFrame) -> None:
         files.remove(path)
 
 
+def size(df: DataFrame) -> int:
+    """Bytes of a written() frame's files, or of one of its slices."""
+    files = Files(df.sparkSession)
+    return sum(map(files.size, df.inputFiles()))
+
+
+def ranged(df: DataFrame, column: str, n: int) -> DataFrame:
+    """df in n ranges of a column of SHA-256 in hexadecimals, each in order. Such hashes are spread evenly, so that the ranges' bounds needn't be looked for in the rows."""
+    n = max(1, n)
+    at = (F.conv(F.substring(column, 1, 6), 16, 10).cast("long") * n / F.lit(1 << 24)).cast("int")
+    return df.repartitionById(n, at).sortWithinPartitions(column)
+
+
 def sliced(df: DataFrame, size: int, most: int = 16) -> list[DataFrame]:
     """A written() frame by groups of its files of about `size` bytes, `most` groups at most."""
     paths, files = sorted(df.inputFiles()), Files(df.sparkSession)

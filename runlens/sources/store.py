@@ -187,17 +187,19 @@ class Store:
     def _order(self, table: str) -> list[str] | None:
         return self.in_order.get(table) or self.clustered.get(table) or self.keys.get(table)
 
-    def _files(self, table: str, rows: DataFrame) -> str:
-        """The folder of laid out rows."""
-        folder, order = f"{table}/{uuid.uuid4().hex}", self._order(table)
+    def _files(self, table: str, rows: DataFrame, in_place: bool = False) -> str:
+        """The folder of laid out rows; in_place: they are in order too."""
+        folder, order = f"{table}/{uuid.uuid4().hex}", None if in_place else self._order(table)
         rows = rows.sortWithinPartitions(*order) if order else rows
         rows.drop(*self.derived.get(table, ())).write.options(**COLUMNS).parquet(f"{self.root}/{folder}")
         return folder
 
-    def _written(self, table: str, rows: DataFrame) -> str:
-        """The folder of rows, cast to the table's columns: missing ones are null, others go."""
+    def _written(self, table: str, rows: DataFrame, in_place: bool = False) -> str:
+        """The folder of rows, cast to the table's columns: missing ones are null, others go. in_place: each of their partitions is as a file has to be."""
         cols = [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self._schema(table)]
         out = rows.select(*cols)
+        if in_place:
+            return self._files(table, out, True)
         if table in self.clustered:
             out = out.repartitionByRange(*self.clustered[table])
         elif not self._order(table):
@@ -212,18 +214,30 @@ class Store:
         def names(t: str, *cols: Column) -> DataFrame:
             return self._stored(t, [folders[t]], self.derived.get(t, {}), F.col("_metadata.file_name").alias("_name")).select(F.lit(t).alias("table"), F.col("_name").alias("file"), *cols)
 
-        counted = reduce(DataFrame.unionByName, [names(t, (F.col(c) if (c := first(t)) else F.lit(None)).cast("string").alias("k")) for t in folders])
-        found = counted.groupBy("table", "file").agg(F.count("*").alias("rows"), F.min("k").alias("low"), F.max("k").alias("high")).collect()  # a row a new file
+        # A key that is made of other columns lies in no order: a file with many has no range worth making them all for.
+        made = lambda t: first(t) in self.derived.get(t, {})
+        ranged = lambda t: F.col(first(t)).cast("string") if first(t) and not made(t) else F.lit(None).cast("string")
+        ends = F.count("*").alias("rows"), F.min("k").alias("low"), F.max("k").alias("high")
+        found = reduce(DataFrame.unionByName, [names(t, ranged(t).alias("k")) for t in folders]).groupBy("table", "file").agg(*ends).collect()  # a row a new file
         out = {f"{folders[r.table]}/{r.file}": {"table": r.table, "format": VERSION, "rows": r.rows, "low": r.low, "high": r.high} | ({"derived": self.derived[r.table]} if r.table in self.derived else {}) for r in found}
+        few = {p: f for p, f in out.items() if made(f["table"]) and f["rows"] < FILTERED}
+        if few:
+            keys = [self._stored(t, of, self.derived[t], F.col("_metadata.file_name").alias("file")).select("file", F.col(first(t)).cast("string").alias("k")) for t in folders if (of := [p for p, f in few.items() if f["table"] == t])]
+            least = {r.file: r for r in reduce(DataFrame.unionByName, keys).groupBy("file").agg(*ends).collect()}  # as few
+            for p, f in few.items():
+                f |= {"low": least[p.rsplit("/", 1)[-1]].low, "high": least[p.rsplit("/", 1)[-1]].high}
         if not keyed:
             return out
         slots = {r.file: max(64, 1 << math.ceil(math.log2(BITS * r.rows))) for r in found if r.table in keyed and r.rows >= FILTERED}
         keyed = {t: f for t, f in keyed.items() if any(r.table == t and r.file in slots for r in found)}
         if slots:
             index = f"_index/{uuid.uuid4().hex}"
-            sizes = F.broadcast(self.spark.createDataFrame(list(slots.items()), "file string, slots long"))
-            each = [names(t, *map(F.col, self.keys[t])).join(sizes, "file").select("table", "file", "slots", F.explode(_places(self.keys[t], F.col("slots"))).alias("bit")) for t in keyed]
-            words = reduce(DataFrame.unionByName, each).groupBy("table", "file", "slots", F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"))
+            files = [(f, t, slots[f], i) for i, (f, t) in enumerate(sorted((r.file, r.table) for r in found if r.file in slots))]
+            sizes = F.broadcast(self.spark.createDataFrame(files, "file string, table string, slots long, id int"))
+            # Files go by numbers while bits are brought together.
+            each = [names(t, *map(F.col, self.keys[t])).join(sizes.select("file", "slots", "id"), "file").select("id", F.explode(_places(self.keys[t], F.col("slots"))).alias("bit")) for t in keyed]
+            words = reduce(DataFrame.unionByName, each).groupBy("id", F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"))
+            words = words.join(sizes, "id").select("table", "file", "slots", "word", "bits")
             words.repartition(max(1, sum(slots.values()) >> 26), "table", "file").sortWithinPartitions("table", "word").write.options(**COLUMNS).parquet(f"{self.root}/{index}")
             for p, f in out.items():
                 if (name := p.rsplit("/", 1)[-1]) in slots:
@@ -247,10 +261,10 @@ class Store:
             if self.log.append(state.version + 1, entry):
                 return state.version + 1
 
-    def stage(self, **tables: DataFrame) -> Staged:
-        """Rows of tables, written and described and not yet seen: commit() shows them."""
+    def stage(self, in_place: set[str] = frozenset(), **tables: DataFrame) -> Staged:
+        """Rows of tables, written and described and not yet seen: commit() shows them. in_place: tables whose rows are laid out already."""
         with ThreadPoolExecutor(WRITERS) as pool:  # small tables take longer to plan than to write
-            folders = dict(zip(tables, pool.map(self._written, tables, tables.values()), strict=True))
+            folders = dict(zip(tables, pool.map(self._written, tables, tables.values(), [t in in_place for t in tables]), strict=True))
         return Staged(set(tables), self._described(folders) if folders else {})
 
     def commit(self, read: State | None = None, counters: dict[str, list[Observation]] | None = None, staged: Staged | None = None, **tables: DataFrame) -> int:
