@@ -194,3 +194,14 @@ def test_what_a_batch_leaves(spark, lab):
     assert s.lookup("residuals", one).count() == 4
     s.delete("residuals", F.col("residual_set_id") == one)
     assert s.lookup("residuals", one).count() == 0 and s.read("residuals").count() == 28
+
+
+def test_ranges_of_hashes_need_no_pass_over_the_rows(spark):
+    """Each partition has one range of the hashes, in order, and no other's."""
+    from pyspark.sql import functions as F
+    from runlens.sources.scratch import ranged
+
+    rows = ranged(spark.range(3000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")), "h", 5)
+    parts = [[r.h for r in p] for p in rows.rdd.glom().collect()]
+    assert len(parts) == 5 and all(400 < len(p) < 800 and p == sorted(p) for p in parts)
+    assert sum(parts, []) == sorted(sum(parts, []))
